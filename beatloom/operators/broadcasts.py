@@ -1,0 +1,18 @@
+"""Broadcast only what has been measured."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 500_000
+
+
+def checked(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame | None:
+    """None when ``df`` is empty, a broadcast when it has at most ``max_rows`` rows,
+    otherwise ``df`` as it is, so that the join shuffles. Costs one count that
+    stops after ``max_rows`` + 1 rows."""
+    rows = df.limit(max_rows + 1).count()
+    if rows == 0:
+        return None
+    return F.broadcast(df) if rows <= max_rows else df
