@@ -111,19 +111,19 @@ def decimate(a: Column, taps: list[float], step: int) -> Column:
     beyond either end count as zero."""
     half = len(taps) // 2
     weights = F.array(*[F.lit(float(t)) for t in taps])
-    size = F.size(a)
-    tap = lambda i: F.aggregate(
+    tap = lambda t, i: F.aggregate(
         F.sequence(F.lit(0), F.lit(len(taps) - 1)),
         _zero(),
-        lambda acc, j: acc + F.element_at(weights, j + 1) * F.coalesce(F.get(a, i + F.lit(half) - j), _zero()),
+        lambda acc, j: acc + F.element_at(weights, j + 1) * F.coalesce(F.get(t, i + F.lit(half) - j), _zero()),
     )
-    points = F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(step)))
-    return F.coalesce(F.transform(points, tap), F.array().cast("array<double>"))
+    points = lambda t: F.when(F.size(t) > 0, F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(step)))
+    return let(a, lambda t: F.coalesce(F.transform(points(t), lambda i: tap(t, i)), F.array().cast("array<double>")))
 
 
 def hold_to(a: Column, n: Column) -> Column:
     """Re-index to positions 0..n-1: values keep their index and the last is held."""
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(a, F.least(i + 1, F.size(a)).cast("int")))
+    at = lambda t, i: F.element_at(t, F.least(i + 1, F.size(t)).cast("int"))
+    return let(a, lambda t: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(t, i)))
 
 
 def clean(a: Column) -> Column:

@@ -97,7 +97,8 @@ def class_columns(columns: list[str], not_classes: list[str]) -> list[str]:
 
 def multi_hot(classes: Column, names: list[str]) -> Column:
     """0/1 vector over the fixed class order; a record may hold any subset."""
-    return F.transform(F.array(*[F.lit(n) for n in names]), lambda c: F.array_contains(classes, c).cast("int"))
+    order = F.array(*[F.lit(n) for n in names])
+    return let(classes, lambda t: F.transform(order, lambda c: F.array_contains(t, c).cast("int")))
 
 
 def binary_hot(positive: Column) -> Column:

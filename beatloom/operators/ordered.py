@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from beatloom.functions.arrays import let
 from beatloom.functions.hashing import keyed_md5
 
 HOT_ROWS = 1_000_000
@@ -177,8 +178,9 @@ def entry_states(cells: DataFrame, keys: list[str], cell: str, step: str, levels
         .groupBy(*keys, "_sup")
         .agg(F.sort_array(F.collect_list(cols)).alias("_run"))
     )
-    states = F.sequence(F.lit(0), F.size(F.element_at("_run", 1)["t"]) - 1)
-    fold = F.transform(states, lambda s: F.aggregate("_run", s.cast("int"), lambda acc, x: follow(acc, x["t"]).cast("int")))
+    states = lambda run: F.sequence(F.lit(0), F.size(F.element_at(run, 1)["t"]) - 1)
+    through = lambda run, s: F.aggregate(run, s.cast("int"), lambda acc, x: follow(acc, x["t"]).cast("int"))
+    fold = let(F.col("_run"), lambda run: F.transform(states(run), lambda s: through(run, s)))
     tops = entry_states(runs.select(*keys, "_sup", fold.alias("_step")), keys, "_sup", "_step", levels - 1, fanout)
     return unpack(runs.join(tops, [*keys, "_sup"]), F.col("entry"))
 

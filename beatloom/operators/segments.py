@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from beatloom import constants as C
-from beatloom.functions.arrays import cut_normalise_pad, pad_right, z_normalise, zeros
+from beatloom.functions.arrays import cut_normalise_pad, let, pad_right, z_normalise, zeros
 from beatloom.operators.ordered import CELL, entry_states, windowed
 
 # Landmark columns that bound each segment; TP ends at the next beat.
@@ -273,17 +273,19 @@ def spaced(points: DataFrame, keys: list[str], position: str, spacing: int, cell
     )
     start = F.col("_cell") * cell
 
-    def leaving(entry: Column) -> Column:
-        free = F.aggregate("_at", start + entry, lambda acc, p: F.when(p >= acc, p + spacing).otherwise(acc))
+    def leaving(at: Column, entry: Column) -> Column:
+        free = F.aggregate(at, start + entry, lambda acc, p: F.when(p >= acc, p + spacing).otherwise(acc))
         return F.greatest(free - start - cell, F.lit(0)).cast("int")
 
+    states = F.sequence(F.lit(0), F.lit(spacing - 1))
+
     before = F.lag("_cell").over(W.partitionBy(*keys).orderBy("_cell"))
     joined = F.coalesce(before == F.col("_cell") - 1, F.lit(False))
     steps = cells.select(*keys, "_cell", "_at", joined.alias("_joined")).select(
         *keys,
         "_cell",
         "_joined",
-        F.transform(F.sequence(F.lit(0), F.lit(spacing - 1)), lambda e: leaving(F.when(F.col("_joined"), e).otherwise(0))).alias("_step"),
+        let(F.col("_at"), lambda at: F.transform(states, lambda e: leaving(at, F.when(F.col("_joined"), e).otherwise(0)))).alias("_step"),
     )
     entries = entry_states(steps, keys, "_cell", "_step").join(steps.select(*keys, "_cell", "_joined"), [*keys, "_cell"])
     first = entries.select(*keys, "_cell", F.when(F.col("_joined"), F.col("entry")).otherwise(0).alias("entry"))

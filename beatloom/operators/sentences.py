@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from beatloom import constants as C
+from beatloom.functions.arrays import let
 from beatloom.functions.hashing import DRAW_RANGE, draw
 from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, running_total, with_halo
@@ -74,7 +75,8 @@ def sentence_length(seed: int, keys: list[str], pos: Column, remaining: Column,
 
 
 def _walk(seed: int, keys: list[str], lengths: list[int], count: Column, offset: Column, n: Column, entry: Column) -> Column:
-    """Array of (at, len): sentence starts among ``count`` beats at ``offset``."""
+    """Array of (at, len): sentence starts among ``count`` beats at ``offset``. The
+    arguments must be plain or bound values."""
     init = F.struct(entry.cast("int").alias("next"), F.array().cast("array<struct<at:int,len:int>>").alias("cuts"))
 
     def visit(acc: Column, i: Column) -> Column:
@@ -94,11 +96,16 @@ def _walk(seed: int, keys: list[str], lengths: list[int], count: Column, offset:
 def _emit(chunks: DataFrame, keys: list[str], seed: int, lengths: list[int]) -> DataFrame:
     """Explode (beats, count, offset, n, entry) into sentences. Each piece is cut
     before exploding, so the long array is not copied per sentence."""
-    cuts = _walk(seed, keys, lengths, F.col("count"), F.col("offset"), F.col("n"), F.col("entry"))
-    part = lambda c: F.struct(
-        (F.col("offset") + c["at"]).cast("bigint").alias("start_pos"), F.slice("beats", c["at"] + 1, c["len"]).alias("beats")
-    )
-    rows = chunks.withColumn("_cuts", cuts).select(*keys, F.explode(F.transform("_cuts", part)).alias("s"))
+
+    def parts(t: Column) -> Column:
+        part = lambda c: F.struct(
+            (t["offset"] + c["at"]).cast("bigint").alias("start_pos"), F.slice(t["beats"], c["at"] + 1, c["len"]).alias("beats")
+        )
+        return F.transform(_walk(seed, keys, lengths, t["count"], t["offset"], t["n"], t["entry"]), part)
+
+    # Bound together: inside a lambda a computed column would be worked out per step.
+    bound = F.struct("beats", "count", "offset", "n", "entry")
+    rows = chunks.select(*keys, F.explode(let(bound, parts)).alias("s"))
     first, last = F.element_at("s.beats", 1), F.element_at("s.beats", -1)
     return rows.select(
         *keys,
@@ -243,24 +250,27 @@ def masked(
         ),
     )
     quota = F.greatest(F.lit(1), F.ceil(F.size(tokens) * ratio_pct / F.lit(100))).cast("int")
-    chosen = F.slice(F.sort_array("_scored"), F.lit(1), quota)
+    chosen = F.slice(F.sort_array(scored), F.lit(1), quota)
     if strict:
         chosen = F.filter(chosen, lambda s: s["late"] == 0)
     bucket = lambda i: F.floor(row(i, "kind") * 10 / F.lit(DRAW_RANGE))
     fresh = lambda i: (F.lit(C.FIRST_TOKEN) + row(i, "token") % (vocab_size - C.FIRST_TOKEN)).cast("int")
-    swap = lambda t, i: F.when(
-        F.array_contains("masked_pos", i), F.when(bucket(i) < 8, F.lit(C.MASK)).when(bucket(i) < 9, fresh(i)).otherwise(t)
+    swap = lambda chosen_at, t, i: F.when(
+        F.array_contains(chosen_at, i), F.when(bucket(i) < 8, F.lit(C.MASK)).when(bucket(i) < 9, fresh(i)).otherwise(t)
     ).otherwise(t)
-    return (
-        df.withColumn("_scored", scored)
-        .withColumn("_chosen", chosen)
-        .withColumn("masked_pos", F.transform("_chosen", lambda s: s["at"]))
-        .withColumn("masked_tokens", F.transform("_chosen", lambda s: s["token"]))
-        .withColumn("masked_ids", F.transform(tokens, swap))
-        .drop("_scored", "_chosen")
-    )
+
+    # One bound value holds all three results: inside a lambda a computed column
+    # would be worked out again for every position.
+    def results(t: Column) -> Column:
+        at = F.transform(t["chosen"], lambda s: s["at"])
+        swapped = let(at, lambda a: F.transform(t["ids"], lambda x, i: swap(a, x, i)))
+        return F.struct(at.alias("masked_pos"), F.transform(t["chosen"], lambda s: s["token"]).alias("masked_tokens"), swapped.alias("masked_ids"))
+
+    bound = F.struct(chosen.alias("chosen"), F.col(tokens).alias("ids"))
+    return df.withColumn("_m", F.explode(F.transform(F.array(bound), results))).select(*df.columns, "_m.*")
 
 
 def blank_vectors(vectors: Column, positions: Column) -> Column:
     """Zero the vectors at masked positions."""
-    return F.transform(vectors, lambda v, i: F.when(F.array_contains(positions, i), F.transform(v, lambda x: F.lit(0.0))).otherwise(v))
+    blank = lambda at, v, i: F.when(F.array_contains(at, i), F.transform(v, lambda x: F.lit(0.0))).otherwise(v)
+    return let(F.struct(vectors.alias("v"), positions.alias("at")), lambda t: F.transform(t["v"], lambda v, i: blank(t["at"], v, i)))
