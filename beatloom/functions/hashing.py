@@ -23,8 +23,13 @@ def draw(seed: int | str, *keys) -> Column:
 
 
 def shard_of(key, n: int) -> Column:
-    """Full 128-bit MD5 of the key modulo ``n``, folded digit by digit in base 16."""
-    digits = F.split(F.md5(_c(key).cast("string")), "")
-    value = lambda d: F.conv(d, 16, 10).cast("bigint")
-    real = F.filter(digits, lambda d: d != "")
-    return F.aggregate(real, F.lit(0).cast("bigint"), lambda acc, d: (acc * 16 + value(d)) % n).cast("int")
+    """Full 128-bit MD5 of the key modulo ``n``, folded over its four 32-bit words.
+    With ``n`` below 2^31 no step leaves 63 bits."""
+    if not 0 < n < 2**31:
+        raise ValueError("the number of shards must be positive and below 2^31")
+    digest = F.md5(_c(key).cast("string"))
+    rest = F.lit(0).cast("bigint")
+    for word in range(4):
+        value = F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("bigint")
+        rest = (rest * (DRAW_RANGE % n) + value) % n
+    return rest.cast("int")

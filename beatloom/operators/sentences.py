@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from beatloom import constants as C
 from beatloom.functions.arrays import let
-from beatloom.functions.hashing import DRAW_RANGE, draw
+from beatloom.functions.hashing import DRAW_RANGE, draw, keyed_md5
 from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, running_total, with_halo
 
@@ -242,32 +242,39 @@ def masked(
     real tokens the quota runs over into separator and padding positions, as in
     usual practice; ``strict`` keeps to real tokens. A sentence is one bounded row,
     so this is array work without a shuffle."""
-    row = lambda x, name: draw(seed, F.lit(name), *keys, x)
-    scored = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            F.when((t != C.PAD) & (t != C.SEP), F.lit(0)).otherwise(F.lit(1)).alias("late"), row(i, "score").alias("score"), i.alias("at"), t.alias("token")
-        ),
-    )
-    quota = F.greatest(F.lit(1), F.ceil(F.size(tokens) * ratio_pct / F.lit(100))).cast("int")
-    chosen = F.slice(F.sort_array(scored), F.lit(1), quota)
-    if strict:
-        chosen = F.filter(chosen, lambda s: s["late"] == 0)
-    bucket = lambda i: F.floor(row(i, "kind") * 10 / F.lit(DRAW_RANGE))
-    fresh = lambda i: (F.lit(C.FIRST_TOKEN) + row(i, "token") % (vocab_size - C.FIRST_TOKEN)).cast("int")
-    swap = lambda chosen_at, t, i: F.when(
-        F.array_contains(chosen_at, i), F.when(bucket(i) < 8, F.lit(C.MASK)).when(bucket(i) < 9, fresh(i)).otherwise(t)
-    ).otherwise(t)
-
-    # One bound value holds all three results: inside a lambda a computed column
+    number = lambda digest, word: F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("bigint")
+    fresh = lambda digest: (F.lit(C.FIRST_TOKEN) + number(digest, 1) % (vocab_size - C.FIRST_TOKEN)).cast("int")
+    kind = lambda digest: F.floor(number(digest, 0) * 10 / F.lit(DRAW_RANGE))
+
+    # Each step is bound before the next uses it: inside a lambda a computed column
     # would be worked out again for every position.
-    def results(t: Column) -> Column:
-        at = F.transform(t["chosen"], lambda s: s["at"])
-        swapped = let(at, lambda a: F.transform(t["ids"], lambda x, i: swap(a, x, i)))
-        return F.struct(at.alias("masked_pos"), F.transform(t["chosen"], lambda s: s["token"]).alias("masked_tokens"), swapped.alias("masked_ids"))
+    def score_words(t: Column) -> Column:
+        # One digest of the sentence key yields four scores, compared as hex text.
+        blocks = F.sequence(F.lit(0), F.floor((F.size(t["ids"]) - 1) / 4).cast("int"))
+        words = F.transform(blocks, lambda b: F.md5(F.concat(t["base"], F.lit("|score|"), b.cast("string"))))
+        return F.struct(t["base"].alias("base"), t["ids"].alias("ids"), words.alias("words"))
+
+    def choose(t: Column) -> Column:
+        score = lambda i: F.substr(F.element_at(t["words"], F.floor(i / 4).cast("int") + 1), (i % 4) * 8 + 1, F.lit(8))
+        late = lambda x: F.when((x != C.PAD) & (x != C.SEP), F.lit(0)).otherwise(F.lit(1))
+        scored = F.transform(t["ids"], lambda x, i: F.struct(late(x).alias("late"), score(i).alias("score"), i.alias("at"), x.alias("token")))
+        quota = F.greatest(F.lit(1), F.ceil(F.size(t["ids"]) * ratio_pct / F.lit(100))).cast("int")
+        first = F.slice(F.sort_array(scored), F.lit(1), quota)
+        kept = F.filter(first, lambda s: s["late"] == 0) if strict else first
+        pick = lambda s: F.md5(F.concat(t["base"], F.lit("|pick|"), s["at"].cast("string")))
+        shown = lambda s, digest: F.when(kind(digest) < 8, F.lit(C.MASK)).when(kind(digest) < 9, fresh(digest)).otherwise(s["token"])
+        replaced = F.transform(kept, lambda s: F.struct(s["at"].alias("at"), s["token"].alias("token"), let(pick(s), lambda g: shown(s, g)).alias("shown")))
+        return F.struct(t["ids"].alias("ids"), replaced.alias("picks"))
 
-    bound = F.struct(chosen.alias("chosen"), F.col(tokens).alias("ids"))
-    return df.withColumn("_m", F.explode(F.transform(F.array(bound), results))).select(*df.columns, "_m.*")
+    def results(t: Column) -> Column:
+        field = lambda name: F.transform(t["picks"], lambda s: s[name])
+        pairs = F.map_from_arrays(field("at"), field("shown"))
+        swapped = let(pairs, lambda m: F.transform(t["ids"], lambda x, i: F.coalesce(F.try_element_at(m, i), x)))
+        return F.struct(field("at").alias("masked_pos"), field("token").alias("masked_tokens"), swapped.alias("masked_ids"))
+
+    bound = F.struct(keyed_md5(seed, *keys).alias("base"), F.col(tokens).alias("ids"))
+    steps = F.transform(F.transform(F.transform(F.array(bound), score_words), choose), results)
+    return df.withColumn("_m", F.explode(steps)).select(*df.columns, "_m.*")
 
 
 def blank_vectors(vectors: Column, positions: Column) -> Column:

@@ -167,10 +167,10 @@ _MASKED = {
         SELECT patient_id, study_id, start_pos, i AS spot, ids[i + 1] AS token FROM padded, LATERAL (SELECT unnest(range(41)) AS i) u""",
     "scored": f"""
         SELECT *, row_number() OVER (PARTITION BY patient_id, study_id, start_pos
-                     ORDER BY CASE WHEN token IN (0, 1) THEN 1 ELSE 0 END, {sql_draw(42, "'score'", *_K, 'spot')}, spot) AS r,
-               floor({sql_draw(42, "'kind'", *_K, 'spot')} * 10 / 4294967296) AS kind,
-               3 + {sql_draw(42, "'token'", *_K, 'spot')} % {VOCAB - 3} AS fresh
-        FROM cells""",
+                     ORDER BY CASE WHEN token IN (0, 1) THEN 1 ELSE 0 END, substr(md5(concat(base, '|score|', spot // 4)), CAST(spot % 4 * 8 + 1 AS INT), 8), spot) AS r,
+               floor(CAST('0x' || substr(md5(concat(base, '|pick|', spot)), 1, 8) AS BIGINT) * 10 / 4294967296) AS kind,
+               3 + CAST('0x' || substr(md5(concat(base, '|pick|', spot)), 9, 8) AS BIGINT) % {VOCAB - 3} AS fresh
+        FROM (SELECT *, md5(concat_ws('|', '42', patient_id, study_id, start_pos)) AS base FROM cells) c""",
     "swapped": """
         SELECT *, CASE WHEN r > 7 THEN token WHEN kind < 8 THEN 2 WHEN kind < 9 THEN fresh ELSE token END AS shown FROM scored""",
 }
