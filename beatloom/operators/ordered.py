@@ -21,10 +21,10 @@ CELL = 4096
 FANOUT = 1024
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Keys with more than ``rows`` rows. At most total/rows of them exist, so the
     result is small whatever the data."""
-    return df.groupBy(*keys).count().filter(F.col("count") > rows).select(*keys)
+    return df.groupBy(*keys).count().filter(F.col("count") > (HOT_ROWS if rows is None else rows)).select(*keys)
 
 
 def ranked(
@@ -33,7 +33,7 @@ def ranked(
     order: list,
     cells: list[Column],
     out: str = "pos",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Zero-based rank of each row within its key, in ``order``.
 

@@ -57,16 +57,16 @@ def reason_counts(records: DataFrame) -> DataFrame:
 # ---- landmarks to segments -------------------------------------------------
 
 
-def with_next_onset(landmarks: DataFrame, keys: list[str]) -> DataFrame:
+def with_next_onset(landmarks: DataFrame, keys: list[str], cell: int = CELL) -> DataFrame:
     """P onset of the following beat, and whether there is one."""
     add = lambda frame: {
         "next_p_on": F.max("p_on").over(frame(1, 1)),
         "_more": F.count(F.lit(1)).over(frame(1, 1)) > 0,
     }
-    return windowed(landmarks, keys, "beat_idx", 0, 1, add)
+    return windowed(landmarks, keys, "beat_idx", 0, 1, add, cell)
 
 
-def beat_segments(landmarks: DataFrame, keys: list[str], lengths: DataFrame) -> DataFrame:
+def beat_segments(landmarks: DataFrame, keys: list[str], lengths: DataFrame, cell: int = CELL) -> DataFrame:
     """One row per beat with its six segments and whether the beat is kept.
 
     Beats with a follower are considered. A segment with a missing or reversed bound
@@ -87,7 +87,7 @@ def beat_segments(landmarks: DataFrame, keys: list[str], lengths: DataFrame) ->
             F.when(missing, 0).otherwise(end - start).cast("int").alias("original_len"),
         )
 
-    beats = with_next_onset(landmarks, keys).filter("_more").join(lengths, keys)
+    beats = with_next_onset(landmarks, keys, cell).filter("_more").join(lengths, keys)
     beats = beats.withColumn("segments", F.array(*[segment(*b) for b in BOUNDS]))
     return beats.select(*keys, "beat_idx", "segments", F.forall("segments", lambda s: s["ok"]).alias("kept"))
 

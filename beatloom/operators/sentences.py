@@ -122,13 +122,13 @@ def _long_sentences(beats: DataFrame, keys: list[str], seed: int, lengths: list[
     depends on all earlier draws, but only through the overhang (0..7 beats) at a
     cell boundary, so cells are walked in parallel once their entry is known."""
     sizes = beats.groupBy(*keys, "_cell").agg(F.count("*").alias("_rows"))
-    bases = running_total(sizes, keys, "_cell", "_rows", "_base").select(*keys, "_cell", "_base", F.col("_base_all").alias("n"))
+    bases = running_total(sizes, keys, "_cell", "_rows", "_start").select(*keys, "_cell", "_start", F.col("_start_all").alias("n"))
     inside = W.partitionBy(*keys, "_cell").orderBy("beat_idx")
     placed_at = (
         beats.withColumn("_rn", F.row_number().over(inside))
         .join(bases, [*keys, "_cell"])
-        .withColumn("pos", F.col("_base") + F.col("_rn") - 1)
-        .drop("_cell", "_rn", "_base")
+        .withColumn("pos", F.col("_start") + F.col("_rn") - 1)
+        .drop("_cell", "_rn", "_start")
     )
     reach = max(lengths) - 1
     chunks = (

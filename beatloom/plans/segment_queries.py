@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from beatloom.functions import arrays as A
 from beatloom.functions import text as T
 from beatloom.operators import segments as S
-from beatloom.operators.ordered import ranked
+from beatloom.operators.ordered import CELL, ranked
 from beatloom.plans import fixtures as fx
 from beatloom.plans.fixtures import REC, with_fixtures
 from beatloom.sources.tables import table
@@ -63,12 +63,12 @@ def _lengths(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("patient_id")).agg(F.count("*").cast("int").alias("n_samples")).withColumn("study_id", F.lit(0))
 
 
-def _beats(spark: SparkSession, d: str) -> DataFrame:
-    return S.beat_segments(fx.landmarks(spark, d), REC, _lengths(spark, d))
+def _beats(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
+    return S.beat_segments(fx.landmarks(spark, d), REC, _lengths(spark, d), cell)
 
 
-def beat_bounds(spark: SparkSession, d: str) -> DataFrame:
-    rows = _beats(spark, d).select(*REC, "beat_idx", "kept", F.explode("segments").alias("s"))
+def beat_bounds(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
+    rows = _beats(spark, d, cell).select(*REC, "beat_idx", "kept", F.explode("segments").alias("s"))
     return rows.select(*REC, "beat_idx", "s.segment", "s.start", F.col("s.end").alias("stop"), "s.missing", "s.ok", "s.original_len", "kept")
 
 
@@ -114,13 +114,13 @@ def amplitude_range(spark: SparkSession, d: str) -> DataFrame:
     return r.select("lead_idx", F.round("lowest", 6).alias("lowest"), F.round("highest", 6).alias("highest"))
 
 
-def detrended(spark: SparkSession, d: str) -> DataFrame:
-    c = S.detrend(_signal(spark, d), [*REC, "lead_idx"])
+def detrended(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
+    c = S.detrend(_signal(spark, d), [*REC, "lead_idx"], cell=cell)
     return c.select(*REC, "sample_idx", F.round("clean", 6).alias("clean"))
 
 
-def peaks(spark: SparkSession, d: str) -> DataFrame:
-    return S.peaks(_signal(spark, d), REC, spacing=6)
+def peaks(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
+    return S.peaks(_signal(spark, d), REC, spacing=6, cell=cell)
 
 
 def peak_counts(spark: SparkSession, d: str) -> DataFrame:

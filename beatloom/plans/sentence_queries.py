@@ -32,13 +32,13 @@ def beat_join_report(spark: SparkSession, d: str) -> DataFrame:
     return beats.agg(F.count_if(complete).alias("complete"), F.count_if(~complete).alias("dropped"))
 
 
-def token_sentence_frame(spark: SparkSession, d: str) -> DataFrame:
-    return S.sentences(fx.assignments(spark, d), REC, OFFSETS, long_keys=fx.long_studies(spark, d, CELL))
+def token_sentence_frame(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
+    return S.sentences(fx.assignments(spark, d), REC, OFFSETS, cell=cell, long_keys=fx.long_studies(spark, d, cell))
 
 
-def token_sentences(spark: SparkSession, d: str) -> DataFrame:
+def token_sentences(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
     """Flagship: the fixed-width token sentences of every study."""
-    return token_sentence_frame(spark, d).select(
+    return token_sentence_frame(spark, d, cell).select(
         *REC, "start_pos", "num_beats", "beat_idx_start", "beat_idx_end", ints_text(S.sentence_tokens()).alias("tokens")
     )
 
