@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from beatloom.functions.hashing import keyed_md5
 
@@ -43,8 +44,21 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, ((x - c[best]) ** 2).sum(1)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def dense(column: pa.Array, *inner: int) -> np.ndarray:
+    """List column as a rows x ... array, taken from the Arrow values without going
+    through Python objects. ``inner`` gives all but the last nested size."""
+    rows = len(column)
+    values = column
+    while pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        values = values.flatten()
+    out = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    return out.reshape(rows, *inner, -1)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_PER_PRODUCT):
+            yield batch.slice(i, ROWS_PER_PRODUCT)
 
 
 def assign(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
@@ -52,37 +66,34 @@ def assign(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
     codes, c = codebook_matrix(codebook)
     schema = T.StructType([*vectors.schema.fields, T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            parts = [_nearest(_matrix(pdf[vec].iloc[i : i + ROWS_PER_PRODUCT]), c) for i in range(0, len(pdf), ROWS_PER_PRODUCT)]
-            yield pdf.assign(
-                code=codes[np.concatenate([p[0] for p in parts])].astype(np.int32), dist=np.concatenate([p[1] for p in parts])
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _batches(batches):
+            at, dist = _nearest(dense(part.column(vec)), c)
+            added = [pa.array(codes[at].astype(np.int32)), pa.array(dist)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "code", "dist"])
 
-    return vectors.mapInPandas(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
 def code_sums(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
     """(code, dim, n, total) of the vectors nearest to each code, in one pass: every
-    batch is reduced to at most one row per code before anything is shuffled."""
+    task reduces its vectors to one row per code before anything is shuffled."""
     codes, c = codebook_matrix(codebook)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            counts, sums = np.zeros(len(codes), dtype=np.int64), np.zeros_like(c)
-            for i in range(0, len(pdf), ROWS_PER_PRODUCT):
-                x = _matrix(pdf[vec].iloc[i : i + ROWS_PER_PRODUCT])
-                at, _ = _nearest(x, c)
-                counts += np.bincount(at, minlength=len(codes))
-                np.add.at(sums, at, x)
-            used = np.nonzero(counts)[0]
-            yield pd.DataFrame({"code": codes[used].astype(np.int32), "n": counts[used], "total": list(sums[used])})
-
-    partial = vectors.select(vec).mapInPandas(run, "code int, n bigint, total array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sums = np.zeros(len(codes), dtype=np.int64), np.zeros_like(c)
+        for part in _batches(batches):
+            x = dense(part.column(vec))
+            at, _ = _nearest(x, c)
+            counts += np.bincount(at, minlength=len(codes))
+            order = at.argsort(kind="stable")
+            present, first = np.unique(at[order], return_index=True)
+            sums[present] += np.add.reduceat(x[order], first)
+        used = np.nonzero(counts)[0]
+        columns = [pa.array(codes[used].astype(np.int32)), pa.array(counts[used]), pa.array(list(sums[used]), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["code", "n", "total"])
+
+    partial = vectors.select(vec).mapInArrow(run, "code int, n bigint, total array<double>")
     cells = partial.select("code", "n", F.posexplode("total").alias("dim", "x"))
     return cells.groupBy("code", "dim").agg(F.sum("n").alias("n"), F.sum("x").alias("total"))
 
@@ -100,45 +111,43 @@ def update(
     """One refitting round over (code, vec, ema_n, ema_w): decayed counts with Laplace
     smoothing, decayed sums, new vectors, and a fresh input for each dead code.
 
-    Everything past ``code_sums`` has codes x dimensions rows."""
+    Everything past ``code_sums`` has one row per code (and dimension)."""
     sums = code_sums(vectors, vec, state)
     size = state.select("code", "ema_n", F.posexplode("ema_w").alias("dim", "w"))
     keep, gain = F.lit(decay), F.lit(1 - decay)
     cells = size.join(sums, ["code", "dim"], "left").select(
         "code",
         "dim",
+        F.coalesce(F.col("n"), F.lit(0)).alias("seen"),
         (F.col("ema_n") * keep + gain * F.coalesce(F.col("n"), F.lit(0))).alias("raw_n"),
         (F.col("w") * keep + gain * F.coalesce(F.col("total"), F.lit(0.0))).alias("w"),
     )
     grouped = cells.groupBy("code").agg(
-        F.max("raw_n").alias("raw_n"), F.transform(F.sort_array(F.collect_list(F.struct("dim", "w"))), lambda x: x["w"]).alias("w")
+        F.max("seen").alias("seen"),
+        F.max("raw_n").alias("raw_n"),
+        F.transform(F.sort_array(F.collect_list(F.struct("dim", "w"))), lambda x: x["w"]).alias("w"),
     )
-    totals = grouped.agg(F.sum("raw_n").alias("all_n"), F.count("*").alias("k"))
-    batch = vectors.agg(F.count("*").alias("batch"))
-    # Both sides are single rows.
-    one = totals.withColumn("_j", F.lit(1)).join(batch.withColumn("_j", F.lit(1)), "_j")
-    rows = grouped.withColumn("_j", F.lit(1)).join(one, "_j").drop("_j")
-    smooth = (F.col("raw_n") + epsilon) * F.col("all_n") / (F.col("all_n") + F.col("k") * epsilon)
-    line = F.lit(0.5) * F.col("batch") / F.col("k")
-    judged = rows.select("code", "w", smooth.alias("n"), line.alias("line")).withColumn("dead", F.col("n") < F.col("line"))
-
-    # As many replacements as there are codes at most: inputs by lowest keyed hash.
-    k = state.count()
+    # Every vector is counted at one code, so the counts add up to the batch.
+    table = W.partitionBy(F.lit(0))
+    all_n, k = F.sum("raw_n").over(table), F.count("*").over(table)
+    smooth = (F.col("raw_n") + epsilon) * all_n / (all_n + k * epsilon)
+    line = F.lit(0.5) * F.sum("seen").over(table) / k
+    judged = grouped.select("code", "w", smooth.alias("n"), line.alias("line")).withColumn("dead", F.col("n") < F.col("line"))
+
+    # The j-th dead code takes the input with the j-th lowest keyed hash.
+    codes = state.count()
     h = keyed_md5(f"{seed}|{round_no}", key)
-    picks = vectors.select(F.col(vec).cast("array<double>").alias("fresh"), h.alias("h"), key).orderBy("h", key).limit(k)
-    packed = picks.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("h", key, "fresh"))), lambda x: x["fresh"]).alias("pool"))
-    dead = judged.filter("dead").groupBy().agg(F.sort_array(F.collect_list("code")).alias("order"))
-    help_ = packed.withColumn("_j", F.lit(1)).join(dead.withColumn("_j", F.lit(1)), "_j")
-    at = F.array_position("order", F.col("code")).cast("int")
-    fresh = F.when(F.col("dead"), F.element_at("pool", at))
+    picks = vectors.select(F.col(vec).cast("array<double>").alias("fresh"), h.alias("_h"), key).orderBy("_h", key).limit(codes)
+    pool = picks.select("fresh", F.row_number().over(table.orderBy("_h", key)).alias("_at"))
+    nth = F.when(F.col("dead"), F.count_if("dead").over(table.orderBy("code")))
     return (
-        judged.withColumn("_j", F.lit(1))
-        .join(help_, "_j")
+        judged.withColumn("_at", nth)
+        .join(pool, "_at", "left")
         .select(
             "code",
-            F.coalesce(fresh, F.transform("w", lambda x: x / F.col("n"))).alias("vec"),
+            F.coalesce("fresh", F.transform("w", lambda x: x / F.col("n"))).alias("vec"),
             F.when(F.col("dead"), F.col("line") * 0.5).otherwise(F.col("n")).alias("ema_n"),
-            F.coalesce(fresh, F.col("w")).alias("ema_w"),
+            F.coalesce("fresh", "w").alias("ema_w"),
             "dead",
         )
     )
@@ -172,12 +181,9 @@ def usage(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
 def usage_summary(per_code: DataFrame) -> DataFrame:
     """Used codes, share of the table, effective number of codes, and whether a long
     tail is used (ratio above 1.5)."""
-    total = per_code.agg(F.sum("n").alias("all_n")).withColumn("_j", F.lit(1))
     p = F.col("n") / F.greatest(F.col("all_n"), F.lit(1))
-    out = (
-        per_code.withColumn("_j", F.lit(1))
-        .join(total, "_j")
-        .agg(F.count("*").alias("codes"), F.count_if(F.col("n") > 0).alias("used"), F.exp(-F.sum(p * F.ln(p + 1e-10))).alias("perplexity"))
+    out = per_code.withColumn("all_n", F.sum("n").over(W.partitionBy(F.lit(0)))).agg(
+        F.count("*").alias("codes"), F.count_if(F.col("n") > 0).alias("used"), F.exp(-F.sum(p * F.ln(p + 1e-10))).alias("perplexity")
     )
     ratio = F.col("used") / F.col("perplexity")
     return out.withColumns({"used_pct": F.col("used") * 100 / F.col("codes"), "ratio": ratio, "skewed": (F.col("used") > 0) & (ratio > 1.5)})
@@ -187,12 +193,11 @@ def top_codes(per_code: DataFrame, k: int = 10) -> DataFrame:
     return per_code.orderBy(F.desc("n"), "code").limit(k)
 
 
-def quantisation_loss(assigned: DataFrame, dim: int, commitment: float = 0.25, ema: bool = True) -> DataFrame:
-    """Mean squared error to the chosen code times the commitment weight; without
-    moving averages the codebook term is added."""
+def quantisation_loss(assigned: DataFrame, dim: int, commitment: float = 0.25) -> DataFrame:
+    """Mean squared error to the chosen code, the loss with moving averages (commitment
+    weight times it), and the one without (the codebook term added)."""
     mse = F.sum("dist") / (F.count("*") * F.lit(dim))
-    factor = commitment if ema else commitment + 1.0
-    return assigned.agg(mse.alias("mse"), (mse * factor).alias("loss"))
+    return assigned.agg(mse.alias("mse"), (mse * commitment).alias("ema_loss"), (mse * (commitment + 1.0)).alias("plain_loss"))
 
 
 # ---- reconstruction --------------------------------------------------------

@@ -8,9 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from beatloom.operators.codebook import dense
+
 # The kernel lengths to choose from.
 KERNEL_LENGTHS = (7, 9, 11)
 ROWS_PER_BLOCK = 128
@@ -79,17 +82,20 @@ def encode(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
 
 def with_kernel_features(df: DataFrame, signal: str, kernels: list[Kernel], project: np.ndarray | None = None) -> DataFrame:
     """Add ``features`` computed from ``signal`` (channels x samples, equal shapes)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for i in range(0, len(pdf), ROWS_PER_BLOCK):
-                block = pdf[signal].iloc[i : i + ROWS_PER_BLOCK]
-                f = kernel_features(np.stack([np.stack(s) for s in block]).astype(np.float64), kernels)
-                found.extend(f if project is None else f @ project)
-            yield pdf.assign(features=[list(v) for v in found])
-
-    return encode(df, run)
+    channels = kernels[0].weights.shape[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_PER_BLOCK):
+                part = batch.slice(i, ROWS_PER_BLOCK)
+                f = kernel_features(dense(part.column(signal), channels), kernels)
+                f = f if project is None else f @ project
+                ends = np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)
+                added = pa.ListArray.from_arrays(pa.array(ends), pa.array(f.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, added], names=[*part.schema.names, "features"])
+
+    extra = T.StructField("features", T.ArrayType(T.DoubleType()))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, extra]))
 
 
 PROVIDERS: dict[str, Callable] = {"kernels": with_kernel_features}

@@ -28,12 +28,9 @@ def lookup_many(rows: DataFrame, key: str, codes_col: str, codes: DataFrame, cod
     the lists merge map-side before the shuffle on the key."""
     one = rows.select(key, F.posexplode_outer(codes_col).alias("_pos", code))
     small = checked(codes.select(code, value))
-    if small is None:
-        found = one.withColumn(value, F.lit(default))
-    else:
-        found = one.join(small, code, "left")
-        if default is not None:
-            found = found.withColumn(value, F.when(F.col("_pos").isNotNull(), F.coalesce(F.col(value), F.lit(default))))
+    found = one.withColumn(value, F.lit(None).cast("string")) if small is None else one.join(small, code, "left")
+    # A record without codes comes through with no position and stays empty.
+    found = found.withColumn(value, F.when(F.col("_pos").isNotNull(), F.coalesce(F.col(value), F.lit(default))))
     packed = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("_pos", value)))
     return found.groupBy(key).agg(F.transform(F.sort_array(packed), lambda x: x[value]).alias(f"{value}s"))
 

@@ -173,16 +173,17 @@ def entry_states(cells: DataFrame, keys: list[str], cell: str, step: str, levels
     if levels == 0:
         runs = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(cols)).alias("_run"))
         return unpack(runs, F.lit(0))
+    sup = f"_sup{levels}"
     runs = (
-        cells.withColumn("_sup", F.floor(F.col(cell) / fanout))
-        .groupBy(*keys, "_sup")
+        cells.withColumn(sup, F.floor(F.col(cell) / fanout))
+        .groupBy(*keys, sup)
         .agg(F.sort_array(F.collect_list(cols)).alias("_run"))
     )
     states = lambda run: F.sequence(F.lit(0), F.size(F.element_at(run, 1)["t"]) - 1)
     through = lambda run, s: F.aggregate(run, s.cast("int"), lambda acc, x: follow(acc, x["t"]).cast("int"))
     fold = let(F.col("_run"), lambda run: F.transform(states(run), lambda s: through(run, s)))
-    tops = entry_states(runs.select(*keys, "_sup", fold.alias("_step")), keys, "_sup", "_step", levels - 1, fanout)
-    return unpack(runs.join(tops, [*keys, "_sup"]), F.col("entry"))
+    tops = entry_states(runs.select(*keys, sup, fold.alias("_step")), keys, sup, "_step", levels - 1, fanout)
+    return unpack(runs.join(tops, [*keys, sup]), F.col("entry"))
 
 
 def cumulative(df: DataFrame, keys: list[str], order: str, cell: Column, value: str, out: str) -> DataFrame:

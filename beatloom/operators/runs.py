@@ -30,12 +30,11 @@ def trailing_mean(epochs: DataFrame, keys: list[str], metrics: list[str], window
 
 
 def _curves(epochs: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """The epochs of a run as one ordered array: a training run is bounded by its epoch
-    limit, and a longer one is refused rather than cut."""
-    n = F.count("*")
-    packed = F.sort_array(F.collect_list(F.struct("epoch", *cols)))
-    rows = epochs.groupBy(*keys).agg(packed.alias("curve"), n.alias("_n"))
-    return rows.filter(F.when(F.col("_n") > MAX_EPOCHS, F.raise_error(F.lit("a run exceeds the epoch limit"))).otherwise(True)).drop("_n")
+    """The epochs of a run as one ordered array. A training run is bounded by its epoch
+    limit: an epoch beyond it is refused, row by row, before anything is collected."""
+    fits = F.when(F.col("epoch") > MAX_EPOCHS, F.raise_error(F.lit("a run exceeds the epoch limit"))).otherwise(F.col("epoch"))
+    packed = F.sort_array(F.collect_list(F.struct(fits.alias("epoch"), *cols)))
+    return epochs.groupBy(*keys).agg(packed.alias("curve"))
 
 
 def _walk(curves: DataFrame, keys: list[str], best: dict[str, float], improved, update, patience: int) -> DataFrame:

@@ -148,10 +148,8 @@ def beat_tensors(waves: DataFrame, keys: list[str], leads: int = C.NUM_LEADS) ->
     """One row per beat that has every lead: the lead arrays in lead order.
     Zero-length waves count as absent."""
     real = waves.filter("original_len > 0")
-    rows = real.groupBy(*keys, "beat_idx").agg(
-        F.countDistinct("lead_idx").alias("_leads"), F.sort_array(F.collect_list(F.struct("lead_idx", "data", "original_len"))).alias("_all")
-    )
-    full = rows.filter(F.col("_leads") == leads)
+    rows = real.groupBy(*keys, "beat_idx").agg(F.sort_array(F.collect_list(F.struct("lead_idx", "data", "original_len"))).alias("_all"))
+    full = rows.filter(F.size(F.array_distinct(F.transform("_all", lambda x: x["lead_idx"]))) == leads)
     return full.select(
         *keys, "beat_idx", F.transform("_all", lambda x: x["data"]).alias("tensor"), F.element_at("_all", 1)["original_len"].alias("original_len")
     )
@@ -197,10 +195,10 @@ def histogram(df: DataFrame, key: str, value: str, bins: int = 10) -> DataFrame:
     bin includes its right edge. Equal values are merged before the join."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
     ends = counts.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0))
-    at = F.floor(F.try_divide((F.col(value) - F.col("lo")) * bins, width))
+    width = F.col("hi") - F.col("lo")
+    at = F.least(F.floor(F.try_divide((F.col(value) - F.col("lo")) * bins, width)), F.lit(bins - 1))
     # A single value sits in the middle bin, as numeric libraries widen such a range by half.
-    slot = F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(bins // 2)).cast("int")
+    slot = F.when(width > 0, at).otherwise(F.lit(bins // 2)).cast("int")
     return counts.join(ends, key).groupBy(key, slot.alias("bin")).agg(F.sum("_n").alias("n"))
 
 
@@ -221,14 +219,14 @@ def mean_wave(waves: DataFrame, key: str, data: str, cap: int = 5000, scale: flo
     when = lambda c, held: F.sum(F.when(F.col("held") == held, c).otherwise(0.0))
     sums = both.groupBy(key, "_m", "pos").agg(
         *[when(c, h).alias(n) for n, c, h in [
-            ("n0", F.lit(1.0), False), ("s0", F.col("x"), False), ("q0", F.col("x") * F.col("x"), False),
-            ("n1", F.lit(1.0), True), ("s1", F.col("x"), True), ("q1", F.col("x") * F.col("x"), True),
+            ("_n0", F.lit(1.0), False), ("_s0", F.col("x"), False), ("_q0", F.col("x") * F.col("x"), False),
+            ("_n1", F.lit(1.0), True), ("_s1", F.col("x"), True), ("_q1", F.col("x") * F.col("x"), True),
         ]]
     )
     upto = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    add = lambda a: F.col(f"{a}0") + F.sum(f"{a}1").over(upto)
-    at = sums.select(key, "_m", "pos", "n0", add("n").alias("n"), add("s").alias("s"), add("q").alias("q")).filter("n0 > 0")
-    mean, second = F.col("s") / F.col("n"), F.col("q") / F.col("n")
+    add = lambda a: (F.col(f"{a}0") + F.sum(f"{a}1").over(upto)).alias(a)
+    at = sums.select(key, "_m", "pos", "_n0", add("_n"), add("_s"), add("_q")).filter("_n0 > 0")
+    mean, second = F.col("_s") / F.col("_n"), F.col("_q") / F.col("_n")
     var = second - mean * mean
     # A variance that small against the second moment is rounding noise.
     std = F.when(var > second * 1e-12, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0)

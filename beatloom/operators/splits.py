@@ -111,8 +111,27 @@ def overlap(split: DataFrame, key: str) -> DataFrame:
 
 def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many distinct rows each side has alone."""
-    gap = lambda x, y, name: x.distinct().join(y.distinct(), x.columns, "left_anti").agg(F.count("*").alias(name))
-    return gap(a, b, "only_left").join(gap(b, a, "only_right").select("only_right"))
+    return sides({"left": a, "right": b}).agg(
+        F.count_if(F.col("left") & ~F.col("right")).alias("only_left"), F.count_if(F.col("right") & ~F.col("left")).alias("only_right")
+    )
+
+
+def sides(parts: dict[str, DataFrame]) -> DataFrame:
+    """Distinct rows of all parts with one flag per part, in one shuffle: unions,
+    intersections and differences are then filters on the flags."""
+    both = None
+    for name, df in parts.items():
+        part = df.withColumn("_from", F.lit(name))
+        both = part if both is None else both.union(part)
+    keys = [c for c in both.columns if c != "_from"]
+    return both.groupBy(*keys).agg(*[F.max(F.col("_from") == name).alias(name) for name in parts])
+
+
+def require_counts(rows: DataFrame, expected: dict[str, int]) -> None:
+    """Guard: the splits must have exactly the expected sizes."""
+    got = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    if got != expected:
+        raise ValueError(f"split sizes {got}, expected {expected}")
 
 
 def balance(rows: DataFrame, positive: Column) -> DataFrame:

@@ -46,10 +46,8 @@ def top_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quant_loss(spark: SparkSession, d: str) -> DataFrame:
-    a = B.quantisation_loss(_assigned(spark, d), DIM).select("mse", F.col("loss").alias("ema_loss"))
-    b = B.quantisation_loss(_assigned(spark, d), DIM, ema=False).select(F.col("loss").alias("plain_loss"))
-    both = a.withColumn("_j", F.lit(1)).join(b.withColumn("_j", F.lit(1)), "_j")
-    return both.select(*[F.round(c, 6).alias(c) for c in ("mse", "ema_loss", "plain_loss")])
+    loss = B.quantisation_loss(_assigned(spark, d), DIM)
+    return loss.select(*[F.round(c, 6).alias(c) for c in loss.columns])
 
 
 def code_update(spark: SparkSession, d: str) -> DataFrame:

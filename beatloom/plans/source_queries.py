@@ -13,7 +13,7 @@ from beatloom.operators import splits as X
 from beatloom.plans import fixtures as fx
 from beatloom.plans.fixtures import REC, with_fixtures
 from beatloom.plans.segment_queries import _text
-from beatloom.plans.sentence_queries import token_sentence_frame, vocab_offsets
+from beatloom.plans.sentence_queries import _SENT, token_sentence_frame, vocab_offsets
 from beatloom.session import shared_dir
 from beatloom.sources import signals as G
 from beatloom.sources.tables import table
@@ -66,9 +66,9 @@ def sentence_store(spark: SparkSession, d: str) -> DataFrame:
     """Sentences stored with their vocabulary and read back."""
     path = _folder(spark)
     G.sentence_set(token_sentence_frame(spark, d).withColumn("num_beats", F.col("num_beats").cast("tinyint")), path, vocab_offsets(spark, d))
-    back = spark.read.parquet(f"{path}/sentences").groupBy(F.col("num_beats").cast("int").alias("num_beats")).agg(F.count("*").alias("n"))
-    vocab = spark.read.parquet(f"{path}/vocab").agg(F.max("vocab_size").alias("vocab_size"))
-    return back.withColumn("_j", F.lit(1)).join(vocab.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    back = spark.read.parquet(f"{path}/sentences").groupBy(F.concat(F.lit("sentences of "), F.col("num_beats").cast("string")).alias("what"))
+    vocab = spark.read.parquet(f"{path}/vocab").agg(F.lit("vocabulary").alias("what"), F.max("vocab_size").alias("n"))
+    return back.agg(F.count("*").alias("n")).unionByName(vocab)
 
 
 def split_store(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,16 @@ QUERIES = {
             "SELECT concat('L', lead_idx) AS segment, count(*) AS n_rows, count(*) FILTER (WHERE original_len > 0) AS n_real FROM waves GROUP BY 1",
         ),
     ),
-    "sentence_store": (sentence_store, None),
+    "sentence_store": (
+        sentence_store,
+        with_fixtures(
+            ["assignments"],
+            """SELECT concat('sentences of ', num_beats) AS what, count(*) AS n FROM sent GROUP BY 1
+               UNION ALL SELECT 'vocabulary', CAST(3 + sum(k) AS BIGINT) FROM (SELECT max(token) + 1 AS k FROM assignments GROUP BY segment) x""",
+            recursive=True,
+            extra=_SENT,
+        ),
+    ),
     "split_store": (
         split_store,
         """SELECT split, split AS again, count(*) AS n

@@ -30,9 +30,10 @@ def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
     """Rows with their patient's split: the splits must share no patient."""
     split = X.patient_split(_patients(spark, d), "patient_id", THREE)
     rows = X.propagate(table(spark, d, "orders").withColumnRenamed("o_custkey", "patient_id"), split, "patient_id")
-    bad = X.overlap(rows, "patient_id").agg(F.count("*").alias("shared"))
-    per = rows.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("patient_id").alias("patients"))
-    return per.join(bad)
+    shared = X.overlap(rows, "patient_id").agg(F.lit("shared").alias("split"), F.lit(0).cast("bigint").alias("rows"), F.count("*").alias("patients"))
+    # Per patient first, so that the distinct count works on patients, not rows.
+    per = rows.groupBy("split", "patient_id").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum("n").alias("rows"), F.count("*").alias("patients"))
+    return per.unionByName(shared)
 
 
 def _strata(spark: SparkSession, d: str) -> DataFrame:
@@ -140,9 +141,13 @@ def id_sets(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id")
     labels = table(spark, d, "labels").select("doc_id")
     convs = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"))
-    gap = X.same_set(docs, labels)
-    union = convs.union(labels).distinct().agg(F.count("*").alias("union_ids"))
-    return gap.join(union).join(convs.agg(F.countDistinct("doc_id").alias("conv_ids")))
+    s = X.sides({"docs": docs, "labels": labels, "convs": convs})
+    return s.agg(
+        F.count_if(F.col("docs") & ~F.col("labels")).alias("only_left"),
+        F.count_if(F.col("labels") & ~F.col("docs")).alias("only_right"),
+        F.count_if(F.col("convs") | F.col("labels")).alias("union_ids"),
+        F.count_if("convs").alias("conv_ids"),
+    )
 
 
 _FLOORS = lambda a, b: f"CASE WHEN r < floor(n * {a}::DOUBLE) THEN 'train' WHEN r < floor(n * {a}::DOUBLE) + floor(n * {b}::DOUBLE) THEN 'val' ELSE 'test' END"
@@ -181,9 +186,8 @@ QUERIES = {
         split_disjoint,
         with_fixtures(
             [],
-            """SELECT split, count(*) AS "rows", count(DISTINCT patient_id) AS patients,
-                      (SELECT count(*) FROM (SELECT patient_id FROM split GROUP BY 1 HAVING count(DISTINCT split) > 1) z) AS shared
-               FROM orders JOIN split ON o_custkey = patient_id GROUP BY split""",
+            """SELECT split, count(*) AS "rows", count(DISTINCT patient_id) AS patients FROM orders JOIN split ON o_custkey = patient_id GROUP BY split
+               UNION ALL SELECT 'shared', 0, count(*) FROM (SELECT patient_id FROM split GROUP BY 1 HAVING count(DISTINCT split) > 1) z""",
             extra=_PAT,
         ),
     ),
