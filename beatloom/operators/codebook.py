@@ -215,12 +215,20 @@ def _error_sum(a: Column, b: Column, each) -> Column:
 
 
 def lead_mse(df: DataFrame, lead: str, x: str, y: str, length: str | None = None) -> DataFrame:
-    """Mean squared error per lead, over valid positions when ``length`` is given."""
+    """Mean squared error per lead, over valid positions when ``length`` is given, and
+    over all positions as ``mse_unmasked``, in one pass."""
+    square = lambda p, q: (p - q) * (p - q)
     a, b = _pairs(x, y, length)
-    sums = df.select(lead, _error_sum(a, b, lambda p, q: (p - q) * (p - q)).alias("e"), F.size(a).alias("n"))
-    return sums.groupBy(lead).agg(F.sum("e").alias("sq"), F.sum(F.col("n").cast("bigint")).alias("n")).withColumn(
-        "mse", F.col("sq") / F.greatest(F.col("n"), F.lit(1))
+    sums = df.select(
+        lead,
+        _error_sum(a, b, square).alias("e"),
+        F.size(a).cast("bigint").alias("n"),
+        _error_sum(F.col(x), F.col(y), square).alias("e_all"),
+        F.size(x).cast("bigint").alias("n_all"),
     )
+    total = sums.groupBy(lead).agg(F.sum("e").alias("sq"), F.sum("n").alias("n"), F.sum("e_all").alias("_sq"), F.sum("n_all").alias("_n"))
+    mean = lambda s, n: F.col(s) / F.greatest(F.col(n), F.lit(1))
+    return total.select(lead, "sq", "n", mean("sq", "n").alias("mse"), mean("_sq", "_n").alias("mse_unmasked"))
 
 
 def lead_mse_summary(per_lead: DataFrame, lead: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from beatloom import constants as C
-from beatloom.functions.arrays import cut_normalise_pad, let, pad_right, z_normalise, zeros
+from beatloom.functions.arrays import cut_normalise_pad, let, pad_right, z_normalise
+from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, windowed
+from beatloom.session import cut_lineage
 
 # Landmark columns that bound each segment; TP ends at the next beat.
 BOUNDS = [
@@ -98,29 +100,34 @@ def segment_rows(beats: DataFrame, keys: list[str], keep_missing: bool = False)
     return rows if keep_missing else rows.filter("original_len > 0")
 
 
-def cut_samples(segments: DataFrame, signal: DataFrame, keys: list[str], target: int = C.PAD_LENGTH) -> DataFrame:
+def cut_samples(
+    segments: DataFrame, signal: DataFrame, keys: list[str], target: int = C.PAD_LENGTH, blank_leads: list[int] | None = None
+) -> DataFrame:
     """Segment waveforms from a signal in long form (keys, lead_idx, sample_idx, value).
 
     Segments ask for their samples by an equi-join on (key, sample), so the work
     follows samples, not records, and a record of any length spreads. At most
-    ``target`` samples per segment are asked for, since truncation comes first."""
+    ``target`` samples per segment are asked for, since truncation comes first.
+    Missing waves are left out, or come as zeros for each of ``blank_leads``."""
     wanted = F.sequence("start", F.least(F.col("end"), F.col("start") + target) - 1)
-    asked = segments.filter("original_len > 0").select(*keys, "beat_idx", "segment", "original_len", F.explode(wanted).alias("sample_idx"))
+    rows, how = segments.filter("NOT missing"), "inner"
+    if blank_leads is not None:
+        # A position that no signal has, a different one per beat, finds nothing.
+        rows, how = segments, "left"
+        wanted = F.when(F.col("missing"), F.array(F.lit(-1) - F.col("beat_idx"))).otherwise(wanted)
+    asked = rows.select(*keys, "beat_idx", "segment", "original_len", F.explode(wanted).alias("sample_idx"))
+    values = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("sample_idx", "value")))
     cut = (
-        asked.join(signal, [*keys, "sample_idx"])
+        asked.join(signal, [*keys, "sample_idx"], how)
         .groupBy(*keys, "beat_idx", "segment", "lead_idx", "original_len")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("raw"))
+        .agg(F.transform(F.sort_array(values), lambda x: x["value"]).alias("raw"))
     )
+    if blank_leads is not None:
+        leads = F.when(F.col("lead_idx").isNull(), F.array(*[F.lit(x) for x in blank_leads])).otherwise(F.array("lead_idx"))
+        cut = cut.withColumn("lead_idx", F.explode(leads))
     return cut.select(*keys, "beat_idx", "segment", "lead_idx", "original_len", pad_right(z_normalise(F.col("raw")), target).alias("data"))
 
 
-def blank_segments(segments: DataFrame, keys: list[str], leads: list[int], target: int = C.PAD_LENGTH) -> DataFrame:
-    """All-zero waveforms of missing waves, one per lead."""
-    lead = F.explode(F.array(*[F.lit(x) for x in leads]))
-    gone = segments.filter("missing").select(*keys, "beat_idx", "segment", lead.alias("lead_idx"), "original_len")
-    return gone.withColumn("data", zeros(target))
-
-
 def cut_records(records: DataFrame, segments: DataFrame, keys: list[str], target: int = C.PAD_LENGTH) -> DataFrame:
     """The same from records stored as one array per lead (keys, lead_idx, samples).
 
@@ -155,6 +162,14 @@ def beat_tensors(waves: DataFrame, keys: list[str], leads: int = C.NUM_LEADS) ->
     )
 
 
+def nth_beat(waves: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """All leads of each record's n-th real beat, counted from 0. The rank limit is
+    applied on the map side, so a long record sends only its first beats."""
+    real = waves.filter("original_len > 0")
+    rank = F.dense_rank().over(W.partitionBy(*keys).orderBy("beat_idx"))
+    return real.withColumn("_r", rank).filter(F.col("_r") <= n + 1).filter(F.col("_r") == n + 1).drop("_r")
+
+
 def lead_subset(tensor: Column, leads: list[int], all_leads: int = C.NUM_LEADS) -> Column:
     """Lead II alone or every lead; anything else is an error."""
     if leads == [C.LEAD_II]:
@@ -208,29 +223,22 @@ def mean_wave(waves: DataFrame, key: str, data: str, cap: int = 5000, scale: flo
     A wave keeps its samples and holds its last value. The held part is not written
     out: waves that end before a position enter it as running sums over end
     positions, so the cost follows the samples, not waves times the longest."""
-    base = waves.select(key, F.slice(data, 1, cap).alias("_w")).filter(F.size("_w") > 0)
-    centre = base.groupBy(key).agg(F.sum(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x)).alias("_t"), F.sum(F.size("_w")).alias("_c"))
-    # Sums are taken around the key's own mean to keep the squares small.
-    shifted = base.join(centre.select(key, (F.col("_t") / F.col("_c")).alias("_m")), key)
-    moved = shifted.select(key, "_m", F.transform("_w", lambda x: x - F.col("_m")).alias("_w"))
-    head = moved.select(key, "_m", F.posexplode("_w").alias("pos", "x")).select(key, "_m", "pos", "x", F.lit(False).alias("held"))
-    tail = moved.select(key, "_m", F.size("_w").alias("pos"), F.element_at("_w", -1).alias("x"), F.lit(True).alias("held"))
-    both = head.unionByName(tail)
-    when = lambda c, held: F.sum(F.when(F.col("held") == held, c).otherwise(0.0))
-    sums = both.groupBy(key, "_m", "pos").agg(
-        *[when(c, h).alias(n) for n, c, h in [
-            ("_n0", F.lit(1.0), False), ("_s0", F.col("x"), False), ("_q0", F.col("x") * F.col("x"), False),
-            ("_n1", F.lit(1.0), True), ("_s1", F.col("x"), True), ("_q1", F.col("x") * F.col("x"), True),
-        ]]
-    )
+    wave = F.slice(data, 1, cap)
+    point = lambda pos, x, held: F.struct(pos.cast("int").alias("pos"), x.cast("double").alias("x"), F.lit(held).alias("held"))
+    samples = lambda w: F.transform(w, lambda x, i: point(i, x, False))
+    points = let(wave, lambda w: F.when(F.size(w) > 0, F.concat(samples(w), F.array(point(F.size(w), F.element_at(w, -1), True)))))
+    rows = waves.select(key, F.explode(points).alias("_p")).select(key, "_p.pos", "_p.x", "_p.held")
+    part = lambda held, c: F.sum(F.when(F.col("held") == held, c).otherwise(0.0))
+    terms = {"_n": F.lit(1.0), "_s": F.col("x"), "_q": F.col("x") * F.col("x")}
+    sums = rows.groupBy(key, "pos").agg(*[part(h, c).alias(f"{n}{int(h)}") for n, c in terms.items() for h in (False, True)])
     upto = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     add = lambda a: (F.col(f"{a}0") + F.sum(f"{a}1").over(upto)).alias(a)
-    at = sums.select(key, "_m", "pos", "_n0", add("_n"), add("_s"), add("_q")).filter("_n0 > 0")
+    at = sums.select(key, "pos", "_n0", *[add(n) for n in terms]).filter("_n0 > 0")
     mean, second = F.col("_s") / F.col("_n"), F.col("_q") / F.col("_n")
     var = second - mean * mean
     # A variance that small against the second moment is rounding noise.
     std = F.when(var > second * 1e-12, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0)
-    return at.select(key, "pos", ((mean + F.col("_m")) * scale).alias("mean"), (std * scale).alias("std"))
+    return at.select(key, "pos", (mean * scale).alias("mean"), (std * scale).alias("std"))
 
 
 def amplitude_range(waves: DataFrame, key: str, data: str) -> DataFrame:
@@ -257,48 +265,76 @@ def peak_candidates(signal: DataFrame, keys: list[str], reach: int = 2, height:
     return tops.join(level, keys).filter(F.col("value") > F.col("_level")).drop("_left", "_right", "_level")
 
 
-def spaced(points: DataFrame, keys: list[str], position: str, spacing: int, cell: int = CELL) -> DataFrame:
+def _keep_apart(at: Column, free: Column, spacing: int) -> Column:
+    """Scan sorted positions from ``free`` on, keeping those not blocked by the last kept."""
+    init = F.struct(free.cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("kept"))
+    take = lambda acc, p: F.struct((p + spacing).cast("bigint").alias("free"), F.concat(acc["kept"], F.array(p)).alias("kept"))
+    return F.aggregate(at, init, lambda acc, p: F.when(p >= acc["free"], take(acc, p)).otherwise(acc), lambda acc: acc["kept"])
+
+
+def spaced(
+    points: DataFrame, keys: list[str], position: str, spacing: int, cell: int = CELL, long_keys: DataFrame | None = None
+) -> DataFrame:
     """Scan forward and drop every point closer than ``spacing`` to the last kept one.
 
-    Across a cell boundary only the distance still blocked (0..spacing-1) matters,
-    so cells are scanned in parallel once their entry is known."""
+    Records within one cell are scanned as they are. ``long_keys`` may name the others;
+    by default they are the ones with a point at ``cell`` or later."""
     if spacing > cell:
         raise ValueError("spacing must not exceed the cell")
-    cells = (
-        points.withColumn("_cell", F.floor(F.col(position) / cell))
-        .groupBy(*keys, "_cell")
-        .agg(F.sort_array(F.collect_list(F.col(position).cast("bigint"))).alias("_at"))
-    )
+    if long_keys is None:
+        long_keys = points.filter(F.col(position) >= cell).select(*keys).distinct()
+    found = checked(long_keys)
+    usual = points if found is None else points.join(found, keys, "left_anti")
+    at = F.sort_array(F.collect_list(F.col(position).cast("bigint"))).alias("_at")
+    short = usual.groupBy(*keys).agg(at).select(*keys, F.explode(_keep_apart(F.col("_at"), F.lit(0), spacing)).alias(position))
+    if found is None:
+        return short
+    own = F.floor(F.col(position) / cell)
+    # Read by three steps below, so worked out once.
+    cells = cut_lineage(points.join(found, keys, "left_semi").withColumn("_cell", own).groupBy(*keys, "_cell").agg(at))
+    return short.unionByName(_spaced_cells(cells, keys, position, spacing, cell))
+
+
+def _spaced_cells(cells: DataFrame, keys: list[str], position: str, spacing: int, cell: int) -> DataFrame:
+    """Across a cell boundary only the distance still blocked (0..spacing-1) matters, so
+    cells are scanned in parallel once their entry is known."""
     start = F.col("_cell") * cell
 
     def leaving(at: Column, entry: Column) -> Column:
         free = F.aggregate(at, start + entry, lambda acc, p: F.when(p >= acc, p + spacing).otherwise(acc))
         return F.greatest(free - start - cell, F.lit(0)).cast("int")
 
-    states = F.sequence(F.lit(0), F.lit(spacing - 1))
-
+    # After an empty cell nothing is blocked any more.
     before = F.lag("_cell").over(W.partitionBy(*keys).orderBy("_cell"))
     joined = F.coalesce(before == F.col("_cell") - 1, F.lit(False))
-    steps = cells.select(*keys, "_cell", "_at", joined.alias("_joined")).select(
-        *keys,
-        "_cell",
-        "_joined",
-        let(F.col("_at"), lambda at: F.transform(states, lambda e: leaving(at, F.when(F.col("_joined"), e).otherwise(0)))).alias("_step"),
-    )
-    entries = entry_states(steps, keys, "_cell", "_step").join(steps.select(*keys, "_cell", "_joined"), [*keys, "_cell"])
-    first = entries.select(*keys, "_cell", F.when(F.col("_joined"), F.col("entry")).otherwise(0).alias("entry"))
-    init = F.struct((start + F.col("entry")).cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("kept"))
-    visit = lambda acc, p: F.when(
-        p >= acc["free"], F.struct((p + spacing).cast("bigint").alias("free"), F.concat(acc["kept"], F.array(p)).alias("kept"))
-    ).otherwise(acc)
-    kept = F.aggregate("_at", init, visit, lambda acc: acc["kept"])
+    states = F.sequence(F.lit(0), F.lit(spacing - 1))
+    ways = lambda at: F.transform(states, lambda e: leaving(at, F.when(F.col("_joined"), e).otherwise(0)))
+    steps = cells.withColumn("_joined", joined).select(*keys, "_cell", "_joined", let(F.col("_at"), ways).alias("_step"))
+    entries = entry_states(steps, keys, "_cell", "_step")
+    flags = cells.select(*keys, "_cell").withColumn("_joined", joined)
+    first = entries.join(flags, [*keys, "_cell"]).select(*keys, "_cell", F.when(F.col("_joined"), F.col("entry")).otherwise(0).alias("entry"))
+    kept = _keep_apart(F.col("_at"), start + F.col("entry"), spacing)
     return cells.join(first, [*keys, "_cell"]).select(*keys, F.explode(kept).alias(position))
 
 
-def peaks(signal: DataFrame, keys: list[str], reach: int = 2, height: float = 1.0, spacing: int = 3, cell: int = CELL) -> DataFrame:
+def peaks(
+    signal: DataFrame,
+    keys: list[str],
+    reach: int = 2,
+    height: float = 1.0,
+    spacing: int = 3,
+    cell: int = CELL,
+    long_keys: DataFrame | None = None,
+) -> DataFrame:
+    """Peak positions. ``long_keys`` may name the records longer than a cell; by default
+    a filter on the stored sample index finds them."""
     found = peak_candidates(signal, keys, reach, height, cell).select(*keys, F.col("sample_idx").cast("bigint").alias("sample_idx"))
     # Strict local maxima are always more than ``reach`` apart.
-    return found if spacing <= reach + 1 else spaced(found, keys, "sample_idx", spacing, cell)
+    if spacing <= reach + 1:
+        return found
+    if long_keys is None:
+        long_keys = signal.filter(F.col("sample_idx") >= cell).select(*keys).distinct()
+    return spaced(found, keys, "sample_idx", spacing, cell, long_keys)
 
 
 def enough_peaks(found: DataFrame, keys: list[str], least: int = C.MIN_PEAKS) -> DataFrame:

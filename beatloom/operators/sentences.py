@@ -12,6 +12,7 @@ from beatloom.functions.arrays import let
 from beatloom.functions.hashing import DRAW_RANGE, draw, keyed_md5
 from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, running_total, with_halo
+from beatloom.session import cut_lineage
 
 
 # ---- vocabulary ------------------------------------------------------------
@@ -192,7 +193,8 @@ def sentences(
     if found is None:
         return out
     rest = placed(assignments.join(found, keys, "left_semi"), keys, cell)
-    beats = encoded(join_beats(rest, keys, segments), vocab_offsets)
+    # Read by four steps below, so worked out once.
+    beats = cut_lineage(encoded(join_beats(rest, keys, segments), vocab_offsets))
     return out.unionByName(_long_sentences(beats, keys, seed, lengths, cell))
 
 

@@ -71,9 +71,8 @@ def _recon(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recon_mse_by_lead(spark: SparkSession, d: str) -> DataFrame:
-    masked = B.lead_mse(_recon(spark, d), "lead_idx", "data", "recon", "original_len").select("lead_idx", "n", F.round("mse", 6).alias("mse"))
-    plain = B.lead_mse(_recon(spark, d), "lead_idx", "data", "recon").select("lead_idx", F.round("mse", 6).alias("mse_unmasked"))
-    return masked.join(plain, "lead_idx")
+    m = B.lead_mse(_recon(spark, d), "lead_idx", "data", "recon", "original_len")
+    return m.select("lead_idx", "n", F.round("mse", 6).alias("mse"), F.round("mse_unmasked", 6).alias("mse_unmasked"))
 
 
 def recon_mse_summary(spark: SparkSession, d: str) -> DataFrame:

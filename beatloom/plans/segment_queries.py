@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from beatloom.functions import arrays as A
 from beatloom.functions import text as T
 from beatloom.operators import segments as S
-from beatloom.operators.ordered import CELL, ranked
+from beatloom.operators.ordered import CELL, hot_keys
 from beatloom.plans import fixtures as fx
 from beatloom.plans.fixtures import REC, with_fixtures
 from beatloom.sources.tables import table
@@ -83,8 +83,7 @@ def _signal(spark: SparkSession, d: str) -> DataFrame:
 def segment_waveforms(spark: SparkSession, d: str) -> DataFrame:
     """Normalised, padded segments; missing waves stay as zeros."""
     segs = S.segment_rows(_beats(spark, d), REC, keep_missing=True)
-    cut = S.cut_samples(segs, _signal(spark, d), REC, target=8)
-    rows = cut.unionByName(S.blank_segments(segs, REC, [1], target=8))
+    rows = S.cut_samples(segs, _signal(spark, d), REC, target=8, blank_leads=[1])
     return rows.select(*REC, "beat_idx", "segment", "original_len", A.as_text(F.col("data"), 10_000).alias("data"))
 
 
@@ -120,7 +119,9 @@ def detrended(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
 
 
 def peaks(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
-    return S.peaks(_signal(spark, d), REC, spacing=6, cell=cell)
+    # Users with more events than a cell, from the key column alone.
+    longer = hot_keys(table(spark, d, "events").select(F.col("user_id").alias("patient_id"), F.lit(0).alias("study_id")), REC, cell)
+    return S.peaks(_signal(spark, d), REC, spacing=6, cell=cell, long_keys=longer)
 
 
 def peak_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -129,10 +130,7 @@ def peak_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def beat_block(spark: SparkSession, d: str) -> DataFrame:
     """All leads of each record's third real beat, cut to 6 samples."""
-    w = fx.waves(spark, d).filter("original_len > 0")
-    beats = w.select(*REC, "beat_idx").distinct()
-    third = ranked(beats, REC, ["beat_idx"], [F.floor(F.col("beat_idx") / 4096)]).filter("pos = 2").drop("pos")
-    return w.join(third, [*REC, "beat_idx"]).select(*REC, "beat_idx", "lead_idx", A.as_text(F.slice("data", 1, 6)).alias("data"))
+    return S.nth_beat(fx.waves(spark, d), REC, 2).select(*REC, "beat_idx", "lead_idx", A.as_text(F.slice("data", 1, 6)).alias("data"))
 
 
 def boundary_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "beatloom", memory: str = "8g") -> SparkSession:
@@ -40,3 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
         made = tempfile.mkdtemp(prefix="beatloom-")
         os.environ["BEATLOOM_SHARED_DIR"] = made
     return made
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: a frame that several later steps read
+    is computed once, and the copy outlives the executors that made it."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -84,12 +84,14 @@ def test_cutting(spark, frames, target, cell):
     lengths = sig.groupBy(*REC).agg(F.count("*").cast("int").alias("n_samples"))
     beats = S.beat_segments(lm, REC, lengths, cell=cell)
     segs = S.segment_rows(beats, REC, keep_missing=True)
-    long_form = S.cut_samples(segs, sig, REC, target)
+    long_form = S.cut_samples(segs, sig, REC, target, blank_leads=[1])
     arrays = sig.groupBy(*REC, "lead_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("samples"))
-    for cut_rows in (long_form, S.cut_records(arrays, segs, REC, target)):
-        rows = cut_rows.unionByName(S.blank_segments(segs, REC, [1], target)).collect()
+    everything = {(n, i, s): w for n, b in RECORDS.items() for i, found in expected(b, target)[0].items() for s, w in found.items()}
+    found = {k: w for k, w in everything.items() if w[1]}
+    assert len(found) < len(everything)
+    for cut_rows, want in ((long_form, everything), (S.cut_samples(segs, sig, REC, target), found), (S.cut_records(arrays, segs, REC, target), found)):
+        rows = cut_rows.collect()
         got = {(r["patient_id"], r["beat_idx"], r["segment"]): (r["data"], r["original_len"]) for r in rows}
-        want = {(n, i, s): w for n, b in RECORDS.items() for i, found in expected(b, target)[0].items() for s, w in found.items()}
         assert got.keys() == want.keys() and len(rows) == len(want)
         for k, (data, length) in want.items():
             assert got[k][1] == length and np.allclose(got[k][0], data), k
@@ -133,6 +135,9 @@ def test_mean_wave(spark):
     assert len(rows) == 10 and rows[("Q", 1)] == (2000.0, 0.0)
     for i in range(8):
         assert np.allclose(rows[("P", i)], (held[:, i].mean() * 1000, held[:, i].std() * 1000))
+    # Values far from zero keep their deviation.
+    far = spark.createDataFrame([("R", [1e3 + x for x in w]) for w in waves], "s string, w array<double>")
+    assert np.allclose([r["std"] for r in S.mean_wave(far, "s", "w").orderBy("pos").collect()], held.std(0) * 1000)
     capped = S.mean_wave(df, "s", "w", cap=2).filter("s = 'P'").collect()
     assert sorted(r["pos"] for r in capped) == [0, 1]
 
