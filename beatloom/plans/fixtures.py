@@ -17,8 +17,9 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(
         F.col("user_id").alias("patient_id"), F.lit(0).alias("study_id"), "event_id", "ts", "event_type", "value"
     )
-    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-    out = ranked(e, REC, ["ts", "event_id"], [hour], out="sample_idx")
+    # Only users with very many events are split by this.
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    out = ranked(e, REC, ["ts", "event_id"], [second], out="sample_idx")
     return out.select(*REC, "event_id", F.col("sample_idx").cast("int"), "event_type", "value")
 
 

@@ -110,11 +110,15 @@ def report_store(spark: SparkSession, d: str) -> DataFrame:
     return runs.select("run_tag", "seed", "counts.tp", "counts.fp", "counts.fn", "counts.tn", F.round("metrics.accuracy", 6).alias("accuracy"))
 
 
-def file_list(spark: SparkSession, d: str) -> DataFrame:
-    """The given tables as input files in keyed-hash order, first five."""
-    from beatloom.functions.text import path_stem
-
-    return G.list_files(spark, d, ".parquet", limit=5).select(path_stem(F.col("path")).alias("name"))
+def first_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stored by source; the first five source shards in shuffled order are
+    picked from the file names, then read."""
+    path = f"{_folder(spark)}/documents"
+    table(spark, d, "documents").select("doc_id", "n_chars", "source").write.partitionBy("source").parquet(path)
+    shard = lambda p: F.regexp_extract(p, r"/source=([^/]+)/", 1)
+    picked = G.shuffled_shards(G.list_files(spark, path, ".parquet"), shard, limit=5)
+    rows = X.members(spark.read.parquet(path), picked.withColumnRenamed("shard", "source"), "source")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 def signal_csv(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +142,6 @@ _WIDE = {
     "stacked": """
         SELECT vec_id, n, list_transform([a, b, c], lambda l: list_transform(range(12), lambda i: CASE WHEN i < len(l) THEN l[i + 1] ELSE 0 END)) AS leads FROM wide""",
 }
-_FILES = "'benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier'"
 
 QUERIES = {
     "wide_to_long": (
@@ -205,9 +208,11 @@ QUERIES = {
                FROM (SELECT 0 AS class, p0 AS prob, y0 FROM predictions UNION ALL SELECT 1, p1, y0 FROM predictions UNION ALL SELECT 2, p2, y0 FROM predictions) x GROUP BY class""",
         ),
     ),
-    "file_list": (
-        file_list,
-        f"""SELECT name FROM (SELECT unnest(string_split({_FILES}, ' ')) AS name) f ORDER BY md5(concat_ws('|', '42', name)), name LIMIT 5""",
+    "first_shards": (
+        first_shards,
+        """SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents
+           WHERE source IN (SELECT source FROM (SELECT DISTINCT source FROM documents) s ORDER BY md5(concat_ws('|', '42', source)), source LIMIT 5)
+           GROUP BY source""",
     ),
     "signal_csv": (
         signal_csv,

@@ -20,13 +20,16 @@ SENTENCE_SCHEMA = (
 ASSIGNMENT_SCHEMA = "patient_id string, study_id string, beat_idx int, token_index smallint, segment string, codebook_size int"
 
 
-def list_files(spark: SparkSession, folder: str, suffix: str, seed: int = C.SEED, limit: int | None = None) -> DataFrame:
-    """Files with a suffix in keyed-hash order, optionally the first ``limit``. Only
-    names are read, not contents."""
+def list_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(path, length) of the files with a suffix, at any depth. Contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
-    files = found.select("path", "length")
-    ordered = files.orderBy(keyed_md5(seed, path_stem(F.col("path"))), "path")
-    return ordered if limit is None else ordered.limit(limit)
+    return found.select("path", "length")
+
+
+def shuffled_shards(files: DataFrame, shard: Callable[[Column], Column] = path_stem, seed: int = C.SEED, limit: int | None = None) -> DataFrame:
+    """Distinct shards of a file list in keyed-hash order, optionally the first ``limit``."""
+    shards = files.select(shard(F.col("path")).alias("shard")).distinct().orderBy(keyed_md5(seed, "shard"), "shard")
+    return shards if limit is None else shards.limit(limit)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
