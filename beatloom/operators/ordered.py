@@ -17,7 +17,7 @@ from beatloom.functions.arrays import let
 from beatloom.functions.hashing import keyed_md5
 
 HOT_ROWS = 1_000_000
-CELL = 4096
+CELL = 1024
 FANOUT = 1024
 
 
@@ -93,6 +93,13 @@ def hash_ranked(ids: DataFrame, key: str, seed: int | str, by: list[str] | None
     )
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Few small rows that each stand for much work: give them all tasks. Adaptive
+    execution would merge such partitions by size; a stated number is kept."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys)
+
+
 def with_halo(df: DataFrame, position: str, before: int, after: int, cell: int = CELL) -> DataFrame:
     """Assign rows to cells of ``cell`` positions and copy the rows a neighbouring
     cell needs: ``before`` positions ahead of its start, ``after`` past its end.

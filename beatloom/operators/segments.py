@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from beatloom import constants as C
 from beatloom.functions.arrays import cut_normalise_pad, let, pad_right, z_normalise
 from beatloom.operators.broadcasts import checked
-from beatloom.operators.ordered import CELL, entry_states, windowed
+from beatloom.operators.ordered import CELL, entry_states, spread, windowed
 from beatloom.session import cut_lineage
 
 # Landmark columns that bound each segment; TP ends at the next beat.
@@ -309,10 +309,11 @@ def _spaced_cells(cells: DataFrame, keys: list[str], position: str, spacing: int
     joined = F.coalesce(before == F.col("_cell") - 1, F.lit(False))
     states = F.sequence(F.lit(0), F.lit(spacing - 1))
     ways = lambda at: F.transform(states, lambda e: leaving(at, F.when(F.col("_joined"), e).otherwise(0)))
-    steps = cells.withColumn("_joined", joined).select(*keys, "_cell", "_joined", let(F.col("_at"), ways).alias("_step"))
+    flagged = spread(cells.withColumn("_joined", joined), [*keys, "_cell"])
+    # Small, costly to make, and read by every level of the fold.
+    steps = cut_lineage(flagged.select(*keys, "_cell", "_joined", let(F.col("_at"), ways).alias("_step")))
     entries = entry_states(steps, keys, "_cell", "_step")
-    flags = cells.select(*keys, "_cell").withColumn("_joined", joined)
-    first = entries.join(flags, [*keys, "_cell"]).select(*keys, "_cell", F.when(F.col("_joined"), F.col("entry")).otherwise(0).alias("entry"))
+    first = entries.join(steps.select(*keys, "_cell", "_joined"), [*keys, "_cell"]).select(*keys, "_cell", F.when(F.col("_joined"), F.col("entry")).otherwise(0).alias("entry"))
     kept = _keep_apart(F.col("_at"), start + F.col("entry"), spacing)
     return cells.join(first, [*keys, "_cell"]).select(*keys, F.explode(kept).alias(position))
 

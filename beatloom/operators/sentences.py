@@ -11,7 +11,7 @@ from beatloom import constants as C
 from beatloom.functions.arrays import let
 from beatloom.functions.hashing import DRAW_RANGE, draw, keyed_md5
 from beatloom.operators.broadcasts import checked
-from beatloom.operators.ordered import CELL, entry_states, running_total, with_halo
+from beatloom.operators.ordered import CELL, entry_states, running_total, spread, with_halo
 from beatloom.session import cut_lineage
 
 
@@ -68,11 +68,13 @@ def encoded(beats: DataFrame, vocab_offsets: dict[str, int]) -> DataFrame:
 
 
 def sentence_length(seed: int, keys: list[str], pos: Column, remaining: Column, lengths: list[int]) -> Column:
-    """Keyed draw among the lengths that still fit."""
+    """Keyed draw among the lengths that still fit (``lengths`` in ascending order,
+    starting with 1)."""
     choices = F.array(*[F.lit(n) for n in lengths])
-    fitting = F.size(F.filter(choices, lambda n: n <= remaining))
-    pick = (draw(seed, *keys, pos) % F.greatest(fitting, F.lit(1))).cast("int") + 1
-    return F.element_at(choices, pick)
+    fitting = F.lit(1)
+    for i, n in enumerate(lengths[1:], 2):
+        fitting = F.when(remaining >= n, F.lit(i)).otherwise(fitting)
+    return F.element_at(choices, (draw(seed, *keys, pos) % fitting).cast("int") + 1)
 
 
 def _walk(seed: int, keys: list[str], lengths: list[int], count: Column, offset: Column, n: Column, entry: Column) -> Column:
@@ -143,12 +145,9 @@ def _long_sentences(beats: DataFrame, keys: list[str], seed: int, lengths: list[
         .filter("count > 0")
         .withColumn("offset", F.col("_cell") * cell)
     )
-    heads = (
-        placed_at.withColumn("_cell", F.floor(F.col("pos") / cell))
-        .groupBy(*keys, "_cell")
-        .agg(F.count("*").cast("int").alias("count"), F.max("n").alias("n"))
-        .withColumn("offset", F.col("_cell") * cell)
-    )
+    heads = placed_at.withColumn("_cell", F.floor(F.col("pos") / cell)).groupBy(*keys, "_cell")
+    heads = heads.agg(F.count("*").cast("int").alias("count"), F.max("n").alias("n")).withColumn("offset", F.col("_cell") * cell)
+    heads = spread(heads, [*keys, "_cell"])
 
     def leaving(entry: Column) -> Column:
         # The overhang is where the last sentence of the cell ends.
@@ -158,7 +157,8 @@ def _long_sentences(beats: DataFrame, keys: list[str], seed: int, lengths: list[
         last = F.aggregate(F.sequence(F.lit(0), F.col("count") - 1), entry.cast("int"), step)
         return (last - F.col("count")).cast("int")
 
-    steps = heads.select(*keys, "_cell", F.transform(F.sequence(F.lit(0), F.lit(reach)), leaving).alias("_step"))
+    # Small, costly to make, and read by every level of the fold.
+    steps = cut_lineage(heads.select(*keys, "_cell", F.transform(F.sequence(F.lit(0), F.lit(reach)), leaving).alias("_step")))
     entries = entry_states(steps, keys, "_cell", "_step")
     return _emit(chunks.join(entries, [*keys, "_cell"]), keys, seed, lengths)
 
