@@ -19,7 +19,7 @@ from beatloom.llm.common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, PASSES = 1.5, 2
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 
 
 def draw():

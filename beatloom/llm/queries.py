@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import mixing, token_output, topk, warc
+from beatloom.llm import decontamination, jaccard, mixing, token_output, topk, warc
 from beatloom.sources.tables import table
 
 
@@ -15,6 +15,72 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = decontamination.judged(docs, table(spark, d, "benchmark"))
+    return rows.select(
+        "doc_id",
+        F.col("_words").alias("n_words"),
+        decontamination.n_hit().alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        decontamination.items_sha256().alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
+_WORDS3 = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3_SQL = f"""
+WITH i AS (
+  SELECT DISTINCT item_id, {_WORDS3} AS w FROM benchmark WHERE text IS NOT NULL
+), iw AS (
+  SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda p: array_to_string(w[p:p + least(len(w), 13) - 1], ' '))) AS win
+  FROM i WHERE len(w) > 0
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce({_WORDS3}, []) AS w FROM documents
+), dw AS (
+  SELECT row, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) AS win
+  FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n
+), hit AS (
+  SELECT row, p, n, item_id FROM dw JOIN iw USING (n, win)
+), pos AS (
+  SELECT row, count(DISTINCT q) AS n_hit FROM (SELECT row, unnest(range(p, p + n)) AS q FROM hit) GROUP BY row
+), items AS (
+  SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (row) LEFT JOIN items USING (row)
+"""
+
+
+def op6_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.groups(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda p: array_to_string(w[p:p + 3], ' ')) END) AS g FROM d
+), e AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least AS (
+  SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(b, s.doc_id)) AS component_id
+FROM s LEFT JOIN least USING (doc_id)
+"""
+
+
 def op5_top_k(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", topk.whole_components(F.col("embedding"), 64).alias("vector"))
     queries = rows.filter(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id")
@@ -109,6 +175,8 @@ FROM h JOIN w USING (h)
 """
 
 QUERIES: dict = {
+    "op3_decontamination": (op3_decontamination, OP3_SQL),
+    "op6_jaccard": (op6_jaccard, OP6_SQL),
     "op5_top_k": (op5_top_k, OP5_SQL),
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_token_output": (op8_token_output, None),
