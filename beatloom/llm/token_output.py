@@ -21,7 +21,7 @@ import hashlib
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,35 +36,72 @@ HEAD, ENTRY = "<6s16sIQ", np.dtype([("known", "u1"), ("doc_id", "<i8"), ("tokens
 END_ID = 1
 SEGMENT_BYTES = 4 << 20
 FILE_BYTES = 48 << 20  # text bytes per file: a file is read whole
-CACHE_WORDS = 250_000
+CACHE_WORDS = 800_000
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1_000, 32 << 10, 64 << 10
 
 
 class Encoder:
-    """Ids of a text by the tokenizers library. The pre-tokenizer never joins what a blank or
-    line feed parts, so each distinct blank-delimited word is encoded once and remembered, up
-    to ``CACHE_WORDS`` words at a time."""
+    """Ids of texts by the tokenizers library. The pre-tokenizer never joins what a blank or
+    line feed parts, so each distinct blank-delimited word is encoded once and remembered. Up to
+    ``CACHE_WORDS`` words stay for the life of the Python worker; later ones last for their batch of
+    texts. New words are encoded together, with a mark of one id between them; words that
+    hold the mark go alone."""
+
+    MARK, TOGETHER = "\u2605", 256
+    _made: dict[str, Encoder] = {}
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        mark = self._ids([self.MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
+    @classmethod
+    def of(cls, vocabulary: str) -> Encoder:
+        """The worker's encoder of this vocabulary."""
+        if vocabulary not in cls._made:
+            cls._made[vocabulary] = cls(vocabulary)
+        return cls._made[vocabulary]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        alone = [w for w in words if self.mark is None or self.MARK in w]
+        yield from zip(alone, (ids.tobytes() for ids in self._ids(alone)))
+        rest = words if not alone else [w for w in words if not (self.mark is None or self.MARK in w)]
+        groups = [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
+        between = f" {self.MARK} "
+        for group, ids in zip(groups, self._ids([between.join(g) for g in groups])):
+            data, cuts = ids.tobytes(), [-4, *(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
+            for word, a, b in zip(group, cuts, cuts[1:]):
+                yield word, data[a + 4 : b]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        new = set(words) - known.keys()
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set(words)
-        if new:
-            new = list(new)
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        new = [w for w in set().union(*split) if w not in known]
+        room = max(0, CACHE_WORDS - len(known))
+        known.update(self._encoded(new[:room]))
+        if len(new) <= room:
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        brief = dict(self._encoded(new[room:]))
+        return [b"".join([known[w] if w in known else brief[w] for w in words]) for words in split]
+
+    def in_turn(self, texts: Iterable[str], most: int = 1 << 20) -> Iterator[bytes]:
+        """As a call, over texts of about ``most`` characters at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= most:
+                yield from self(held)
+                held, size = [], 0
+        yield from self(held)
 
 
 def _end(end_id: int | None) -> bytes:
@@ -76,9 +113,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str, total: int, sample_docs:
     many), at most ``SAMPLE_BYTES`` of each. It decides sizes only, never what is read back."""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = Encoder.of(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([encode(t or "")[:SAMPLE_BYTES] for t in batch.column("text").to_pylist()], pa.binary())})
+            texts = (t.as_py() or "" for t in batch.column("text"))
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([x[:SAMPLE_BYTES] for x in encode.in_turn(texts)], pa.binary())})
 
     rows = bounded_sample(docs.select("doc_id", "text"), "doc_id", sample_docs, total).select("text").mapInArrow(ids, "ids binary")
     samples = sorted(r.ids for r in rows.collect() if r.ids)
@@ -104,7 +142,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
     tail = _end(end_id)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = Encoder.of(vocabulary)
         shrink = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_content_size=True)
         entries: list[tuple[int, int, int, int]] = []
         frames: list[bytes] = []
@@ -118,8 +156,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
             return pa.RecordBatch.from_pydict({"value": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py()) + tail
+            texts = (t.as_py() for t in batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.in_turn(texts)):
+                ids += tail
                 frames.append(shrink.compress(ids))
                 held += len(frames[-1])
                 entries.append((doc_id is not None, doc_id or 0, len(ids) // 4, held))
