@@ -26,10 +26,11 @@ from beatloom.llm.common import Words, row_chunks, utf8_buffers
 from beatloom.llm.labelled import SAMPLE_ROWS, training_rows
 
 BUCKETS = 1 << 18
-FEATURES = 1_000
+FEATURES = 2_000
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word
 LEAST_DOCS = 4
-RIDGE, SWAP_PENALTY = 0.002, 1.0
+RIDGE, SWAP_PENALTY = 0.0003, 1.0
+TOXIC_WEIGHT = 2.0  # an overlooked toxic text counts as much as so many false alarms
 ROUNDS = 400
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
 
@@ -107,8 +108,8 @@ def _counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(*[F.sum(F.when(F.col("label") == k, F.col("docs")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
 
 
-def _matrix(sample: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, features after the swap, labels) of the sample, small whole numbers."""
+def _matrix(sample: DataFrame, buckets: np.ndarray) -> tuple[Entries, Entries, np.ndarray]:
+    """(features, features after the swap, labels) of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(SEPARATORS)
@@ -130,35 +131,55 @@ def _matrix(sample: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndar
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(taken(texts)), pa.array(taken([swapped(t) for t in texts])), batch.column("label")], ["own", "other", "label"])
 
-    rows = sorted(map(tuple, sample.mapInArrow(run, "own binary, other binary, label int").collect()))
-    x, c = (np.zeros((len(rows), len(buckets)), np.float32) for _ in range(2))
-    for k, (own, other, _) in enumerate(rows):
-        x[k, np.frombuffer(own, "<u2")] = 1
-        c[k, np.frombuffer(other, "<u2")] = 1
-    return x, c, np.array([r[2] for r in rows], np.float32)
-
-
-def fit(x: np.ndarray, c: np.ndarray, y: np.ndarray, ridge: float = RIDGE, penalty: float = SWAP_PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and base of the logistic model that minimises mean log loss + ridge * |w|^2 / 2 +
-    penalty * mean squared score difference between a text and its swapped copy, by
-    accelerated gradient steps."""
-    moved = (x != c).any(1)
-    swap = x[moved] - c[moved]
-    w, base = np.zeros(x.shape[1], np.float32), float(np.log(y.mean() / (1 - y.mean())))
-    # Step: one over a bound of the curvature; the largest eigenvalue by a few power steps.
-    v = np.ones(x.shape[1], np.float32)
+    rows = sorted(map(tuple, sample.mapInArrow(run, "own binary, other binary, label int").collect()))  # bounded with the sample
+    entries = [Entries.of([r[k] for r in rows], len(buckets)) for k in (0, 1)]
+    return *entries, np.array([r[2] for r in rows], float)
+
+
+@dataclass
+class Entries:
+    """A matrix of zeros and ones by its ones."""
+
+    row: np.ndarray
+    col: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, rows: list[bytes], width: int) -> Entries:
+        cols = [np.frombuffer(r, "<u2") for r in rows]
+        return cls(np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, "<u2")]).astype(np.int64), (len(rows), width))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col], minlength=self.shape[0])
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=v[self.row], minlength=self.shape[1])
+
+
+def fit(x: Entries, c: Entries, y: np.ndarray, ridge: float = RIDGE, penalty: float = SWAP_PENALTY, weight: float = TOXIC_WEIGHT, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and base of the logistic model that minimises the weighted mean log loss + ridge *
+    |w|^2 / 2 + penalty * mean squared score difference between a text and its swapped copy
+    (``x`` and ``c``), by accelerated gradient steps."""
+    each = np.where(y > 0, weight, 1.0)
+    each /= each.sum()
+
+    def swap_pull(w: np.ndarray) -> np.ndarray:
+        moved = x.times(w) - c.times(w)
+        return (2 * penalty / len(y)) * (x.back(moved) - c.back(moved))
+
+    # Step: one over a bound of the curvature, whose largest part is found by a few power steps.
+    v, size = np.ones(x.shape[1]), 0.0
     for _ in range(20):
-        v = x.T @ (x @ v) / len(x) / 4 + (2 * penalty / len(x)) * (swap.T @ (swap @ v)) + ridge * v
+        v = x.back(each * x.times(v)) / 4 + swap_pull(v) + ridge * v
         size = float(np.linalg.norm(v))
         v /= max(size, 1e-12)
-    step = 1 / max(1.1 * size + 0.25, 1e-6)
-    ahead_w, ahead_b, t = w.copy(), base, 1.0
+    step = 1 / (1.1 * size + 0.5)
+    w, base = np.zeros(x.shape[1]), float(np.log((each * y).sum() / (each * (1 - y)).sum()))
+    ahead_w, ahead_b, t = w, base, 1.0
     for _ in range(rounds):
-        off = 1 / (1 + np.exp(-(x @ ahead_w + ahead_b))) - y
-        grad = x.T @ off / len(x) + ridge * ahead_w
-        if len(swap):
-            grad += (2 * penalty / len(x)) * (swap.T @ (swap @ ahead_w))
-        new_w, new_b = ahead_w - step * grad, ahead_b - step * float(off.mean())
+        off = each * (1 / (1 + np.exp(-np.clip(x.times(ahead_w) + ahead_b, -30, 30))) - y)
+        new_w = ahead_w - step * (x.back(off) + ridge * ahead_w + swap_pull(ahead_w))
+        new_b = ahead_b - step * float(off.sum())
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead_w, ahead_b = new_w + ((t - 1) / t_new) * (new_w - w), new_b + ((t - 1) / t_new) * (new_b - base)
         w, base, t = new_w, new_b, t_new
@@ -180,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     if not len(buckets):
         return Model(none, np.zeros(0), float(np.log(n[1] / n[0])))
     weights, base = fit(*_matrix(sample, buckets))
-    return Model(buckets, weights.astype(np.float64), base)
+    return Model(buckets, weights, base)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
