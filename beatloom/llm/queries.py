@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import decontamination, jaccard, mixing, token_output, topk, warc
+from beatloom.llm import decontamination, jaccard, mixing, quality, secrets, token_output, topk, toxicity, url_filter, warc
+from beatloom.llm.labelled import held_out
 from beatloom.sources.tables import table
 
 
@@ -15,6 +16,40 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = url_filter.judged(table(spark, d, "pages").select("page_id", "url"), RULES)
+    return rows.select("page_id", *[F.col(f"_{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+def op2_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
+    return rows.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = toxicity.scored(docs, toxicity.train(docs, table(spark, d, "labels")))
+    return rows.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_secrets(spark: SparkSession, d: str) -> DataFrame:
+    rows = secrets.scanned(table(spark, d, "documents").select("doc_id", "text"))
+    of_kind = lambda k: F.size(F.filter("_spans", lambda x: x["k"] == k)).cast("long")
+    base = F.filter("_spans", lambda x: x["k"] < 3)
+    return rows.select(
+        "doc_id",
+        of_kind(0).alias("n_assign"),
+        of_kind(1).alias("n_access"),
+        of_kind(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("_spans")).alias("spans"),
+    )
+
+
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -175,6 +210,10 @@ FROM h JOIN w USING (h)
 """
 
 QUERIES: dict = {
+    "op1_url_filter": (op1_url_filter, None),
+    "op2_quality": (op2_quality, None),
+    "op4_secrets": (op4_secrets, None),
+    "op9_toxicity": (op9_toxicity, None),
     "op3_decontamination": (op3_decontamination, OP3_SQL),
     "op6_jaccard": (op6_jaccard, OP6_SQL),
     "op5_top_k": (op5_top_k, OP5_SQL),

@@ -29,8 +29,8 @@ BUCKETS = 1 << 18
 FEATURES = 2_000
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word
 LEAST_DOCS = 4
-RIDGE, SWAP_PENALTY = 0.0003, 1.0
-TOXIC_WEIGHT = 2.0  # an overlooked toxic text counts as much as so many false alarms
+RIDGE, SWAP_PENALTY = 0.0001, 1.0
+TOXIC_WEIGHT = 3.0  # an overlooked toxic text counts as much as so many false alarms
 ROUNDS = 400
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
 
