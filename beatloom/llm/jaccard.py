@@ -11,12 +11,17 @@ hashes of all their one-deletion neighbours.
   partner there is possible; segments and units are fixed per band by its largest size.
 * Allocation: per band, the number of segments with deletions is the one of least cost, by the
   index rows of its sets and the chance agreements expected among as many sets as it holds.
-* A few units more than needed are given, so that sets may leave out their empty segments, which
-  too many sets would share: a set whose empty segments cost more than the surplus indexes them.
+* A few units more than needed are given. Keys of ``HOT`` or more sets (empty segments, passages
+  that many texts share) are measured on all data and dropped from every set that can do without:
+  one whose hot keys cost no more units than the surplus. A similar pair with such a set still
+  agrees in another key; two sets that need their hot keys both keep them.
 * Sets with an index key in common form buckets. In a bucket every set is paired with the first
-  one; pairs are verified on the words themselves; sets are grouped by links so far. In buckets
-  that still hold several groups, the remaining pairs between groups are verified as well. So no
-  pair within a group is spelled out, and no link between groups is lost.
+  one; sets are grouped by the links found. In buckets that still hold several groups, the
+  remaining pairs between groups follow. So no pair within a group is spelled out, and no link
+  between groups is lost.
+* Before texts are fetched, a pair must pass a parity sketch: the elements of a set flip bits, so
+  the bits in which two sketches differ never outnumber the elements in which the sets differ.
+  Pairs that pass are verified on the words themselves.
 
 Equal sets are one class from the start. The result names, for every document, the smallest
 doc_id that it reaches by links.
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.llm.common import Words, mixed, row_chunks, stored, utf8_buffers
@@ -40,8 +45,9 @@ from beatloom.llm.common import Words, mixed, row_chunks, stored, utf8_buffers
 N = 4
 NUM, DEN = 85, 100
 BAND = 2  # a band spans this many steps of size ratio DEN / NUM
-SPARE = 32  # one unit of surplus per so many units
-CHANCE = 0.25  # chance that an element of a set is in an unrelated one, for the allocation's cost
+SPARE = 12  # one unit of surplus per so many units
+HOT = 4
+CHANCE = 0.02  # chance that an element of a set is in an unrelated one, for the allocation's cost
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -78,13 +84,25 @@ def set_ids(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> tuple[np.ndarra
     return np.diff(cuts), digests
 
 
+SKETCH = 8  # 64-bit words
+
+
+def sketches(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> np.ndarray:
+    """The parity sketch of each row's set: (n_rows, SKETCH) words."""
+    bits = 64 * SKETCH
+    at = rows * bits + (mixed(grams + np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n_rows * bits) & 1).astype(np.uint8).reshape(n_rows, bits)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def _short(digest: bytes) -> int:
     """The set's number in the index: 64 bits of its digest."""
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, digest, sid) of every document; ``sid`` is the set's number."""
+    """(doc_id, text_hash, n_shingles, digest, sid, sketch) of every document; ``sid`` is the
+    set's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(BLANKS)
@@ -95,9 +113,12 @@ def sets(docs: DataFrame, n: int = N) -> DataFrame:
                 size, digest = set_ids(r, g, b - a)
                 sid = pa.array([d and _short(d) for d in digest], pa.int64())
                 own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(digest, pa.binary()), sid], ["doc_id", "text_hash", "n_shingles", "digest", "sid"])
+                bits = sketches(r, g, b - a).ravel()
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, SKETCH), pa.int32()), pa.array(bits))
+                columns = [*own, pa.array(size), pa.array(digest, pa.binary()), sid, bits]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "sid", "sketch"])
 
-    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sid long")
+    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sid long, sketch array<long>")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -143,7 +164,7 @@ def allocation(bands: Bands, held: dict[int, int]) -> dict[int, tuple[int, int,
         if differ == 0 or not held.get(band, 0) or count < 2:
             continue
         size = bands.limits[band + 1] - 1
-        surplus = 1 + differ // SPARE
+        surplus = 2 + differ // SPARE
         units = differ + 1 + surplus
         best = None
         for deletions in sorted({0, *(units * k // 32 for k in range(1, 17)), units // 2}):
@@ -156,48 +177,39 @@ def allocation(bands: Bands, held: dict[int, int]) -> dict[int, tuple[int, int,
     return out
 
 
-def index_keys(rows: np.ndarray, grams: np.ndarray, band: int, plan: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for sets that are all in ``band``'s scheme. Equal keys: equal segment number
-    and equal elements, as whole segments or with one element left out."""
-    segments, deletions, surplus = plan
+def index_keys(rows: np.ndarray, grams: np.ndarray, band: int, plan: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, units) for sets that are all in ``band``'s scheme. Equal keys: equal segment
+    number and equal elements, as whole segments or with one element left out. ``units`` is
+    what a set loses that does without the key: all that the segment was given for the whole
+    segment, one for a neighbour."""
+    segments, deletions, _ = plan
     seg = (mixed(grams ^ np.uint64(0x5851F42D4C957F2D + band)) % np.uint64(segments)).astype(np.int64)
     which, row = np.unique(rows, return_inverse=True)
     cell = row * segments + seg
     order = np.argsort(cell, kind="stable")
     cell, g = cell[order], mixed(grams[order] + np.uint64(0x14057B7EF767814F))
-    begins = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-    full = cell[begins]
-    size = np.diff(np.append(begins, len(cell)))
-    total = np.add.reduceat(g, begins) if len(begins) else np.zeros(0, np.uint64)
+    every = np.arange(len(which) * segments)
+    begins, ends = np.searchsorted(cell, every), np.searchsorted(cell, every, side="right")
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g, dtype=np.uint64)])
+    total = run[ends] - run[begins]
 
     def key(cells: np.ndarray, sums: np.ndarray) -> np.ndarray:
         return mixed(sums + mixed((cells % segments).astype(np.uint64) * np.uint64(1024) + np.uint64(band))).view(np.int64)
 
-    # Segments 0 .. deletions - 1 are indexed with deletions too. An empty segment costs its
-    # units; a single element in a segment with deletions costs one, for its neighbour is empty.
-    two = full % segments < deletions
-    units_full = np.bincount(full // segments, weights=np.where(two & (size >= 2), 2, 1), minlength=len(which))
-    lost = segments + deletions - units_full
-    out_row, out_key = [full // segments], [key(full, total)]
+    # Segments 0 .. deletions - 1 are indexed with deletions too.
+    out_row, out_key = [every // segments], [key(every, total)]
+    units = [np.where(every % segments < deletions, 2, 1)]
     if deletions:
-        part = np.repeat(two & (size >= 2), size)
+        part = cell % segments < deletions
         out_row.append(cell[part] // segments)
-        out_key.append(key(cell[part], np.repeat(total, size)[part] - g[part]))
-    poor = np.flatnonzero(lost > surplus)
-    if len(poor):
-        grid = np.ones((len(poor), segments), bool)
-        at = np.searchsorted(poor, full // segments)
-        mine = (at < len(poor)) & (poor[np.minimum(at, len(poor) - 1)] == full // segments)
-        keep = ~(two & (size == 1))  # the one-deletion neighbour of a single element is empty
-        grid[at[mine & keep], (full % segments)[mine & keep]] = False
-        r, s = np.nonzero(grid)
-        out_row.append(poor[r])
-        out_key.append(key(s, np.zeros(len(s), np.uint64)))
-    return which[np.concatenate(out_row)], np.concatenate(out_key)
+        out_key.append(key(cell[part], total[cell[part]] - g[part]))
+        units.append(np.ones(int(part.sum()), np.int64))
+    return which[np.concatenate(out_row)], np.concatenate(out_key), np.concatenate(units)
 
 
 def index(docs: DataFrame, bands: Bands, plans: dict[int, tuple[int, int, int]], n: int = N) -> DataFrame:
-    """(key, sid): the index rows of all sets, made from the texts."""
+    """(key, sid, tag): the index rows of all sets, made from the texts; ``tag`` is 4 * band +
+    units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(BLANKS)
@@ -219,10 +231,11 @@ def index(docs: DataFrame, bands: Bands, plans: dict[int, tuple[int, int, int]],
                     mine = (size > 0) & ((band == scheme) | ((band == scheme - 1) & reach))
                     take = mine[r]
                     if take.any():
-                        row, key = index_keys(r[take], g[take], scheme, plan)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid[row])], ["key", "sid"])
+                        row, key, units = index_keys(r[take], g[take], scheme, plan)
+                        tag = (4 * scheme + units).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid[row]), pa.array(tag)], ["key", "sid", "tag"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long")
+    return docs.select("text").mapInArrow(run, "key long, sid long, tag int")
 
 
 # ---- pairs ------------------------------------------------------------------------------
@@ -244,7 +257,7 @@ def word_set(text: str, n: int) -> set:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-SPLIT = 2_000  # partners of one set that a task compares
+SPLIT = 500  # partners of one set that a task compares
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -303,8 +316,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
-    """(key, sid, lead) of all index rows whose key more than one set has; ``lead`` is the
-    smallest of these sets. None where no set can have a similar other one."""
+    """(key, sid, lead): index rows whose key more than one set keeps; ``lead`` is the smallest
+    of these sets. None where no set can have a similar other one."""
     largest = classes.agg(F.max("size")).first()[0]
     if largest is None:
         return None
@@ -316,33 +329,61 @@ def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     if not plans:
         return None
     rows = index(docs, bands, plans, n)
-    shared = rows.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("_last")).filter("lead < _last").select("key", "lead")
-    return stored(rows.join(shared, "key"), "buckets")
+    ends = lambda df: df.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("_last"), F.count("*").alias("_n")).filter("lead < _last")
+    shared = ends(rows).select("key", "lead", (F.col("_n") >= HOT).alias("hot"))
+    all_rows = stored(rows.join(shared, "key").groupBy("key", "sid").agg(F.max("tag").alias("tag"), F.first("lead").alias("lead"), F.first("hot").alias("hot")), "index-rows")
+    surplus = F.element_at(F.create_map(*[F.lit(x) for band, plan in plans.items() for x in (band, plan[2])]), F.col("band"))
+    hot = all_rows.filter("hot").withColumn("band", F.floor(F.col("tag") / 4).cast("int"))
+    poor = hot.groupBy("sid", "band").agg(F.sum(F.col("tag") % 4).alias("_lost")).filter(F.col("_lost") > surplus).select("sid", "band")
+    kept = hot.join(poor, ["sid", "band"], "left_semi").select("key", "sid")
+    again = kept.join(ends(kept).select("key", "lead"), "key").select("key", "sid", "lead")
+    return stored(all_rows.filter("NOT hot").select("key", "sid", "lead").union(again), "buckets")
+
+
+def _marked(classes: DataFrame, sid: str, tag: str) -> DataFrame:
+    """(sid, size, sketch words) of the classes under names of one side of a pair."""
+    words = [F.col("sketch")[k].alias(f"{tag}{k}") for k in range(SKETCH)]
+    return classes.select(F.col("sid").alias(sid), F.col("size").alias(f"{tag}_size"), *words)
+
+
+def _near(left: str, right: str, num: int, den: int) -> Column:
+    """Whether two sketches leave a similar pair possible."""
+    differ = sum((F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in range(SKETCH)), F.lit(0))
+    return differ * (den + num) <= (F.col(f"{left}_size") + F.col(f"{right}_size")) * (den - num)
+
+
+def leading(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): every set of a bucket with its lead, as far as the sketches allow."""
+    pairs = shared.filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
+    both = pairs.join(_marked(classes, "a", "x"), "a").join(_marked(classes, "b", "y"), "b")
+    return both.filter(_near("x", "y", num, den)).select("a", "b")
 
 
-def crossing(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of sets that share a key, are in different groups, and of which neither leads
-    the bucket (pairs with the lead are verified already)."""
-    placed = shared.join(roots, "sid", "left").select("key", "sid", "lead", F.coalesce("root", "sid").alias("root"))
+def crossing(shared: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of sets in a bucket that are in different groups, neither of which leads
+    it (pairs with the lead are done), as far as the sketches allow."""
+    placed = shared.filter("sid <> lead").join(roots, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("key")
-    rest = stored(placed.join(split, "key").filter("sid <> lead").select("key", "sid", "root").distinct(), "crossing")
-    other = rest.select("key", F.col("sid").alias("b"), F.col("root").alias("_root"))
-    return rest.withColumnRenamed("sid", "a").join(other, "key").filter("a < b AND root <> _root").select("a", "b").distinct()
+    rest = stored(placed.join(split, "key"), "crossing")
+    left = rest.withColumnRenamed("sid", "a").join(_marked(classes, "a", "x"), "a")
+    right = rest.select("key", F.col("sid").alias("b"), F.col("root").alias("_root")).join(_marked(classes, "b", "y"), "b")
+    same = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("_root")) & _near("x", "y", num, den)
+    return left.join(right, same).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every document."""
     least = -(2**63)
     members = stored(sets(docs, n), "sets")
-    classes = members.filter("sid IS NOT NULL").groupBy("digest", "sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"))
+    classes = members.filter("sid IS NOT NULL").groupBy("digest", "sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
     shared = buckets(docs, classes, n, num, den)
     named = classes.select("digest", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"), F.col("sid").alias("_root"))
     if shared is not None:
-        pairs = stored(shared.filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
+        pairs = stored(leading(shared, classes, num, den), "pairs")
         links = stored(verified(pairs, classes, docs, n, num, den), "links")
         roots = components(links)
-        more = stored(crossing(shared, roots).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = stored(crossing(shared, roots, classes, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
             again = stored(verified(more, classes, docs, n, num, den), "links")
             if again.limit(1).count():
@@ -350,7 +391,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
         linked = classes.join(roots, "sid").select("digest", "root", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"))
         linked = linked.join(linked.groupBy("root").agg(F.min("_first").alias("_least")), "root").select("digest", "_least")
         named = named.join(linked, "digest", "left").select("digest", F.coalesce("_least", "_first").alias("_first"))
-    out = members.join(named.select("digest", "_first"), "digest", "left")
+    out = members.drop("sketch").join(named.select("digest", "_first"), "digest", "left")
     alone = F.coalesce("_first", "doc_id")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(alone != least, alone).alias("component_id"))
 
