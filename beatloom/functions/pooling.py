@@ -23,23 +23,32 @@ def masked_mean(vectors: Column, tokens: Column, dim: int, pad: int = 0) -> Colu
     return let(bound, lambda t: F.transform(t["s"], lambda x: x / t["n"]))
 
 
+def _widened(span: Column, before: Column, after: Column, frames: Column) -> Column:
+    """The span (lo, hi) moved outwards, within 0 and ``frames``."""
+    return F.struct(F.greatest(span["lo"] - before, F.lit(0)).alias("lo"), F.least(span["hi"] + after, frames).alias("hi"))
+
+
 def frame_range(start: Column, end: Column, stride: int, frames: Column) -> Column:
-    """Struct (lo, hi): frames of a sample range, with margin and minimum length."""
-    s100 = F.rint(start / F.lit(float(DOWNSAMPLING))).cast("int")
-    e_raw = F.rint(end / F.lit(float(DOWNSAMPLING))).cast("int")
-    e100 = F.when(e_raw <= s100, s100 + 1).otherwise(e_raw)
-    lo0 = F.greatest(F.floor(s100 / stride).cast("int") - MARGIN_FRAMES, F.lit(0))
-    hi0 = F.least(F.ceil(e100 / stride).cast("int") + MARGIN_FRAMES, frames)
-
-    def widen(t: Column) -> Column:
-        need = F.lit(MIN_FRAMES) - (t["hi"] - t["lo"])
-        left = F.floor(need / 2).cast("int")
-        lo = F.greatest(t["lo"] - left, F.lit(0))
-        hi = F.least(t["hi"] + need - left, frames)
-        wide = F.struct(lo.alias("lo"), F.when(hi <= lo, F.least(lo + 1, frames)).otherwise(hi).alias("hi"))
-        return F.when(need > 0, wide).otherwise(t)
-
-    return let(F.struct(lo0.alias("lo"), hi0.alias("hi")), widen)
+    """Struct (lo, hi): the frames that a range of samples touches, a margin on both sides,
+    and where that is short, so many more that the least number is reached."""
+    slow = lambda sample: F.rint(sample / F.lit(float(DOWNSAMPLING)))
+    touched = F.struct(
+        F.floor(slow(start) / stride).cast("int").alias("lo"),
+        F.ceil(F.greatest(slow(end), slow(start) + 1) / stride).cast("int").alias("hi"),
+    )
+    margin = F.lit(MARGIN_FRAMES)
+
+    def at_least(span: Column) -> Column:
+        lacking = F.greatest(F.lit(MIN_FRAMES) - (span["hi"] - span["lo"]), F.lit(0))
+        before = F.floor(lacking / 2).cast("int")
+        return let(_widened(span, before, lacking - before, frames), not_empty(lacking))
+
+    def not_empty(lacking: Column):
+        # A range past the last frame takes the frame at its place, where there is one.
+        one = lambda span: F.struct(span["lo"].alias("lo"), F.least(span["lo"] + 1, frames).alias("hi"))
+        return lambda span: F.when((lacking > 0) & (span["hi"] <= span["lo"]), one(span)).otherwise(span)
+
+    return let(let(touched, lambda span: _widened(span, margin, margin, frames)), at_least)
 
 
 def roi_pool(channels: Column, start: Column, end: Column, stride: int) -> Column:

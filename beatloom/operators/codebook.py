@@ -17,21 +17,34 @@ from pyspark.sql import Window as W
 
 from beatloom.functions.hashing import keyed_md5
 
-MAX_CODEBOOK_VALUES = 50_000_000
+MAX_CODEBOOK_VALUES = 8_000_000
 ROWS_PER_PRODUCT = 8192
+PRODUCT_BYTES = 64 << 20
 
 
 def codebook_matrix(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Codes in order and their vectors; refuses anything that is not codebook-sized."""
-    shape = codebook.agg(F.count("*"), F.max(F.size("vec"))).first()
-    if not shape[0] or shape[0] * shape[1] > MAX_CODEBOOK_VALUES:
-        raise ValueError(f"not a codebook: {shape[0]} codes of {shape[1]} values")
-    rows = codebook.select("code", "vec").orderBy("code").collect()
+    """Codes in order and their vectors, read in one pass. They are broadcast, so anything
+    that is not codebook-sized is refused: no more than MAX_CODEBOOK_VALUES rows are read."""
+    rows = codebook.select("code", "vec").orderBy("code").limit(MAX_CODEBOOK_VALUES).collect()
+    width = len(rows[0]["vec"]) if rows else 0
+    if not rows or len(rows) * width > MAX_CODEBOOK_VALUES:
+        raise ValueError(f"not a codebook: {len(rows)} codes of {width} values")
     return np.array([r["code"] for r in rows], dtype=np.int64), np.array([list(r["vec"]) for r in rows], dtype=np.float64)
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row index into ``c`` and squared distance; the lowest index on ties."""
+    """Row index into ``c`` and squared distance; the lowest index on ties. Codes are taken in
+    blocks whose products hold at most PRODUCT_BYTES."""
+    step = max(1, PRODUCT_BYTES // (8 * max(1, len(x))))
+    best, low = _nearest_in(x, c[:step])
+    for first in range(step, len(c), step):
+        at, dist = _nearest_in(x, c[first : first + step])
+        closer = dist < low
+        best, low = np.where(closer, at + first, best), np.where(closer, dist, low)
+    return best, low
+
+
+def _nearest_in(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = (x * x).sum(1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(1)[None, :]
     best = d.argmin(1)
     low = d[np.arange(len(x)), best]
@@ -62,14 +75,18 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assign(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
-    """Add ``code`` and ``dist`` (squared distance) of the nearest code."""
-    codes, c = codebook_matrix(codebook)
+    """Add ``code`` and ``dist`` (squared distance) of the nearest code; NULL for a NULL vector."""
+    shared = vectors.sparkSession.sparkContext.broadcast(codebook_matrix(codebook))
     schema = T.StructType([*vectors.schema.fields, T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, c = shared.value
         for part in _batches(batches):
-            at, dist = _nearest(dense(part.column(vec)), c)
-            added = [pa.array(codes[at].astype(np.int32)), pa.array(dist)]
+            known = part.column(vec).is_valid().to_numpy(zero_copy_only=False)
+            at, dist = np.zeros(len(known), np.int64), np.zeros(len(known))
+            if known.any():
+                at[known], dist[known] = _nearest(dense(part.column(vec).drop_null()), c)
+            added = [pa.array(codes[at].astype(np.int32), mask=~known), pa.array(dist, mask=~known)]
             yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "code", "dist"])
 
     return vectors.mapInArrow(run, schema)
@@ -78,12 +95,15 @@ def assign(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
 def code_sums(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
     """(code, dim, n, total) of the vectors nearest to each code, in one pass: every
     task reduces its vectors to one row per code before anything is shuffled."""
-    codes, c = codebook_matrix(codebook)
+    shared = vectors.sparkSession.sparkContext.broadcast(codebook_matrix(codebook))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, c = shared.value
         counts, sums = np.zeros(len(codes), dtype=np.int64), np.zeros_like(c)
         for part in _batches(batches):
-            x = dense(part.column(vec))
+            if part.column(vec).null_count == len(part):
+                continue
+            x = dense(part.column(vec).drop_null())
             at, _ = _nearest(x, c)
             counts += np.bincount(at, minlength=len(codes))
             order = at.argsort(kind="stable")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from beatloom.functions.arrays import let
-from beatloom.operators.broadcasts import checked
 
 UNKNOWN = "Unknown"
 MAX_CLASSES = 10_000
@@ -15,10 +14,7 @@ MAX_CLASSES = 10_000
 
 def lookup(rows: DataFrame, codes: DataFrame, on: str, value: str, default: str = UNKNOWN) -> DataFrame:
     """One-to-one code lookup; a code that is not in the table gets ``default``."""
-    small = checked(codes.select(on, value))
-    if small is None:
-        return rows.withColumn(value, F.lit(default))
-    return rows.join(small, on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    return rows.join(codes.select(on, value), on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def lookup_many(rows: DataFrame, key: str, codes_col: str, codes: DataFrame, code: str, value: str, default: str | None = UNKNOWN) -> DataFrame:
@@ -27,8 +23,7 @@ def lookup_many(rows: DataFrame, key: str, codes_col: str, codes: DataFrame, cod
     Returns (key, <value>s). Duplicates stay. A record's codes sit in one row, so
     the lists merge map-side before the shuffle on the key."""
     one = rows.select(key, F.posexplode_outer(codes_col).alias("_pos", code))
-    small = checked(codes.select(code, value))
-    found = one.withColumn(value, F.lit(None).cast("string")) if small is None else one.join(small, code, "left")
+    found = one.join(codes.select(code, value), code, "left")
     # A record without codes comes through with no position and stays empty.
     found = found.withColumn(value, F.when(F.col("_pos").isNotNull(), F.coalesce(F.col(value), F.lit(default))))
     packed = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("_pos", value)))
@@ -154,8 +149,7 @@ def fixed_ids(cls: Column, names: list[str]) -> Column:
 
 
 def with_label_ids(df: DataFrame, ids: DataFrame, cls: str) -> DataFrame:
-    small = checked(ids)
-    return df.withColumn("label_id", F.lit(None).cast("int")) if small is None else df.join(small, cls, "left")
+    return df.join(ids, cls, "left")
 
 
 # ---- joins with split lists ------------------------------------------------

@@ -67,6 +67,11 @@ def mean_bce(probs: Column, labels: Column) -> Column:
 # ---- record level ----------------------------------------------------------
 
 
+def _exact(prob: Column) -> Column:
+    """Decimal form whose sums do not depend on the order of rows."""
+    return prob.cast("decimal(28,12)")
+
+
 def record_scores(preds: DataFrame, record: str, n_classes: int, line: float = 0.5) -> DataFrame:
     """One row per record: sentences, votes and mean probability per class, labels,
     and the multi-label decision (a class is on with more than half of the votes)."""
@@ -74,7 +79,7 @@ def record_scores(preds: DataFrame, record: str, n_classes: int, line: float = 0
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     sums = [F.count("*").alias("n")]
     sums += [F.sum((at("probs", i) > line).cast("bigint")).alias(f"_v{i}") for i in each]
-    sums += [F.avg(at("probs", i)).alias(f"_p{i}") for i in each]
+    sums += [(F.sum(_exact(at("probs", i))).cast("double") / F.count(at("probs", i))).alias(f"_p{i}") for i in each]
     sums += [F.max(at("labels", i)).alias(f"_y{i}") for i in each]
     wide = preds.groupBy(record).agg(*sums)
     pack = lambda tag: F.array(*[F.col(f"_{tag}{i}") for i in each])
@@ -184,11 +189,19 @@ def seed_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
     return df.groupBy(*keys).agg(*aggs)
 
 
-def ensemble(preds: DataFrame, keys: list[str], prob: str, members: int) -> DataFrame:
-    """Mean probability over ensemble members, for rows every member scored."""
-    return preds.groupBy(*keys).agg(F.avg(prob).alias("prob"), F.count("*").alias("members")).filter(F.col("members") == members)
+def _by_member(preds: DataFrame, keys: list[str], member: str, prob: str) -> DataFrame:
+    """Per row: sum of the probabilities, predictions, and distinct members."""
+    once = preds.groupBy(*keys, member).agg(F.sum(_exact(F.col(prob))).alias("_sum"), F.count("*").alias("_n"))
+    return once.groupBy(*keys).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.count("*").alias("members"))
+
+
+def ensemble(preds: DataFrame, keys: list[str], member: str, prob: str, members: int) -> DataFrame:
+    """Mean probability over ensemble members, for rows that every member scored once."""
+    rows = _by_member(preds, keys, member, prob).filter((F.col("members") == members) & (F.col("_n") == members))
+    return rows.select(*keys, (F.col("_sum").cast("double") / F.col("_n")).alias("prob"), "members")
 
 
-def alignment_gaps(preds: DataFrame, keys: list[str], members: int) -> DataFrame:
-    """Rows that some member did not score: must be empty for an aligned ensemble."""
-    return preds.groupBy(*keys).agg(F.count("*").alias("members")).filter(F.col("members") != members)
+def alignment_gaps(preds: DataFrame, keys: list[str], member: str, prob: str, members: int) -> DataFrame:
+    """Rows that some member did not score, or scored twice: must be empty for an aligned ensemble."""
+    rows = _by_member(preds, keys, member, prob).filter((F.col("members") != members) | (F.col("_n") != members))
+    return rows.select(*keys, "members", F.col("_n").alias("predictions"))

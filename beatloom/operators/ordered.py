@@ -27,43 +27,35 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFra
     return df.groupBy(*keys).count().filter(F.col("count") > (HOT_ROWS if rows is None else rows)).select(*keys)
 
 
-def ranked(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    cells: list[Column],
-    out: str = "pos",
-    hot_rows: int | None = None,
-) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list, cells: list[Column], out: str = "pos", fanout: int = FANOUT) -> DataFrame:
     """Zero-based rank of each row within its key, in ``order``.
 
-    Ordinary keys are ranked by one window. A hot key is ranked per cell and moved
-    by the number of rows in the cells before; ``cells`` must not contradict the
-    order (sorting by the cells is a coarsening of sorting by ``order``).
-    """
+    Every key is ranked per cell and moved by the number of rows in the cells before.
+    ``cells`` must not contradict the order (sorting by the cells is a coarsening of
+    sorting by ``order``; a NULL cell comes first). The rows before a cell are added up in
+    two levels, runs of ``fanout`` values of the last cell, then the runs of a key."""
     names = [f"_cell{i}" for i in range(len(cells))]
-    # Bounded by total/hot_rows keys, see hot_keys.
-    hot = F.broadcast(hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True)))
-    as_cell = lambda c: F.when(F.col("_hot"), c.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    tagged = df.join(hot, keys, "left")
-    for name, cell in zip(names, cells):
-        tagged = tagged.withColumn(name, as_cell(cell))
-    tagged = tagged.drop("_hot")
-
-    counts = df.join(hot, keys, "left_semi")
-    for name, cell in zip(names, cells):
-        counts = counts.withColumn(name, cell.cast("bigint"))
-    counts = counts.groupBy(*keys, *names).agg(F.count("*").alias("_rows"))
-    before = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, *names, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-
+    first = F.lit(-(2**62))
+    tagged = df.withColumns({name: F.coalesce(cell.cast("bigint"), first) for name, cell in zip(names, cells)})
+    *outer, last = names
+    counts = tagged.groupBy(*keys, *names).agg(F.count("*").alias("_rows")).withColumn("_run", F.floor(F.col(last) / fanout))
+    earlier = lambda group, by: W.partitionBy(*group).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    runs = counts.groupBy(*keys, *outer, "_run").agg(F.sum("_rows").alias("_all"))
+    runs = runs.withColumn("_base", F.coalesce(F.sum("_all").over(earlier(keys, [*outer, "_run"])), F.lit(0))).drop("_all")
+    inner = F.coalesce(F.sum("_rows").over(earlier([*keys, *outer, "_run"], [last])), F.lit(0))
+    offsets = joined(counts.withColumn("_inner", inner), runs, [*keys, *outer, "_run"])
+    offsets = offsets.select(*keys, *names, (F.col("_inner") + F.col("_base")).alias("_before"))
     inside = W.partitionBy(*keys, *names).orderBy(*order)
-    return (
-        tagged.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, *names], "left")
-        .withColumn(out, F.col("_rn") - 1 + F.coalesce(F.col("_before"), F.lit(0)))
-        .drop("_rn", "_before", *names)
-    )
+    rows = joined(tagged.withColumn("_rn", F.row_number().over(inside)), offsets, [*keys, *names])
+    return rows.withColumn(out, F.col("_rn") - 1 + F.col("_before")).drop("_rn", "_before", *names)
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on columns of both sides in which NULL equals NULL."""
+    names = {c: f"_on_{c}" for c in on}
+    right = right.withColumnsRenamed(names)
+    same = [left[c].eqNullSafe(right[n]) for c, n in names.items()]
+    return left.join(right, same).drop(*names.values())
 
 
 def hash_ranked(ids: DataFrame, key: str, seed: int | str, by: list[str] | None = None, out: str = "pos") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from beatloom.operators.ordered import running_total
+
 
 def close(a: Column, b: Column, atol: float, rtol: float) -> Column:
     """Equal within tolerance; NaN equals NaN."""
@@ -15,20 +17,21 @@ def close(a: Column, b: Column, atol: float, rtol: float) -> Column:
 def diff_rows(a: DataFrame, b: DataFrame, key: str, values: str, atol: float = 0.0, rtol: float = 0.0) -> DataFrame:
     """One row per key of either side: present on which side, and for common keys
     whether the arrays are equal, equal within tolerance, and how many values differ."""
-    left = a.select(key, F.col(values).cast("array<double>").alias("_a"))
-    right = b.select(key, F.col(values).cast("array<double>").alias("_b"))
+    left = a.select(key, F.col(values).cast("array<double>").alias("_a"), F.lit(True).alias("_in_a"))
+    right = b.select(key, F.col(values).cast("array<double>").alias("_b"), F.lit(True).alias("_in_b"))
     both = left.join(right, key, "full_outer")
     same_size = F.size("_a") == F.size("_b")
     near = F.forall(F.zip_with("_a", "_b", lambda x, y: close(x, y, atol, rtol)), lambda ok: ok)
     off = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
-    state = F.when(F.col("_b").isNull(), "only_left").when(F.col("_a").isNull(), "only_right").otherwise("both")
+    neither = F.col("_a").isNull() & F.col("_b").isNull()
+    state = F.when(F.col("_in_b").isNull(), "only_left").when(F.col("_in_a").isNull(), "only_right").otherwise("both")
     common = lambda c: F.when(F.col("state") == "both", c)
     return both.withColumn("state", state).select(
         key,
         "state",
-        common(F.col("_a") == F.col("_b")).alias("equal"),
-        common(same_size & F.coalesce(near, F.lit(False))).alias("within"),
-        common(off).alias("n_diff"),
+        common(F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"),
+        common(neither | F.coalesce(same_size & near, F.lit(False))).alias("within"),
+        common(F.when(neither, 0).otherwise(F.coalesce(off, F.size("_a"), F.size("_b")))).alias("n_diff"),
     )
 
 
@@ -56,16 +59,16 @@ def partition_counts(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, out: str = "record_id", width: int = 65536) -> DataFrame:
-    """Row position in the order of a unique integer key, worked out per run of
-    ``width`` key values and moved by the rows before it."""
-    cells = df.withColumn("_cell", F.floor(F.col(key) / width))
+    """Row position in the order of an integer key, NULL first, worked out per run of
+    ``width`` key values and moved by the rows before it; the counts of the runs are
+    added up in two levels."""
+    cells = df.withColumn("_cell", F.coalesce(F.floor(F.col(key) / width), F.lit(-(2**62))))
     counts = cells.groupBy("_cell").agg(F.count("*").alias("_rows"))
-    before = W.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select("_cell", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    bases = running_total(counts, [], "_cell", "_rows", "_first").select("_cell", "_first")
     inside = W.partitionBy("_cell").orderBy(key)
     return (
         cells.withColumn("_rn", F.row_number().over(inside))
         .join(bases, "_cell")
-        .withColumn(out, F.col("_base") + F.col("_rn") - 1)
-        .drop("_cell", "_rn", "_base")
+        .withColumn(out, F.col("_first") + F.col("_rn") - 1)
+        .drop("_cell", "_rn", "_first")
     )

@@ -11,7 +11,7 @@ from beatloom import constants as C
 from beatloom.functions.arrays import cut_normalise_pad, let, pad_right, z_normalise
 from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, spread, windowed
-from beatloom.session import cut_lineage
+from beatloom.session import cut_lineage, shared_dir
 
 # Landmark columns that bound each segment; TP ends at the next beat.
 BOUNDS = [
@@ -108,23 +108,24 @@ def cut_samples(
     Segments ask for their samples by an equi-join on (key, sample), so the work
     follows samples, not records, and a record of any length spreads. At most
     ``target`` samples per segment are asked for, since truncation comes first.
-    Missing waves are left out, or come as zeros for each of ``blank_leads``."""
+    Missing waves are left out, or come as zeros for each of ``blank_leads``. A segment that
+    lacks a sample in a lead is dropped for that lead: it is no segment of the given bounds."""
     wanted = F.sequence("start", F.least(F.col("end"), F.col("start") + target) - 1)
-    rows, how = segments.filter("NOT missing"), "inner"
-    if blank_leads is not None:
-        # A position that no signal has, a different one per beat, finds nothing.
-        rows, how = segments, "left"
-        wanted = F.when(F.col("missing"), F.array(F.lit(-1) - F.col("beat_idx"))).otherwise(wanted)
-    asked = rows.select(*keys, "beat_idx", "segment", "original_len", F.explode(wanted).alias("sample_idx"))
+    rows = segments.filter("NOT missing")
+    asked = rows.select(*keys, "beat_idx", "segment", "original_len", F.size(wanted).alias("_asked"), F.explode(wanted).alias("sample_idx"))
     values = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("sample_idx", "value")))
     cut = (
-        asked.join(signal, [*keys, "sample_idx"], how)
-        .groupBy(*keys, "beat_idx", "segment", "lead_idx", "original_len")
+        asked.join(signal, [*keys, "sample_idx"])
+        .groupBy(*keys, "beat_idx", "segment", "lead_idx", "original_len", "_asked")
         .agg(F.transform(F.sort_array(values), lambda x: x["value"]).alias("raw"))
+        .filter(F.size("raw") == F.col("_asked"))
+        .drop("_asked")
     )
     if blank_leads is not None:
-        leads = F.when(F.col("lead_idx").isNull(), F.array(*[F.lit(x) for x in blank_leads])).otherwise(F.array("lead_idx"))
-        cut = cut.withColumn("lead_idx", F.explode(leads))
+        lead = dict(cut.dtypes)["lead_idx"]
+        each = F.explode(F.array(*[F.lit(x).cast(lead) for x in blank_leads])).alias("lead_idx")
+        blank = segments.filter("missing").select(*keys, "beat_idx", "segment", each, "original_len", F.array().cast(dict(cut.dtypes)["raw"]).alias("raw"))
+        cut = cut.select(*blank.columns).unionByName(blank)
     return cut.select(*keys, "beat_idx", "segment", "lead_idx", "original_len", pad_right(z_normalise(F.col("raw")), target).alias("data"))
 
 
@@ -217,28 +218,30 @@ def histogram(df: DataFrame, key: str, value: str, bins: int = 10) -> DataFrame:
     return counts.join(ends, key).groupBy(key, slot.alias("bin")).agg(F.sum("_n").alias("n"))
 
 
-def mean_wave(waves: DataFrame, key: str, data: str, cap: int = 5000, scale: float = 1000.0) -> DataFrame:
+def mean_wave(waves: DataFrame, key: str, data: str, cap: int | None = None, scale: float = 1000.0) -> DataFrame:
     """Mean and population deviation per position over waves extended to the longest.
 
     A wave keeps its samples and holds its last value. The held part is not written
     out: waves that end before a position enter it as running sums over end
-    positions, so the cost follows the samples, not waves times the longest."""
-    wave = F.slice(data, 1, cap)
+    positions, so the cost follows the samples, not waves times the longest. Moments are
+    taken around each key's lowest value, so a high level costs no digits. ``cap`` may
+    limit the samples of a wave."""
+    wave = F.col(data) if cap is None else F.slice(data, 1, cap)
+    floor = waves.groupBy(key).agg(F.min(F.array_min(data)).cast("double").alias("_floor"))
     point = lambda pos, x, held: F.struct(pos.cast("int").alias("pos"), x.cast("double").alias("x"), F.lit(held).alias("held"))
     samples = lambda w: F.transform(w, lambda x, i: point(i, x, False))
     points = let(wave, lambda w: F.when(F.size(w) > 0, F.concat(samples(w), F.array(point(F.size(w), F.element_at(w, -1), True)))))
     rows = waves.select(key, F.explode(points).alias("_p")).select(key, "_p.pos", "_p.x", "_p.held")
+    rows = rows.join(floor, key).withColumn("x", F.col("x") - F.col("_floor"))
     part = lambda held, c: F.sum(F.when(F.col("held") == held, c).otherwise(0.0))
     terms = {"_n": F.lit(1.0), "_s": F.col("x"), "_q": F.col("x") * F.col("x")}
-    sums = rows.groupBy(key, "pos").agg(*[part(h, c).alias(f"{n}{int(h)}") for n, c in terms.items() for h in (False, True)])
+    sums = rows.groupBy(key, "pos").agg(F.max("_floor").alias("_floor"), *[part(h, c).alias(f"{n}{int(h)}") for n, c in terms.items() for h in (False, True)])
     upto = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     add = lambda a: (F.col(f"{a}0") + F.sum(f"{a}1").over(upto)).alias(a)
-    at = sums.select(key, "pos", "_n0", *[add(n) for n in terms]).filter("_n0 > 0")
+    at = sums.select(key, "pos", "_floor", "_n0", *[add(n) for n in terms]).filter("_n0 > 0")
     mean, second = F.col("_s") / F.col("_n"), F.col("_q") / F.col("_n")
-    var = second - mean * mean
-    # A variance that small against the second moment is rounding noise.
-    std = F.when(var > second * 1e-12, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0)
-    return at.select(key, "pos", (mean * scale).alias("mean"), (std * scale).alias("std"))
+    std = F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))
+    return at.select(key, "pos", ((mean + F.col("_floor")) * scale).alias("mean"), (std * scale).alias("std"))
 
 
 def amplitude_range(waves: DataFrame, key: str, data: str) -> DataFrame:
@@ -281,6 +284,7 @@ def spaced(
     by default they are the ones with a point at ``cell`` or later."""
     if spacing > cell:
         raise ValueError("spacing must not exceed the cell")
+    shared_dir(points.sparkSession)  # long records are stored on the way: fail before any work, whatever the data
     if long_keys is None:
         long_keys = points.filter(F.col(position) >= cell).select(*keys).distinct()
     found = checked(long_keys)
@@ -304,12 +308,12 @@ def _spaced_cells(cells: DataFrame, keys: list[str], position: str, spacing: int
         free = F.aggregate(at, start + entry, lambda acc, p: F.when(p >= acc, p + spacing).otherwise(acc))
         return F.greatest(free - start - cell, F.lit(0)).cast("int")
 
-    # After an empty cell nothing is blocked any more.
-    before = F.lag("_cell").over(W.partitionBy(*keys).orderBy("_cell"))
-    joined = F.coalesce(before == F.col("_cell") - 1, F.lit(False))
+    # After an empty cell nothing is blocked any more. Only keys and cell numbers meet.
+    before = cells.select(*keys, (F.col("_cell") + 1).alias("_cell"), F.lit(True).alias("_after"))
+    neighbours = cells.join(before, [*keys, "_cell"], "left").withColumn("_joined", F.coalesce("_after", F.lit(False))).drop("_after")
     states = F.sequence(F.lit(0), F.lit(spacing - 1))
     ways = lambda at: F.transform(states, lambda e: leaving(at, F.when(F.col("_joined"), e).otherwise(0)))
-    flagged = spread(cells.withColumn("_joined", joined), [*keys, "_cell"])
+    flagged = spread(neighbours, [*keys, "_cell"])
     # Small, costly to make, and read by every level of the fold.
     steps = cut_lineage(flagged.select(*keys, "_cell", "_joined", let(F.col("_at"), ways).alias("_step")))
     entries = entry_states(steps, keys, "_cell", "_step")

@@ -12,7 +12,7 @@ from beatloom.functions.arrays import let
 from beatloom.functions.hashing import DRAW_RANGE, draw, keyed_md5
 from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, running_total, spread, with_halo
-from beatloom.session import cut_lineage
+from beatloom.session import cut_lineage, shared_dir
 
 
 # ---- vocabulary ------------------------------------------------------------
@@ -177,6 +177,7 @@ def sentences(
 
     ``long_keys`` may name the records that reach beyond ``cell`` beats; by default
     they are found by a filter on ``beat_idx`` that Parquet statistics answer."""
+    shared_dir(assignments.sparkSession)  # long records are stored on the way: fail before any work, whatever the data
     if long_keys is None:
         long_keys = assignments.filter(F.col("beat_idx") >= cell).select(*keys).distinct()
     found = checked(long_keys)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from beatloom import constants as C
 from beatloom.functions.hashing import keyed_md5
-from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import hash_ranked
 
 
@@ -186,8 +185,5 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = C.SEED) -> DataFrame:
 
 
 def members(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose id is in the set; the set is broadcast only if measured small."""
-    small = checked(ids.select(key).distinct())
-    if small is None:
-        return rows.limit(0)
-    return rows.join(small, key, "left_semi")
+    """Rows whose id is in the set."""
+    return rows.join(ids.select(key), key, "left_semi")

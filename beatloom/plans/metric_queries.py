@@ -40,12 +40,12 @@ def record_vote_multi(spark: SparkSession, d: str) -> DataFrame:
 
 def record_vote_binary(spark: SparkSession, d: str) -> DataFrame:
     r = M.record_scores(fx.predictions(spark, d), "record_id", CLASSES)
-    prob = F.round(F.get("probs", F.lit(0)), 9)
+    prob = F.get("probs", F.lit(0))
     return r.select(
         "record_id",
         F.get("pred", F.lit(0)).alias("vote"),
         (prob >= 0.5).cast("int").alias("by_mean"),
-        prob.alias("mean_prob"),
+        F.round(prob, 9).alias("mean_prob"),
         F.get("labels", F.lit(0)).alias("label"),
     )
 
@@ -56,7 +56,7 @@ def record_vote_single(spark: SparkSession, d: str) -> DataFrame:
 
 def _record_long(spark: SparkSession, d: str) -> DataFrame:
     r = M.record_scores(fx.predictions(spark, d), "record_id", CLASSES)
-    return M.long_scores(r.withColumn("probs", F.transform("probs", lambda p: F.round(p, 9))))
+    return M.long_scores(r)
 
 
 def class_auroc(spark: SparkSession, d: str) -> DataFrame:
@@ -108,27 +108,27 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ensemble_probs(spark: SparkSession, d: str) -> DataFrame:
-    e = M.ensemble(_members(spark, d), ["record_id", "sentence_id", "label"], "prob", 3)
+    e = M.ensemble(_members(spark, d), ["record_id", "sentence_id", "label"], "member", "prob", 3)
     return e.select("record_id", "sentence_id", "label", F.round("prob", 9).alias("prob"))
 
 
 def ensemble_record_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Ensemble probability, record vote, then the confusion counts of the records."""
-    e = M.ensemble(_members(spark, d), ["record_id", "sentence_id", "label"], "prob", 3)
-    arrays = e.select("record_id", F.array(F.round("prob", 9)).alias("probs"), F.array("label").alias("labels"))
+    e = M.ensemble(_members(spark, d), ["record_id", "sentence_id", "label"], "member", "prob", 3)
+    arrays = e.select("record_id", F.array("prob").alias("probs"), F.array("label").alias("labels"))
     r = M.record_scores(arrays, "record_id", 1)
     return r.agg(*M.confusion(F.get("pred", F.lit(0)), F.get("labels", F.lit(0))))
 
 
 def ensemble_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return M.alignment_gaps(_members(spark, d), ["record_id", "sentence_id"], 3)
+    return M.alignment_gaps(_members(spark, d), ["record_id", "sentence_id"], "member", "prob", 3)
 
 
 _REC = {
     "rec": """
         SELECT record_id, count(*) AS n, CAST(sum(CASE WHEN p0 > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS v0,
                CAST(sum(CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS v1, CAST(sum(CASE WHEN p2 > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS v2,
-               round(avg(p0), 9) AS m0, round(avg(p1), 9) AS m1, round(avg(p2), 9) AS m2, max(y0) AS y0, max(y1) AS y1, max(y2) AS y2
+               CAST(sum(CAST(p0 AS DECIMAL(28,12))) AS DOUBLE) / count(p0) AS m0, CAST(sum(CAST(p1 AS DECIMAL(28,12))) AS DOUBLE) / count(p1) AS m1, CAST(sum(CAST(p2 AS DECIMAL(28,12))) AS DOUBLE) / count(p2) AS m2, max(y0) AS y0, max(y1) AS y1, max(y2) AS y2
         FROM predictions GROUP BY 1""",
     "voted": """
         SELECT *, CASE WHEN 2*v0 > n THEN 1 ELSE 0 END AS d0, CASE WHEN 2*v1 > n THEN 1 ELSE 0 END AS d1, CASE WHEN 2*v2 > n THEN 1 ELSE 0 END AS d2 FROM rec""",
@@ -145,7 +145,7 @@ _MEM = {
         UNION ALL SELECT record_id, sentence_id, y0, 1, p1 FROM predictions WHERE p1 > 0
         UNION ALL SELECT record_id, sentence_id, y0, 2, p2 FROM predictions WHERE p2 > 0""",
     "ens": """
-        SELECT record_id, sentence_id, label, round(avg(prob), 9) AS prob FROM members GROUP BY 1, 2, 3 HAVING count(*) = 3""",
+        SELECT record_id, sentence_id, label, CAST(sum(CAST(prob AS DECIMAL(28,12))) AS DOUBLE) / count(*) AS prob FROM members GROUP BY 1, 2, 3 HAVING count(*) = 3 AND count(DISTINCT member) = 3""",
 }
 _F1 = lambda p, y: f"coalesce(2.0::DOUBLE * sum({p} * {y}) / nullif(sum({p} + {y}), 0), 0)"
 
@@ -176,7 +176,7 @@ QUERIES = {
         record_vote_binary,
         with_fixtures(
             ["predictions"],
-            "SELECT record_id, d0 AS vote, CASE WHEN m0 >= 0.5 THEN 1 ELSE 0 END AS by_mean, m0 AS mean_prob, y0 AS label FROM voted",
+            "SELECT record_id, d0 AS vote, CASE WHEN m0 >= 0.5 THEN 1 ELSE 0 END AS by_mean, round(m0, 9) AS mean_prob, y0 AS label FROM voted",
             extra=_REC,
         ),
     ),
@@ -257,7 +257,7 @@ QUERIES = {
     ),
     "ensemble_probs": (
         ensemble_probs,
-        with_fixtures(["predictions"], "SELECT record_id, sentence_id, label, prob FROM ens", extra=_MEM),
+        with_fixtures(["predictions"], "SELECT record_id, sentence_id, label, round(prob, 9) AS prob FROM ens", extra=_MEM),
     ),
     "ensemble_record_metrics": (
         ensemble_record_metrics,
@@ -273,7 +273,7 @@ QUERIES = {
     "ensemble_gaps": (
         ensemble_gaps,
         with_fixtures(
-            ["predictions"], "SELECT record_id, sentence_id, count(*) AS members FROM members GROUP BY 1, 2 HAVING count(*) <> 3", extra=_MEM
+            ["predictions"], "SELECT record_id, sentence_id, count(DISTINCT member) AS members, count(*) AS predictions FROM members GROUP BY 1, 2 HAVING count(*) <> 3 OR count(DISTINCT member) <> 3", extra=_MEM
         ),
     ),
 }

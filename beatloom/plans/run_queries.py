@@ -63,23 +63,23 @@ def run_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_table(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 best runs: value at the best epoch joined with the settings in the tag."""
+    """All runs, best first: value at the best epoch joined with the settings in the tag."""
     e = fx.epochs(spark, d)
     best = R.best_epoch_by_gmean(e, ["run"], "gmean", "auroc", PATIENCE)
     best = R.value_at_best(R.value_at_best(best, "gmean"), "auroc")
     tags = _configs(spark, d).select(F.col("p_partkey").alias("run"), R.run_tag().alias("tag"))
     rows = best.select("run", "best_epoch", "best_gmean", "best_auroc").join(tags, "run")
-    top = R.ranked_runs(rows, ["best_auroc", "best_gmean"], "run").limit(50)
+    top = R.ranked_runs(rows, ["best_gmean", "best_auroc"], "run")
     return top.select("run", "best_epoch", "best_gmean", "best_auroc", "tag", R.tag_settings(F.col("tag"))["class_weight"].alias("class_weight"))
 
 
 def metric_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Results of epoch 19 overwritten by those of epoch 20 where these are good; the
-    newer ones have one more column."""
-    e = fx.epochs(spark, d)
-    old = e.filter("epoch = 19").select(F.col("run").alias("seed"), "acc")
-    new = e.filter("epoch = 20 AND acc > 0.4").select(F.col("run").alias("seed"), "acc", "gmean")
-    return R.upsert(old, new, ["seed"])
+    """Results of all epochs overwritten where newer ones are good; the newer ones have one
+    more column."""
+    e = fx.epochs(spark, d).withColumnRenamed("run", "seed")
+    old = e.select("seed", "epoch", "acc")
+    new = e.filter("acc > 0.4").select("seed", "epoch", (F.col("acc") + 1).alias("acc"), "gmean")
+    return R.upsert(old, new, ["seed", "epoch"])
 
 
 def missing_outputs(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,7 @@ def shard_manifest(spark: SparkSession, d: str) -> DataFrame:
     seq = F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)
     recorded = rows.filter("o_orderstatus <> 'P' AND shard < 14").groupBy(*keys, seq.alias("seq")).agg(F.count("*").alias("n_rows"))
     listed = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    return R.shard_manifest(recorded, listed)
+    return R.shard_manifest(recorded, listed).orderBy(*R.manifest_order())
 
 
 def shard_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +259,7 @@ QUERIES = {
             ["epochs"],
             """SELECT e.run, best_epoch, c.gmean AS best_gmean, c.auroc AS best_auroc, t.tag, t.cw AS class_weight
                FROM ends e JOIN curve c ON c.run = e.run AND c.epoch = best_epoch JOIN tags t ON t.k = e.run
-               ORDER BY best_auroc DESC NULLS LAST, best_gmean DESC NULLS LAST, e.run LIMIT 50""",
+               ORDER BY best_gmean DESC NULLS LAST, best_auroc DESC NULLS LAST, e.run""",
             recursive=True,
             extra={**_GMEAN, **_CONF},
         ),
@@ -268,8 +268,7 @@ QUERIES = {
         metric_upsert,
         with_fixtures(
             ["epochs"],
-            """SELECT run AS seed, acc, gmean FROM epochs WHERE epoch = 20 AND acc > 0.4
-               UNION ALL SELECT run, acc, NULL FROM epochs WHERE epoch = 19 AND run NOT IN (SELECT run FROM epochs WHERE epoch = 20 AND acc > 0.4)""",
+            """SELECT run AS seed, epoch, CASE WHEN acc > 0.4 THEN acc + 1 ELSE acc END AS acc, CASE WHEN acc > 0.4 THEN gmean END AS gmean FROM epochs""",
         ),
     ),
     "missing_outputs": (

@@ -68,14 +68,14 @@ def long_form(df: DataFrame, keys: list[str], leads: str) -> DataFrame:
     return one.select(*keys, "lead_idx", F.posexplode("_s").alias("sample_idx", "value"))
 
 
-def signal_rows(df: DataFrame, leads: str, n_leads: int, cap: int = C.MAX_SIGNAL) -> DataFrame:
-    """Rows ready to store: signals cut at ``cap``, with the true and the stored length.
+def signal_rows(df: DataFrame, leads: str, n_leads: int, cap: int | None = None) -> DataFrame:
+    """Rows ready to store: signals cut at ``cap`` if one is given, with the true and the stored length.
     A record with the wrong number of leads, or leads of different length, is an error."""
     sizes = F.transform(leads, lambda a: F.size(a))
     fits = (F.size(leads) == n_leads) & (F.array_max(sizes) == F.array_min(sizes))
-    checked = F.when(fits, F.transform(leads, lambda a: F.slice(a, 1, cap))).otherwise(F.raise_error(F.lit("a record does not have the expected leads")))
+    checked = F.when(fits, (F.col(leads) if cap is None else F.transform(leads, lambda a: F.slice(a, 1, cap)))).otherwise(F.raise_error(F.lit("a record does not have the expected leads")))
     length = F.size(F.element_at(leads, 1))
-    return df.withColumn("length", length).withColumn("stored_length", F.least(length, F.lit(cap))).withColumn(leads, checked)
+    return df.withColumn("length", length).withColumn("stored_length", (length if cap is None else F.least(length, F.lit(cap)))).withColumn(leads, checked)
 
 
 def write_segments(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -85,8 +85,13 @@ def test_decisions_and_losses(spark):
 def test_ensemble(spark):
     rows = [(1, "a", 0.2), (1, "b", 0.4), (2, "a", 0.5)]
     df = spark.createDataFrame(rows, "s int, m string, prob double")
-    assert [(r["s"], round(r["prob"], 9)) for r in M.ensemble(df, ["s"], "prob", 2).collect()] == [(1, 0.3)]
-    assert [r["s"] for r in M.alignment_gaps(df, ["s"], 2).collect()] == [2]
+    assert [(r["s"], round(r["prob"], 9)) for r in M.ensemble(df, ["s"], "m", "prob", 2).collect()] == [(1, 0.3)]
+    assert [r["s"] for r in M.alignment_gaps(df, ["s"], "m", "prob", 2).collect()] == [2]
+    # A doubled member does not stand in for a missing one.
+    twice = spark.createDataFrame([(1, "a", 0.2), (1, "a", 0.3), (2, "a", 0.5), (2, "b", 0.7), (2, "b", 0.7)], "s int, m string, prob double")
+    assert M.ensemble(twice, ["s"], "m", "prob", 2).count() == 0
+    assert M.ensemble(twice, ["s"], "m", "prob", 3).count() == 0
+    assert sorted(r["s"] for r in M.alignment_gaps(twice, ["s"], "m", "prob", 2).collect()) == [1, 2]
 
 
 def test_small_aggregates(spark):

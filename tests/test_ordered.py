@@ -17,7 +17,7 @@ def _rows(seed, n, hot=0.4):
 def test_ranked_hot_and_cold(spark):
     rows = _rows(1, 600)
     df = spark.createDataFrame(rows, "k string, v int, i int")
-    got = O.ranked(df, ["k"], ["v", "i"], [F.floor(F.col("v") / 50)], hot_rows=60).collect()
+    got = O.ranked(df, ["k"], ["v", "i"], [F.floor(F.col("v") / 50)]).collect()
     seen = {}
     for k, v, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         seen.setdefault(k, []).append(i)
@@ -96,3 +96,19 @@ def test_numbered(spark):
     keys = [i * i for i in range(80)]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
     assert {r["k"]: r["record_id"] for r in numbered(df, "k", width=100).collect()} == {k: i for i, k in enumerate(keys)}
+
+
+def test_ranked_with_nulls_equals_one_window(spark):
+    from pyspark.sql import Window as W
+
+    rows = [(k, v, i) for i, (k, v) in enumerate([(None, None), ("a", None), ("a", None), (None, 3), ("a", -70), ("a", 5), ("b", 9), (None, 400)] * 40)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    plain = df.withColumn("want", F.row_number().over(W.partitionBy("k").orderBy("v", "i")) - 1)
+    got = O.ranked(plain, ["k"], ["v", "i"], [F.floor(F.col("v") / 10)], fanout=3)
+    assert got.count() == len(rows)
+    assert got.filter("pos <> want").count() == 0
+
+
+def test_numbered_keeps_nulls(spark):
+    df = spark.createDataFrame([(None,), (7,), (-3,), (100000,)], "k long")
+    assert {r["k"]: r["record_id"] for r in numbered(df, "k", width=2).collect()} == {None: 0, -3: 1, 7: 2, 100000: 3}

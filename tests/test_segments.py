@@ -156,3 +156,18 @@ def test_truncated_is_not_normalised_again(spark):
     df = spark.createDataFrame([("P", [1.0, 2.0, 3.0]), ("T", [1.0, 2.0, 3.0])], "s string, v array<double>")
     got = {r["s"]: r["x"] for r in df.select("s", S.truncated(F.col("v"), F.col("s"), {"P": 1, "T": 5}).alias("x")).collect()}
     assert got == {"P": [1.0], "T": [1.0, 2.0, 3.0]}
+
+
+def test_mean_wave_on_a_high_level(spark):
+    df = spark.createDataFrame([("P", [1e6 - 0.5, 1e6]), ("P", [1e6 + 0.5])], "s string, w array<double>")
+    rows = S.mean_wave(df, "s", "w", scale=1.0).orderBy("pos").collect()
+    assert np.allclose([r["std"] for r in rows], [0.5, 0.25])
+    assert np.allclose([r["mean"] for r in rows], [1e6, 1e6 + 0.25])
+
+
+def test_a_gap_in_the_signal_makes_no_second_row(spark):
+    bounds = [(1, 0, "P", 0, 3, False, 3), (1, 0, "Q", 3, 6, False, 3), (1, 1, "P", 6, 6, True, 0)]
+    segments = spark.createDataFrame(bounds, "k int, beat_idx int, segment string, start int, end int, missing boolean, original_len int")
+    signal = spark.createDataFrame([(1, 0, i, float(i)) for i in range(6) if i != 4], "k int, lead_idx int, sample_idx int, value double")
+    got = sorted((r["beat_idx"], r["segment"], r["original_len"]) for r in S.cut_samples(segments, signal, ["k"], 4, blank_leads=[0]).collect())
+    assert got == [(0, "P", 3), (1, "P", 0)]
