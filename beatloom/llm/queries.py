@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,66 @@ def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", *[F.col(f"_{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
 
 
+_K = url_filter.SYMBOLS
+_FOLDED = r"regexp_replace(regexp_replace(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^a-z0\-./_%?=&#:]', '~', 'g')"
+_RULE_SQL = " ".join(
+    f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{{}}'".format(
+        r
+    )
+    for _, r in sorted(RULES, key=lambda x: (-len(x[1]), x[1]))
+)
+_P = lambda c: f"""  -- smoothed probability of a triple under one class
+  SELECT gram, CASE WHEN n3 + t3 > 0 THEN (c3 + t3 * p2) / (n3 + t3) ELSE p2 END AS p FROM (
+    SELECT *, CASE WHEN n2 + t2 > 0 THEN (c2 + t2 * p1) / (n2 + t2) ELSE p1 END AS p2 FROM (
+      SELECT *, CASE WHEN n1 + t1 > 0 THEN (c1 + t1 * {1.0 / _K!r}::DOUBLE) / (n1 + t1) ELSE {1.0 / _K!r}::DOUBLE END AS p1 FROM (
+        SELECT f.gram, CAST(f.{c} AS DOUBLE) AS c3,
+          CAST(sum(f.{c}) OVER (PARTITION BY x, y) AS DOUBLE) AS n3, CAST(count(*) FILTER (WHERE f.{c} > 0) OVER (PARTITION BY x, y) AS DOUBLE) AS t3,
+          CAST(yz.c2 AS DOUBLE) AS c2, CAST(ys.n2 AS DOUBLE) AS n2, CAST(ys.t2 AS DOUBLE) AS t2,
+          CAST(zs.c1 AS DOUBLE) AS c1, CAST(tot.n1 AS DOUBLE) AS n1, CAST(tot.t1 AS DOUBLE) AS t1
+        FROM full_counts f
+        JOIN (SELECT y, z, sum({c}) AS c2 FROM full_counts GROUP BY y, z) yz USING (y, z)
+        JOIN (SELECT y, sum(c2) AS n2, count(*) FILTER (WHERE c2 > 0) AS t2 FROM (SELECT y, z, sum({c}) AS c2 FROM full_counts GROUP BY y, z) GROUP BY y) ys USING (y)
+        JOIN (SELECT z, sum({c}) AS c1 FROM full_counts GROUP BY z) zs USING (z),
+        (SELECT sum(c1) AS n1, count(*) FILTER (WHERE c1 > 0) AS t1 FROM (SELECT z, sum({c}) AS c1 FROM full_counts GROUP BY z)) tot)))"""
+OP1_SQL = f"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), h AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM u
+), r AS (
+  SELECT row_number() OVER () AS id, *, CASE {_RULE_SQL} END AS rule, CAST('0x' || substr(md5(coalesce(url, '')), 1, 8) AS BIGINT) % 5 AS fold,
+    list_concat([0, 0], list_concat(list_transform(list_filter(string_split({_FOLDED}, ''), lambda c: c <> ''), lambda c: instr('{url_filter.ALPHABET}', c)), [{_K - 1}])) AS codes
+  FROM h
+), v AS (
+  SELECT *, CASE {' '.join(f"WHEN rule = '{r}' THEN '{k}'" for k, r in RULES)} END AS said, len(codes) - 2 AS n FROM r
+), g AS (
+  SELECT id, unnest(list_transform(range(1, n + 1), lambda i: (codes[i] * {_K} + codes[i + 1]) * {_K} + codes[i + 2])) AS gram FROM v
+), full_counts AS (
+  SELECT gram, gram // {_K * _K} AS x, gram // {_K} % {_K} AS y, gram % {_K} AS z, coalesce(a, 0) AS a, coalesce(r, 0) AS r
+  FROM (SELECT unnest(range({_K**3})) AS gram) LEFT JOIN (
+    SELECT gram, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS r
+    FROM g JOIN v USING (id) WHERE said IS NOT NULL AND fold <> 0 GROUP BY gram) USING (gram)
+), m AS (
+  SELECT gram, CAST(round((ln(a.p) - ln(b.p)) * {url_filter.SCALE}) AS BIGINT) AS ratio FROM ({_P('a')}) a JOIN ({_P('r')}) b USING (gram)
+), s AS (
+  SELECT id, CAST(floor(sum(ratio) / any_value(n) / {url_filter.STEP}) AS BIGINT) AS score FROM g JOIN m USING (gram) JOIN v USING (id) GROUP BY id
+), bins AS (
+  SELECT score, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS r
+  FROM s JOIN v USING (id) WHERE said IS NOT NULL AND fold = 0 GROUP BY score
+), steps AS (
+  SELECT score, sum(a) OVER w AS a, sum(r) OVER w AS r, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
+  FROM (SELECT * FROM bins UNION ALL SELECT max(score) + 1, 0, 0 FROM bins HAVING count(*) > 0)
+  WINDOW w AS (ORDER BY score DESC)
+), lim AS (
+  SELECT first(score ORDER BY CASE WHEN all_a > 0 THEN a * all_r - r * all_a ELSE -r END DESC, score) AS edge FROM steps WHERE all_r > 0
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN edge IS NULL OR score >= edge THEN 'allow' ELSE 'block' END) AS verdict
+FROM v JOIN s USING (id), lim
+"""
+
+
 def op2_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
@@ -50,6 +112,52 @@ def op4_secrets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _located(pattern: str, keep: str) -> str:
+    """Matches of a pattern as (start, end, match), from the pieces around them."""
+    return f"""SELECT id, a, a + length(m) AS b, m FROM (
+      SELECT id, m, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM (
+        SELECT id, gaps, ms, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m FROM (
+          SELECT id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms FROM d WHERE regexp_matches(text, '{pattern}')))) WHERE {keep}"""
+
+
+_ASSIGN_SQL = "(" + "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")
+) + """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_MOST = "CASE " + " ".join(
+    f"WHEN regexp_matches(m, '{p}') THEN {round(secrets.SCALE * secrets.WINDOW * (math.log2(secrets.WINDOW) - b))}" for p, b in secrets.CLASSES
+) + " END"
+_NOT_ALLOWED = " AND ".join([f"NOT contains(lower(m), '{x}')" for x in secrets.ALLOWED] + [f"NOT regexp_matches(m, '{secrets.ALLOWED_WHOLE}')"])
+OP4_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents
+), base AS (
+  SELECT id, a, 0 AS k, b FROM ({_located(_ASSIGN_SQL, f"length(regexp_extract(m, '{_ASSIGN_SQL}', 2)) >= 6")})
+  UNION ALL SELECT id, a, 1, b FROM ({_located('AKIA[A-Z0-9]+', 'length(m) >= 20')})
+  UNION ALL SELECT id, a, 2, b FROM ({_located('[0-9a-f]+', 'length(m) >= 24')})
+), runs AS (
+  SELECT id, a, m, {_MOST} AS most FROM ({_located('[A-Za-z0-9+/_=-]{20,}', 'true')}) WHERE regexp_matches(m, '[0-9]') AND {_NOT_ALLOWED}
+), wins AS (
+  SELECT id, a, most, unnest(range(0, length(m) - 19)) AS p, unnest(list_transform(range(0, length(m) - 19), lambda p: substr(m, p + 1, 20))) AS w FROM runs
+), hit AS (
+  SELECT id, a, p FROM wins
+  WHERE list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda c: {secrets.PARTS!r}[CAST(c AS BIGINT) + 1])) <= most
+), parted AS (
+  SELECT *, sum(CAST(p > coalesce(before, -100) + 20 AS INT)) OVER (PARTITION BY id, a ORDER BY p) AS part
+  FROM (SELECT *, lag(p) OVER (PARTITION BY id, a ORDER BY p) AS before FROM hit)
+), every AS (
+  SELECT * FROM base UNION ALL SELECT id, a + min(p), 3, a + max(p) + 20 FROM parted GROUP BY id, a, part
+), named AS (
+  SELECT id, k, a, b, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || a || ':' || b AS name FROM every
+), made AS (
+  SELECT id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+    string_agg(name, ',' ORDER BY a, k, b) FILTER (WHERE k < 3) AS base, string_agg(name, ',' ORDER BY a, k, b) AS spans
+  FROM named GROUP BY id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN made USING (id)
+"""
+
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -210,9 +318,9 @@ FROM h JOIN w USING (h)
 """
 
 QUERIES: dict = {
-    "op1_url_filter": (op1_url_filter, None),
+    "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op2_quality": (op2_quality, None),
-    "op4_secrets": (op4_secrets, None),
+    "op4_secrets": (op4_secrets, OP4_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op3_decontamination": (op3_decontamination, OP3_SQL),
     "op6_jaccard": (op6_jaccard, OP6_SQL),
