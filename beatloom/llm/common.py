@@ -41,6 +41,12 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and, as ``_row``, whole rows, so that no further column can clash with those
+    an operator adds; ``select("_row.*")`` gives the rows back."""
+    return df.select(F.struct("*").alias("_row"), *columns)
+
+
 def parts(total_bytes: int | None, per_part: int) -> int:
     return max(1, -(-int(total_bytes or 0) // per_part))
 

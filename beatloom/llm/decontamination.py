@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatloom.llm.common import Words, row_chunks, stored, utf8_buffers
+from beatloom.llm.common import Words, packed, row_chunks, stored, utf8_buffers
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -239,6 +239,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
     """``docs`` with _words (long), _hits (array: first and end word of each stretch hit, in turn)
     and _items (array of the item_ids with a window in the document). Documents never move
     between tasks; with several benchmark blocks the rows are stored between the passes."""
+    docs = docs.drop("_words", "_hits", "_items")
     for k, items in enumerate(blocks(benchmark, block_words)):
         docs = _pass(stored(docs, "searched") if k else docs, items, window, "verdict")
     return docs
@@ -266,7 +267,7 @@ def contaminated(share: int = 20):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged."""
-    return judged(docs, benchmark, **settings).filter(~contaminated()).select(*docs.columns)
+    return judged(packed(docs, "text"), benchmark, **settings).filter(~contaminated()).select("_row.*")
 
 
 def items_sha256():

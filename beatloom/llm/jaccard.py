@@ -15,10 +15,11 @@ hashes of all their one-deletion neighbours.
   that many texts share) are measured on all data and dropped from every set that can do without:
   one whose hot keys cost no more units than the surplus. A similar pair with such a set still
   agrees in another key; two sets that need their hot keys both keep them.
-* Sets with an index key in common form buckets. In a bucket every set is paired with the first
-  one; sets are grouped by the links found. In buckets that still hold several groups, the
-  remaining pairs between groups follow. So no pair within a group is spelled out, and no link
-  between groups is lost.
+* Sets with an index key in common form buckets. The pairs of a small bucket are listed. In a larger
+  one every set is paired with a few leads (those first by several fixed shuffles, so mostly the
+  same in all buckets); sets are grouped by the links found, and where buckets hold several groups
+  yet, other leads follow. After ``ROUNDS`` such rounds the remaining pairs between groups are
+  listed. So hardly a pair within a group is spelled out, and no link between groups is lost.
 * Before texts are fetched, a pair must pass a parity sketch: the elements of a set flip bits, so
   the bits in which two sketches differ never outnumber the elements in which the sets differ.
   Pairs that pass are verified on the words themselves.
@@ -40,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beatloom.llm.common import Words, mixed, row_chunks, stored, utf8_buffers
+from beatloom.llm.common import Words, mixed, packed, row_chunks, stored, utf8_buffers
 
 N = 4
 NUM, DEN = 85, 100
 BAND = 2  # a band spans this many steps of size ratio DEN / NUM
 SPARE = 12  # one unit of surplus per so many units
 HOT = 4
+SMALL = 6  # sets of a bucket whose pairs are all listed
+LEADS, ROUNDS = 6, 3
 CHANCE = 0.02  # chance that an element of a set is in an unrelated one, for the allocation's cost
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -69,8 +72,9 @@ def gram_hashes(raw: np.ndarray, offsets: np.ndarray, words: Words, n: int) -> t
         g = g * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(at, len(h) - 1)], np.uint64(k + 1)) if len(h) else g
         g = mixed(g)
     r = row[full]
-    order = np.lexsort((g, r))
-    r, g = r[order], g[order]
+    cuts = np.searchsorted(r, np.arange(len(count) + 1)).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        g[a:b].sort()
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
     return r[new], g[new]
@@ -185,13 +189,10 @@ def index_keys(rows: np.ndarray, grams: np.ndarray, band: int, plan: tuple[int,
     segments, deletions, _ = plan
     seg = (mixed(grams ^ np.uint64(0x5851F42D4C957F2D + band)) % np.uint64(segments)).astype(np.int64)
     which, row = np.unique(rows, return_inverse=True)
-    cell = row * segments + seg
-    order = np.argsort(cell, kind="stable")
-    cell, g = cell[order], mixed(grams[order] + np.uint64(0x14057B7EF767814F))
+    cell, g = row * segments + seg, mixed(grams + np.uint64(0x14057B7EF767814F))
     every = np.arange(len(which) * segments)
-    begins, ends = np.searchsorted(cell, every), np.searchsorted(cell, every, side="right")
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g, dtype=np.uint64)])
-    total = run[ends] - run[begins]
+    total = np.zeros(len(every), np.uint64)
+    np.add.at(total, cell, g)
 
     def key(cells: np.ndarray, sums: np.ndarray) -> np.ndarray:
         return mixed(sums + mixed((cells % segments).astype(np.uint64) * np.uint64(1024) + np.uint64(band))).view(np.int64)
@@ -265,6 +266,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     its partners' texts one after another; sets with many partners go to several tasks."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     reps = classes.join(wanted, "sid").select("sid", "digest", F.col("rep.doc_id").alias("_rep"), F.col("rep.text_hash").alias("_hash"))
+    reps = stored(reps, "pair-documents")  # its size is known before the texts move
     found = _hashed(docs).join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("text_hash") == F.col("_hash")))
     texts = stored(found.select("sid", "digest", "text").dropDuplicates(["digest"]), "pair-texts")
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("_fan"))
@@ -316,8 +318,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
-    """(key, sid, lead): index rows whose key more than one set keeps; ``lead`` is the smallest
-    of these sets. None where no set can have a similar other one."""
+    """(key, sid, n): index rows whose key more than one set keeps; ``n`` sets keep it. None
+    where no set can have a similar other one."""
     largest = classes.agg(F.max("size")).first()[0]
     if largest is None:
         return None
@@ -329,15 +331,16 @@ def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     if not plans:
         return None
     rows = index(docs, bands, plans, n)
-    ends = lambda df: df.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("_last"), F.count("*").alias("_n")).filter("lead < _last")
-    shared = ends(rows).select("key", "lead", (F.col("_n") >= HOT).alias("hot"))
-    all_rows = stored(rows.join(shared, "key").groupBy("key", "sid").agg(F.max("tag").alias("tag"), F.first("lead").alias("lead"), F.first("hot").alias("hot")), "index-rows")
+    # Copies that were indexed apart count too: a key of copies alone ends with one row.
+    held_by = lambda df: df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    all_rows = rows.join(held_by(rows), "key").groupBy("key", "sid").agg(F.max("tag").alias("tag"), F.first("n").alias("n"))
+    all_rows = stored(all_rows.withColumn("hot", F.col("n") >= HOT), "index-rows")
     surplus = F.element_at(F.create_map(*[F.lit(x) for band, plan in plans.items() for x in (band, plan[2])]), F.col("band"))
     hot = all_rows.filter("hot").withColumn("band", F.floor(F.col("tag") / 4).cast("int"))
     poor = hot.groupBy("sid", "band").agg(F.sum(F.col("tag") % 4).alias("_lost")).filter(F.col("_lost") > surplus).select("sid", "band")
     kept = hot.join(poor, ["sid", "band"], "left_semi").select("key", "sid")
-    again = kept.join(ends(kept).select("key", "lead"), "key").select("key", "sid", "lead")
-    return stored(all_rows.filter("NOT hot").select("key", "sid", "lead").union(again), "buckets")
+    again = kept.join(held_by(kept), "key").select("key", "sid", "n")
+    return stored(all_rows.filter("NOT hot").select("key", "sid", "n").union(again), "buckets")
 
 
 def _marked(classes: DataFrame, sid: str, tag: str) -> DataFrame:
@@ -352,27 +355,68 @@ def _near(left: str, right: str, num: int, den: int) -> Column:
     return differ * (den + num) <= (F.col(f"{left}_size") + F.col(f"{right}_size")) * (den - num)
 
 
-def leading(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): every set of a bucket with its lead, as far as the sketches allow."""
-    pairs = shared.filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    both = pairs.join(_marked(classes, "a", "x"), "a").join(_marked(classes, "b", "y"), "b")
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct ``pairs`` (a, b) that the sketches allow."""
+    both = pairs.distinct().join(_marked(classes, "a", "x"), "a").join(_marked(classes, "b", "y"), "b")
     return both.filter(_near("x", "y", num, den)).select("a", "b")
 
 
-def crossing(shared: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of sets in a bucket that are in different groups, neither of which leads
-    it (pairs with the lead are done), as far as the sketches allow."""
-    placed = shared.filter("sid <> lead").join(roots, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+def listed(shared: DataFrame) -> DataFrame:
+    """(a, b): all pairs of the small buckets."""
+    rows = shared.filter(F.col("n") <= SMALL).select("key", "sid")
+    left, right = rows.withColumnRenamed("sid", "a"), rows.withColumnRenamed("sid", "b")
+    return left.join(right, "key").filter("a < b").select("a", "b")
+
+
+def led(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the sets of every bucket with its leads of this turn, as far as they are in
+    different groups. ``rows``: (key, sid, root)."""
+    first = [F.min_by(F.struct("sid", "root"), F.xxhash64("sid", F.lit(LEADS * turn + k))) for k in range(LEADS)]
+    leads = rows.groupBy("key").agg(F.array_distinct(F.array(*first)).alias("_leads"))
+    met = rows.join(leads, "key").select("sid", "root", F.explode("_leads").alias("_lead")).filter("root <> _lead.root")
+    return met.select(F.least("sid", "_lead.sid").alias("a"), F.greatest("sid", "_lead.sid").alias("b"))
+
+
+def divided(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (key, sid, root) of buckets that hold several groups."""
+    placed = rows.select("key", "sid").join(roots, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("key")
-    rest = stored(placed.join(split, "key"), "crossing")
-    left = rest.withColumnRenamed("sid", "a").join(_marked(classes, "a", "x"), "a")
-    right = rest.select("key", F.col("sid").alias("b"), F.col("root").alias("_root")).join(_marked(classes, "b", "y"), "b")
+    return stored(placed.join(split, "key"), "divided")
+
+
+def crossing(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): all pairs of a bucket in different groups that the sketches allow."""
+    left = rows.withColumnRenamed("sid", "a").join(_marked(classes, "a", "x"), "a")
+    right = rows.select("key", F.col("sid").alias("b"), F.col("root").alias("_root")).join(_marked(classes, "b", "y"), "b")
     same = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("_root")) & _near("x", "y", num, den)
     return left.join(right, same).select("a", "b").distinct()
 
 
+def linked(docs: DataFrame, classes: DataFrame, shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(sid, root) of the sets that have links: the smallest set that they reach."""
+    large = shared.filter(F.col("n") > SMALL).select("key", "sid", F.col("sid").alias("root"))
+    pairs = stored(_possible(listed(shared).union(led(large, 0)), classes, num, den), "pairs")
+    links = stored(verified(pairs, classes, docs, n, num, den), "links")
+    roots = components(links)
+    for turn in range(1, ROUNDS + 1):
+        rest = divided(large, roots)
+        if not rest.limit(1).count():
+            break
+        more = _possible(led(rest, turn), classes, num, den) if turn < ROUNDS else crossing(rest, classes, num, den)
+        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.limit(1).count():
+            continue
+        found = stored(verified(more, classes, docs, n, num, den), "links")
+        pairs = pairs.union(more)
+        if found.limit(1).count():
+            links = links.union(found)
+            roots = components(links)
+    return roots
+
+
 def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of every document."""
+    """(doc_id, text_hash, n_shingles, component_id, group) of every document; ``group`` tells
+    groups apart where doc_ids are repeated."""
     least = -(2**63)
     members = stored(sets(docs, n), "sets")
     classes = members.filter("sid IS NOT NULL").groupBy("digest", "sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
@@ -380,30 +424,23 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     shared = buckets(docs, classes, n, num, den)
     named = classes.select("digest", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"), F.col("sid").alias("_root"))
     if shared is not None:
-        pairs = stored(leading(shared, classes, num, den), "pairs")
-        links = stored(verified(pairs, classes, docs, n, num, den), "links")
-        roots = components(links)
-        more = stored(crossing(shared, roots, classes, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            again = stored(verified(more, classes, docs, n, num, den), "links")
-            if again.limit(1).count():
-                roots = components(links.union(again))
-        linked = classes.join(roots, "sid").select("digest", "root", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"))
-        linked = linked.join(linked.groupBy("root").agg(F.min("_first").alias("_least")), "root").select("digest", "_least")
-        named = named.join(linked, "digest", "left").select("digest", F.coalesce("_least", "_first").alias("_first"))
-    out = members.drop("sketch").join(named.select("digest", "_first"), "digest", "left")
+        roots = linked(docs, classes, shared, n, num, den)
+        found = classes.join(roots, "sid").select("digest", "root", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"))
+        found = found.join(found.groupBy("root").agg(F.min("_first").alias("_least")), "root").select("digest", "_least", "root")
+        named = named.join(found, "digest", "left").select("digest", F.coalesce("_least", "_first").alias("_first"), F.coalesce("root", "_root").alias("_root"))
+    out = members.drop("sketch").join(named, "digest", "left")
     alone = F.coalesce("_first", "doc_id")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(alone != least, alone).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(alone != least, alone).alias("component_id"), F.col("_root").alias("group"))
 
 
 def first_documents(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``docs`` with one document left of each group, the smallest doc_id; documents
     without words stay. Of rows that repeat that doc_id in the group one stays."""
     plan = groups(docs, n, num, den)
-    keep = plan.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_grouped"))
+    keep = plan.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("_k"))
+    keep = keep.select(F.col("_k.doc_id").alias("_id"), F.col("_k.text_hash").alias("_hash"), F.lit(True).alias("_grouped"))
     empty = plan.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(False).alias("_grouped")).distinct()
-    full = docs.withColumn("_text_hash", F.xxhash64("text"))
+    full = packed(docs, "doc_id", F.xxhash64("text").alias("_text_hash"))
     kept = full.join(keep.union(empty), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     once = kept.filter("_grouped").dropDuplicates(["_id", "_text_hash"])
-    return once.select(*docs.columns).union(kept.filter("NOT _grouped").select(*docs.columns))
+    return once.select("_row.*").union(kept.filter("NOT _grouped").select("_row.*"))

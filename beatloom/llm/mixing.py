@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beatloom.llm.common import stored
+from beatloom.llm.common import packed, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -105,8 +105,8 @@ def schedule(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that the mix takes, whole, each as often as it is taken."""
-    key = draw().alias("_draw")
     takes = schedule(docs, **settings).filter("turns > 0").select(F.col("draw").alias("_d"), F.col("source").alias("_s"), "turns").distinct()
     takes = takes.withColumnRenamed("turns", "_turns")
-    full = docs.select("*", key).join(takes, (F.col("_draw") == F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    return full.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select(*docs.columns)
+    full = packed(docs, draw().alias("_draw"), F.col("source").cast("string").alias("_source"))
+    full = full.join(takes, (F.col("_draw") == F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")))
+    return full.select("_row", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select("_row.*")

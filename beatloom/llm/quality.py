@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatloom.llm.common import Words, mixed, row_chunks, utf8_buffers
+from beatloom.llm.common import Words, mixed, packed, row_chunks, utf8_buffers
 from beatloom.llm.labelled import SAMPLE_ROWS, training_rows
 
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
-    """``docs`` with ``_score`` (double, 0 to 1)."""
+    """``docs`` with ``_score`` (double, 0 to 1; a column of that name is replaced)."""
+    docs = docs.drop("_score")
     parts = (model.edges, model.feature, model.above, model.value, model.base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +218,4 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Trees, limit: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``limit`` or more, unchanged."""
-    return scored(docs, model).filter(F.col("_score") >= limit).select(*docs.columns)
+    return scored(packed(docs, "text"), model).filter(F.col("_score") >= limit).select("_row.*")

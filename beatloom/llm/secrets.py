@@ -152,5 +152,5 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
         return F.aggregate(x["spans"], start, step, lambda acc: F.concat(acc["out"], F.substring(x["text"], acc["at"] + 1, F.length(x["text"]))))
 
-    clean = let(F.struct(F.col("text").alias("text"), F.col("_spans").alias("spans")), cut)
-    return scanned(docs).withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    found = F.struct(F.col("text").alias("text"), spans(F.coalesce("text", F.lit(""))).alias("spans"))
+    return docs.withColumn("text", F.when(F.col("text").isNotNull(), let(found, cut)))

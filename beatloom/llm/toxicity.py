@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatloom.llm.common import Words, row_chunks, utf8_buffers
+from beatloom.llm.common import Words, packed, row_chunks, utf8_buffers
 from beatloom.llm.labelled import SAMPLE_ROWS, training_rows
 
 BUCKETS = 1 << 18
@@ -205,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_score`` (double, 0 to 1)."""
+    """``docs`` with ``_score`` (double, 0 to 1; a column of that name is replaced)."""
+    docs = docs.drop("_score")
     buckets, weights, base = model.buckets, model.weights, model.base
     from pyspark.sql import types as T
 
@@ -224,4 +225,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, unchanged."""
-    return scored(docs, model).filter(F.col("_score") < limit).select(*docs.columns)
+    return scored(packed(docs, "text"), model).filter(F.col("_score") < limit).select("_row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.functions.arrays import let
-from beatloom.llm.common import stored
+from beatloom.llm.common import packed, stored
 
 #: Folded alphabet, codes 1 on: letters, any digit, marks, anything else. 0 stands before a url,
 #: the last code behind it.
@@ -121,8 +121,9 @@ def calibrated(scores: DataFrame) -> int | None:
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """``pages`` with _host, _path, _rule, _verdict."""
-    rows = pages.withColumns({"_host": host(F.coalesce("url", F.lit(""))), "_path": path(F.coalesce("url", F.lit("")))})
+    """``pages`` with _host, _path, _rule, _verdict (columns of these names are replaced)."""
+    rows = pages.drop("_host", "_path", "_rule", "_verdict", "_said", "_score", "_model")
+    rows = rows.withColumns({"_host": host(F.coalesce("url", F.lit(""))), "_path": path(F.coalesce("url", F.lit("")))})
     rule, verdict = ruled(F.col("_host"), F.col("_path"), rules)
     rows = rows.withColumns({"_rule": rule, "_said": verdict})
     known = rows.filter("_said IS NOT NULL").select("url", (F.col("_said") == "allow").alias("accepted"), fold(F.col("url")).alias("_fold"))
@@ -137,4 +138,4 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 def allowed(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """The rows of ``pages`` whose url is allowed, unchanged."""
-    return judged(pages, rules).filter("_verdict = 'allow'").select(*pages.columns)
+    return judged(packed(pages, "url"), rules).filter("_verdict = 'allow'").select("_row.*")
