@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from beatloom.session import shared_dir
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; the cluster's clean-up of that folder removes it."""
     return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
@@ -22,10 +25,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: worked out once,
-    lineage cut, safe when executors are lost."""
+    lineage cut, safe when executors are lost. The shuffle files of this one write are of no
+    use afterwards, so Spark is asked to remove them when it ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

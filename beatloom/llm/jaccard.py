@@ -339,8 +339,8 @@ def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     hot = all_rows.filter("hot").withColumn("band", F.floor(F.col("tag") / 4).cast("int"))
     poor = hot.groupBy("sid", "band").agg(F.sum(F.col("tag") % 4).alias("_lost")).filter(F.col("_lost") > surplus).select("sid", "band")
     kept = hot.join(poor, ["sid", "band"], "left_semi").select("key", "sid")
-    again = kept.join(held_by(kept), "key").select("key", "sid", "n")
-    return stored(all_rows.filter("NOT hot").select("key", "sid", "n").union(again), "buckets")
+    again = stored(kept.join(held_by(kept), "key").select("key", "sid", "n"), "hot-rows")
+    return all_rows.filter("NOT hot").select("key", "sid", "n").union(again)
 
 
 def _marked(classes: DataFrame, sid: str, tag: str) -> DataFrame:

@@ -75,11 +75,11 @@ WITH u AS (
   SELECT score, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS r
   FROM s JOIN v USING (id) WHERE said IS NOT NULL AND fold = 0 GROUP BY score
 ), steps AS (
-  SELECT score, sum(a) OVER w AS a, sum(r) OVER w AS r, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
+  SELECT score, lag(score) OVER (ORDER BY score) AS below, sum(a) OVER w AS a, sum(r) OVER w AS r, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
   FROM (SELECT * FROM bins UNION ALL SELECT max(score) + 1, 0, 0 FROM bins HAVING count(*) > 0)
   WINDOW w AS (ORDER BY score DESC)
 ), lim AS (
-  SELECT first(score ORDER BY CASE WHEN all_a > 0 THEN a * all_r - r * all_a ELSE -r END DESC, score) AS edge FROM steps WHERE all_r > 0
+  SELECT first(coalesce(CAST(ceil((score + below) / 2.0) AS BIGINT), score) ORDER BY CASE WHEN all_a > 0 THEN a * all_r - r * all_a ELSE -r END DESC, score) AS edge FROM steps WHERE all_r > 0
 )
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN edge IS NULL OR score >= edge THEN 'allow' ELSE 'block' END) AS verdict
 FROM v JOIN s USING (id), lim

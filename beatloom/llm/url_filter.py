@@ -104,19 +104,19 @@ def scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 def calibrated(scores: DataFrame) -> int | None:
-    """The limit from (_score, accepted) rows: the smallest score at which accepted urls lead
-    rejected ones by most; None allows all."""
+    """The limit from (_score, accepted) rows: halfway down from the smallest score at which
+    accepted urls lead rejected ones by most to the next score seen; None allows all."""
     bins = scores.groupBy("_score").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
     found = sorted((s, a, r) for s, a, r in bins.collect())  # a row per hundredth
     all_a, all_r = sum(x[1] for x in found), sum(x[2] for x in found)
     if not all_r:
         return None
-    best, limit, a, r = None, None, all_a, all_r
+    best, limit, below, a, r = None, None, None, all_a, all_r
     for s, da, dr in [*found, (found[-1][0] + 1, 0, 0)]:
         lead = a * all_r - r * all_a if all_a else -r
         if best is None or lead > best:
-            best, limit = lead, s
-        a, r = a - da, r - dr
+            best, limit = lead, s if below is None else -(-(s + below) // 2)
+        below, a, r = s, a - da, r - dr
     return limit
 
 
