@@ -87,6 +87,13 @@ def segment_waveforms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*REC, "beat_idx", "segment", "original_len", A.as_text(F.col("data"), 10_000).alias("data"))
 
 
+def truncated_waves(spark: SparkSession, d: str) -> DataFrame:
+    """Waves normalised at full length, then cut to the modelling length of their lead."""
+    w = fx.waves(spark, d).filter("original_len > 0").withColumn("segment", F.concat(F.lit("L"), F.col("lead_idx").cast("string")))
+    data = S.truncated(A.z_normalise(F.col("data")), F.col("segment"), {"L0": 3, "L1": 5, "L2": 12})
+    return w.select(*REC, "beat_idx", "lead_idx", A.as_text(data, 10_000).alias("data"))
+
+
 def segment_profile(spark: SparkSession, d: str) -> DataFrame:
     p = S.length_profile(S.segment_rows(_beats(spark, d), REC, keep_missing=True), "segment", "original_len", score=2)
     return p.select("segment", "zeros", "n", "longest", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p50", "p95", "p99", "score_rank")])
@@ -263,6 +270,15 @@ QUERIES = {
             extra=_SEG,
         ),
     ),
+    "truncated_waves": (
+        truncated_waves,
+        with_fixtures(
+            ["waves"],
+            f"""SELECT patient_id, study_id, beat_idx, lead_idx,
+                       {_text('list_transform(data[1:CASE lead_idx WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 12 END], lambda x: CASE WHEN sd > 0 THEN (x - m) / sd ELSE 0.0 END)', 10000)} AS data
+                FROM (SELECT *, list_avg(data) AS m, list_stddev_pop(data) AS sd FROM waves WHERE original_len > 0) x""",
+        ),
+    ),
     "segment_profile": (
         segment_profile,
         with_fixtures(
