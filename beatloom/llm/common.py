@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,17 @@ from beatloom.session import shared_dir
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def _released(spark: SparkSession):
+    """The shuffle files of a write are of no use once it has ended: Spark removes them then."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; the cluster's clean-up of that folder removes it."""
     return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
@@ -25,16 +37,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: worked out once,
-    lineage cut, safe when executors are lost. The shuffle files of this one write are of no
-    use afterwards, so Spark is asked to remove them when it ends."""
+    lineage cut, safe when executors are lost."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _released(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,7 +49,8 @@ def write_raw(df: DataFrame, path: str, separator: str) -> None:
     """One binary column to files: every row's bytes, then ``separator`` (its code points as
     bytes). Spark's text writer is used because it commits per task and reaches any store."""
     (name,) = df.columns
-    df.select(F.col(name).cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    with _released(df.sparkSession):
+        df.select(F.col(name).cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

@@ -11,11 +11,13 @@ hashes of all their one-deletion neighbours.
   partner there is possible; segments and units are fixed per band by its largest size.
 * Allocation: per band, the number of segments with deletions is the one of least cost, by the
   index rows of its sets and the chance agreements expected among as many sets as it holds.
-* A few units more than needed are given. Keys of ``HOT`` or more sets (empty segments, passages
-  that many texts share) are measured on all data and dropped from every set that can do without:
-  one whose hot keys cost no more units than the surplus. A similar pair with such a set still
-  agrees in another key; two sets that need their hot keys both keep them.
-* Sets with an index key in common form buckets. The pairs of a small bucket are listed. In a larger
+* A surplus of units is given. Keys of ``HOT`` or more sets (empty segments, passages that many
+  texts share) are measured on all data and dropped from every set that can do without: one whose
+  hot keys cost no more than half of the surplus. A similar pair with such a set still agrees
+  in keys worth the other half, all of them of fewer than ``HOT`` sets: these keys' pairs are listed
+  and counted, and pairs with fewer keys in common are no candidates. Sets that need their hot
+  keys keep them, and pairs of two such sets are candidates by any key.
+* Hot keys of the sets that keep them form buckets. The pairs of a small bucket are listed. In a larger
   one every set is paired with a few leads (those first by several fixed shuffles, so mostly the
   same in all buckets); sets are grouped by the links found, and where buckets hold several groups
   yet, other leads follow. After ``ROUNDS`` such rounds the remaining pairs between groups are
@@ -46,7 +48,7 @@ from beatloom.llm.common import Words, mixed, packed, row_chunks, stored, utf8_b
 N = 4
 NUM, DEN = 85, 100
 BAND = 2  # a band spans this many steps of size ratio DEN / NUM
-SPARE = 12  # one unit of surplus per so many units
+SPARE = 10  # one unit of surplus per so many units
 HOT = 4
 SMALL = 6  # sets of a bucket whose pairs are all listed
 LEADS, ROUNDS = 6, 3
@@ -181,11 +183,18 @@ def allocation(bands: Bands, held: dict[int, int]) -> dict[int, tuple[int, int,
     return out
 
 
+def least_keys(plan: tuple[int, int, int]) -> int:
+    """Keys that a similar pair has in common at least, after one set has lost up to half of the
+    surplus to hot keys. An agreement in a segment with deletions counts two units but may be one key."""
+    _, deletions, surplus = plan
+    units = 1 + surplus - surplus // 2
+    return -(-units // 2) if deletions else units
+
+
 def index_keys(rows: np.ndarray, grams: np.ndarray, band: int, plan: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, units) for sets that are all in ``band``'s scheme. Equal keys: equal segment
     number and equal elements, as whole segments or with one element left out. ``units`` is
-    what a set loses that does without the key: all that the segment was given for the whole
-    segment, one for a neighbour."""
+    what a set may lose that does without the key: all that the segment was given."""
     segments, deletions, _ = plan
     seg = (mixed(grams ^ np.uint64(0x5851F42D4C957F2D + band)) % np.uint64(segments)).astype(np.int64)
     which, row = np.unique(rows, return_inverse=True)
@@ -204,7 +213,7 @@ def index_keys(rows: np.ndarray, grams: np.ndarray, band: int, plan: tuple[int,
         part = cell % segments < deletions
         out_row.append(cell[part] // segments)
         out_key.append(key(cell[part], total[cell[part]] - g[part]))
-        units.append(np.ones(int(part.sum()), np.int64))
+        units.append(np.full(int(part.sum()), 2))
     return which[np.concatenate(out_row)], np.concatenate(out_key), np.concatenate(units)
 
 
@@ -317,9 +326,9 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
-    """(key, sid, n): index rows whose key more than one set keeps; ``n`` sets keep it. None
-    where no set can have a similar other one."""
+def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs (a, b) from the cold keys, and the rows (key, sid, n) of the hot keys, which ``n`` sets
+    keep. None where no set can have a similar other one."""
     largest = classes.agg(F.max("size")).first()[0]
     if largest is None:
         return None
@@ -330,17 +339,23 @@ def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     plans = allocation(bands, held)
     if not plans:
         return None
+    of_band = lambda value: F.element_at(F.create_map(*[F.lit(x) for b, plan in plans.items() for x in (b, value(plan))]), F.col("band"))
     rows = index(docs, bands, plans, n)
     # Copies that were indexed apart count too: a key of copies alone ends with one row.
     held_by = lambda df: df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    all_rows = rows.join(held_by(rows), "key").groupBy("key", "sid").agg(F.max("tag").alias("tag"), F.first("n").alias("n"))
-    all_rows = stored(all_rows.withColumn("hot", F.col("n") >= HOT), "index-rows")
-    surplus = F.element_at(F.create_map(*[F.lit(x) for band, plan in plans.items() for x in (band, plan[2])]), F.col("band"))
-    hot = all_rows.filter("hot").withColumn("band", F.floor(F.col("tag") / 4).cast("int"))
-    poor = hot.groupBy("sid", "band").agg(F.sum(F.col("tag") % 4).alias("_lost")).filter(F.col("_lost") > surplus).select("sid", "band")
-    kept = hot.join(poor, ["sid", "band"], "left_semi").select("key", "sid")
-    again = stored(kept.join(held_by(kept), "key").select("key", "sid", "n"), "hot-rows")
-    return all_rows.filter("NOT hot").select("key", "sid", "n").union(again)
+    rows = rows.join(held_by(rows), "key").groupBy("key", "sid").agg(F.max("tag").alias("tag"), F.first("n").alias("n"))
+    rows = stored(rows.select("key", "sid", F.floor(F.col("tag") / 4).cast("int").alias("band"), (F.col("tag") % 4).alias("units"), (F.col("n") >= HOT).alias("hot")), "index-rows")
+    hot, cold = rows.filter("hot"), rows.filter("NOT hot")
+    poor = hot.groupBy("sid", "band").agg(F.sum("units").alias("_lost")).filter(F.col("_lost") > of_band(lambda plan: plan[2] // 2))
+    poor = stored(poor.select("sid", "band"), "poor")
+    kept = stored(hot.join(poor, ["sid", "band"], "left_semi").select("key", "sid"), "hot-rows")
+    left = cold.select("key", "band", F.col("sid").alias("a"))
+    met = left.join(cold.select("key", F.col("sid").alias("b")), "key").filter("a < b").groupBy("a", "b", "band").agg(F.count("*").alias("_keys"))
+    met = stored(met, "met")
+    enough = F.col("_keys") >= of_band(least_keys)
+    both = met.filter(~enough).join(poor.withColumnRenamed("sid", "a"), ["a", "band"], "left_semi").join(poor.withColumnRenamed("sid", "b"), ["b", "band"], "left_semi")
+    pairs = met.filter(enough).select("a", "b").union(both.select("a", "b"))
+    return pairs, kept.join(held_by(kept), "key")
 
 
 def _marked(classes: DataFrame, sid: str, tag: str) -> DataFrame:
@@ -392,10 +407,10 @@ def crossing(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     return left.join(right, same).select("a", "b").distinct()
 
 
-def linked(docs: DataFrame, classes: DataFrame, shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, cold: DataFrame, shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(sid, root) of the sets that have links: the smallest set that they reach."""
     large = shared.filter(F.col("n") > SMALL).select("key", "sid", F.col("sid").alias("root"))
-    pairs = stored(_possible(listed(shared).union(led(large, 0)), classes, num, den), "pairs")
+    pairs = stored(_possible(cold.union(listed(shared)).union(led(large, 0)), classes, num, den), "pairs")
     links = stored(verified(pairs, classes, docs, n, num, den), "links")
     roots = components(links)
     for turn in range(1, ROUNDS + 1):
@@ -424,7 +439,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     shared = buckets(docs, classes, n, num, den)
     named = classes.select("digest", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"), F.col("sid").alias("_root"))
     if shared is not None:
-        roots = linked(docs, classes, shared, n, num, den)
+        roots = linked(docs, classes, *shared, n, num, den)
         found = classes.join(roots, "sid").select("digest", "root", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"))
         found = found.join(found.groupBy("root").agg(F.min("_first").alias("_least")), "root").select("digest", "_least", "root")
         named = named.join(found, "digest", "left").select("digest", F.coalesce("_least", "_first").alias("_first"), F.coalesce("root", "_root").alias("_root"))
