@@ -49,9 +49,9 @@ N = 4
 NUM, DEN = 85, 100
 BAND = 2  # a band spans this many steps of size ratio DEN / NUM
 SPARE = 10  # one unit of surplus per so many units
-HOT = 4
+HOT = 8
 SMALL = 6  # sets of a bucket whose pairs are all listed
-LEADS, ROUNDS = 6, 3
+LEADS, ROUNDS = 4, 3
 CHANCE = 0.02  # chance that an element of a set is in an unrelated one, for the allocation's cost
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -101,13 +101,33 @@ def sketches(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
+WIDE_FROM = 512  # elements
+
+
+def wide_sketches(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> list[np.ndarray | None]:
+    """Parity sketches that grow with the set, a power of two of bits at least as many as its
+    elements, for sets of more than WIDE_FROM. Halves laid over each other by exclusive or give
+    the sketch of half the size."""
+    cuts = np.searchsorted(rows, np.arange(n_rows + 1)).tolist()
+    at = mixed(grams + np.uint64(0x2545F4914F6CDD1D))
+    out: list[np.ndarray | None] = []
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a <= WIDE_FROM:
+            out.append(None)
+            continue
+        bits = 1 << (b - a - 1).bit_length()
+        odd = np.bincount((at[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+    return out
+
+
 def _short(digest: bytes) -> int:
     """The set's number in the index: 64 bits of its digest."""
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, digest, sid, sketch) of every document; ``sid`` is the
+    """(doc_id, text_hash, n_shingles, digest, sid, sketch, wide) of every document; ``sid`` is the
     set's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +141,11 @@ def sets(docs: DataFrame, n: int = N) -> DataFrame:
                 own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")]
                 bits = sketches(r, g, b - a).ravel()
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, SKETCH), pa.int32()), pa.array(bits))
-                columns = [*own, pa.array(size), pa.array(digest, pa.binary()), sid, bits]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "sid", "sketch"])
+                wide = pa.array(wide_sketches(r, g, b - a), pa.list_(pa.int64()))
+                columns = [*own, pa.array(size), pa.array(digest, pa.binary()), sid, bits, wide]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "sid", "sketch", "wide"])
 
-    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sid long, sketch array<long>")
+    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sid long, sketch array<long>, wide array<long>")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -371,9 +392,24 @@ def _near(left: str, right: str, num: int, den: int) -> Column:
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The distinct ``pairs`` (a, b) that the sketches allow."""
+    """The distinct ``pairs`` (a, b) that the sketches allow; pairs of two large sets, few of which
+    the small sketch can tell apart, must pass the wide one too."""
     both = pairs.distinct().join(_marked(classes, "a", "x"), "a").join(_marked(classes, "b", "y"), "b")
-    return both.filter(_near("x", "y", num, den)).select("a", "b")
+    large = F.least("x_size", "y_size") > WIDE_FROM
+    first = stored(both.filter(_near("x", "y", num, den)).select("a", "b", large.alias("_large")), "near")
+    side = lambda sid, tag: classes.filter(F.col("size") > WIDE_FROM).select(F.col("sid").alias(sid), F.col("size").alias(f"{tag}_size"), F.col("wide").alias(tag))
+    wide = first.filter("_large").select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_near_wide("x", "y", num, den))
+    return first.filter("NOT _large").select("a", "b").union(wide.select("a", "b"))
+
+
+def _near_wide(left: str, right: str, num: int, den: int) -> Column:
+    """As ``_near``, of wide sketches: the longer one is halved, once at most for sizes that
+    can be similar; sizes further apart are not."""
+    half = lambda w: F.zip_with(F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")), F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.floor(F.size(w) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    fit = lambda w, other: F.when(F.size(w) > F.size(other), half(w)).otherwise(w)
+    differ = F.aggregate(F.zip_with(fit(F.col(left), F.col(right)), fit(F.col(right), F.col(left)), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("long"), lambda t, x: t + x)
+    sizes = F.greatest(f"{left}_size", f"{right}_size") * num <= F.least(f"{left}_size", f"{right}_size") * den
+    return sizes & (differ * (den + num) <= (F.col(f"{left}_size") + F.col(f"{right}_size")) * (den - num))
 
 
 def listed(shared: DataFrame) -> DataFrame:
@@ -434,7 +470,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     groups apart where doc_ids are repeated."""
     least = -(2**63)
     members = stored(sets(docs, n), "sets")
-    classes = members.filter("sid IS NOT NULL").groupBy("digest", "sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    classes = members.filter("sid IS NOT NULL").groupBy("digest", "sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     classes = stored(classes, "classes")
     shared = buckets(docs, classes, n, num, den)
     named = classes.select("digest", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"), F.col("sid").alias("_root"))
@@ -443,7 +479,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
         found = classes.join(roots, "sid").select("digest", "root", F.coalesce("rep.doc_id", F.lit(least)).alias("_first"))
         found = found.join(found.groupBy("root").agg(F.min("_first").alias("_least")), "root").select("digest", "_least", "root")
         named = named.join(found, "digest", "left").select("digest", F.coalesce("_least", "_first").alias("_first"), F.coalesce("root", "_root").alias("_root"))
-    out = members.drop("sketch").join(named, "digest", "left")
+    out = members.drop("sketch", "wide").join(named, "digest", "left")
     alone = F.coalesce("_first", "doc_id")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(alone != least, alone).alias("component_id"), F.col("_root").alias("group"))
 
