@@ -386,9 +386,10 @@ def _marked(classes: DataFrame, sid: str, tag: str) -> DataFrame:
 
 
 def _near(left: str, right: str, num: int, den: int) -> Column:
-    """Whether two sketches leave a similar pair possible."""
+    """Whether sizes and sketches leave a similar pair possible."""
     differ = sum((F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in range(SKETCH)), F.lit(0))
-    return differ * (den + num) <= (F.col(f"{left}_size") + F.col(f"{right}_size")) * (den - num)
+    sizes = F.greatest(f"{left}_size", f"{right}_size") * num <= F.least(f"{left}_size", f"{right}_size") * den
+    return sizes & (differ * (den + num) <= (F.col(f"{left}_size") + F.col(f"{right}_size")) * (den - num))
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -453,8 +454,8 @@ def linked(docs: DataFrame, classes: DataFrame, cold: DataFrame, shared: DataFra
         rest = divided(large, roots)
         if not rest.limit(1).count():
             break
-        more = _possible(led(rest, turn), classes, num, den) if turn < ROUNDS else crossing(rest, classes, num, den)
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        met = led(rest, turn) if turn < ROUNDS else crossing(rest, classes, num, den)
+        more = stored(_possible(met, classes, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.limit(1).count():
             continue
         found = stored(verified(more, classes, docs, n, num, den), "links")
