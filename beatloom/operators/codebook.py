@@ -1,12 +1,14 @@
 """Nearest-code assignment, codebook usage, refitting, and reconstruction error.
 
-A codebook is small and fixed in size (tens of codes by a few hundred values), so it
-is collected under a size check and sent to the tasks; vectors stay distributed and
-are matched with one matrix product per Arrow batch."""
+Codes are read in order, in blocks of bounded bytes, and sent to the tasks; vectors stay
+distributed and are matched with matrix products per Arrow batch. A codebook of usual size is
+one block. Of a larger one each block is a pass over the vectors that keeps the nearest code so
+far, stored between passes, so neither the driver nor a task holds more than a block."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +18,28 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from beatloom.functions.hashing import keyed_md5
+from beatloom.session import cut_lineage
 
-MAX_CODEBOOK_VALUES = 8_000_000
+BLOCK_VALUES = 8_000_000
 ROWS_PER_PRODUCT = 8192
 PRODUCT_BYTES = 64 << 20
 
 
-def codebook_matrix(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Codes in order and their vectors, read in one pass. They are broadcast, so anything
-    that is not codebook-sized is refused: no more than MAX_CODEBOOK_VALUES rows are read."""
-    rows = codebook.select("code", "vec").orderBy("code").limit(MAX_CODEBOOK_VALUES).collect()
-    width = len(rows[0]["vec"]) if rows else 0
-    if not rows or len(rows) * width > MAX_CODEBOOK_VALUES:
-        raise ValueError(f"not a codebook: {len(rows)} codes of {width} values")
-    return np.array([r["code"] for r in rows], dtype=np.int64), np.array([list(r["vec"]) for r in rows], dtype=np.float64)
+def codebook_matrix(codebook: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes in order and their vectors, in blocks of at most BLOCK_VALUES values (one code at
+    least). One partition at a time is read; an empty codebook is an error."""
+    rows = codebook.select("code", "vec").orderBy("code").toLocalIterator()
+    first = next(rows, None)
+    if first is None:
+        raise ValueError("not a codebook: no codes")
+    step = max(1, BLOCK_VALUES // max(1, len(first["vec"])))
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        pairs = ((r["code"], np.array(r["vec"], dtype=np.float64)) for r in chain([first], rows))
+        while block := list(islice(pairs, step)):
+            yield np.array([code for code, _ in block], dtype=np.int64), np.array([v for _, v in block])
+
+    return blocks()
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,45 +85,58 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assign(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
-    """Add ``code`` and ``dist`` (squared distance) of the nearest code; NULL for a NULL vector."""
-    shared = vectors.sparkSession.sparkContext.broadcast(codebook_matrix(codebook))
-    schema = T.StructType([*vectors.schema.fields, T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    """Add ``code`` and ``dist`` (squared distance) of the nearest code; NULL for a NULL vector.
+    The lowest code on ties."""
+    blocks = codebook_matrix(codebook)
+    out = _assign_block(vectors, vec, next(blocks), None)
+    for block in blocks:
+        # Stored, so that passes do not run in one task with all their blocks in memory.
+        out = _assign_block(cut_lineage(out), vec, block, vectors.columns)
+    return out
+
+
+def _assign_block(vectors: DataFrame, vec: str, block: tuple[np.ndarray, np.ndarray], kept: list[str] | None) -> DataFrame:
+    """``assign`` to the codes of one block. ``kept``: the columns before ``code`` and ``dist`` of
+    the blocks so far, which only a closer code replaces; None in the first pass."""
+    shared = vectors.sparkSession.sparkContext.broadcast(block)
+    width = len(vectors.columns) if kept is None else len(kept)
+    schema = T.StructType([*vectors.schema.fields[:width], T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, c = shared.value
         for part in _batches(batches):
             known = part.column(vec).is_valid().to_numpy(zero_copy_only=False)
-            at, dist = np.zeros(len(known), np.int64), np.zeros(len(known))
+            code, dist = np.zeros(len(known), np.int32), np.zeros(len(known))
             if known.any():
-                at[known], dist[known] = _nearest(dense(part.column(vec).drop_null()), c)
-            added = [pa.array(codes[at].astype(np.int32), mask=~known), pa.array(dist, mask=~known)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "code", "dist"])
+                at, dist[known] = _nearest(dense(part.column(vec).drop_null()), c)
+                code[known] = codes[at]
+            if kept is not None:
+                old = part.column(width + 1).fill_null(0.0).to_numpy()
+                closer = dist < old
+                code = np.where(closer, code, part.column(width).fill_null(0).to_numpy())
+                dist = np.where(closer, dist, old)
+            added = [pa.array(code, mask=~known), pa.array(dist, mask=~known)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:width], *added], names=[*part.schema.names[:width], "code", "dist"])
 
     return vectors.mapInArrow(run, schema)
 
 
 def code_sums(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
-    """(code, dim, n, total) of the vectors nearest to each code, in one pass: every
-    task reduces its vectors to one row per code before anything is shuffled."""
-    shared = vectors.sparkSession.sparkContext.broadcast(codebook_matrix(codebook))
+    """(code, dim, n, total) of the vectors nearest to each code: every batch of vectors is
+    reduced to one row per code that it holds before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, c = shared.value
-        counts, sums = np.zeros(len(codes), dtype=np.int64), np.zeros_like(c)
         for part in _batches(batches):
-            if part.column(vec).null_count == len(part):
+            part = part.filter(part.column("code").is_valid())
+            if not part.num_rows:
                 continue
-            x = dense(part.column(vec).drop_null())
-            at, _ = _nearest(x, c)
-            counts += np.bincount(at, minlength=len(codes))
-            order = at.argsort(kind="stable")
-            present, first = np.unique(at[order], return_index=True)
-            sums[present] += np.add.reduceat(x[order], first)
-        used = np.nonzero(counts)[0]
-        columns = [pa.array(codes[used].astype(np.int32)), pa.array(counts[used]), pa.array(list(sums[used]), pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["code", "n", "total"])
-
-    partial = vectors.select(vec).mapInArrow(run, "code int, n bigint, total array<double>")
+            code, x = part.column("code").to_numpy(), dense(part.column(vec))
+            order = code.argsort(kind="stable")
+            present, first, counts = np.unique(code[order], return_index=True, return_counts=True)
+            columns = [pa.array(present), pa.array(counts), pa.array(list(np.add.reduceat(x[order], first)), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["code", "n", "total"])
+
+    partial = assign(vectors.select(vec), vec, codebook).mapInArrow(run, "code int, n bigint, total array<double>")
     cells = partial.select("code", "n", F.posexplode("total").alias("dim", "x"))
     return cells.groupBy("code", "dim").agg(F.sum("n").alias("n"), F.sum("x").alias("total"))
 
@@ -178,14 +201,11 @@ def start_state(codebook: DataFrame) -> DataFrame:
 
 
 def fit(codebook: DataFrame, vectors: DataFrame, vec: str, key: str, rounds: int, **options) -> DataFrame:
-    """``rounds`` updates. The state between rounds is a codebook, which is small, and
-    is re-created from its values: no lineage builds up and nothing has to be kept
-    on an executor."""
-    spark = codebook.sparkSession
+    """``rounds`` updates. The state between rounds is stored in the shared folder: no lineage
+    builds up and nothing has to be kept on an executor or at the driver."""
     state = start_state(codebook)
     for r in range(1, rounds + 1):
-        new = update(state, vectors, vec, key, round_no=r, **options).drop("dead").orderBy("code")
-        state = spark.createDataFrame(new.collect(), new.schema)
+        state = cut_lineage(update(state, vectors, vec, key, round_no=r, **options).drop("dead"))
     return state
 
 

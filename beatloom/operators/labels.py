@@ -93,6 +93,19 @@ def multi_hot(classes: Column, names: list[str]) -> Column:
     return let(classes, lambda t: F.transform(order, lambda c: F.array_contains(t, c).cast("int")))
 
 
+def multi_hot_by_join(rows: DataFrame, key: str, classes: str, table: DataFrame) -> DataFrame:
+    """``rows`` with ``labels``, the 0/1 vector over the sorted classes of ``table`` (class), however
+    many there are: places come by a join. ``key`` is unique; a class that is not in the table adds nothing."""
+    places = sorted_ids(table.filter("class IS NOT NULL"), "class").select("class", F.col("label_id").alias("_place"))
+    held = rows.select(key, F.explode(classes).alias("class")).distinct().join(places, "class").groupBy(key).agg(F.collect_set("_place").alias("_places"))
+    full = rows.join(held, key, "left").crossJoin(F.broadcast(places.agg(F.count("*").cast("int").alias("_n"))))
+    none = F.array().cast("array<int>")
+    ones = lambda t: F.map_from_entries(F.transform(t, lambda p: F.struct(p.cast("int"), F.lit(1))))
+    at = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(none)
+    hot = let(ones(F.coalesce(F.col("_places").cast("array<int>"), none)), lambda m: F.transform(at, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0))))
+    return full.withColumn("labels", hot).drop("_places", "_n")
+
+
 def binary_hot(positive: Column) -> Column:
     return F.when(positive, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(0)))
 

@@ -56,8 +56,7 @@ def multi_hot(spark: SparkSession, d: str) -> DataFrame:
     """Labels over the sorted classes, with the Unknown column removed and unlabelled
     records dropped."""
     c = _classes(spark, d).withColumn("classes", L.distinct_sorted(L.drop_code(F.col("classes"))))
-    names = L.class_list(_code_table(spark, d).select(F.array("class").alias("classes")), "classes")
-    c = c.withColumn("labels", L.multi_hot(F.col("classes"), names)).filter(L.labelled(F.col("labels")))
+    c = L.multi_hot_by_join(c, "doc_id", "classes", _code_table(spark, d).select("class")).filter(L.labelled(F.col("labels")))
     return c.select("doc_id", ints_text(F.col("labels")).alias("labels"))
 
 

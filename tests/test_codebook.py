@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from beatloom.operators import codebook as B
 from beatloom.operators import encoders as E
@@ -93,6 +94,29 @@ def test_refuses_large(spark, frames):
         B.codebook_matrix(spark.createDataFrame([], "code int, vec array<double>"))
 
 
+def test_codes_in_blocks(spark, frames, monkeypatch):
+    """Codebooks above one block: the nearest of all codes, the lowest on ties, NULL for NULL."""
+    vec, book = frames
+    with_null = vec.unionByName(spark.createDataFrame([(-1, None)], "vec_id bigint, v array<double>"))
+    at, dist = nearest(X, CODES)
+    count, total = np.bincount(at, minlength=len(CODES)), np.zeros_like(CODES)
+    np.add.at(total, at, X)
+    monkeypatch.setattr(B, "BLOCK_VALUES", 13)  # two codes each
+    got = {r["vec_id"]: (r["code"], r["dist"]) for r in B.assign(with_null, "v", book).collect()}
+    assert got.pop(-1) == (None, None) and len(got) == len(X)
+    assert all(got[i][0] == at[i] and abs(got[i][1] - dist[i]) < 1e-9 for i in range(len(X)))
+    for r in B.code_sums(with_null, "v", book).collect():
+        assert r["n"] == count[r["code"]] and r["total"] == pytest.approx(total[r["code"], r["dim"]])
+
+
+def test_codebook_of_many_values(spark):
+    """65,536 codes of 128 values, which one broadcast of bounded size does not hold."""
+    book = spark.range(65_536).select(F.col("id").cast("int").alias("code"), F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.when(i == F.col("id") % 128, F.col("id").cast("double")).otherwise(0.0)).alias("vec"))
+    vec = spark.createDataFrame([(c,) for c in (5, 40_000, 65_535)], "vec_id int").join(book.withColumnRenamed("code", "vec_id"), "vec_id")
+    got = {r["vec_id"]: (r["code"], r["dist"]) for r in B.assign(vec, "vec", book).collect()}
+    assert got == {c: (c, 0.0) for c in (5, 40_000, 65_535)}
+
+
 def test_losses(spark, frames):
     vec, book = frames
     _, dist = nearest(X, CODES)

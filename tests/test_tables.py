@@ -94,6 +94,15 @@ def test_labels(spark):
     assert {r["class"]: r["label_id"] for r in L.sorted_ids(one, "class").collect()} == {"C": 0, "Unknown": 1}
 
 
+def test_multi_hot_by_join(spark):
+    """More classes than the driver lists; places follow the sorted names."""
+    many = spark.range(L.MAX_CLASSES + 5).select(F.format_string("c%05d", "id").alias("class"))
+    rows = spark.createDataFrame([(1, ["c00003", "c10004"]), (2, []), (3, ["other"]), (4, None)], "id int, c array<string>")
+    got = {r["id"]: r["labels"] for r in L.multi_hot_by_join(rows, "id", "c", many).collect()}
+    assert {k: [i for i, x in enumerate(v) if x] for k, v in got.items()} == {1: [3, 10_004], 2: [], 3: [], 4: []}
+    assert {len(v) for v in got.values()} == {L.MAX_CLASSES + 5}
+
+
 def walk(curve, better, keep, start, patience):
     state, best, bad, stop = start, None, 0, None
     for e, row in enumerate(curve, 1):
