@@ -404,10 +404,10 @@ def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
 
 
 def _near_wide(left: str, right: str, num: int, den: int) -> Column:
-    """As ``_near``, of wide sketches: the longer one is halved, once at most for sizes that
-    can be similar; sizes further apart are not."""
+    """As ``_near``, of wide sketches: the longer one is halved until both are of one length."""
     half = lambda w: F.zip_with(F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")), F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.floor(F.size(w) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
-    fit = lambda w, other: F.when(F.size(w) > F.size(other), half(w)).otherwise(w)
+    turns = lambda w, other: F.array_repeat(F.lit(0), F.round(F.log2(F.size(w) / F.size(other))).cast("int"))
+    fit = lambda w, other: F.when(F.size(w) > F.size(other), F.aggregate(turns(w, other), w, lambda acc, _: half(acc))).otherwise(w)
     differ = F.aggregate(F.zip_with(fit(F.col(left), F.col(right)), fit(F.col(right), F.col(left)), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("long"), lambda t, x: t + x)
     sizes = F.greatest(f"{left}_size", f"{right}_size") * num <= F.least(f"{left}_size", f"{right}_size") * den
     return sizes & (differ * (den + num) <= (F.col(f"{left}_size") + F.col(f"{right}_size")) * (den - num))

@@ -329,6 +329,18 @@ def test_jaccard_defined_cases(spark):
     assert jaccard.groups(rows.limit(0)).count() == 0
 
 
+def test_wide_sketches_of_unlike_sizes(spark):
+    """A set of 4,800 elements that holds one of 1,200 has a similarity of a quarter; the sketches are two powers of two apart."""
+    texts = [" ".join(f"w{i}" for i in range(n + 3)) for n in (4_800, 1_200)]
+    big, small = jaccard.sets(docs(spark, texts), 4).orderBy("doc_id").collect()
+    assert len(big.wide) == 4 * len(small.wide)
+    pair = spark.createDataFrame([(big.n_shingles, big.wide, small.n_shingles, small.wide)], "x_size long, x array<long>, y_size long, y array<long>")
+    for left, right in (("x", "y"), ("y", "x")):
+        assert pair.filter(jaccard._near_wide(left, right, 1, 4)).count() == 1
+    assert pair.filter(jaccard._near_wide("x", "y", 1, 3)).count() == 0
+    assert len({r.component_id for r in jaccard.groups(docs(spark, texts), num=1, den=4).collect()}) == 1
+
+
 def test_segments_lose_no_pair():
     """Pigeonhole: similar sets agree in a key that the poorer one keeps."""
     rng = np.random.default_rng(5)
