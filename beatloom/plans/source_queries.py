@@ -154,7 +154,7 @@ def signal_csv(spark: SparkSession, d: str) -> DataFrame:
     one.select(F.concat(F.lit("rec"), F.col("label").cast("string")).alias("rec"), text.alias("value")).write.partitionBy("rec").text(path)
     folder = lambda p: F.element_at(F.split(p, "/"), -2)
     rows = G.read_signal_csv(spark, f"{path}/*/*.txt", 2, recording=folder)
-    return rows.groupBy("sample_idx", "lead_idx").agg(F.sum("value").cast("bigint").alias("total"), F.countDistinct("recording_id").alias("records"))
+    return rows.groupBy(F.col("sample_idx").cast("int").alias("sample_idx"), "lead_idx").agg(F.sum("value").cast("bigint").alias("total"), F.countDistinct("recording_id").alias("records"))
 
 
 _WIDE = {

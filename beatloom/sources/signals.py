@@ -11,6 +11,7 @@ from beatloom import constants as C
 from beatloom.functions.arrays import fit
 from beatloom.functions.hashing import keyed_md5
 from beatloom.functions.text import path_stem
+from beatloom.operators.ordered import ranked
 
 # Schemas of stored tables.
 SEGMENT_SCHEMA = "segment string, patient_id string, study_id string, beat_idx int, lead_idx int, original_len int, data array<float>"
@@ -41,13 +42,16 @@ def read_signal_csv(spark: SparkSession, path: str, leads: int, recording: Calla
     """One file = one record, a line = a sample, a column = a lead, no header. The
     record is named by ``recording`` of the file path.
 
-    Lines carry no number, so a file is read as one value and split there: a record
-    is bounded by its duration, and files spread over tasks."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    rows = text.select(recording(F.col("path")).alias("recording_id"), F.posexplode(lines).alias("sample_idx", "line"))
+    Lines carry no number: a block of a file is read by one task from its first line to its
+    last, which numbers them there, and the lines of the blocks before are added. So a long
+    recording is read in blocks like any other file. Blank lines do not count."""
+    text = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r$", "").alias("line")
+    )
+    lines = text.filter(F.trim("line") != "").withColumn("_line", F.monotonically_increasing_id())
+    rows = ranked(lines, ["path"], ["_line"], [F.col("block")], out="sample_idx")
     cells = F.transform(F.split("line", ","), lambda x: F.trim(x).cast("double"))
-    return rows.select("recording_id", "sample_idx", F.posexplode(F.slice(cells, 1, leads)).alias("lead_idx", "value"))
+    return rows.select(recording(F.col("path")).alias("recording_id"), "sample_idx", F.posexplode(F.slice(cells, 1, leads)).alias("lead_idx", "value"))
 
 
 def stack_leads(df: DataFrame, keys: list[str], lead_columns: list[str], max_len: int) -> DataFrame:

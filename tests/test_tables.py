@@ -202,3 +202,25 @@ def test_diff(spark):
     assert (s["only_left"], s["only_right"], s["equal"], s["within"], s["values_differing"]) == (1, 1, 1, 2, 2)
     skew = Q.skew_report(Q.partition_counts(spark.range(0, 90, numPartitions=3))).first()
     assert (skew["ratio"], skew["skewed"]) == (1.0, False)
+
+
+def test_signal_csv_in_blocks(spark, tmp_path):
+    """A long recording is read by several tasks and numbered as one, blank lines left out."""
+    lines = [f"{i}, {i * 2},9" if i % 7 else f"\n{i}, {i * 2},9\r" for i in range(3000)]
+    (tmp_path / "long.csv").write_bytes("\n".join(lines).encode())
+    (tmp_path / "short.csv").write_bytes(b"5,6\r\n\r\n7,8")
+    (tmp_path / "none.csv").write_bytes(b"")
+    conf = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = G.read_signal_csv(spark, str(tmp_path), 2).select("*", F.spark_partition_id().alias("task"))
+        rows = df.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {(r["recording_id"], r["sample_idx"], r["lead_idx"]): r["value"] for r in rows}
+    want = {("long", i, k): float(i * (k + 1)) for i in range(3000) for k in range(2)}
+    assert len(got) == len(rows) and got == want | {("short", i, k): float(5 + 2 * i + k) for i in range(2) for k in range(2)}
+    assert len({r["task"] for r in rows if r["recording_id"] == "long"}) > 1
