@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatloom.llm import decontamination, jaccard, mixing, quality, secrets, token_output, topk, toxicity, url_filter, warc
+from beatloom.llm.audit_queries import QUERIES as AUDITS
 from beatloom.llm.labelled import held_out
 from beatloom.sources.tables import table
 
@@ -328,4 +329,4 @@ QUERIES: dict = {
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_token_output": (op8_token_output, None),
     "op10_warc": (op10_warc, OP10_SQL),
-}
+} | AUDITS
