@@ -8,6 +8,7 @@ key), work per (key, cell), and carry only a small summary across cells.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from beatloom.functions.hashing import keyed_md5
 HOT_ROWS = 1_000_000
 CELL = 1024
 FANOUT = 1024
+SAMPLED = 64  # rows sampled per border
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
@@ -27,35 +29,56 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFra
     return df.groupBy(*keys).count().filter(F.col("count") > (HOT_ROWS if rows is None else rows)).select(*keys)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list, cells: list[Column], out: str = "pos", fanout: int = FANOUT) -> DataFrame:
-    """Zero-based rank of each row within its key, in ``order``.
-
-    Every key is ranked per cell and moved by the number of rows in the cells before.
-    ``cells`` must not contradict the order (sorting by the cells is a coarsening of
-    sorting by ``order``; a NULL cell comes first). The rows before a cell are added up in
-    two levels, runs of ``fanout`` values of the last cell, then the runs of a key."""
-    names = [f"_cell{i}" for i in range(len(cells))]
-    first = F.lit(-(2**62))
-    tagged = df.withColumns({name: F.coalesce(cell.cast("bigint"), first) for name, cell in zip(names, cells)})
-    *outer, last = names
-    counts = tagged.groupBy(*keys, *names).agg(F.count("*").alias("_rows")).withColumn("_run", F.floor(F.col(last) / fanout))
-    earlier = lambda group, by: W.partitionBy(*group).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
-    runs = counts.groupBy(*keys, *outer, "_run").agg(F.sum("_rows").alias("_all"))
-    runs = runs.withColumn("_base", F.coalesce(F.sum("_all").over(earlier(keys, [*outer, "_run"])), F.lit(0))).drop("_all")
-    inner = F.coalesce(F.sum("_rows").over(earlier([*keys, *outer, "_run"], [last])), F.lit(0))
-    offsets = joined(counts.withColumn("_inner", inner), runs, [*keys, *outer, "_run"])
-    offsets = offsets.select(*keys, *names, (F.col("_inner") + F.col("_base")).alias("_before"))
-    inside = W.partitionBy(*keys, *names).orderBy(*order)
-    rows = joined(tagged.withColumn("_rn", F.row_number().over(inside)), offsets, [*keys, *names])
-    return rows.withColumn(out, F.col("_rn") - 1 + F.col("_before")).drop("_rn", "_before", *names)
-
-
-def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join on columns of both sides in which NULL equals NULL."""
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", pieces: int | None = None) -> DataFrame:
+    """Zero-based rank of each row within its key, in ``order`` (ascending, NULL first).
+
+    Borders are sampled from the sorted (key, order) of all rows, so every piece between two borders
+    holds about as many rows, whatever the keys. A key without a border is ranked as a whole; a key with
+    borders is ranked piece by piece, and moved by the rows of its earlier pieces. Rows cross the network
+    once, dealt by (key, piece); counts are taken for the keys with borders alone, so at most ``pieces``
+    offsets exist. NULL keys are keys like any other. Rows that are equal in key and order stay together:
+    name columns in ``order`` that tell them apart. Where the borders fall never changes a rank."""
+    if not keys:
+        return ranked(df.withColumn("_all", F.lit(0)), ["_all"], order, out, pieces).drop("_all")
+    placed = _placed(df, keys, order, pieces)
+    inside = W.partitionBy(*keys, "_piece").orderBy(*order)
+    earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.filter(F.col("_borders").isNotNull()).groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
+    before = counts.select(*keys, "_piece", F.sum("_rows").over(earlier).alias("_before")).filter("_before IS NOT NULL")
+    rows = joined(placed.drop("_borders").withColumn("_rn", F.row_number().over(inside)), F.broadcast(before), [*keys, "_piece"], "left")
+    return rows.withColumn(out, (F.col("_rn") - 1 + F.coalesce("_before", F.lit(0))).cast("bigint")).drop("_rn", "_before", "_piece")
+
+
+def _placed(df: DataFrame, keys: list[str], order: list[str], pieces: int | None) -> DataFrame:
+    """``df`` with ``_piece``, the number of borders of the row's key at or before the row, and the key's
+    ``_borders`` (NULL where it has none). At most ``pieces`` borders are broadcast."""
+    spark = df.sparkSession
+    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = df.select(*keys, *[c for c in order if c not in keys])
+    share = min(1.0, pieces * SAMPLED / max(1, slim.count()))
+    sample = sorted(slim.sample(share, seed=42).collect(), key=lambda r: [(v is not None, v) for v in r])
+    step = max(1, -(-len(sample) // pieces))
+    borders = spark.createDataFrame(sample[step::step], slim.schema)
+    value = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(order)])
+    lists = borders.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_borders"))
+    found = joined(df, F.broadcast(lists), keys, "left")
+    at = F.when(F.col("_borders").isNull(), 0).otherwise(let(value, lambda v: bisected(F.col("_borders"), v, pieces)))
+    return found.withColumn("_piece", at.cast("int"))
+
+
+def bisected(borders: Column, value: Column, most: int) -> Column:
+    """How many of at most ``most`` sorted ``borders`` are at or below ``value``."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
+    below = lambda at: (at <= F.size(borders)) & (F.get(borders, at - 1) <= value)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at + step), at + step).otherwise(at))
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of both sides in which NULL equals NULL."""
     names = {c: f"_on_{c}" for c in on}
     right = right.withColumnsRenamed(names)
     same = [left[c].eqNullSafe(right[n]) for c, n in names.items()]
-    return left.join(right, same).drop(*names.values())
+    return left.join(right, reduce(lambda a, b: a & b, same), how).drop(*names.values())
 
 
 def hash_ranked(ids: DataFrame, key: str, seed: int | str, by: list[str] | None = None, out: str = "pos") -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from beatloom.operators.ordered import running_total
+from beatloom.operators.ordered import ranked
 
 
 def close(a: Column, b: Column, atol: float, rtol: float) -> Column:
@@ -58,17 +57,9 @@ def partition_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
 
 
-def numbered(df: DataFrame, key: str, out: str = "record_id", width: int = 65536) -> DataFrame:
-    """Row position in the order of an integer key, NULL first, worked out per run of
-    ``width`` key values and moved by the rows before it; the counts of the runs are
-    added up in two levels."""
-    cells = df.withColumn("_cell", F.coalesce(F.floor(F.col(key) / width), F.lit(-(2**62))))
-    counts = cells.groupBy("_cell").agg(F.count("*").alias("_rows"))
-    bases = running_total(counts, [], "_cell", "_rows", "_first").select("_cell", "_first")
-    inside = W.partitionBy("_cell").orderBy(key)
-    return (
-        cells.withColumn("_rn", F.row_number().over(inside))
-        .join(bases, "_cell")
-        .withColumn(out, F.col("_first") + F.col("_rn") - 1)
-        .drop("_cell", "_rn", "_first")
-    )
+def numbered(df: DataFrame, key: str, out: str = "record_id", ties: list[str] | None = None) -> DataFrame:
+    """Row position in the order of a key, NULL first. Rows of equal key follow the columns
+    ``ties`` (by default all others that can be sorted), so that a key of any number of rows splits."""
+    if ties is None:
+        ties = [c for c, t in df.dtypes if c != key and not t.startswith(("map", "variant"))]
+    return ranked(df, [], [key, *ties], out)

@@ -17,8 +17,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(
         F.col("user_id").alias("patient_id"), F.lit(0).alias("study_id"), "event_id", "ts", "event_type", "value"
     )
-    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-    out = ranked(e, REC, ["ts", "event_id"], [hour], out="sample_idx")
+    out = ranked(e, REC, ["ts", "event_id"], out="sample_idx")
     return out.select(*REC, "event_id", F.col("sample_idx").cast("int"), "event_type", "value")
 
 
@@ -67,8 +66,7 @@ def beats(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as beats of a study, numbered in a fixed order."""
     li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "study_id")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
-    cells = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 256)]
-    pos = ranked(li.select("study_id", *order), ["study_id"], order, cells, out="beat_idx")
+    pos = ranked(li.select("study_id", *order), ["study_id"], order, out="beat_idx")
     orders = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("study_id"), F.col("o_custkey").alias("patient_id"), "o_orderstatus", "o_orderpriority", "o_totalprice"
     )

@@ -129,7 +129,7 @@ def dataset_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def record_ids(spark: SparkSession, d: str) -> DataFrame:
     """Customers have several orders, so the position in key order is the record id."""
-    return Q.numbered(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", width=512)
+    return Q.numbered(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
 
 
 def log_metrics(spark: SparkSession, d: str) -> DataFrame:

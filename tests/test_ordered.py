@@ -17,7 +17,7 @@ def _rows(seed, n, hot=0.4):
 def test_ranked_hot_and_cold(spark):
     rows = _rows(1, 600)
     df = spark.createDataFrame(rows, "k string, v int, i int")
-    got = O.ranked(df, ["k"], ["v", "i"], [F.floor(F.col("v") / 50)]).collect()
+    got = O.ranked(df, ["k"], ["v", "i"], pieces=9).collect()
     seen = {}
     for k, v, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         seen.setdefault(k, []).append(i)
@@ -95,7 +95,7 @@ def test_spaced_across_cells(spark):
 def test_numbered(spark):
     keys = [i * i for i in range(80)]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
-    assert {r["k"]: r["record_id"] for r in numbered(df, "k", width=100).collect()} == {k: i for i, k in enumerate(keys)}
+    assert {r["k"]: r["record_id"] for r in numbered(df, "k").collect()} == {k: i for i, k in enumerate(keys)}
 
 
 def test_ranked_with_nulls_equals_one_window(spark):
@@ -104,11 +104,45 @@ def test_ranked_with_nulls_equals_one_window(spark):
     rows = [(k, v, i) for i, (k, v) in enumerate([(None, None), ("a", None), ("a", None), (None, 3), ("a", -70), ("a", 5), ("b", 9), (None, 400)] * 40)]
     df = spark.createDataFrame(rows, "k string, v int, i int")
     plain = df.withColumn("want", F.row_number().over(W.partitionBy("k").orderBy("v", "i")) - 1)
-    got = O.ranked(plain, ["k"], ["v", "i"], [F.floor(F.col("v") / 10)], fanout=3)
+    got = O.ranked(plain, ["k"], ["v", "i"], pieces=7)
     assert got.count() == len(rows)
     assert got.filter("pos <> want").count() == 0
 
 
 def test_numbered_keeps_nulls(spark):
     df = spark.createDataFrame([(None,), (7,), (-3,), (100000,)], "k long")
-    assert {r["k"]: r["record_id"] for r in numbered(df, "k", width=2).collect()} == {None: 0, -3: 1, 7: 2, 100000: 3}
+    assert {r["k"]: r["record_id"] for r in numbered(df, "k").collect()} == {None: 0, -3: 1, 7: 2, 100000: 3}
+
+
+def test_ranked_offsets_are_few_and_hot_keys_split(spark):
+    rows = [(None if i % 3 == 0 else i % 40, (i * 7919) % 1000, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, v int, i int")
+    placed = O._placed(df, ["k"], ["v", "i"], 12)
+    sizes = {(r["k"], r["_piece"]): r["count"] for r in placed.groupBy("k", "_piece").count().collect()}
+    assert len([p for k, p in sizes if k is None]) >= 4 and max(sizes.values()) < 1500
+    assert len(sizes) <= 40 + 12
+    got = {r["i"]: r["pos"] for r in O.ranked(df, ["k"], ["v", "i"], pieces=12).collect()}
+    seen = {}
+    for k, v, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        assert got[i] == seen.setdefault(k, 0)
+        seen[k] += 1
+
+
+def test_ranked_whole_table_strings_and_empty(spark):
+    words = ["", "a", "é", "\U0001f600", "z" * 9, None, "Z"]
+    df = spark.createDataFrame([(words[i % 7], i) for i in range(700)], "w string, i int")
+    got = [r["i"] for r in O.ranked(df, [], ["w", "i"], pieces=5).orderBy("pos").collect()]
+    assert got == [i for _, _, i in sorted((words[i % 7] is not None, (words[i % 7] or "").encode(), i) for i in range(700))]
+    assert O.ranked(df.limit(0), ["w"], ["i"]).count() == 0
+
+
+def test_bisected(spark):
+    df = spark.createDataFrame([([1, 3, 3, 9], v) for v in range(11)] + [([], 4)], "b array<int>, v int")
+    got = [r[0] for r in df.select(O.bisected(F.col("b"), F.col("v"), 4)).collect()]
+    assert got == [sum(b <= v for b in [1, 3, 3, 9]) for v in range(11)] + [0]
+
+
+def test_numbered_spreads_equal_keys(spark):
+    df = spark.createDataFrame([(None, i) for i in range(300)] + [(5, i) for i in range(200)], "k int, i int")
+    rows = {(r["k"], r["i"]): r["record_id"] for r in numbered(df, "k").collect()}
+    assert all(rows[None, i] == i for i in range(300)) and all(rows[5, i] == 300 + i for i in range(200))
