@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from beatloom import constants as C
-from beatloom.functions.arrays import cut_normalise_pad, let, pad_right, z_normalise
+from beatloom.functions.arrays import let, pad_right, z_normalise
 from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, spread, windowed
 from beatloom.session import cut_lineage, shared_dir
 
+BLOCK = 4096  # positions of a signal in one array
+
 # Landmark columns that bound each segment; TP ends at the next beat.
 BOUNDS = [
     ("P", "p_on", "p_off"),
@@ -100,27 +102,43 @@ def segment_rows(beats: DataFrame, keys: list[str], keep_missing: bool = False)
     return rows if keep_missing else rows.filter("original_len > 0")
 
 
-def cut_samples(
-    segments: DataFrame, signal: DataFrame, keys: list[str], target: int = C.PAD_LENGTH, blank_leads: list[int] | None = None
-) -> DataFrame:
-    """Segment waveforms from a signal in long form (keys, lead_idx, sample_idx, value).
-
-    Segments ask for their samples by an equi-join on (key, sample), so the work
-    follows samples, not records, and a record of any length spreads. At most
-    ``target`` samples per segment are asked for, since truncation comes first.
-    Missing waves are left out, or come as zeros for each of ``blank_leads``. A segment that
-    lacks a sample in a lead is dropped for that lead: it is no segment of the given bounds."""
-    wanted = F.sequence("start", F.least(F.col("end"), F.col("start") + target) - 1)
-    rows = segments.filter("NOT missing")
-    asked = rows.select(*keys, "beat_idx", "segment", "original_len", F.size(wanted).alias("_asked"), F.explode(wanted).alias("sample_idx"))
-    values = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("sample_idx", "value")))
-    cut = (
-        asked.join(signal, [*keys, "sample_idx"])
-        .groupBy(*keys, "beat_idx", "segment", "lead_idx", "original_len", "_asked")
-        .agg(F.transform(F.sort_array(values), lambda x: x["value"]).alias("raw"))
-        .filter(F.size("raw") == F.col("_asked"))
-        .drop("_asked")
+def sample_blocks(signal: DataFrame, keys: list[str], target: int = C.PAD_LENGTH, block: int = BLOCK) -> DataFrame:
+    """A signal in long form (keys, lead_idx, sample_idx, value) as arrays of ``block`` positions, each
+    followed by the samples that a segment of ``target`` may reach behind it: (keys, lead_idx, block,
+    at, samples), ``at`` the positions of the samples. Missing values leave gaps in ``at``."""
+    own = lambda c: F.floor(F.col("sample_idx") / block) if c is None else F.floor((F.col("sample_idx") - c) / block)
+    both = F.explode(F.array_distinct(F.array(own(None), own(target - 1)))).alias("block")
+    rows = signal.filter("value IS NOT NULL").select(*keys, "lead_idx", both, F.col("sample_idx").cast("int").alias("at"), F.col("value").cast("double").alias("v"))
+    packed = rows.groupBy(*keys, "lead_idx", "block").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("_x"))
+    return packed.select(*keys, "lead_idx", "block", F.transform("_x", lambda x: x["at"]).alias("at"), F.transform("_x", lambda x: x["v"]).alias("samples"))
+
+
+def record_blocks(records: DataFrame, keys: list[str], target: int = C.PAD_LENGTH, block: int = BLOCK) -> DataFrame:
+    """The same from records stored as one array per lead (keys, lead_idx, samples)."""
+    start = F.sequence(F.lit(0), F.greatest(F.size("samples") - 1, F.lit(0)), F.lit(block))
+    pieces = records.select(*keys, "lead_idx", F.explode(start).alias("_s"), F.col("samples").alias("_all"))
+    cut = pieces.select(*keys, "lead_idx", F.floor(F.col("_s") / block).alias("block"), "_s", F.slice("_all", F.col("_s") + 1, F.lit(block + target - 1)).alias("_v"))
+    held = F.filter(F.transform("_v", lambda v, i: F.struct((F.col("_s") + i).alias("at"), v.cast("double").alias("v"))), lambda x: x["v"].isNotNull())
+    return cut.withColumn("_x", held).select(*keys, "lead_idx", "block", F.transform("_x", lambda x: x["at"]).alias("at"), F.transform("_x", lambda x: x["v"]).alias("samples"))
+
+
+def cut_blocks(segments: DataFrame, blocks: DataFrame, keys: list[str], target: int = C.PAD_LENGTH, blank_leads: list[int] | None = None, block: int = BLOCK) -> DataFrame:
+    """Segment waveforms from a signal in blocks.
+
+    A segment meets the one block that holds its start, so a row moves per segment and per block, not per
+    sample, and a record of any length spreads. At most ``target`` samples are cut, since truncation comes before
+    normalising. Missing waves are left out, or come as zeros for each of ``blank_leads``. A segment
+    that lacks a sample in a lead is dropped for that lead: it is no segment of the given bounds."""
+    rows = segments.filter("NOT missing").select(
+        *keys, "beat_idx", "segment", "original_len", F.col("start").cast("int").alias("_from"), F.least(F.col("end"), F.col("start") + target).cast("int").alias("_to")
     )
+    met = rows.withColumn("block", F.floor(F.col("_from") / block)).join(blocks, [*keys, "block"])
+    # Without gaps the place follows from the first position; behind a gap it is sought.
+    guess = (F.col("_from") - F.get("at", F.lit(0)) + 1).cast("int")
+    place = F.when(F.get("at", guess - 1) == F.col("_from"), guess).otherwise(F.array_position("at", F.col("_from")).cast("int"))
+    met = met.withColumns({"_p": place, "_n": F.col("_to") - F.col("_from")})
+    whole = (F.col("_p") > 0) & (F.get("at", F.col("_p") + F.col("_n") - 2) == F.col("_to") - 1)
+    cut = met.filter(whole).select(*keys, "beat_idx", "segment", "lead_idx", "original_len", F.slice("samples", F.col("_p"), F.col("_n")).alias("raw"))
     if blank_leads is not None:
         lead = dict(cut.dtypes)["lead_idx"]
         each = F.explode(F.array(*[F.lit(x).cast(lead) for x in blank_leads])).alias("lead_idx")
@@ -129,18 +147,16 @@ def cut_samples(
     return cut.select(*keys, "beat_idx", "segment", "lead_idx", "original_len", pad_right(z_normalise(F.col("raw")), target).alias("data"))
 
 
-def cut_records(records: DataFrame, segments: DataFrame, keys: list[str], target: int = C.PAD_LENGTH) -> DataFrame:
-    """The same from records stored as one array per lead (keys, lead_idx, samples).
+def cut_samples(segments: DataFrame, signal: DataFrame, keys: list[str], target: int = C.PAD_LENGTH, blank_leads: list[int] | None = None, block: int = BLOCK) -> DataFrame:
+    """``cut_blocks`` from a signal in long form."""
+    block = max(block, target)
+    return cut_blocks(segments, sample_blocks(signal, keys, target, block), keys, target, blank_leads, block)
 
-    The bounds of a record travel to its array, which is cut in place: the array is
-    never copied per segment. A recording is bounded by its duration."""
-    bound = F.struct("beat_idx", "segment", "start", "end")
-    wanted = segments.filter("original_len > 0").groupBy(*keys).agg(F.collect_list(bound).alias("bounds"))
-    piece = lambda b: F.struct(
-        b["beat_idx"].alias("beat_idx"), b["segment"].alias("segment"), cut_normalise_pad(F.col("samples"), b["start"], b["end"], target).alias("w")
-    )
-    rows = records.join(wanted, keys).select(*keys, "lead_idx", F.explode(F.transform("bounds", piece)).alias("x"))
-    return rows.filter("x.w IS NOT NULL").select(*keys, "x.beat_idx", "x.segment", "lead_idx", "x.w.original_len", "x.w.data")
+
+def cut_records(records: DataFrame, segments: DataFrame, keys: list[str], target: int = C.PAD_LENGTH, block: int = BLOCK) -> DataFrame:
+    """``cut_blocks`` from records with one array per lead."""
+    block = max(block, target)
+    return cut_blocks(segments.filter("original_len > 0"), record_blocks(records, keys, target, block), keys, target, None, block)
 
 
 def truncated(data: Column, segment: Column, lengths: dict[str, int]) -> Column:

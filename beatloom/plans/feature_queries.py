@@ -53,8 +53,9 @@ def masked_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def center_crop(spark: SparkSession, d: str) -> DataFrame:
-    n = _vec(spark, d).withColumn("part", F.slice("v", F.lit(1), F.col("label") * 6 + 1))
-    return n.select("vec_id", A.as_text(A.centre_fit(F.col("part"), 20), 10_000).alias("fitted"))
+    """Whole vectors cropped around their centre, and padded on both sides."""
+    fitted = lambda n: A.as_text(A.centre_fit(F.col("v"), n), 10_000)
+    return _vec(spark, d).select("vec_id", fitted(20).alias("cropped"), fitted(81).alias("padded"))
 
 
 def decimate(spark: SparkSession, d: str) -> DataFrame:
@@ -130,8 +131,9 @@ QUERIES = {
         center_crop,
         with_fixtures(
             [],
-            f"""SELECT vec_id, {_text('CASE WHEN n >= 20 THEN part[(n - 20) // 2 + 1:(n - 20) // 2 + 20] ELSE list_concat(list_transform(range((20 - n) // 2), lambda i: 0.0::DOUBLE), list_concat(part, list_transform(range(20 - n - (20 - n) // 2), lambda i: 0.0::DOUBLE))) END', 10000)} AS fitted
-                FROM (SELECT vec_id, v[1:label * 6 + 1] AS part, label * 6 + 1 AS n FROM e) b""",
+            f"""SELECT vec_id, {_text('v[(n - 20) // 2 + 1:(n - 20) // 2 + 20]', 10000)} AS cropped,
+                       {_text('list_concat(list_transform(range((81 - n) // 2), lambda i: 0.0::DOUBLE), list_concat(v, list_transform(range(81 - n - (81 - n) // 2), lambda i: 0.0::DOUBLE)))', 10000)} AS padded
+                FROM (SELECT vec_id, v, len(v) AS n FROM e) b""",
             extra=_V,
         ),
     ),

@@ -22,23 +22,24 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def landmarks(spark: SparkSession, d: str) -> DataFrame:
-    """Six landmark columns per run of 12 samples, some missing, some reversed."""
+    """Six landmark columns per run of 12 samples, some missing, some reversed; those behind the last
+    sample of a shorter run are missing."""
     b = F.col("beat_idx")
     m = F.col("m")
+    inside = lambda at: F.when(at < 12 * b + F.col("c"), at)
     return (
         samples(spark, d)
         .groupBy(*REC, F.floor(F.col("sample_idx") / 12).cast("int").alias("beat_idx"))
         .agg(F.min("event_id").cast("int").alias("m"), F.count("*").alias("c"))
-        .filter("c = 12")
         .select(
             *REC,
             "beat_idx",
             F.when(m % 11 != 0, 12 * b).alias("p_on"),
-            (12 * b + 2).alias("p_off"),
-            (12 * b + 4).alias("r_on"),
-            F.when(m % 13 == 0, 12 * b + 3).otherwise(12 * b + 6 + m % 2).alias("r_off"),
-            F.when(m % 17 == 0, 12 * b + 6 + m % 2).otherwise(12 * b + 8 + m % 2).alias("t_on"),
-            F.when(m % 19 != 0, 12 * b + 10 + F.when(m % 4 == 0, 1).otherwise(0)).alias("t_off"),
+            inside(12 * b + 2).alias("p_off"),
+            inside(12 * b + 4).alias("r_on"),
+            inside(F.when(m % 13 == 0, 12 * b + 3).otherwise(12 * b + 6 + m % 2)).alias("r_off"),
+            inside(F.when(m % 17 == 0, 12 * b + 6 + m % 2).otherwise(12 * b + 8 + m % 2)).alias("t_on"),
+            inside(F.when(m % 19 != 0, 12 * b + 10 + F.when(m % 4 == 0, 1).otherwise(0))).alias("t_off"),
         )
     )
 
@@ -174,13 +175,15 @@ SQL = {
                CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS sample_idx, event_type, value
         FROM events""",
     "landmarks": """
-        SELECT patient_id, study_id, b AS beat_idx,
-               CASE WHEN m % 11 = 0 THEN NULL ELSE 12*b END AS p_on, 12*b + 2 AS p_off, 12*b + 4 AS r_on,
-               CASE WHEN m % 13 = 0 THEN 12*b + 3 ELSE 12*b + 6 + m % 2 END AS r_off,
-               CASE WHEN m % 17 = 0 THEN 12*b + 6 + m % 2 ELSE 12*b + 8 + m % 2 END AS t_on,
-               CASE WHEN m % 19 = 0 THEN NULL ELSE 12*b + 10 + CASE WHEN m % 4 = 0 THEN 1 ELSE 0 END END AS t_off
-        FROM (SELECT patient_id, study_id, CAST(floor(sample_idx / 12) AS INT) AS b, CAST(min(event_id) AS INT) AS m
-              FROM samples GROUP BY 1, 2, 3 HAVING count(*) = 12) x""",
+        SELECT patient_id, study_id, beat_idx, p_on, CASE WHEN p_off < stop THEN p_off END AS p_off, CASE WHEN r_on < stop THEN r_on END AS r_on,
+               CASE WHEN r_off < stop THEN r_off END AS r_off, CASE WHEN t_on < stop THEN t_on END AS t_on, CASE WHEN t_off < stop THEN t_off END AS t_off
+        FROM (SELECT patient_id, study_id, b AS beat_idx, 12*b + c AS stop,
+                     CASE WHEN m % 11 = 0 THEN NULL ELSE 12*b END AS p_on, 12*b + 2 AS p_off, 12*b + 4 AS r_on,
+                     CASE WHEN m % 13 = 0 THEN 12*b + 3 ELSE 12*b + 6 + m % 2 END AS r_off,
+                     CASE WHEN m % 17 = 0 THEN 12*b + 6 + m % 2 ELSE 12*b + 8 + m % 2 END AS t_on,
+                     CASE WHEN m % 19 = 0 THEN NULL ELSE 12*b + 10 + CASE WHEN m % 4 = 0 THEN 1 ELSE 0 END END AS t_off
+              FROM (SELECT patient_id, study_id, CAST(floor(sample_idx / 12) AS INT) AS b, CAST(min(event_id) AS INT) AS m, count(*) AS c
+                    FROM samples GROUP BY 1, 2, 3) x) y""",
     "waves": """
         SELECT patient_id, study_id, beat_idx, lead_idx,
                CASE WHEN first_type = 'signup' AND lead_idx = 0 THEN 0 ELSE n END AS original_len,

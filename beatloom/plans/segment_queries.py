@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beatloom import constants as C
 from beatloom.functions import arrays as A
 from beatloom.functions import text as T
 from beatloom.operators import segments as S
@@ -81,12 +82,34 @@ def _signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_waveforms(spark: SparkSession, d: str) -> DataFrame:
-    """Normalised, padded segments; missing waves stay as zeros."""
+    """Normalised segments, padded to the full length; missing waves stay as zeros."""
     segs = S.segment_rows(_beats(spark, d), REC, keep_missing=True)
-    rows = S.cut_samples(segs, _signal(spark, d), REC, target=8, blank_leads=[1])
+    rows = S.cut_samples(segs, _signal(spark, d), REC, blank_leads=[1])
+    padding = F.forall(F.slice("data", F.col("original_len") + 1, F.lit(C.PAD_LENGTH)), lambda x: x == 0)
+    wave = A.as_text(F.slice("data", F.lit(1), F.col("original_len")), 10_000)
+    return rows.select(*REC, "beat_idx", "segment", "original_len", F.size("data").alias("padded"), padding.alias("blank_end"), wave.alias("data"))
+
+
+def segment_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Segments longer than the target lose their end before they are normalised."""
+    rows = S.cut_samples(S.segment_rows(_beats(spark, d), REC), _signal(spark, d), REC, target=2)
     return rows.select(*REC, "beat_idx", "segment", "original_len", A.as_text(F.col("data"), 10_000).alias("data"))
 
 
+def segment_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Segments cut from records that are one array per lead; bounds outside a record give none."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    half = F.floor(F.size("v") / 2).cast("int")
+    records = e.select("vec_id", F.posexplode(F.array(F.slice("v", F.lit(1), half), F.slice("v", half + 1, half))).alias("lead_idx", "samples"))
+    b = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("beat_idx")
+    start, width = F.col("beat_idx") * 7, F.col("label") + F.col("beat_idx") + 2
+    bounds = e.select("vec_id", "label", b).select(
+        "vec_id", "beat_idx", F.lit("S").alias("segment"), start.alias("start"), (start + width).alias("end"), F.lit(False).alias("missing"), width.cast("int").alias("original_len")
+    )
+    rows = S.cut_records(records, bounds, ["vec_id"], target=10, block=16)
+    return rows.select("vec_id", "beat_idx", "lead_idx", "original_len", A.as_text(F.col("data"), 10_000).alias("data"))
+
+
 def truncated_waves(spark: SparkSession, d: str) -> DataFrame:
     """Waves normalised at full length, then cut to the modelling length of their lead."""
     w = fx.waves(spark, d).filter("original_len > 0").withColumn("segment", F.concat(F.lit("L"), F.col("lead_idx").cast("string")))
@@ -136,8 +159,8 @@ def peak_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def beat_block(spark: SparkSession, d: str) -> DataFrame:
-    """All leads of each record's third real beat, cut to 6 samples."""
-    return S.nth_beat(fx.waves(spark, d), REC, 2).select(*REC, "beat_idx", "lead_idx", A.as_text(F.slice("data", 1, 6)).alias("data"))
+    """All leads of each record's third real beat."""
+    return S.nth_beat(fx.waves(spark, d), REC, 2).select(*REC, "beat_idx", "lead_idx", A.as_text(F.col("data")).alias("data"))
 
 
 def boundary_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +224,7 @@ _SEG = {
         FROM judged""",
     "cut": """
         SELECT b.patient_id, b.study_id, b.beat_idx, b.segment, b.original_len, list(s.value ORDER BY s.sample_idx) AS raw
-        FROM bounds b JOIN samples s ON s.patient_id = b.patient_id AND s.study_id = b.study_id AND s.sample_idx >= b.start AND s.sample_idx < least(b.stop, b.start + 8)
+        FROM bounds b JOIN samples s ON s.patient_id = b.patient_id AND s.study_id = b.study_id AND s.sample_idx >= b.start AND s.sample_idx < least(b.stop, b.start + 800)
         WHERE b.kept AND b.original_len > 0 GROUP BY 1, 2, 3, 4, 5""",
     "normal": """
         SELECT patient_id, study_id, beat_idx, segment, original_len,
@@ -264,12 +287,32 @@ QUERIES = {
         segment_waveforms,
         with_fixtures(
             ["landmarks"],
-            f"""SELECT patient_id, study_id, beat_idx, segment, original_len,
-                       concat({_text('data', 10000)}, repeat(',0', CAST(8 - len(data) AS INT))) AS data FROM normal
-                UNION ALL SELECT patient_id, study_id, beat_idx, segment, 0, '0,0,0,0,0,0,0,0' FROM bounds WHERE kept AND missing""",
+            f"""SELECT patient_id, study_id, beat_idx, segment, original_len, 800 AS padded, true AS blank_end, {_text('data', 10000)} AS data FROM normal
+                UNION ALL SELECT patient_id, study_id, beat_idx, segment, 0, 800, true, '' FROM bounds WHERE kept AND missing""",
             extra=_SEG,
         ),
     ),
+    "segment_heads": (
+        segment_heads,
+        with_fixtures(
+            ["landmarks"],
+            f"""SELECT patient_id, study_id, beat_idx, segment, original_len, {_text('data', 10000)} AS data FROM normal""",
+            extra={**_SEG, "cut": _SEG["cut"].replace("+ 800", "+ 2")},
+        ),
+    ),
+    "segment_arrays": (
+        segment_arrays,
+        f"""WITH r AS (
+              SELECT vec_id, CAST(lead AS INT) AS lead_idx, label, CAST(embedding AS DOUBLE[])[1 + lead * (len(embedding) // 2):(1 + lead) * (len(embedding) // 2)] AS v
+              FROM embeddings CROSS JOIN (SELECT unnest([0, 1]) AS lead)
+            ), c AS (
+              SELECT vec_id, CAST(b AS INT) AS beat_idx, lead_idx, CAST(label + b + 2 AS INT) AS original_len, v[7 * b + 1:7 * b + least(label + b + 2, 10)] AS raw
+              FROM r CROSS JOIN (SELECT unnest(range(5)) AS b) WHERE 7 * b + least(label + b + 2, 10) <= len(v)
+            ), n AS (
+              SELECT *, list_transform(raw, lambda x: CASE WHEN list_stddev_pop(raw) > 0 THEN (x - list_avg(raw)) / list_stddev_pop(raw) ELSE x - list_avg(raw) END) AS data FROM c
+            )
+            SELECT vec_id, beat_idx, lead_idx, original_len, concat({_text('data', 10000)}, repeat(',0', CAST(10 - len(data) AS INT))) AS data FROM n""",
+    ),
     "truncated_waves": (
         truncated_waves,
         with_fixtures(
@@ -349,7 +392,7 @@ QUERIES = {
         beat_block,
         with_fixtures(
             ["waves"],
-            f"""SELECT patient_id, study_id, beat_idx, lead_idx, {_text('data[1:6]')} AS data
+            f"""SELECT patient_id, study_id, beat_idx, lead_idx, {_text('data')} AS data
                 FROM (SELECT *, dense_rank() OVER (PARTITION BY patient_id, study_id ORDER BY beat_idx) AS r FROM waves WHERE original_len > 0) x WHERE r = 3""",
         ),
     ),

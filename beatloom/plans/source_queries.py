@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beatloom.constants import MAX_SIGNAL
 from beatloom.functions.arrays import as_text
 from beatloom.operators import metrics as M
 from beatloom.operators import splits as X
@@ -20,33 +21,46 @@ from beatloom.sources import signals as G
 from beatloom.sources.tables import table
 
 
-def _wide(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as records of three lead columns whose length depends on the label."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    lead = lambda i: F.slice("v", F.lit(1 + 20 * i), F.col("label") * 2 + 3)
-    return e.select("vec_id", "label", lead(0).alias("lead_0"), lead(1).alias("lead_1"), lead(2).alias("lead_2"))
+LEAD_COLUMNS = ["lead_0", "lead_1", "lead_2", "lead_3"]
 
 
-LEAD_COLUMNS = ["lead_0", "lead_1", "lead_2"]
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as records of four lead columns that hold the whole vector, once to three times over
+    by label, so that records differ in length."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    quarter = F.floor(F.size("v") / 4).cast("int")
+    lead = lambda i: F.flatten(F.array_repeat(F.slice("v", quarter * i + 1, quarter), (F.col("label") % 3 + 1).cast("int")))
+    return e.select("vec_id", "label", *[lead(i).alias(c) for i, c in enumerate(LEAD_COLUMNS)])
 
 
 def wide_to_long(spark: SparkSession, d: str) -> DataFrame:
-    stacked = G.stack_leads(_wide(spark, d), ["vec_id"], LEAD_COLUMNS, 12)
+    """Leads fitted to 40 samples: most records are padded, the longest lose their end."""
+    stacked = G.stack_leads(_wide(spark, d), ["vec_id"], LEAD_COLUMNS, 40)
     return G.long_form(stacked, ["vec_id"], "leads").withColumn("value", F.round("value", 6))
 
 
 def stacked_leads(spark: SparkSession, d: str) -> DataFrame:
-    s = G.stack_leads(_wide(spark, d), ["vec_id"], LEAD_COLUMNS, 12)
+    s = G.stack_leads(_wide(spark, d), ["vec_id"], LEAD_COLUMNS, 40)
     return s.select("vec_id", "length", "even", as_text(F.flatten("leads"), 10_000).alias("leads"))
 
 
-def signal_rows(spark: SparkSession, d: str) -> DataFrame:
+def _stored_signals(spark: SparkSession, d: str, cap: int) -> DataFrame:
     rows = _wide(spark, d).select("vec_id", F.array(*LEAD_COLUMNS).alias("leads"))
     path = f"{_folder(spark)}/signal_rows"
-    G.signal_rows(rows, "leads", 3, cap=15).write.parquet(path)
+    G.signal_rows(rows, "leads", len(LEAD_COLUMNS), cap=cap).write.parquet(path)
     return spark.read.parquet(path).select("vec_id", "length", "stored_length", as_text(F.flatten("leads"), 10_000).alias("leads"))
 
 
+def signal_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Signals stored whole: the longest stored length is far above theirs."""
+    return _stored_signals(spark, d, MAX_SIGNAL)
+
+
+def signal_rows_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Signals longer than the stored length lose their end and keep their true length."""
+    return _stored_signals(spark, d, 30)
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder per call below the one all executors share."""
     return f"{shared_dir(spark).rstrip('/')}/beatloom-{uuid.uuid4().hex}"
@@ -157,21 +171,28 @@ def signal_csv(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("sample_idx").cast("int").alias("sample_idx"), "lead_idx").agg(F.sum("value").cast("bigint").alias("total"), F.countDistinct("recording_id").alias("records"))
 
 
+_STORED = """SELECT vec_id, CAST(n AS INT) AS length, CAST(least(n, {cap}) AS INT) AS stored_length, {text} AS leads FROM wide"""
 _WIDE = {
     "wide": """
-        SELECT vec_id, v[1:label * 2 + 3] AS a, v[21:20 + label * 2 + 3] AS b, v[41:40 + label * 2 + 3] AS c, label * 2 + 3 AS n
+        SELECT vec_id, len(v) // 4 * (label % 3 + 1) AS n, list_transform(range(4), lambda l:
+            flatten(list_transform(range(label % 3 + 1), lambda k: v[len(v) // 4 * l + 1:len(v) // 4 * (l + 1)]))) AS ls
         FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e""",
     "stacked": """
-        SELECT vec_id, n, list_transform([a, b, c], lambda l: list_transform(range(12), lambda i: CASE WHEN i < len(l) THEN l[i + 1] ELSE 0 END)) AS leads FROM wide""",
+        SELECT vec_id, n, list_transform(ls, lambda l: list_transform(range(40), lambda i: CASE WHEN i < len(l) THEN l[i + 1] ELSE 0 END)) AS leads FROM wide""",
 }
 
+
+def _stored(cap: int) -> str:
+    return with_fixtures([], _STORED.format(cap=cap, text=_text(f"flatten(list_transform(ls, lambda l: l[1:{cap}]))", 10000)), extra={"wide": _WIDE["wide"]})
+
+
 QUERIES = {
     "wide_to_long": (
         wide_to_long,
         with_fixtures(
             [],
             """SELECT vec_id, CAST(l AS INT) AS lead_idx, CAST(i AS INT) AS sample_idx, round(leads[l + 1][i + 1], 6) AS value
-               FROM stacked CROSS JOIN (SELECT unnest(range(3)) AS l) x CROSS JOIN (SELECT unnest(range(12)) AS i) y""",
+               FROM stacked CROSS JOIN (SELECT unnest(range(4)) AS l) x CROSS JOIN (SELECT unnest(range(40)) AS i) y""",
             extra=_WIDE,
         ),
     ),
@@ -179,14 +200,8 @@ QUERIES = {
         stacked_leads,
         with_fixtures([], f"SELECT vec_id, CAST(n AS INT) AS length, true AS even, {_text('flatten(leads)', 10000)} AS leads FROM stacked", extra=_WIDE),
     ),
-    "signal_rows": (
-        signal_rows,
-        with_fixtures(
-            [],
-            f"""SELECT vec_id, CAST(n AS INT) AS length, CAST(least(n, 15) AS INT) AS stored_length, {_text('list_concat(a[1:15], list_concat(b[1:15], c[1:15]))', 10000)} AS leads FROM wide""",
-            extra={"wide": _WIDE["wide"]},
-        ),
-    ),
+    "signal_rows": (signal_rows, _stored(MAX_SIGNAL)),
+    "signal_rows_capped": (signal_rows_capped, _stored(30)),
     "segment_store": (
         segment_store,
         with_fixtures(
