@@ -7,11 +7,14 @@ key), work per (key, cell), and carry only a small summary across cells.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from beatloom.functions.arrays import let
@@ -23,6 +26,14 @@ FANOUT = 1024
 SAMPLED = 64  # rows sampled per border
 
 
+class Walk(Protocol):
+    """State of a walk along the rows of a key."""
+
+    def step(self, *values) -> None: ...
+
+    def end(self) -> tuple: ...
+
+
 def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Keys with more than ``rows`` rows. At most total/rows of them exist, so the
     result is small whatever the data."""
@@ -149,6 +160,42 @@ def windowed(
     return wide.filter("_core").drop("_cell", "_core")
 
 
+def folded(
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str], walk: Callable[[], Walk], fields: dict[str, tuple[str, pa.DataType]]
+) -> DataFrame:
+    """One row per key from a walk over its rows in ``order``: the keys and the ``fields`` (name -> type in Spark and in
+    Arrow) of the walk's end. For steps that hang on the one before and do not compose.
+
+    One exchange by key; a partition is sorted and streams through, and only the state of the key at hand is kept
+    between batches, so a key of any length takes constant memory."""
+    slim = df.select(*keys, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)])
+    dealt = slim.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{k}" for k in range(len(order))])
+    dealt = dealt.select(*keys, *[f"_c{k}" for k in range(len(columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, types = None, None, None
+
+        def ended(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [*types, *[t for _, t in fields.values()]]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [*keys, *fields])
+
+        for batch in batches:
+            types, done = [batch.schema.field(k).type for k in keys], []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key = row[: len(keys)]
+                if at is None or key != now:
+                    if at is not None:
+                        done.append((*now, *at.end()))
+                    now, at = key, walk()
+                at.step(*row[len(keys) :])
+            yield ended(done)
+        if at is not None:
+            yield ended([(*now, *at.end())])
+
+    ends = ", ".join(f"{name} {kind}" for name, (kind, _) in fields.items())
+    return dealt.mapInArrow(run, T.StructType([*dealt.select(*keys).schema.fields, *T.StructType.fromDDL(ends).fields]))
+
+
 def running_total(df: DataFrame, keys: list[str], cell: str, value: str, out: str, fanout: int = FANOUT) -> DataFrame:
     """Exclusive running sum of ``value`` over integer ``cell`` within a key, in two
     levels, plus the key's total in ``<out>_all``. One row per (key, cell)."""

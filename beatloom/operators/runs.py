@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from beatloom.functions.arrays import let
+from beatloom.operators.ordered import CELL, folded, ranked, windowed
 
-MAX_EPOCHS = 10_000
 SMOOTHING = 5
 
 # The smallest gain in G-mean that counts, and run settings by default.
@@ -20,81 +21,104 @@ DEFAULT_ALPHA = "16"
 # ---- epoch curves ----------------------------------------------------------
 
 
-def trailing_mean(epochs: DataFrame, keys: list[str], metrics: list[str], window: int = SMOOTHING) -> DataFrame:
-    """Mean of the last ``window`` epochs per metric, NULL when any of them is missing,
-    and whether the window is full."""
-    over = W.partitionBy(*keys).orderBy("epoch").rowsBetween(-(window - 1), 0)
-    rows = F.count(F.lit(1)).over(over)
-    cols = {f"{m}_smooth": F.when(F.count(m).over(over) == rows, F.avg(m).over(over)) for m in metrics}
-    return epochs.withColumns({**cols, "full": rows == window})
+def trailing_mean(epochs: DataFrame, keys: list[str], metrics: list[str], window: int = SMOOTHING, cell: int = CELL) -> DataFrame:
+    """Mean of the last ``window`` epochs per metric, NULL when any of them is missing, and whether the
+    window is full. The neighbours are rows, not epoch numbers, so gaps in the numbers do not matter;
+    rows are numbered first, and a run of any length splits into cells of numbered rows."""
 
+    def add(frame) -> dict[str, Column]:
+        over = frame(-(window - 1), 0)
+        rows = F.count(F.lit(1)).over(over)
+        return {**{f"{m}_smooth": F.when(F.count(m).over(over) == rows, F.avg(m).over(over)) for m in metrics}, "full": rows == window}
 
-def _curves(epochs: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """The epochs of a run as one ordered array. A training run is bounded by its epoch
-    limit: an epoch beyond it is refused, row by row, before anything is collected."""
-    fits = F.when(F.col("epoch") > MAX_EPOCHS, F.raise_error(F.lit("a run exceeds the epoch limit"))).otherwise(F.col("epoch"))
-    packed = F.sort_array(F.collect_list(F.struct(fits.alias("epoch"), *cols)))
-    return epochs.groupBy(*keys).agg(packed.alias("curve"))
+    placed = ranked(epochs, keys, ["epoch", *metrics], out="_pos")
+    return windowed(placed, keys, "_pos", window - 1, 0, add, max(cell, window)).drop("_pos")
 
 
-def _walk(curves: DataFrame, keys: list[str], best: dict[str, float], improved, update, patience: int) -> DataFrame:
-    """Scan each curve: remember the best values and epoch, count epochs without gain,
-    stop when ``patience`` of them follow each other."""
-    fields = [F.lit(v).cast("double").alias(k) for k, v in best.items()]
-    pack = lambda values, epoch, bad, stop: F.struct(
-        *[v.cast("double").alias(k) for k, v in zip(best, values)],
-        epoch.cast("int").alias("epoch"), bad.cast("int").alias("bad"), stop.cast("int").alias("stop"),
-    )
-    init = F.struct(*fields, F.lit(None).cast("int").alias("epoch"), F.lit(0).alias("bad"), F.lit(None).cast("int").alias("stop"))
+class BestEpoch:
+    """Walk along a run: remembers the best values and their epoch, counts epochs without gain, and stops when
+    ``patience`` of them follow each other. ``gains(best, values)`` tells whether an epoch is better; ``keeps``
+    gives the new best values. A missing or NaN value is no gain."""
+
+    def __init__(self, start: tuple[float, ...], gains: Callable[[tuple, tuple], bool], keeps: Callable[[tuple, tuple], tuple], patience: int):
+        self.best, self.gains, self.keeps, self.patience = start, gains, keeps, patience
+        self.epoch = self.stop = self.at_best = None
+        self.bad = self.seen = 0
+
+    def step(self, epoch: int, *values) -> None:
+        self.seen += 1
+        if self.stop is not None:
+            return
+        if self.gains(self.best, values):
+            self.best, self.epoch, self.at_best, self.bad = self.keeps(self.best, values), epoch, values, 0
+        else:
+            self.bad += 1
+            if self.bad >= self.patience:
+                self.stop = epoch
+
+    def end(self) -> tuple:
+        return self.epoch, self.stop, self.seen, *(self.at_best or ())
+
 
-    def visit(acc: Column, x: Column) -> Column:
-        better = pack(update(acc, x), x["epoch"], F.lit(0), F.lit(None))
-        bad = acc["bad"] + 1
-        worse = pack([acc[k] for k in best], acc["epoch"], bad, F.when(bad >= patience, x["epoch"]))
-        gained = F.coalesce(improved(acc, x), F.lit(False))
-        return F.when(acc["stop"].isNotNull(), acc).when(gained, better).otherwise(worse)
+def _best(epochs: DataFrame, keys: list[str], metrics: list[str], walk: Callable[[], BestEpoch], shown: int | None = None) -> DataFrame:
+    """(keys, best_epoch, stop_epoch, epochs, at_best): ``at_best`` holds the metrics of the best epoch."""
+    double = {f"_m{k}": ("double", pa.float64()) for k in range(len(metrics))}
+    fields = {name: ("int", pa.int32()) for name in ("best_epoch", "stop_epoch", "epochs")} | double
+    rows = epochs.select(*keys, F.col("epoch").cast("int").alias("epoch"), *[F.col(m).cast("double").alias(m) for m in metrics])
+    ends = folded(rows, keys, ["epoch", *metrics], ["epoch", *metrics], lambda: _Padded(walk(), len(metrics)), fields)
+    at = F.struct(*[F.col(f"_m{k}").alias(m) for k, m in enumerate(metrics[:shown])])
+    return ends.select(*keys, "best_epoch", "stop_epoch", "epochs", at.alias("at_best"))
 
-    end = let(F.aggregate("curve", init, visit), lambda s: F.struct(s["epoch"].alias("best_epoch"), s["stop"].alias("stop_epoch")))
-    return curves.withColumn("_end", end).select(*keys, "_end.best_epoch", "_end.stop_epoch", F.size("curve").alias("epochs"), "curve")
+
+class _Padded:
+    """A run without a best epoch has missing metrics there."""
+
+    def __init__(self, walk: BestEpoch, metrics: int):
+        self.step, self.walk, self.width = walk.step, walk, 3 + metrics
+
+    def end(self) -> tuple:
+        found = self.walk.end()
+        return found + (None,) * (self.width - len(found))
+
+
+def _more(a: float | None, b: float, delta: float = 0.0) -> bool:
+    return a is not None and a - b > delta
 
 
 def best_epoch_by_loss(epochs: DataFrame, keys: list[str], loss: str, delta: float, patience: int) -> DataFrame:
     """Best epoch = last one whose loss is lower than the best so far by more than ``delta``."""
-    return _walk(
-        _curves(epochs, keys, [loss]), keys, {"top": float("inf")},
-        lambda acc, x: (acc["top"] - x[loss]) > delta, lambda acc, x: [x[loss]], patience,
-    )
+    gains = lambda best, x: x[0] is not None and best[0] - x[0] > delta
+    return _best(epochs, keys, [loss], lambda: BestEpoch((float("inf"),), gains, lambda best, x: x, patience))
 
 
 def best_epoch_by_gmean(epochs: DataFrame, keys: list[str], gmean: str, auroc: str, patience: int, delta: float = GMEAN_DELTA) -> DataFrame:
-    """Higher G-mean by more than ``delta`` wins; within it, the higher AUROC."""
-    low = float("-inf")
+    """Higher G-mean by more than ``delta`` wins; within it, the higher AUROC. A missing AUROC
+    is no gain, and none later counts as higher than it."""
 
-    def improved(acc: Column, x: Column) -> Column:
-        gain = x[gmean] - acc["top"]
-        return (gain > delta) | ((F.abs(gain) <= delta) & (x[auroc] > acc["second"]))
+    def gains(best: tuple, x: tuple) -> bool:
+        if x[0] is None:
+            return False
+        gain = x[0] - best[0]
+        return gain > delta or (abs(gain) <= delta and x[1] is not None and x[1] > best[1])
 
-    # A missing AUROC compares as no gain, also against later epochs.
-    keep = lambda acc, x: [x[gmean], F.coalesce(x[auroc], F.lit(float("nan")))]
-    return _walk(_curves(epochs, keys, [gmean, auroc]), keys, {"top": low, "second": low}, improved, keep, patience)
+    keeps = lambda best, x: (x[0], float("nan") if x[1] is None else x[1])
+    return _best(epochs, keys, [gmean, auroc], lambda: BestEpoch((float("-inf"),) * 2, gains, keeps, patience))
 
 
 def best_epoch_smoothed(epochs: DataFrame, keys: list[str], auroc: str, acc_col: str, delta: float, patience: int) -> DataFrame:
     """Gain in the smoothed AUROC, or in smoothed accuracy where AUROC is missing,
     counted once the smoothing window is full."""
-    low = float("-inf")
     smooth = trailing_mean(epochs, keys, [auroc, acc_col])
-    a, c = f"{auroc}_smooth", f"{acc_col}_smooth"
-    by_acc = lambda x: x[a].isNull()
-    improved = lambda s, x: x["full"] & F.when(by_acc(x), (x[c] - s["acc"]) > delta).otherwise((x[a] - s["auroc"]) > delta)
-    keep = lambda s, x: [F.when(by_acc(x), s["auroc"]).otherwise(x[a]), F.when(by_acc(x), x[c]).otherwise(s["acc"])]
-    return _walk(_curves(smooth, keys, [a, c, "full"]), keys, {"auroc": low, "acc": low}, improved, keep, patience)
+    metrics = [f"{auroc}_smooth", f"{acc_col}_smooth"]
+    gains = lambda best, x: bool(x[2]) and (_more(x[1], best[1], delta) if x[0] is None else _more(x[0], best[0], delta))
+    keeps = lambda best, x: (best[0], x[1]) if x[0] is None else (x[0], best[1])
+    full = smooth.withColumn("full", F.col("full").cast("int"))
+    return _best(full, keys, [*metrics, "full"], lambda: BestEpoch((float("-inf"),) * 2, gains, keeps, patience), shown=2)
 
 
 def value_at_best(best: DataFrame, metric: str) -> DataFrame:
-    """The metric in the best epoch, taken from the curve at hand."""
-    at = lambda t: F.get(F.filter(t["curve"], lambda x: x["epoch"] == t["best"]), F.lit(0))[metric]
-    return best.withColumn(f"best_{metric}", let(F.struct("curve", F.col("best_epoch").alias("best")), at))
+    """The metric in the best epoch, one of those its rule reads."""
+    return best.withColumn(f"best_{metric}", F.col("at_best")[metric])
 
 
 # ---- run tags --------------------------------------------------------------

@@ -148,9 +148,28 @@ def test_best_epochs(spark):
     keep = lambda s, x: (s[0], x[1]) if x[0] is None else (x[0], s[1])
     got = {r["run"]: (r["best_epoch"], r["stop_epoch"]) for r in R.best_epoch_smoothed(df, ["run"], "auroc", "acc", 0.0123, 6).collect()}
     assert got == {r: walk(smoothed(c), better, keep, (-inf, -inf), 6) for r, c in curves.items()}
-    late = df.limit(1).withColumn("epoch", F.lit(R.MAX_EPOCHS + 1))
-    with pytest.raises(PySparkException):
-        R.best_epoch_by_loss(late, ["run"], "loss", 0.05, 4).collect()
+
+
+def test_a_long_run_streams(spark):
+    long = spark.range(200_000).select(F.lit(1).alias("run"), (F.col("id") + 1).alias("epoch"), (F.lit(1.0) / (F.col("id") % 150_000 + 1)).alias("loss"))
+    short = spark.createDataFrame([(None, 1, 0.5), (None, 2, None), (2, 1, None)], "run int, epoch long, loss double")
+    best = R.value_at_best(R.best_epoch_by_loss(long.unionByName(short), ["run"], "loss", 0.0, 60_000), "loss")
+    got = {r["run"]: (r["best_epoch"], r["stop_epoch"], r["epochs"], r["best_loss"]) for r in best.collect()}
+    assert got == {1: (150_000, None, 200_000, 1 / 150_000), None: (1, None, 2, 0.5), 2: (None, None, 1, None)}
+
+
+def test_trailing_mean_by_rows_splits_a_run(spark):
+    epochs = [3 * e + e % 2 for e in range(300)]  # gaps in the numbers
+    rows = [(r, e, None if e % 97 == 0 else float((e * 7919) % 13)) for r in (1, 2) for e in epochs[: 300 if r == 1 else 7]]
+    df = spark.createDataFrame(rows, "run int, epoch int, acc double")
+    got = {(r["run"], r["epoch"]): (r["acc_smooth"], r["full"]) for r in R.trailing_mean(df, ["run"], ["acc"], cell=16).collect()}
+    for r in (1, 2):
+        mine = [x for x in rows if x[0] == r]
+        for i, (_, e, _) in enumerate(mine):
+            w = [x[2] for x in mine[max(0, i - 4) : i + 1]]
+            mean, full = got[r, e]
+            assert full == (len(w) == 5) and (mean is None) == (None in w)
+            assert mean is None or abs(mean - sum(w) / len(w)) < 1e-9
 
 
 def test_tags(spark):
