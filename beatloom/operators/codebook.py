@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from beatloom.functions.hashing import keyed_md5
+from beatloom.operators.ordered import lowest, ranked
 from beatloom.session import cut_lineage
 
 BLOCK_VALUES = 8_000_000
@@ -170,32 +170,32 @@ def update(
         F.max("raw_n").alias("raw_n"),
         F.transform(F.sort_array(F.collect_list(F.struct("dim", "w"))), lambda x: x["w"]).alias("w"),
     )
+    grouped = cut_lineage(grouped)
     # Every vector is counted at one code, so the counts add up to the batch.
-    table = W.partitionBy(F.lit(0))
-    all_n, k = F.sum("raw_n").over(table), F.count("*").over(table)
-    smooth = (F.col("raw_n") + epsilon) * all_n / (all_n + k * epsilon)
-    line = F.lit(0.5) * F.sum("seen").over(table) / k
-    judged = grouped.select("code", "w", smooth.alias("n"), line.alias("line")).withColumn("dead", F.col("n") < F.col("line"))
-
-    # The j-th dead code takes the input with the j-th lowest keyed hash.
-    codes = state.count()
-    h = keyed_md5(f"{seed}|{round_no}", key)
-    picks = vectors.select(F.col(vec).cast("array<double>").alias("fresh"), h.alias("_h"), key).orderBy("_h", key).limit(codes)
-    pool = picks.select("fresh", F.row_number().over(table.orderBy("_h", key)).alias("_at"))
-    nth = F.when(F.col("dead"), F.count_if("dead").over(table.orderBy("code")))
-    return (
-        judged.withColumn("_at", nth)
-        .join(pool, "_at", "left")
-        .select(
-            "code",
-            F.coalesce("fresh", F.transform("w", lambda x: x / F.col("n"))).alias("vec"),
-            F.when(F.col("dead"), F.col("line") * 0.5).otherwise(F.col("n")).alias("ema_n"),
-            F.coalesce("fresh", "w").alias("ema_w"),
-            "dead",
-        )
+    all_n, k, seen = grouped.agg(F.coalesce(F.sum("raw_n"), F.lit(0.0)), F.count("*"), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    smooth = (F.col("raw_n") + epsilon) * F.lit(all_n) / F.lit(all_n + k * epsilon)
+    line = 0.5 * seen / max(1, k)
+    judged = grouped.select("code", "w", smooth.alias("n")).withColumn("dead", F.col("n") < line)
+    fresh = _fresh(judged.filter("dead").select("code"), vectors.select(vec, key), vec, key, f"{seed}|{round_no}")
+    return judged.join(fresh, "code", "left").select(
+        "code",
+        F.coalesce("fresh", F.transform("w", lambda x: x / F.col("n"))).alias("vec"),
+        F.when(F.col("dead"), line * 0.5).otherwise(F.col("n")).alias("ema_n"),
+        F.coalesce("fresh", "w").alias("ema_w"),
+        "dead",
     )
 
 
+def _fresh(dead: DataFrame, vectors: DataFrame, vec: str, key: str, seed: str) -> DataFrame:
+    """(code, fresh): the j-th dead code takes the input with the j-th lowest keyed hash. Both sides are
+    numbered in pieces and meet by number; inputs are selected by the digits of their hashes."""
+    n = dead.count()
+    picks = lowest(vectors, key, seed, n) if n else vectors.limit(0)
+    pool = cut_lineage(picks.select(F.col(vec).cast("array<double>").alias("fresh"), keyed_md5(seed, key).alias("_h"), F.col(key).alias("_key")))
+    places = ranked(cut_lineage(dead), [], ["code"], "_at") if n else dead.withColumn("_at", F.lit(0).cast("bigint"))
+    return places.join(ranked(pool, [], ["_h", "_key"], "_at").select("_at", "fresh"), "_at").select("code", "fresh")
+
+
 def start_state(codebook: DataFrame) -> DataFrame:
     return codebook.select("code", "vec", F.lit(0.0).alias("ema_n"), F.col("vec").alias("ema_w"))
 
@@ -222,7 +222,8 @@ def usage_summary(per_code: DataFrame) -> DataFrame:
     """Used codes, share of the table, effective number of codes, and whether a long
     tail is used (ratio above 1.5)."""
     p = F.col("n") / F.greatest(F.col("all_n"), F.lit(1))
-    out = per_code.withColumn("all_n", F.sum("n").over(W.partitionBy(F.lit(0)))).agg(
+    total = F.broadcast(per_code.agg(F.sum("n").alias("all_n")))  # one row
+    out = per_code.crossJoin(total).agg(
         F.count("*").alias("codes"), F.count_if(F.col("n") > 0).alias("used"), F.exp(-F.sum(p * F.ln(p + 1e-10))).alias("perplexity")
     )
     ratio = F.col("used") / F.col("perplexity")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from beatloom.functions.arrays import let
+from beatloom.operators.ordered import ranked
+from beatloom.session import cut_lineage
 
 UNKNOWN = "Unknown"
-MAX_CLASSES = 10_000
 
 
 def lookup(rows: DataFrame, codes: DataFrame, on: str, value: str, default: str = UNKNOWN) -> DataFrame:
@@ -74,15 +74,6 @@ def header_value(comments: Column, name: str) -> Column:
 # ---- classes ---------------------------------------------------------------
 
 
-def class_list(df: DataFrame, classes: str) -> list[str]:
-    """Sorted class names of an array column. They become columns of the result, so
-    the driver must know them; more than ``MAX_CLASSES`` is an error."""
-    names = df.select(F.explode(classes).alias("c")).distinct().orderBy("c").limit(MAX_CLASSES + 1).collect()
-    if len(names) > MAX_CLASSES:
-        raise ValueError("too many classes for a multi-hot label")
-    return [r["c"] for r in names]
-
-
 def class_columns(columns: list[str], not_classes: list[str]) -> list[str]:
     return [c for c in columns if c not in set(not_classes)]
 
@@ -142,12 +133,8 @@ def class_counts(df: DataFrame, classes: str) -> DataFrame:
 # ---- label ids -------------------------------------------------------------
 
 
-def _numbered(classes: DataFrame, order: list[str]) -> DataFrame:
-    """Rank over distinct classes: one row per class, few by nature."""
-    return classes.withColumn("label_id", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("int"))
-
-
 def sorted_ids(df: DataFrame, cls: str) -> DataFrame:
+    """Dense ids in the order of the distinct classes, however many there are."""
     return _numbered(df.select(cls).distinct(), [cls]).select(cls, "label_id")
 
 
@@ -155,6 +142,11 @@ def first_seen_ids(df: DataFrame, cls: str, position: str) -> DataFrame:
     return _numbered(df.groupBy(cls).agg(F.min(position).alias("_first")), ["_first", cls]).select(cls, "label_id")
 
 
+def _numbered(classes: DataFrame, order: list[str]) -> DataFrame:
+    # Looked at more than once, so found once.
+    return ranked(cut_lineage(classes), [], order, "label_id").withColumn("label_id", F.col("label_id").cast("int"))
+
+
 def fixed_ids(cls: Column, names: list[str]) -> Column:
     """Position in a fixed list; NULL for other classes."""
     at = F.array_position(F.array(*[F.lit(n) for n in names]), cls)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.functions.arrays import let
-from beatloom.operators.ordered import cumulative, logit_cell
+from beatloom.operators.ordered import running
+from beatloom.session import cut_lineage
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -150,16 +151,15 @@ def long_scores(df: DataFrame) -> DataFrame:
     return df.select(F.posexplode(pairs).alias("class", "x")).select("class", F.col("x.p").alias("score"), F.col("x.y").alias("label"))
 
 
-def class_auroc(scores: DataFrame, cell: Column | None = None) -> DataFrame:
+def class_auroc(scores: DataFrame) -> DataFrame:
     """Tie-aware area under the ROC curve per class; NULL without both outcomes.
 
-    Rows collapse to one per (class, score) before any ordering, and the running
-    count of negatives is taken per score cell, so a class of any size splits."""
+    Rows collapse to one per (class, score), stored since the running count of negatives looks
+    at them more than once; the count is taken in pieces, so a class of any size splits."""
     per_score = scores.groupBy("class", "score").agg(
         F.sum(F.col("label").cast("bigint")).alias("pos"), F.sum((1 - F.col("label")).cast("bigint")).alias("neg")
     )
-    cell = logit_cell(F.col("score")) if cell is None else cell
-    below = cumulative(per_score, ["class"], "score", cell, "neg", "neg_below")
+    below = running(cut_lineage(per_score), ["class"], ["score"], "neg", "neg_below")
     won = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / F.lit(2.0)))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return below.groupBy("class").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.try_divide(won, pairs).alias("auroc"))

@@ -23,6 +23,7 @@ from beatloom.functions.hashing import keyed_md5
 HOT_ROWS = 1_000_000
 CELL = 1024
 FANOUT = 1024
+EDGE = 100_000
 SAMPLED = 64  # rows sampled per border
 
 
@@ -49,15 +50,27 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", p
     once, dealt by (key, piece); counts are taken for the keys with borders alone, so at most ``pieces``
     offsets exist. NULL keys are keys like any other. Rows that are equal in key and order stay together:
     name columns in ``order`` that tell them apart. Where the borders fall never changes a rank."""
+    inside = lambda w: F.row_number().over(w) - 1
+    return _moved(df, keys, order, inside, F.count("*"), out, pieces).withColumn(out, F.col(out).cast("bigint"))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, pieces: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value`` within each key, in ``order``, split as in ``ranked``."""
+    inside = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return _moved(df, keys, order, inside, F.sum(value), out, pieces)
+
+
+def _moved(df: DataFrame, keys: list[str], order: list[str], inside: Callable[[W], Column], total: Column, out: str, pieces: int | None) -> DataFrame:
+    """``inside`` a piece, plus the ``total`` of the key's earlier pieces."""
     if not keys:
-        return ranked(df.withColumn("_all", F.lit(0)), ["_all"], order, out, pieces).drop("_all")
+        return _moved(df.withColumn("_all", F.lit(0)), ["_all"], order, inside, total, out, pieces).drop("_all")
     placed = _placed(df, keys, order, pieces)
-    inside = W.partitionBy(*keys, "_piece").orderBy(*order)
     earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    counts = placed.filter(F.col("_borders").isNotNull()).groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
-    before = counts.select(*keys, "_piece", F.sum("_rows").over(earlier).alias("_before")).filter("_before IS NOT NULL")
-    rows = joined(placed.drop("_borders").withColumn("_rn", F.row_number().over(inside)), F.broadcast(before), [*keys, "_piece"], "left")
-    return rows.withColumn(out, (F.col("_rn") - 1 + F.coalesce("_before", F.lit(0))).cast("bigint")).drop("_rn", "_before", "_piece")
+    sums = placed.filter(F.col("_borders").isNotNull()).groupBy(*keys, "_piece").agg(total.alias("_sum"))
+    before = sums.select(*keys, "_piece", F.sum("_sum").over(earlier).alias("_before")).filter("_before IS NOT NULL")
+    rows = placed.drop("_borders").withColumn("_in", inside(W.partitionBy(*keys, "_piece").orderBy(*order)))
+    rows = joined(rows, F.broadcast(before), [*keys, "_piece"], "left")
+    return rows.withColumn(out, F.col("_in") + F.coalesce("_before", F.lit(0))).drop("_in", "_before", "_piece")
 
 
 def _placed(df: DataFrame, keys: list[str], order: list[str], pieces: int | None) -> DataFrame:
@@ -255,26 +268,30 @@ def entry_states(cells: DataFrame, keys: list[str], cell: str, step: str, levels
     return unpack(runs.join(tops, [*keys, sup]), F.col("entry"))
 
 
-def cumulative(df: DataFrame, keys: list[str], order: str, cell: Column, value: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` in ``order`` within a key, for a key of any
-    size. ``cell`` is a coarse monotone function of ``order``: each (key, cell) is
-    summed on its own and moved by the total of the cells before it."""
-    cells = df.withColumn("_cell", cell)
-    sums = cells.groupBy(*keys, "_cell").agg(F.sum(value).alias("_sum"))
-    before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(*keys, "_cell", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        cells.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(bases, [*keys, "_cell"])
-        .withColumn(out, F.col(out) + F.col("_base"))
-        .drop("_cell", "_base")
-    )
-
-
-def logit_cell(score: Column, per_unit: int = 256, reach: int = 40) -> Column:
-    """Cells that stay fine where probabilities crowd, near 0 and near 1."""
-    edge = F.lit(reach)
-    inner = F.ln(score / (F.lit(1.0) - score))
-    logit = F.when(score <= 0, -edge).when(score >= 1, edge).otherwise(F.greatest(-edge, F.least(edge, inner)))
-    return F.floor(logit * per_unit)
+def lowest(df: DataFrame, key: str, seed: int | str, n: int, digits: int = 3, edge: int = EDGE) -> DataFrame:
+    """The ``n`` rows of lowest (md5(seed|key), key), or all of fewer.
+
+    Selection by digits: a step counts the rows by the next hex digits of the hash, at most 16 ** ``digits``
+    numbers, and goes into the cell in which the n-th row lies, until that cell is small. Everything below
+    it is a filter, and only its own rows are ranked; no task holds n rows."""
+    hashed = df.withColumn("_h", keyed_md5(seed, key))
+    prefix, taken, held = "", 0, None
+    while held is None or (held > edge and len(prefix) < 32):
+        width = len(prefix) + digits
+        cells = hashed.filter(F.col("_h").startswith(prefix)).groupBy(F.substring("_h", 1, width).alias("c")).count()
+        for c, rows in sorted(map(tuple, cells.collect())):
+            if taken + rows > n:
+                prefix, held = c, rows
+                break
+            taken += rows
+        else:
+            return df  # fewer rows than asked for
+        if taken == n:
+            break
+    head = F.substring("_h", 1, len(prefix))
+    below = hashed.filter(head < prefix)
+    if taken < n:
+        ties = [c for c, t in df.dtypes if c != key and not t.startswith(("map", "variant"))]
+        rest = ranked(hashed.filter(head == prefix), [], ["_h", key, *ties], "_at").filter(F.col("_at") < n - taken)
+        below = below.unionByName(rest.drop("_at"))
+    return below.drop("_h")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from beatloom import constants as C
 from beatloom.functions.arrays import let, pad_right, z_normalise
 from beatloom.operators.broadcasts import checked
-from beatloom.operators.ordered import CELL, entry_states, spread, windowed
+from beatloom.operators.ordered import CELL, entry_states, joined, running, spread, windowed
 from beatloom.session import cut_lineage, shared_dir
 
 BLOCK = 4096  # positions of a signal in one array
@@ -205,21 +205,37 @@ def percentile_of_score(value: Column, score) -> Column:
     return (below + upto + (below < upto).cast("bigint")) * 50 / F.nullif(F.count(value), F.lit(0))
 
 
+def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles per key, between two values by the line through them: (key, one column per name). NULL
+    values do not count.
+
+    Selection by counting: equal values are merged, running counts give the ranks, and the two values around a
+    share are read off. No task or buffer holds a key's values."""
+    counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    below = running(counts, [key], ["_v"], "_n", "_below")
+    rows = joined(below, counts.groupBy(key).agg(F.sum("_n").alias("_all")), [key])
+    place = {name: (F.col("_all") - 1) * F.lit(p) for name, p in shares.items()}
+    at = lambda rank: F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n")), F.col("_v")))
+    ends = [x for name, h in place.items() for x in (at(F.floor(h)).alias(f"_lo_{name}"), at(F.ceil(h)).alias(f"_hi_{name}"))]
+    found = rows.groupBy(key).agg(F.max("_all").alias("_all"), *ends)
+    line = lambda name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place[name] - F.floor(place[name]))
+    return found.select(key, *[line(name).alias(name) for name in shares])
+
+
 def length_profile(df: DataFrame, key: str, length: str, score: int = C.PAD_LENGTH) -> DataFrame:
-    """Length statistics per segment type over non-zero lengths, plus the zero count.
-    Exact percentiles need one counter per distinct length, a small number."""
+    """Length statistics per segment type over non-zero lengths, plus the zero count."""
     real = F.when(F.col(length) > 0, F.col(length))
-    return df.groupBy(key).agg(
+    stats = df.groupBy(key).agg(
         F.count_if(F.col(length) == 0).alias("zeros"),
         F.count(real).alias("n"),
         F.avg(real).alias("mean"),
         F.stddev_pop(real).alias("std"),
-        F.percentile(real, F.lit(0.5)).alias("p50"),
-        F.percentile(real, F.lit(0.95)).alias("p95"),
-        F.percentile(real, F.lit(0.99)).alias("p99"),
         F.max(real).alias("longest"),
         percentile_of_score(real, F.lit(score)).alias("score_rank"),
     )
+    exact = percentiles(df.select(key, real.alias("_length")), key, "_length", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    rows = joined(stats, exact, [key], "left")
+    return rows.select(key, "zeros", "n", "mean", "std", "p50", "p95", "p99", "longest", "score_rank")
 
 
 def histogram(df: DataFrame, key: str, value: str, bins: int = 10) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatloom import constants as C
-from beatloom.functions.hashing import keyed_md5
-from beatloom.operators.ordered import hash_ranked
+from beatloom.operators.ordered import hash_ranked, lowest, spread
+
+CHUNK = 4_096
 
 
 def _cuts(parts: list[tuple[str, float]], pos: Column, n: Column) -> Column:
@@ -143,16 +144,22 @@ def balance(rows: DataFrame, positive: Column) -> DataFrame:
 
 def fold_rows(rows: DataFrame, sidecar: DataFrame, key: str, fold: int, repeat: bool) -> DataFrame:
     """Training rows of one fold: repeated as often as the fold lists the id, or once."""
-    listed = sidecar.filter((F.col("fold") == fold) & (F.col("n") > 0)).select(key, "n")
-    times = F.col("n") if repeat else F.lit(1)
-    return rows.join(listed, key).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("n")
+    return all_fold_rows(rows, sidecar.filter(F.col("fold") == fold), key, repeat).drop("fold")
 
 
-def all_fold_rows(rows: DataFrame, sidecar: DataFrame, key: str, repeat: bool) -> DataFrame:
-    """The same for every fold in one join."""
-    listed = sidecar.filter(F.col("n") > 0).select(key, "fold", "n")
-    times = F.col("n") if repeat else F.lit(1)
-    return rows.join(listed, key).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("n")
+def all_fold_rows(rows: DataFrame, sidecar: DataFrame, key: str, repeat: bool, chunk: int = CHUNK) -> DataFrame:
+    """The same for every fold in one join, ``copy`` counting the copies from 1. Ids listed more than ``chunk`` times
+    go out as chunks of copies, dealt over all tasks before they are spelled out, so one id of any number of
+    copies spreads."""
+    listed = sidecar.filter(F.col("n") > 0).select(key, "fold", F.col("n").cast("bigint").alias("n"))
+    if not repeat:
+        return rows.join(listed, key).withColumn("copy", F.lit(1)).drop("n")
+    few = rows.join(listed.filter(F.col("n") <= chunk), key).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    start = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(chunk).cast("bigint")))
+    chunks = rows.join(listed.filter(F.col("n") > chunk), key).withColumn("_from", start)
+    copies = F.sequence(F.col("_from").cast("int"), F.least(F.col("n"), F.col("_from") + chunk - 1).cast("int"))
+    many = spread(chunks, [key, "fold", "_from"]).withColumn("copy", F.explode(copies))
+    return few.drop("n").unionByName(many.drop("n", "_from"))
 
 
 def fold_summary(sidecar: DataFrame, key: str, label: str) -> DataFrame:
@@ -180,8 +187,8 @@ def train_fraction(rows: DataFrame, key: str, share: float, seed: int = C.SEED)
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = C.SEED) -> DataFrame:
-    """Exactly ``n`` rows, the same ones every time: top-n by keyed hash."""
-    return df.withColumn("_h", keyed_md5(seed, key)).orderBy("_h", key).limit(n).drop("_h")
+    """Exactly ``n`` rows (all of fewer), the same ones every time: those of lowest keyed hash."""
+    return lowest(df, key, seed, n)
 
 
 def members(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Order-dependent helpers against plain Python, with cells small enough to matter."""
 
+import hashlib
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from beatloom.operators import ordered as O
@@ -49,15 +52,29 @@ def test_windowed_equals_whole_window(spark):
     assert len(got) == len(rows)
 
 
-def test_running_total_and_cumulative(spark):
+def test_running_sums(spark):
     rows = [("a", i, i % 5) for i in range(300)] + [("b", 7, 2)]
     df = spark.createDataFrame(rows, "k string, c int, v int")
     got = O.running_total(df, ["k"], "c", "v", "t", fanout=16).collect()
     for r in got:
         mine = [v for k, c, v in rows if k == r["k"]]
         assert r["t"] == sum(v for k, c, v in rows if k == r["k"] and c < r["c"]) and r["t_all"] == sum(mine)
-    got = O.cumulative(df, ["k"], "c", F.floor(F.col("c") / 10), "v", "t").collect()
-    assert all(r["t"] == sum(v for k, c, v in rows if k == r["k"] and c < r["c"]) for r in got)
+    got = O.running(df, ["k"], ["c"], "v", "t", pieces=6).collect()
+    assert all(r["t"] == sum(v for k, c, v in rows if k == r["k"] and c < r["c"]) for r in got) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 299, 300, 900])
+@pytest.mark.parametrize("digits,edge", [(1, 5), (3, 100_000)])
+def test_lowest_hashes(spark, n, digits, edge):
+    ids = list(range(300))
+    df = spark.createDataFrame([(i, f"x{i}") for i in ids], "id int, x string")
+    want = sorted(ids, key=lambda i: (hashlib.md5(f"7|{i}".encode()).hexdigest(), i))[:n]
+    assert sorted(r["id"] for r in O.lowest(df, "id", 7, n, digits, edge).collect()) == sorted(want)
+
+
+def test_lowest_of_repeated_keys(spark):
+    df = spark.createDataFrame([(1, i) for i in range(90)], "id int, x int")
+    assert sorted(r["x"] for r in O.lowest(df, "id", 7, 20, edge=4).collect()) == list(range(20))
 
 
 def test_entry_states_compose(spark):

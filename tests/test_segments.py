@@ -171,3 +171,14 @@ def test_a_gap_in_the_signal_makes_no_second_row(spark):
     signal = spark.createDataFrame([(1, 0, i, float(i)) for i in range(6) if i != 4], "k int, lead_idx int, sample_idx int, value double")
     got = sorted((r["beat_idx"], r["segment"], r["original_len"]) for r in S.cut_samples(segments, signal, ["k"], 4, blank_leads=[0]).collect())
     assert got == [(0, "P", 3), (1, "P", 0)]
+
+
+def test_percentiles_by_counting(spark):
+    rng = np.random.default_rng(4)
+    data = {"hot": rng.normal(size=900), "ties": np.repeat([1.0, 2.0, 5.0], [4, 1, 2]), "one": np.array([3.5]), None: np.array([1.0, 4.0])}
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in S.percentiles(df, "k", "x", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}
+    assert got.keys() == data.keys()
+    for k, v in data.items():
+        assert np.allclose(got[k], np.percentile(v, [0, 37, 100])), k

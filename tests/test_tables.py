@@ -59,6 +59,17 @@ def test_lists_and_folds(spark):
     assert X.same_set(rows.select("id"), side.select("id")).first()["only_left"] == 3
 
 
+def test_many_copies_spread(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, x string")
+    side = spark.createDataFrame([(1, 1, 50_000), (1, 2, 7), (2, 1, 3), (3, 1, 0)], "id int, fold int, n int")
+    out = X.all_fold_rows(rows, side, "id", True, chunk=100)
+    got = {(r["id"], r["fold"]): (r["count"], r["lo"], r["hi"]) for r in out.groupBy("id", "fold").agg(F.count("*").alias("count"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).collect()}
+    assert got == {(1, 1): (50_000, 1, 50_000), (1, 2): (7, 1, 7), (2, 1): (3, 1, 3)}
+    assert out.select("id", "fold", "copy").distinct().count() == 50_010
+    parts = out.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 30_000
+
+
 def test_fraction_and_sample(spark):
     rows = spark.range(100).select("id", F.when(F.col("id") < 40, "train").otherwise("val").alias("split"))
     out = X.train_fraction(rows, "id", 0.33)
@@ -80,7 +91,6 @@ def test_labels(spark):
     got = {r["id"]: r["names"] for r in L.lookup_many(rows, "id", "codes", codes.limit(0), "code", "name").collect()}
     assert got[1] == ["Unknown"] * 3 and got[2] == []
     cls = spark.createDataFrame([(1, ["B", "A"]), (2, ["Unknown"]), (3, ["C"]), (4, [])], "id int, c array<string>")
-    assert L.class_list(cls, "c") == ["A", "B", "C", "Unknown"]
     hot = {r["id"]: r["x"] for r in cls.select("id", L.multi_hot(F.col("c"), ["A", "B", "C"]).alias("x")).collect()}
     assert hot == {1: [1, 1, 0], 2: [0, 0, 0], 3: [0, 0, 1], 4: [0, 0, 0]}
     assert cls.filter(L.labelled(L.multi_hot(F.col("c"), ["A", "B", "C"]))).count() == 2
@@ -95,12 +105,12 @@ def test_labels(spark):
 
 
 def test_multi_hot_by_join(spark):
-    """More classes than the driver lists; places follow the sorted names."""
-    many = spark.range(L.MAX_CLASSES + 5).select(F.format_string("c%05d", "id").alias("class"))
+    """Places follow the sorted names, however many there are."""
+    many = spark.range(10_005).select(F.format_string("c%05d", "id").alias("class"))
     rows = spark.createDataFrame([(1, ["c00003", "c10004"]), (2, []), (3, ["other"]), (4, None)], "id int, c array<string>")
     got = {r["id"]: r["labels"] for r in L.multi_hot_by_join(rows, "id", "c", many).collect()}
     assert {k: [i for i, x in enumerate(v) if x] for k, v in got.items()} == {1: [3, 10_004], 2: [], 3: [], 4: []}
-    assert {len(v) for v in got.values()} == {L.MAX_CLASSES + 5}
+    assert {len(v) for v in got.values()} == {10_005}
 
 
 def walk(curve, better, keep, start, patience):
