@@ -1,75 +1,86 @@
-"""Vector features of fixed-length multi-channel signals, from user functions or from
-random convolution kernels. Python runs per Arrow batch inside the tasks."""
+"""Vector features of fixed-length multi-channel signals: random convolution kernels as a table, drawn by keyed
+hashes and applied with array functions, and encoders that users bring.
+
+A kernel is a row (kernel, taps, dilation, padding, bias); a tap is (channel, place, weight). The table has as many rows
+as there are kernels, whatever the data, and travels as one row beside every signal."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatloom.operators.codebook import dense
+from beatloom.functions.arrays import let
+from beatloom.functions.hashing import DRAW_RANGE, draw
 
 # The kernel lengths to choose from.
 KERNEL_LENGTHS = (7, 9, 11)
-ROWS_PER_BLOCK = 128
 
 
-@dataclass(frozen=True)
-class Kernel:
-    weights: np.ndarray  # channels x length; unused channels are zero
-    dilation: int
-    padding: int
-    bias: float
+def uniform(seed: int, *keys) -> Column:
+    """In [0, 1), from the keyed draw."""
+    return draw(seed, *keys) / F.lit(float(DRAW_RANGE))
 
 
-def random_kernels(channels: int, signal_len: int, count: int, seed: int = 42, lengths: tuple[int, ...] = KERNEL_LENGTHS) -> list[Kernel]:
-    """Kernels with random length, dilation, channel subset, weights centred over the
-    used channels, bias in (-1, 1), and padding for half of them on average."""
-    if signal_len <= max(lengths):
-        raise ValueError("the signal must be longer than the longest kernel")
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(count):
-        n = int(rng.choice(lengths))
-        reach = np.log2((signal_len - 1) / (n - 1))
-        dilation = max(1, int(2 ** (rng.random() * max(reach, 0.0))))
-        used = rng.permutation(channels)[: 1 + rng.integers(channels)]
-        weights = np.zeros((channels, n))
-        draws = rng.standard_normal((len(used), n))
-        weights[used] = draws - draws.mean()
-        padding = (n - 1) * dilation // 2 if rng.random() < 0.5 else 0
-        out.append(Kernel(weights, dilation, padding, float(rng.uniform(-1, 1))))
-    return out
+def normal(seed: int, *keys) -> Column:
+    """Standard normal (Box and Muller) from two keyed draws."""
+    radius = F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - uniform(seed, F.lit("radius"), *keys)))
+    return radius * F.cos(F.lit(2 * math.pi) * uniform(seed, F.lit("angle"), *keys))
 
 
-def projection(kernels: int, width: int, seed: int = 42) -> np.ndarray:
-    """Fixed random map from the 2*kernels features to ``width`` values."""
-    rng = np.random.default_rng([seed, 1])
-    return rng.standard_normal((2 * kernels, width)) / np.sqrt(2 * kernels)
-
-
-def kernel_features(x: np.ndarray, kernels: list[Kernel]) -> np.ndarray:
-    """rows x channels x samples to rows x (share positive, maximum) per kernel."""
-    out = np.empty((len(x), 2 * len(kernels)))
-    groups: dict[tuple[int, int, int], list[int]] = {}
-    for i, k in enumerate(kernels):
-        groups.setdefault((k.weights.shape[1], k.dilation, k.padding), []).append(i)
-    for (n, dilation, padding), members in groups.items():
-        padded = np.pad(x, ((0, 0), (0, 0), (padding, padding)))
-        steps = padded.shape[2] - (n - 1) * dilation
-        w = np.stack([kernels[i].weights for i in members])
-        bias = np.array([kernels[i].bias for i in members])
-        # Sum over taps of (kernels x channels) times (channels x steps): no window copies.
-        response = sum(np.einsum("kc,rcs->rks", w[:, :, t], padded[:, :, t * dilation : t * dilation + steps]) for t in range(n))
-        response = response + bias[None, :, None]
-        for j, i in enumerate(members):
-            out[:, 2 * i] = (response[:, j] > 0).mean(1)
-            out[:, 2 * i + 1] = response[:, j].max(1)
+def random_kernels(spark: SparkSession, channels: int, signal_len: int, count: int, seed: int = 42, lengths: tuple[int, ...] = KERNEL_LENGTHS) -> DataFrame:
+    """(kernel, taps, dilation, padding, bias): random length, dilation up to the signal's, a random subset of the
+    channels, normal weights centred over the taps used, bias in [-1, 1), and padding for half of them on average."""
+    if signal_len <= max(lengths):
+        raise ValueError("the signal must be longer than the longest kernel")
+    u = lambda what, *more: uniform(seed, F.lit(what), "kernel", *more)
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    drawn = spark.range(count).select(F.col("id").cast("int").alias("kernel")).withColumn("_n", F.get(sizes, F.floor(u("length") * len(lengths)).cast("int")))
+    reach = F.log2(F.lit(float(signal_len - 1)) / (F.col("_n") - 1))
+    drawn = drawn.withColumn("dilation", F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), u("dilation") * reach)).cast("int")))
+    order = F.array_sort(F.array(*[F.struct(u("channel", F.lit(c)).alias("u"), F.lit(c).alias("c")) for c in range(channels)]))
+    used = F.slice(F.transform(order, lambda x: x["c"]), F.lit(1), (F.floor(u("subset") * channels) + 1).cast("int"))
+    places = drawn.select("*", F.explode(used).alias("channel")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("place"))
+    weighted = places.withColumn("weight", normal(seed, "kernel", "channel", "place"))
+    tap = F.struct("channel", "place", "weight")
+    rows = weighted.groupBy("kernel", "_n", "dilation").agg(F.sort_array(F.collect_list(tap)).alias("_taps"), F.avg("weight").alias("_mean"))
+    centred = F.transform("_taps", lambda t: F.struct(t["channel"].alias("channel"), t["place"].alias("place"), (t["weight"] - F.col("_mean")).alias("weight")))
+    half = F.floor((F.col("_n") - 1) * F.col("dilation") / 2).cast("int")
+    padding = F.when(u("padding") < 0.5, half).otherwise(0).alias("padding")
+    return rows.select("kernel", centred.alias("taps"), "dilation", padding, (u("bias") * 2 - 1).alias("bias"))
+
+
+def random_projection(spark: SparkSession, features: int, width: int, seed: int = 42) -> DataFrame:
+    """(out, weights): a fixed random map of ``features`` values to ``width``."""
+    cells = spark.range(width).select(F.col("id").cast("int").alias("out"), F.explode(F.sequence(F.lit(0), F.lit(features - 1))).alias("feature"))
+    cells = cells.withColumn("w", normal(seed, F.lit("projection"), "out", "feature") / F.lit(math.sqrt(features)))
+    return cells.groupBy("out").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "w"))), lambda x: x["w"]).alias("weights"))
+
+
+def response(signal: Column, kernel: Column) -> Column:
+    """The kernel at every step of the signal (channels x samples); beyond both ends the signal is 0."""
+    reach = F.aggregate(kernel["taps"], F.lit(0), lambda a, t: F.greatest(a, t["place"])) * kernel["dilation"]
+    steps = F.size(F.get(signal, F.lit(0))) + kernel["padding"] * 2 - reach
+    at = lambda t, s: F.get(F.get(signal, t["channel"]), s + t["place"] * kernel["dilation"] - kernel["padding"])
+    sum_at = lambda s: F.aggregate(kernel["taps"], kernel["bias"], lambda a, t: a + t["weight"] * F.coalesce(at(t, s), F.lit(0.0)))
+    return F.transform(F.sequence(F.lit(0), steps - 1), sum_at)
+
+
+def with_kernel_features(df: DataFrame, signal: str, kernels: DataFrame, projection: DataFrame | None = None) -> DataFrame:
+    """Add ``features`` of ``signal`` (channels x samples, equal lengths above the kernels'): per kernel the share of positive
+    steps and the largest, in kernel order, or a ``projection`` of them."""
+    one = lambda rows, order, name: F.broadcast(rows.agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))).alias(name)))
+    both = lambda r: F.array(F.size(F.filter(r, lambda x: x > 0)) / F.size(r).cast("double"), F.array_max(r))
+    wide = df.withColumn(signal, F.col(signal).cast("array<array<double>>")).crossJoin(one(kernels, "kernel", "_kernels"))  # one row
+    features = F.flatten(F.transform("_kernels", lambda k: let(response(F.col(signal), k), both)))
+    out = wide.withColumn("features", features).drop("_kernels")
+    if projection is not None:
+        dot = lambda w: F.aggregate(F.zip_with("features", w, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        out = out.crossJoin(one(projection, "out", "_map")).withColumn("features", F.transform("_map", lambda r: dot(r["weights"]))).drop("_map")
     return out
 
 
@@ -80,25 +91,7 @@ def encode(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return df.mapInPandas(fn, T.StructType([*df.schema.fields, *extra.fields]))
 
 
-def with_kernel_features(df: DataFrame, signal: str, kernels: list[Kernel], project: np.ndarray | None = None) -> DataFrame:
-    """Add ``features`` computed from ``signal`` (channels x samples, equal shapes)."""
-    channels = kernels[0].weights.shape[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS_PER_BLOCK):
-                part = batch.slice(i, ROWS_PER_BLOCK)
-                f = kernel_features(dense(part.column(signal), channels), kernels)
-                f = f if project is None else f @ project
-                ends = np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)
-                added = pa.ListArray.from_arrays(pa.array(ends), pa.array(f.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, added], names=[*part.schema.names, "features"])
-
-    extra = T.StructField("features", T.ArrayType(T.DoubleType()))
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, extra]))
-
-
-PROVIDERS: dict[str, Callable] = {"kernels": with_kernel_features}
+PROVIDERS: dict[str, Callable] = {"kernels": with_kernel_features, "user": encode}
 
 
 def by_name(name: str | None) -> Callable | None:

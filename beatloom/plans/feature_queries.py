@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from beatloom.functions import arrays as A
 from beatloom.functions import pooling as P
 from beatloom.operators import encoders as E
 from beatloom.operators.sentences import blank_vectors, sentence_tokens
-from beatloom.plans.fixtures import with_fixtures
+from beatloom.plans.fixtures import sql_draw, with_fixtures
 from beatloom.plans.segment_queries import _text
 from beatloom.plans.sentence_queries import _MASKED, _SENT, masked_frame, token_sentence_frame
 from beatloom.sources.tables import table
@@ -76,16 +79,72 @@ def vector_clean(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", A.count_unclean(F.col("dirty")).alias("bad"), A.as_text(A.scaled(A.clean(F.col("dirty")), 2.0), 10_000).alias("vec"))
 
 
+KERNELS, PROJECTED = 20, 6
+
+
 def kernel_features(spark: SparkSession, d: str) -> DataFrame:
     """Random-kernel features of the embeddings seen as 4 channels of 16 samples."""
-    kernels = E.random_kernels(CHANNELS, FRAMES, 20)
+    kernels = E.random_kernels(spark, CHANNELS, FRAMES, KERNELS)
     rows = _vec(spark, d).select("vec_id", _channels().alias("signal"))
     return E.by_name("kernels")(rows, "signal", kernels).select("vec_id", A.as_text(F.col("features"), 10_000).alias("features"))
 
 
+def projected_features(spark: SparkSession, d: str) -> DataFrame:
+    """The same, mapped to fewer values."""
+    kernels = E.random_kernels(spark, CHANNELS, FRAMES, KERNELS)
+    rows = _vec(spark, d).select("vec_id", _channels().alias("signal"))
+    out = E.with_kernel_features(rows, "signal", kernels, E.random_projection(spark, 2 * KERNELS, PROJECTED))
+    return out.select("vec_id", A.as_text(F.col("features"), 10_000).alias("features"))
+
+
+def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield rows.assign(features=[[float(v[0]), float(v[-1]), float(max(v))] for v in rows["v"]])
+
+
+def user_encoder(spark: SparkSession, d: str) -> DataFrame:
+    """An encoder of the user's, chosen by name like the built-in one."""
+    rows = E.by_name("user")(_vec(spark, d).select("vec_id", "v"), _ends)
+    return rows.select("vec_id", A.as_text(F.col("features"), 10_000).alias("features"))
+
+
 _V = {"e": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"}
 _CH = "[v[1:16], v[17:32], v[33:48], v[49:64]]"
 
+
+
+def _u(what: str, *more: str) -> str:
+    return f"({sql_draw(42, repr(what), 'kernel', *more)} / 4294967296.0::DOUBLE)"
+
+
+def _n(*keys: str) -> str:
+    radius, angle = (f"({sql_draw(42, repr(x), *keys)} / 4294967296.0::DOUBLE)" for x in ("radius", "angle"))
+    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {radius})) * cos(2 * pi() * {angle}))"
+
+
+_KERNELS = {
+    "k0": f"""
+        SELECT kernel, [7, 9, 11][CAST(floor({_u('length')} * 3) AS INT) + 1] AS n, {_u('subset')} AS us, {_u('dilation')} AS ud, {_u('padding')} AS up, {_u('bias')} * 2 - 1 AS bias
+        FROM (SELECT unnest(range({KERNELS})) AS kernel) r""",
+    "k1": f"""
+        SELECT *, greatest(1, CAST(floor(pow(2.0::DOUBLE, ud * log2({FRAMES - 1}.0::DOUBLE / (n - 1)))) AS INT)) AS dilation,
+               list_transform(list_sort(list_transform(range({CHANNELS}), lambda c: {{'u': {_u('channel', 'c')}, 'c': c}}))[1:CAST(floor(us * {CHANNELS}) AS INT) + 1], lambda x: x.c) AS used
+        FROM k0""",
+    "k2": f"""SELECT kernel, channel, place, {_n('kernel', 'channel', 'place')} AS w FROM (SELECT kernel, channel, unnest(range(n)) AS place FROM (SELECT kernel, n, unnest(used) AS channel FROM k1) a) b""",
+    "k3": """
+        SELECT k1.kernel, n, dilation, bias, CASE WHEN up < 0.5 THEN (n - 1) * dilation // 2 ELSE 0 END AS padding, taps
+        FROM k1 JOIN (SELECT kernel, list({'c': channel, 't': place, 'w': w - m} ORDER BY channel, place) AS taps FROM (SELECT *, avg(w) OVER (PARTITION BY kernel) AS m FROM k2) x GROUP BY kernel) y USING (kernel)""",
+    "resp": f"""
+        SELECT vec_id, kernel, list_transform(range({FRAMES} + 2 * padding - (n - 1) * dilation), lambda s: bias + list_sum(list_transform(taps, lambda t:
+            t.w * CASE WHEN s + t.t * dilation - padding BETWEEN 0 AND {FRAMES - 1} THEN v[t.c * {FRAMES} + s + t.t * dilation - padding + 1] ELSE 0 END))) AS r
+        FROM e CROSS JOIN k3""",
+    "feat": """SELECT vec_id, flatten(list([len(list_filter(r, lambda x: x > 0)) / len(r)::DOUBLE, list_max(r)] ORDER BY kernel)) AS f FROM resp GROUP BY vec_id""",
+    "map": f"""SELECT out, list({_n("'projection'", 'out', 'feature')} / sqrt({2 * KERNELS}::DOUBLE) ORDER BY feature) AS w
+        FROM (SELECT unnest(range({PROJECTED})) AS out) o CROSS JOIN (SELECT unnest(range({2 * KERNELS})) AS feature) f GROUP BY out""",
+    "proj": """SELECT vec_id, list(list_sum(list_transform(list_zip(f, w), lambda z: z[1] * z[2])) ORDER BY out) AS f FROM feat CROSS JOIN map GROUP BY vec_id""",
+}
+_FEAT = {**_V, **{k: v for k, v in _KERNELS.items() if k not in ("map", "proj")}}
+
 QUERIES = {
     "pooled_roi": (
         pooled_roi,
@@ -162,5 +221,7 @@ QUERIES = {
             extra=_V,
         ),
     ),
-    "kernel_features": (kernel_features, None),
+    "kernel_features": (kernel_features, with_fixtures([], f"SELECT vec_id, {_text('f', 10000)} AS features FROM feat", extra=_FEAT)),
+    "projected_features": (projected_features, with_fixtures([], f"SELECT vec_id, {_text('f', 10000)} AS features FROM proj", extra={**_V, **_KERNELS})),
+    "user_encoder": (user_encoder, with_fixtures([], f"SELECT vec_id, {_text('[v[1], v[len(v)], list_max(v)]', 10000)} AS features FROM e", extra=_V)),
 }

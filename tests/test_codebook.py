@@ -141,28 +141,34 @@ def test_losses(spark, frames):
 
 
 def test_kernel_features(spark):
-    kernels = E.random_kernels(3, 20, 25, seed=9)
-    again = E.random_kernels(3, 20, 25, seed=9)
-    assert all((a.weights == b.weights).all() and a[1:] == b[1:] if isinstance(a, tuple) else (a.weights == b.weights).all() for a, b in zip(kernels, again))
+    table = E.random_kernels(spark, 3, 20, 25, seed=9)
+    kernels = sorted(table.collect())
+    assert kernels == sorted(E.random_kernels(spark, 3, 20, 25, seed=9).collect())
     x = RNG.normal(size=(11, 3, 20))
     want = np.zeros((11, 50))
     for i, k in enumerate(kernels):
-        used = np.any(k.weights != 0, axis=1)
-        assert used.sum() >= 1 and abs(k.weights[used].mean()) < 1e-9 and -1 < k.bias < 1
-        p = np.pad(x, ((0, 0), (0, 0), (k.padding, k.padding)))
-        n = k.weights.shape[1]
-        steps = p.shape[2] - (n - 1) * k.dilation
+        n = max(t["place"] for t in k["taps"]) + 1
+        w = np.zeros((3, n))
+        for t in k["taps"]:
+            w[t["channel"], t["place"]] = t["weight"]
+        used = np.any(w != 0, axis=1)
+        assert n in (7, 9, 11) and used.sum() >= 1 and abs(w[used].mean()) < 1e-9 and -1 <= k["bias"] < 1
+        p = np.pad(x, ((0, 0), (0, 0), (k["padding"], k["padding"])))
+        steps = p.shape[2] - (n - 1) * k["dilation"]
+        assert steps > 0
         for r in range(11):
-            resp = [sum(k.weights[c, t] * p[r, c, s + t * k.dilation] for c in range(3) for t in range(n)) + k.bias for s in range(steps)]
+            resp = [sum(w[c, t] * p[r, c, s + t * k["dilation"]] for c in range(3) for t in range(n)) + k["bias"] for s in range(steps)]
             want[r, 2 * i], want[r, 2 * i + 1] = np.mean(np.array(resp) > 0), max(resp)
+    assert len({k["dilation"] for k in kernels}) > 1 and {k["padding"] > 0 for k in kernels} == {True, False}
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, s array<array<double>>").repartition(3)
-    got = {r["i"]: r["features"] for r in E.by_name("kernels")(df, "s", kernels).collect()}
+    got = {r["i"]: r["features"] for r in E.by_name("kernels")(df, "s", table).collect()}
     assert np.allclose([got[i] for i in range(11)], want)
-    p = E.projection(25, 4)
-    got = {r["i"]: r["features"] for r in E.with_kernel_features(df, "s", kernels, p).collect()}
-    assert np.allclose([got[i] for i in range(11)], want @ p)
+    p = E.random_projection(spark, 50, 4)
+    m = np.array([r["weights"] for r in sorted(p.collect())])
+    got = {r["i"]: r["features"] for r in E.with_kernel_features(df, "s", table, p).collect()}
+    assert np.allclose([got[i] for i in range(11)], want @ m.T)
     with pytest.raises(ValueError):
-        E.random_kernels(1, 11, 1)
+        E.random_kernels(spark, 1, 11, 1)
     with pytest.raises(ValueError):
         E.by_name("other")
     assert E.by_name("none") is None
