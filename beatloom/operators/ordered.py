@@ -143,9 +143,8 @@ def with_halo(df: DataFrame, position: str, before: int, after: int, cell: int =
     """Assign rows to cells of ``cell`` positions and copy the rows a neighbouring
     cell needs: ``before`` positions ahead of its start, ``after`` past its end.
     ``_core`` marks the row of its own cell. A window partitioned by (key, _cell)
-    then sees the same frame as one over the whole key."""
-    if max(before, after) > cell:
-        raise ValueError("the halo must not exceed the cell")
+    then sees the same frame as one over the whole key. Cells are as wide as the reach at least."""
+    cell = max(cell, before, after)
     own = F.floor(F.col(position) / cell)
     first = F.floor((F.col(position) - after) / cell)
     last = F.floor((F.col(position) + before) / cell)

@@ -182,6 +182,13 @@ def tag_settings(tag: Column) -> dict[str, Column]:
     }
 
 
+def stem_tag(stem: Column) -> tuple[Column, Column]:
+    """Tag and seed in the name of a metric file, ``metrics_<tag>_seed<n>``; a run saved without a tag is named so."""
+    tag = F.regexp_extract(stem, r"^metrics_(?:(.*)_)?seed(\d+)$", 1)
+    seed = F.regexp_extract(stem, r"^metrics_(?:(.*)_)?seed(\d+)$", 2)
+    return F.coalesce(F.nullif(tag, F.lit("")), F.lit(UNTAGGED)), F.nullif(seed, F.lit("")).cast("int")
+
+
 def short_tag(tag: Column) -> Column:
     """Only the parts that differ from the defaults; the class weight always stays."""
     usual = F.array(*[F.lit(k + v) for k, v in TAG_DEFAULTS.items()])

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 
 from beatloom import constants as C
 from beatloom.functions.arrays import let, pad_right, z_normalise
-from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, joined, running, spread, windowed
 from beatloom.session import cut_lineage, shared_dir
 
@@ -314,12 +313,11 @@ def spaced(
 
     Records within one cell are scanned as they are. ``long_keys`` may name the others;
     by default they are the ones with a point at ``cell`` or later."""
-    if spacing > cell:
-        raise ValueError("spacing must not exceed the cell")
+    cell = max(cell, spacing)
     shared_dir(points.sparkSession)  # long records are stored on the way: fail before any work, whatever the data
     if long_keys is None:
         long_keys = points.filter(F.col(position) >= cell).select(*keys).distinct()
-    found = checked(long_keys)
+    found = None if long_keys.isEmpty() else long_keys
     usual = points if found is None else points.join(found, keys, "left_anti")
     at = F.sort_array(F.collect_list(F.col(position).cast("bigint"))).alias("_at")
     short = usual.groupBy(*keys).agg(at).select(*keys, F.explode(_keep_apart(F.col("_at"), F.lit(0), spacing)).alias(position))

@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from beatloom import constants as C
 from beatloom.functions.arrays import let
 from beatloom.functions.hashing import DRAW_RANGE, draw, keyed_md5
-from beatloom.operators.broadcasts import checked
 from beatloom.operators.ordered import CELL, entry_states, running_total, spread, with_halo
 from beatloom.session import cut_lineage, shared_dir
 
@@ -180,7 +179,7 @@ def sentences(
     shared_dir(assignments.sparkSession)  # long records are stored on the way: fail before any work, whatever the data
     if long_keys is None:
         long_keys = assignments.filter(F.col("beat_idx") >= cell).select(*keys).distinct()
-    found = checked(long_keys)
+    found = None if long_keys.isEmpty() else long_keys
     usual = assignments if found is None else assignments.join(found, keys, "left_anti")
     segments = list(vocab_offsets)
     chunks = (

@@ -62,6 +62,16 @@ def run_tags(spark: SparkSession, d: str) -> DataFrame:
     return tagged.select("p_partkey", "tag", R.short_tag(F.col("tag")).alias("short"), *[c.alias(n) for n, c in R.tag_settings(F.col("tag")).items()])
 
 
+def untagged_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of runs by the names of their metric files; every third run was saved without a tag."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("metrics_"), F.when(k % 3 == 0, "").otherwise(F.concat(R.run_tag(), F.lit("_"))), F.lit("seed"), (k % 5).cast("string"))
+    tag, seed = R.stem_tag(F.col("stem"))
+    rows = _configs(spark, d).select(k, name.alias("stem")).select("p_partkey", tag.alias("tag"), seed.alias("seed"))
+    settings = R.tag_settings(F.col("tag"))
+    return rows.select("p_partkey", "tag", "seed", R.short_tag(F.col("tag")).alias("short"), settings["class_weight"].alias("class_weight"), settings["ckpt_metric"].alias("ckpt_metric"))
+
+
 def run_table(spark: SparkSession, d: str) -> DataFrame:
     """All runs, best first: value at the best epoch joined with the settings in the tag."""
     e = fx.epochs(spark, d)
@@ -253,6 +263,18 @@ QUERIES = {
             extra=_CONF,
         ),
     ),
+    "untagged_runs": (
+        untagged_runs,
+        with_fixtures(
+            [],
+            """SELECT k AS p_partkey, CASE WHEN k % 3 = 0 THEN '(untagged)' ELSE tag END AS tag, CAST(k % 5 AS INT) AS seed,
+                      CASE WHEN k % 3 = 0 THEN '(untagged)' ELSE concat('cw', cw, CASE WHEN lr = '1e-04' THEN '' ELSE ' lr' || lr END, CASE WHEN r = '8' THEN '' ELSE ' r' || r END,
+                             CASE WHEN ld = '0.1' THEN '' ELSE ' ld' || ld END, CASE WHEN tm = 'all' THEN '' ELSE ' tm' || tm END,
+                             CASE WHEN vloss THEN ' ckvloss' ELSE '' END, CASE WHEN hf = '0.1' THEN '' ELSE ' hf' || hf END, CASE WHEN a = '16' THEN '' ELSE ' a' || a END) END AS short,
+                      CASE WHEN k % 3 > 0 THEN cw END AS class_weight, CASE WHEN k % 3 > 0 THEN CASE WHEN vloss THEN 'val_loss' ELSE 'gmean' END END AS ckpt_metric FROM tags""",
+            extra=_CONF,
+        ),
+    ),
     "run_table": (
         run_table,
         with_fixtures(

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from beatloom.constants import MAX_SIGNAL
 from beatloom.functions.arrays import as_text
@@ -70,11 +71,12 @@ def segment_store(spark: SparkSession, d: str) -> DataFrame:
     """Waves written by lead as segment type, then counted from the stored files."""
     w = fx.waves(spark, d).withColumn("segment", F.concat(F.lit("L"), F.col("lead_idx").cast("string")))
     path = f"{_folder(spark)}/segments"
-    G.write_segments(w, path)
-    stored = spark.read.parquet(path)
+    G.write_segments(w.to(StructType.fromDDL(G.SEGMENT_SCHEMA)), path)
+    stored = spark.read.schema(G.SEGMENT_SCHEMA).parquet(path)
     files = G.file_rows(stored, ["segment"])
     per = files.groupBy("segment").agg(F.sum("n_rows").alias("n_rows"))
-    real = stored.filter("original_len > 0").groupBy("segment").agg(F.count("*").alias("n_real"))
+    held = F.aggregate("data", F.lit(0.0), lambda a, x: a + F.floor(x * 100 + 0.5)).cast("bigint")
+    real = stored.filter("original_len > 0").groupBy("segment").agg(F.count("*").alias("n_real"), F.sum(held).alias("held"))
     return per.join(real, "segment")
 
 
@@ -206,7 +208,7 @@ QUERIES = {
         segment_store,
         with_fixtures(
             ["waves"],
-            "SELECT concat('L', lead_idx) AS segment, count(*) AS n_rows, count(*) FILTER (WHERE original_len > 0) AS n_real FROM waves GROUP BY 1",
+            "SELECT concat('L', lead_idx) AS segment, count(*) AS n_rows, count(*) FILTER (WHERE original_len > 0) AS n_real, CAST(sum(list_sum(list_transform(CAST(data AS FLOAT[]), lambda x: floor(CAST(x AS DOUBLE) * 100 + 0.5)))) FILTER (WHERE original_len > 0) AS BIGINT) AS held FROM waves GROUP BY 1",
         ),
     ),
     "sentence_store": (

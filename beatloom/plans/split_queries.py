@@ -88,6 +88,17 @@ def fixed_list_split(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("positive_share", F.round("positive_share", 6))
 
 
+def guarded_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Rows on the fixed lists, after the guards: no id on two lists, none on no list, and splits of the lists' sizes."""
+    lists = _lists(spark, d)
+    docs = X.members(table(spark, d, "documents").select("doc_id", "lang"), lists, "doc_id")
+    X.require_none(X.overlap(lists, "doc_id"), "an id is on two lists")
+    X.require_none(X.unlisted(docs, lists, "doc_id"), "an id is on no list")
+    rows = X.propagate(docs, lists, "doc_id")
+    X.require_counts(rows, {r["split"]: r["count"] for r in lists.groupBy("split").count().collect()})
+    return rows.groupBy("split", "lang").agg(F.count("*").alias("n"))
+
+
 def unlisted_ids(spark: SparkSession, d: str) -> DataFrame:
     return X.unlisted(table(spark, d, "documents"), _lists(spark, d), "doc_id")
 
@@ -230,6 +241,10 @@ QUERIES = {
             extra=_LIST,
         ),
     ),
+    "guarded_lists": (
+        guarded_lists,
+        with_fixtures([], "SELECT split, lang, count(*) AS n FROM documents d JOIN lists l ON d.doc_id = l.doc_id GROUP BY 1, 2", extra=_LIST),
+    ),
     "unlisted_ids": (
         unlisted_ids,
         with_fixtures([], "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lists)", extra=_LIST),

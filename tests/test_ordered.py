@@ -44,6 +44,8 @@ def test_hash_ranked_is_a_permutation(spark):
 def test_windowed_equals_whole_window(spark):
     rows = [("a", i, float((i * 7919) % 31)) for i in range(200) if i % 13] + [("b", 0, 1.0)]
     df = spark.createDataFrame(rows, "k string, p int, v double")
+    wide = O.windowed(df, ["k"], "p", 40, 0, lambda f: {"s": F.count("v").over(f(-40, -1))}, cell=8).collect()
+    assert all(r["s"] == sum(1 for k, q, _ in rows if k == r["k"] and r["p"] - 40 <= q < r["p"]) for r in wide)
     got = O.windowed(df, ["k"], "p", 4, 3, lambda f: {"s": F.sum("v").over(f(-4, 3))}, cell=8).collect()
     by = {(k, p): v for k, p, v in rows}
     for r in got:

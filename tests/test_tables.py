@@ -8,7 +8,6 @@ from beatloom.operators import labels as L
 from beatloom.operators import quality as Q
 from beatloom.operators import runs as R
 from beatloom.operators import splits as X
-from beatloom.operators.broadcasts import checked
 from beatloom.sources import signals as G
 
 PARTS = [("train", 0.8), ("val", 0.15), ("test", 0.05)]
@@ -77,7 +76,6 @@ def test_fraction_and_sample(spark):
     a = {r["id"] for r in X.sample_n(rows, "id", 10).collect()}
     assert len(a) == 10 and a == {r["id"] for r in X.sample_n(rows.repartition(5), "id", 10).collect()}
     assert X.members(rows, rows.filter("id < 5"), "id").count() == 5 and X.members(rows, rows.limit(0), "id").count() == 0
-    assert checked(rows.limit(0)) is None and checked(rows, 10) is rows
     folds = spark.createDataFrame([(f,) for f in range(1, 11)], "f int")
     got = [r["x"] for r in folds.select("f", X.official_split(F.col("f"), [9], [10]).alias("x")).orderBy("f").collect()]
     assert got == ["train"] * 8 + ["val", "test"]
