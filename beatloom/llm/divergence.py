@@ -7,7 +7,7 @@
    key states its slot. A shard stores its keys in slot order. Slots of all shards are numbered in turn.
 3. Recount: shards are broadcast, ``BLOCK_BYTES`` at a time, with one pass over the documents per block. A
    task looks up the distinct terms of a piece of text, compares each with the key stored in its slot, and
-   adds to dense pages of counts per (lang, source), flushed at ``PAGE_BYTES``.
+   increments dense slots, group by group, for every ``WORDS`` words it has gathered.
 4. Shares of a group and of its language are p = 1 + floor(scale * (count + 1) / (N + V)), exact.
 
 The divergence of a pair of sources sums f = floor((p-q)^2 / q) over all kept terms, absent ones too, without
@@ -38,9 +38,10 @@ SCALE = 1_000_000_000
 TOP = 200
 SHARD_KEYS = 16_384
 BLOCK_BYTES = 64 << 20  # of stored keys in one broadcast
-PAGE = 1_024  # slots of a dense page
-PAGE_BYTES = 64 << 20  # of dense pages in a task
-BUCKET_KEYS = 4  # keys per displacement, on average
+PAGE = 1_024  # slots whose terms are compared at once
+PIECE_BYTES = 1 << 20  # of texts taken apart at once
+WORDS = 4_000_000  # gathered in a task before they are counted
+BUCKET_KEYS = 2  # keys per displacement, on average
 GAP = "\x1f"  # between lang and term in a key; terms hold letters only
 
 _LETTER = np.ones(256, bool)
@@ -60,7 +61,7 @@ def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     before = np.concatenate([[False], letter[:-1]]) if len(raw) else letter
     start = np.flatnonzero(letter & (~before | cut[:-1]))
     # The letters without what stands between them: a term ends where the next one starts.
-    place = np.cumsum(letter) - 1
+    place = np.cumsum(letter, dtype=np.int32) - 1 if len(raw) < 1 << 31 else np.cumsum(letter) - 1
     off = np.append(place[start], int(letter.sum())).astype(np.int64)
     data = pa.py_buffer(_LOWER[raw[letter]].tobytes())
     found = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(off.tobytes()), data])
@@ -72,11 +73,27 @@ def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
 
 
+def _counted_sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sorted, and how often each occurs)."""
+    keys = np.sort(keys)
+    edges = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[edges], np.diff(edges, append=len(keys))
+
+
+def _distinct(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sorted, and the place of every key among them) of keys below ``size``."""
+    if size > 16 * len(keys):
+        return np.unique(keys, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[keys] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[keys]
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
     """Batches in pieces of bounded bytes: (piece, row of every term, its code, distinct terms)."""
     for batch in batches:
         raw, offsets = utf8_buffers(batch.column("text"))
-        for a, b in row_chunks(offsets):
+        for a, b in row_chunks(offsets, PIECE_BYTES):
             row, found = terms(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield batch.slice(a, b - a), row, *_coded(found)
 
@@ -87,9 +104,10 @@ def document_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, row, code, names in _pieces(batches):
             lang, langs = _coded(piece.column("lang"))
-            seen = np.unique(row * max(1, len(names)) + code)  # once per document
-            key, n = np.unique(lang[seen // max(1, len(names))] * max(1, len(names)) + seen % max(1, len(names)), return_counts=True)
-            at = [langs.take(pa.array(key // max(1, len(names)))), names.take(pa.array(key % max(1, len(names)))).cast(pa.string())]
+            width = max(1, len(names))
+            seen, _ = _counted_sorted(row * width + code)  # once per document
+            key, n = _counted_sorted(lang[seen // width] * width + seen % width)
+            at = [langs.take(pa.array(key // width)), names.take(pa.array(key % width)).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*at, pa.array(n.astype(np.int64))], ["lang", "term", "docs"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, term string, docs long")
@@ -98,43 +116,54 @@ def document_counts(docs: DataFrame) -> DataFrame:
 # ---- minimal perfect hashes -------------------------------------------------------------
 
 
-def hashed(keys: list[bytes]) -> np.ndarray:
+def hashed(keys: pa.Array) -> np.ndarray:
     """128 bits of every key, as two columns."""
-    return np.array([divmod(xxhash.xxh3_128_intdigest(k), 1 << 64) for k in keys], np.uint64).reshape(-1, 2)
+    digests = b"".join(map(xxhash.xxh3_128_digest, keys.cast(pa.large_binary()).to_pylist()))
+    return np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def shard_of(h: np.ndarray, count: int) -> np.ndarray:
+    return (h[:, 0] % np.uint64(count)).astype(np.int64)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h[:, 1] >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _slot(h: np.ndarray, move: np.ndarray, n: int) -> np.ndarray:
-    mix = (h[:, 0] + move.astype(np.uint64) * (h[:, 1] | np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+def _slot(h: np.ndarray, move: np.ndarray | int, n: int) -> np.ndarray:
+    mix = ((h[:, 0] >> np.uint64(9)) + np.asarray(move).astype(np.uint64) * (h[:, 1] | np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
     return ((mix >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
 def perfect(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(displacement of every bucket, slot of every key) of distinct hashes; n keys fill slots 0..n-1."""
+    """(displacement of every bucket, slot of every key) of distinct hashes; n keys fill slots 0..n-1.
+
+    Buckets of many keys come first. In a round all open buckets of a size try the same move; a bucket is
+    placed where its keys fall on free slots that no bucket before it claims. Buckets of one key get
+    what is left over, as -1 - slot."""
     n = len(h)
     buckets = max(1, -(-n // BUCKET_KEYS))
-    bucket = (h[:, 1] >> np.uint64(17)) % np.uint64(buckets)
+    bucket = _bucket(h, buckets)
     order = np.argsort(bucket, kind="stable")
-    sizes = np.bincount(bucket.astype(np.int64), minlength=buckets)
+    sizes = np.bincount(bucket, minlength=buckets)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     move = np.zeros(buckets, np.int32)
     slot = np.zeros(n, np.int64)
     taken = np.zeros(n, bool)
-    for b in np.argsort(-sizes, kind="stable"):
-        mine = order[first[b] : first[b] + sizes[b]]
-        if len(mine) < 2:
-            break
+    for size in range(int(sizes.max(initial=0)), 1, -1):
+        open_ = np.flatnonzero(sizes == size)
+        keys = order[first[open_][:, None] + np.arange(size)]
         tried = 0
-        while True:
-            moves = np.arange(tried, tried + 64)
-            at = _slot(np.repeat(h[mine], 64, 0), np.tile(moves, len(mine)), n).reshape(len(mine), 64)
-            ranked = np.sort(at, 0)
-            good = ~taken[at].any(0) & (ranked[1:] != ranked[:-1]).all(0)
-            if good.any():
-                k = int(good.argmax())
-                move[b], slot[mine] = moves[k], at[:, k]
-                taken[at[:, k]] = True
-                break
-            tried += 64
+        while len(open_):
+            at = _slot(h[keys.ravel()], tried, n)
+            claim = np.zeros(len(at), bool)
+            claim[np.unique(at, return_index=True)[1]] = True
+            good = (claim & ~taken[at]).reshape(-1, size).all(1)
+            at = at.reshape(-1, size)
+            move[open_[good]] = tried
+            slot[keys[good]] = at[good]
+            taken[at[good]] = True
+            open_, keys, tried = open_[~good], keys[~good], tried + 1
     single = np.flatnonzero(sizes == 1)
     free = np.flatnonzero(~taken)
     move[single] = -1 - free
@@ -144,7 +173,7 @@ def perfect(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def found(h: np.ndarray, move: np.ndarray, n: int) -> np.ndarray:
     """The slot of every hash; that of a key not stored is any slot."""
-    d = move[((h[:, 1] >> np.uint64(17)) % np.uint64(len(move))).astype(np.int64)]
+    d = move[_bucket(h, len(move))]
     return np.where(d < 0, -1 - d, _slot(h, np.maximum(d, 0), n))
 
 
@@ -152,12 +181,15 @@ def shards(kept: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """(shard, move, keys, base) of distinct ``kept`` (lang, term): displacements, keys in slot order and the
     number of slots before the shard."""
     n = max(1, -(-kept.count() // shard_keys))
-    key = F.concat_ws(GAP, "lang", "term")
-    dealt = kept.select(F.pmod(F.xxhash64("lang", "term"), F.lit(n)).cast("int").alias("shard"), key.alias("key"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key")
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(hashed(keys), n), pa.int32()), keys], ["shard", "key"])
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         keys = rows.column("key").combine_chunks()
-        h = hashed([k.encode() for k in keys.to_pylist()])
+        h = hashed(keys)
         if len(np.unique(h, axis=0)) < len(h):
             raise ValueError("two terms share all 128 bits of their hash")
         move, slot = perfect(h)
@@ -165,6 +197,7 @@ def shards(kept: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
         inside[slot] = np.arange(len(slot))
         return pa.table({"shard": [key[0].as_py()], "move": [move], "keys": [keys.take(pa.array(inside))]}, schema=pa.schema([("shard", pa.int32()), ("move", pa.list_(pa.int32())), ("keys", pa.list_(pa.string()))]))
 
+    dealt = kept.select(F.concat_ws(GAP, "lang", "term").alias("key")).mapInArrow(deal, "shard int, key string")
     built = stored(dealt.groupBy("shard").applyInArrow(build, "shard int, move array<int>, keys array<string>"), "hashes")
     # One row per SHARD_KEYS terms.
     bases = built.select("shard", F.size("keys").cast("long").alias("_n")).withColumn("_run", F.floor(F.col("shard") / 1024))
@@ -176,16 +209,23 @@ def shards(kept: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
 
 
 class Recount:
-    """Broadcast shards as a task uses them."""
+    """Broadcast shards as a task uses them, and the dense slots of one group at a time: the words of
+    ``WORDS`` are gathered, dealt by group, and each group's slots are incremented, read and cleared."""
 
     def __init__(self, block: list[tuple[int, int, bytes, pa.Array]], count: int):
         self.block = {s: (base, np.frombuffer(move, np.int32), keys) for s, base, move, keys in block}
         self.count = count
-        self.pages: dict[tuple[int, int], np.ndarray] = {}
+        self.base = min((base for _, base, _, _ in block), default=0)
+        size = max((base + len(keys) for _, base, _, keys in block), default=0) - self.base
+        self.dense, self.mark = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
 
-    def slots(self, shard: np.ndarray, keys: pa.Array, h: np.ndarray) -> np.ndarray:
+    def slots(self, keys: pa.Array) -> np.ndarray:
         """Slot of every key, -1 where no shard of the block stores it."""
+        h = hashed(keys)
         out = np.full(len(h), -1, np.int64)
+        shard = shard_of(h, self.count)
         order = np.argsort(shard, kind="stable")
         edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
         for mine in np.split(order, edges[1:]) if len(order) else []:
@@ -197,43 +237,30 @@ class Recount:
             out[mine[same]] = base + at[same]
         return out
 
-    def add(self, group: np.ndarray, slot: np.ndarray, n: np.ndarray) -> None:
-        """Adds to the pages; (group, slot) are distinct and sorted."""
-        page = slot // PAGE
-        edges = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(page, prepend=-1) != 0))
-        for a, b in zip(edges, np.append(edges[1:], len(group))):
-            key = (int(group[a]), int(page[a]))
-            if key not in self.pages:
-                self.pages[key] = np.zeros(PAGE, np.int64)
-            self.pages[key][slot[a:b] - page[a] * PAGE] += n[a:b]
-
-    def full(self) -> bool:
-        return len(self.pages) * PAGE * 8 > PAGE_BYTES
+    def add(self, group: np.ndarray, slot: np.ndarray) -> None:
+        self.words.append((group.astype(np.int32), (slot - self.base).astype(np.int32)))
+        self.held += len(slot)
 
     def flush(self, langs: list[str], sources: list[str]) -> Iterator[pa.RecordBatch]:
-        group, slot, n = [], [], []
-        for (g, page), counts in self.pages.items():
-            at = np.flatnonzero(counts)
-            group.append(np.full(len(at), g))
-            slot.append(at + page * PAGE)
-            n.append(counts[at])
-        self.pages.clear()
-        if not group:
+        if not self.held:
             return
-        group, slot, n = map(np.concatenate, (group, slot, n))
-        langs, sources = pa.array(langs, pa.string()), pa.array(sources, pa.string())
-        for a in range(0, len(group), 65_536):
-            at = pa.array(group[a : a + 65_536])
-            yield pa.RecordBatch.from_arrays([langs.take(at), sources.take(at), pa.array(slot[a : a + 65_536]), pa.array(n[a : a + 65_536])], ["lang", "source", "slot", "n"])
-
-
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _shard_of(lang: bytes, term: bytes, count: int) -> int:
-    """The shard as Spark's ``xxhash64(lang, term)`` deals it: the hash of the first column seeds the second."""
-    return signed(xxhash.xxh64_intdigest(term, xxhash.xxh64_intdigest(lang, 42))) % count
+        group, slot = (np.concatenate(x) for x in zip(*self.words))
+        self.words, self.held = [], 0
+        order = np.argsort(group, kind="stable")
+        group, slot = group[order], slot[order]
+        edges = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(edges, np.append(edges[1:], len(group))):
+            mine, place = slot[a:b], np.arange(b - a, dtype=np.int32)
+            np.add.at(self.dense, mine, np.int32(1))
+            self.mark[mine] = place
+            used = mine[self.mark[mine] == place]  # every slot once
+            n = self.dense[used].astype(np.int64)
+            self.dense[used] = 0
+            lang, source = langs[group[a]], sources[group[a]]
+            for k in range(0, len(used), 65_536):
+                part = used[k : k + 65_536].astype(np.int64) + self.base
+                same = [pa.repeat(pa.scalar(x, pa.string()), len(part)) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(part), pa.array(n[k : k + 65_536])], ["lang", "source", "slot", "n"])
 
 
 def recount(docs: DataFrame, hashes: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -269,18 +296,13 @@ def _counted(docs: DataFrame, shared, count: int) -> DataFrame:
             lang, distinct = _coded(piece.column("lang"))
             # Distinct (lang, term) of the piece are looked up once each.
             width = max(1, len(names))
-            key, back = np.unique(lang[row] * width + code, return_inverse=True)
-            said, written = distinct.to_pylist(), [t.encode() for t in names.to_pylist()]
-            tags = [(said[x // width].encode(), written[x % width]) for x in key.tolist()]
-            whole = [a + GAP.encode() + b for a, b in tags]
-            shard = np.array([_shard_of(a, b, count) for a, b in tags], np.int64)
-            slot = state.slots(shard, pa.array([w.decode() for w in whole], pa.string()), hashed(whole))[back] if len(key) else np.zeros(0, np.int64)
+            key, back = _distinct(lang[row] * width + code, len(distinct) * width)
+            tags = [distinct.take(pa.array(key // width)), names.take(pa.array(key % width)).cast(pa.string())]
+            whole = pc.binary_join_element_wise(*tags, GAP)
+            slot = state.slots(whole)[back]
             good = slot >= 0
-            if good.any():
-                top = int(slot.max()) + 1
-                both, n = np.unique(group[row[good]] * top + slot[good], return_counts=True)
-                state.add(both // top, both % top, n)
-            if state.full():
+            state.add(group[row[good]], slot[good])
+            if state.held > WORDS:
                 yield from state.flush(langs, sources)
                 langs, sources, ids = [], [], {}
         yield from state.flush(langs, sources)
@@ -305,7 +327,7 @@ def stray(p: Column, q: Column) -> Column:
 def _corrections(counts: DataFrame) -> DataFrame:
     """(lang, source, item, v): per ordered pair of sources, over the terms that both hold, f(p, q) - f(p, q0) -
     f(p0, q) + f(p0, q0), and their number. ``counts``: lang, source, slot, p, p0. The pairs are met per
-    (lang, page of slots): a page is dense, so its sources are vectors."""
+    (lang, page of slots), where each source is a dense vector."""
     rows = counts.select("lang", F.floor(F.col("slot") / PAGE).alias("page"), "source", (F.col("slot") % PAGE).cast("int").alias("at"), "p", "p0")
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(tasks, "lang", "page").sortWithinPartitions("lang", "page", "source")
