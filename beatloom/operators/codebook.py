@@ -1,14 +1,13 @@
 """Nearest-code assignment, codebook usage, refitting, and reconstruction error.
 
-Codes are read in order, in blocks of bounded bytes, and sent to the tasks; vectors stay
-distributed and are matched with matrix products per Arrow batch. A codebook of usual size is
-one block. Of a larger one each block is a pass over the vectors that keeps the nearest code so
-far, stored between passes, so neither the driver nor a task holds more than a block."""
+A codebook of at most BLOCK_VALUES values is sent to the tasks and matched with matrix products per Arrow batch.
+A larger one is cut, in the order of norms, into blocks of that size, and vectors meet blocks in one exchange: a vector
+goes to the blocks whose norms leave a nearer code possible, and the least (distance, code) of its blocks counts. So the
+vectors are read once whatever the codebook, and neither the driver nor a task holds more than a block."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +22,7 @@ from beatloom.session import cut_lineage
 BLOCK_VALUES = 8_000_000
 ROWS_PER_PRODUCT = 8192
 PRODUCT_BYTES = 64 << 20
-
-
-def codebook_matrix(codebook: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes in order and their vectors, in blocks of at most BLOCK_VALUES values (one code at
-    least). One partition at a time is read; an empty codebook is an error."""
-    rows = codebook.select("code", "vec").orderBy("code").toLocalIterator()
-    first = next(rows, None)
-    if first is None:
-        raise ValueError("not a codebook: no codes")
-    step = max(1, BLOCK_VALUES // max(1, len(first["vec"])))
-
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        pairs = ((r["code"], np.array(r["vec"], dtype=np.float64)) for r in chain([first], rows))
-        while block := list(islice(pairs, step)):
-            yield np.array([code for code, _ in block], dtype=np.int64), np.array([v for _, v in block])
-
-    return blocks()
+VECTORS_PER_TASK = 250_000  # that one task matches with a block
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,20 +70,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def assign(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
     """Add ``code`` and ``dist`` (squared distance) of the nearest code; NULL for a NULL vector.
     The lowest code on ties."""
-    blocks = codebook_matrix(codebook)
-    out = _assign_block(vectors, vec, next(blocks), None)
-    for block in blocks:
-        # Stored, so that passes do not run in one task with all their blocks in memory.
-        out = _assign_block(cut_lineage(out), vec, block, vectors.columns)
-    return out
-
-
-def _assign_block(vectors: DataFrame, vec: str, block: tuple[np.ndarray, np.ndarray], kept: list[str] | None) -> DataFrame:
-    """``assign`` to the codes of one block. ``kept``: the columns before ``code`` and ``dist`` of
-    the blocks so far, which only a closer code replaces; None in the first pass."""
-    shared = vectors.sparkSession.sparkContext.broadcast(block)
-    width = len(vectors.columns) if kept is None else len(kept)
-    schema = T.StructType([*vectors.schema.fields[:width], T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    count, values = codebook.agg(F.count("*"), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    if not count:
+        raise ValueError("not a codebook: no codes")
+    if values > BLOCK_VALUES:
+        return _assign_exchanged(vectors, vec, codebook, max(1, BLOCK_VALUES * count // values))
+    rows = codebook.select("code", "vec").orderBy("code").collect()  # at most BLOCK_VALUES values
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["code"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64)))
+    schema = T.StructType([*vectors.schema.fields, T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, c = shared.value
@@ -110,17 +87,64 @@ def _assign_block(vectors: DataFrame, vec: str, block: tuple[np.ndarray, np.ndar
             if known.any():
                 at, dist[known] = _nearest(dense(part.column(vec).drop_null()), c)
                 code[known] = codes[at]
-            if kept is not None:
-                old = part.column(width + 1).fill_null(0.0).to_numpy()
-                closer = dist < old
-                code = np.where(closer, code, part.column(width).fill_null(0).to_numpy())
-                dist = np.where(closer, dist, old)
             added = [pa.array(code, mask=~known), pa.array(dist, mask=~known)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:width], *added], names=[*part.schema.names[:width], "code", "dist"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "code", "dist"])
 
     return vectors.mapInArrow(run, schema)
 
 
+def _norm(vec: str) -> Column:
+    return F.sqrt(F.aggregate(F.transform(vec, lambda x: (x * x).cast("double")), F.lit(0.0), lambda a, x: a + x))
+
+
+def _assign_exchanged(vectors: DataFrame, vec: str, codebook: DataFrame, per_block: int) -> DataFrame:
+    """``assign`` to a codebook of several blocks of ``per_block`` codes.
+
+    The middle code of every block is a pivot; the nearest pivot bounds a vector's distance, and |norm(x) - norm(c)| is
+    never above the distance, so only blocks with norms within that bound are asked."""
+    placed = ranked(cut_lineage(codebook.select("code", "vec", _norm("vec").alias("_norm"))), [], ["_norm", "code"], "_at")
+    codes = cut_lineage(placed.withColumn("block", F.floor(F.col("_at") / per_block)))
+    middle = F.abs(F.col("_at") % per_block - per_block // 2)
+    blocks = codes.groupBy("block").agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi"), F.min_by("vec", middle).alias("pivot")).orderBy("block").collect()
+    names = np.array([r["block"] for r in blocks])
+    shared = vectors.sparkSession.sparkContext.broadcast((names, np.array([[r["lo"], r["hi"]] for r in blocks]), np.array([r["pivot"] for r in blocks], np.float64)))
+    rows = cut_lineage(vectors.withColumn("_row", F.monotonically_increasing_id()))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ends, pivots = shared.value
+        for part in _batches(batches):
+            part = part.filter(part.column("x").is_valid())
+            if not part.num_rows:
+                continue
+            x = dense(part.column("x"))
+            _, reach = _nearest(x, pivots)
+            norm = np.sqrt((x * x).sum(1))[:, None]
+            gap = np.maximum(np.maximum(ends[:, 0] - norm, norm - ends[:, 1]), 0)
+            row, block = np.nonzero(gap**2 <= reach[:, None] * (1 + 1e-9) + 1e-9)
+            for k in range(0, len(row), ROWS_PER_PRODUCT):
+                at = pa.array(row[k : k + ROWS_PER_PRODUCT])
+                yield pa.RecordBatch.from_arrays([pa.array(names[block[k : k + ROWS_PER_PRODUCT]]), *part.take(at).columns], ["block", "_row", "x"])
+
+    def match(mine: pa.Table, book: pa.Table) -> pa.Table:
+        best = pa.table({"_row": pa.array([], pa.int64()), "code": pa.array([], pa.int32()), "dist": pa.array([], pa.float64())})
+        if not mine.num_rows or not book.num_rows:
+            return best
+        book = book.sort_by("code")
+        c, label = dense(book.column("vec").combine_chunks()), book.column("code").to_numpy()
+        found = [_nearest(x, c) for x in np.array_split(dense(mine.column("x").combine_chunks()), -(-mine.num_rows // ROWS_PER_PRODUCT))]
+        at, dist = (np.concatenate(v) for v in zip(*found))
+        return pa.table({"_row": mine.column("_row"), "code": pa.array(label[at], pa.int32()), "dist": pa.array(dist)})
+
+    width = vectors.schema[vec].dataType.simpleString()
+    asked = rows.select("_row", F.col(vec).alias("x")).mapInArrow(ask, f"block long, _row long, x {width}")
+    buckets = max(1, -(-rows.count() // VECTORS_PER_TASK))
+    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    sent = codes.select("block", F.col("code").cast("int").alias("code"), F.col("vec").cast("array<double>").alias("vec"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"))
+    near = asked.groupBy("block", "bucket").cogroup(sent.groupBy("block", "bucket")).applyInArrow(match, "_row long, code int, dist double")
+    least = near.groupBy("_row").agg(F.min(F.struct("dist", "code")).alias("_least"))
+    return rows.join(least, "_row", "left").select(*vectors.columns, F.col("_least.code").alias("code"), F.col("_least.dist").alias("dist"))
+
+
 def code_sums(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
     """(code, dim, n, total) of the vectors nearest to each code: every batch of vectors is
     reduced to one row per code that it holds before anything is shuffled."""

@@ -88,10 +88,10 @@ def test_update_without_dead_codes(frames, spark):
     assert not r["dead"] and np.allclose(r["vec"], X.mean(0))
 
 
-def test_refuses_large(spark, frames):
+def test_refuses_an_empty_codebook(spark, frames):
     vec, _ = frames
     with pytest.raises(ValueError):
-        B.codebook_matrix(spark.createDataFrame([], "code int, vec array<double>"))
+        B.assign(vec, "v", spark.createDataFrame([], "code int, vec array<double>"))
 
 
 def test_codes_in_blocks(spark, frames, monkeypatch):
@@ -102,6 +102,7 @@ def test_codes_in_blocks(spark, frames, monkeypatch):
     count, total = np.bincount(at, minlength=len(CODES)), np.zeros_like(CODES)
     np.add.at(total, at, X)
     monkeypatch.setattr(B, "BLOCK_VALUES", 13)  # two codes each
+    monkeypatch.setattr(B, "VECTORS_PER_TASK", 40)
     got = {r["vec_id"]: (r["code"], r["dist"]) for r in B.assign(with_null, "v", book).collect()}
     assert got.pop(-1) == (None, None) and len(got) == len(X)
     assert all(got[i][0] == at[i] and abs(got[i][1] - dist[i]) < 1e-9 for i in range(len(X)))
