@@ -309,7 +309,7 @@ _B32 = "||".join(
     for i in range(4)
 )
 OP10_SQL = f"""
-WITH p AS (SELECT DISTINCT page_id, coalesce(html, '') AS html FROM pages),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
 w AS (SELECT h, max(page_id) AS last FROM h GROUP BY h)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_B32} AS payload_digest,

@@ -5,8 +5,8 @@ a metadata record; request and metadata name the response in WARC-Concurrent-To.
 is a gzip member of its own; between two members stands an empty member, which readers pass over.
 
 Defined cases: null html is an empty payload; a null url writes no WARC-Target-URI; a page with a
-null page_id is always a response; a repeated row (page_id and payload equal) is one capture; an
-empty table gives no rows; further columns are ignored. Control characters and blanks in a url
+null page_id is always a response; rows equal in page_id and payload are captures of their own,
+numbered in their record ids; an empty table gives no rows; further columns are ignored. Control characters and blanks in a url
 are percent-encoded, so no url can break a header."""
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from beatloom.llm.common import parts, read_raw, shared_path, stored, write_raw
 
 FILE_BYTES = 48 << 20  # payload bytes per archive: an archive is read whole
+PIECE = 16 << 10  # compressed bytes inflated at once
 PAGE_KEY = "page_id"
 CRLF = b"\r\n"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -56,10 +58,11 @@ def zlib_member(data: bytes, level: int = 4) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def capture_records(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> list[bytes]:
-    """The three records of a page; ``first`` is the page whose response this one revisits."""
+def capture_records(page_id: int | None, url: str | None, payload: bytes, first: int | None, copy: int = 0) -> list[bytes]:
+    """The three records of a page; ``first`` is the page whose response this one revisits, ``copy`` tells
+    rows of equal page_id and payload apart."""
     sha = digest(payload)
-    name = lambda page, kind: f"<urn:capture:{'null' if page is None else page}:{sha}:{kind}>"
+    name = lambda page, kind, copy=copy: f"<urn:capture:{'null' if page is None else page}:{sha}:{copy}:{kind}>"
     own = name(page_id, "response")
     target = [] if url is None else [("WARC-Target-URI", _safe(url))]
     same = [("WARC-Date", WHEN), *target]
@@ -67,7 +70,7 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, first:
     kind = "response" if first is None else "revisit"
     head = [("WARC-Type", kind), ("WARC-Record-ID", own), *same, ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http;msgtype=response")]
     if first is not None:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", name(first, "response"))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", name(first, "response", 0))]
     rest = _safe(url or "").partition("://")[2]
     host, _, path = rest.partition("/")
     ask = f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
@@ -91,17 +94,19 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Archives of all ``pages`` (page_id, url, html) in the folder ``path``. The payloads cross
-    the network once, by page_id, in parts of about ``FILE_BYTES``."""
+    """Archives of all ``pages`` (page_id, url, html) in the folder ``path``. The payloads cross the network
+    once: they are dealt by page_id and digest to files of about ``FILE_BYTES``, the revisits are dealt
+    alike, and the join and the numbering of repeats keep that layout."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0]
-    seen = stored(revisits(pages, min_bytes), "revisits").withColumnRenamed("page_id", "_page")
+    files = parts(size, FILE_BYTES)
+    seen = stored(revisits(pages, min_bytes), "revisits").repartition(files, "page_id", "_sha")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for page_id, url, html, first in zip(*(batch.column(c) for c in ("page_id", "url", "html", "_first"))):
-                made = EMPTY_MEMBER.join(capture_records(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), first.as_py()))
+            for page_id, url, html, first, copy in zip(*(batch.column(c) for c in ("page_id", "url", "html", "_first", "_copy"))):
+                made = EMPTY_MEMBER.join(capture_records(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), first.as_py(), copy.as_py()))
                 out.append(made)
                 held += len(made)
                 if held > 4 << 20:
@@ -109,28 +114,32 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                     out, held = [], 0
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
-    sha = F.sha1(F.coalesce("html", F.lit("")))
-    spread = F.coalesce("page_id", -F.xxhash64("url", "html"))
-    dealt = pages.withColumn("_key", spread).repartition(parts(size, FILE_BYTES), "_key")
-    full = dealt.join(seen, (dealt["page_id"] == seen["_page"]) & (sha == seen["_sha"]), "left")
-    write_raw(full.select("page_id", "url", "html", "_first").mapInArrow(records, "value binary"), path, EMPTY_MEMBER.decode("latin-1"))
+    dealt = pages.withColumn("_sha", F.sha1(F.coalesce("html", F.lit("")))).repartition(files, "page_id", "_sha")
+    full = dealt.join(seen, ["page_id", "_sha"], "left")
+    full = full.withColumn("_copy", F.row_number().over(W.partitionBy("page_id", "_sha").orderBy("url")) - 1)
+    write_raw(full.select("page_id", "url", "html", "_first", "_copy").mapInArrow(records, "value binary"), path, EMPTY_MEMBER.decode("latin-1"))
 
 
 # ---- reading ----------------------------------------------------------------------------
 
 
 def members(data: memoryview) -> Iterator[bytes]:
-    """The gzip members of an archive, inflated one at a time; plain archives pass as one."""
+    """The gzip members of an archive, inflated one at a time; plain archives pass as one. A member is fed
+    piece by piece, so that only the rest of a piece is ever copied behind its end."""
     if bytes(data[:2]) != b"\x1f\x8b":
         yield bytes(data)
         return
-    while len(data):
-        z = zlib.decompressobj(31)
-        out = z.decompress(data)
-        left = len(z.unused_data)
-        data = data[len(data) - left :] if left else data[:0]
-        if out:
-            yield out
+    at = 0
+    while at < len(data):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = data[at : at + PIECE]
+            if not len(piece):
+                raise ValueError("the archive ends within a member")
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        if any(out):
+            yield b"".join(out)
 
 
 def parsed(member: bytes) -> Iterator[tuple[list[tuple[str, str]], memoryview]]:
