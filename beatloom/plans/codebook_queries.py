@@ -13,7 +13,7 @@ from beatloom.plans.segment_queries import _text
 from beatloom.sources.tables import table
 
 DIM = 64
-DECAY, EPS = 0.5, 1e-6
+DECAY, EPS, ROUNDS = 0.5, 1e-6, 3
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -57,9 +57,9 @@ def code_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Three refitting rounds, then the codes' use: checked against brute force in the tests."""
+    """Three refitting rounds, then the codes' use."""
     vectors = _vectors(spark, d)
-    state = B.fit(fx.codebook(spark, d), vectors, "embedding", "vec_id", 3, decay=DECAY, epsilon=EPS)
+    state = B.fit(fx.codebook(spark, d), vectors, "embedding", "vec_id", ROUNDS, decay=DECAY, epsilon=EPS)
     used = B.usage(B.assign(vectors, "embedding", state), state)
     return state.join(used, "code").select("code", F.round("ema_n", 6).alias("ema_n"), "n")
 
@@ -101,6 +101,40 @@ _UPD = {
     "pool": "SELECT embedding, row_number() OVER (ORDER BY md5(concat_ws('|', '42|1', vec_id)), vec_id) AS r FROM embeddings",
 }
 
+
+
+def _nearest_sql(state: str) -> str:
+    dist = "list_sum(list_transform(list_zip(e.v, s.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT vec_id, arg_min(code, ROW(dist, code)) AS code FROM (SELECT vec_id, code, {dist} AS dist FROM e CROSS JOIN {state} s) x GROUP BY vec_id"
+
+
+def _round_sql(r: int) -> dict[str, str]:
+    """One refitting round, from the state s<r-1> to s<r>."""
+    return {
+        f"a{r}": _nearest_sql(f"s{r - 1}"),
+        f"c{r}": f"""
+            SELECT s.code, i AS dim, {DECAY}::DOUBLE * any_value(s.w[i]) + {1 - DECAY}::DOUBLE * coalesce(sum(e.v[i]), 0) AS w,
+                   {DECAY}::DOUBLE * any_value(s.n) + {1 - DECAY}::DOUBLE * count(a.vec_id) AS raw_n, count(a.vec_id) AS seen
+            FROM s{r - 1} s CROSS JOIN (SELECT unnest(range(1, {DIM} + 1)) AS i) u LEFT JOIN a{r} a ON a.code = s.code LEFT JOIN e ON e.vec_id = a.vec_id GROUP BY s.code, i""",
+        f"z{r}": f"""
+            SELECT code, (raw_n + {EPS}::DOUBLE) * sum(raw_n) OVER () / (sum(raw_n) OVER () + count(*) OVER () * {EPS}::DOUBLE) AS n, 0.5::DOUBLE * sum(seen) OVER () / count(*) OVER () AS line
+            FROM (SELECT code, max(raw_n) AS raw_n, max(seen) AS seen FROM c{r} GROUP BY code) x""",
+        f"d{r}": f"SELECT code, row_number() OVER (ORDER BY code) AS at FROM z{r} WHERE n < line",
+        f"p{r}": f"SELECT v, row_number() OVER (ORDER BY md5(concat_ws('|', '42|{r}', vec_id)), vec_id) AS at FROM e",
+        f"s{r}": f"""
+            SELECT z.code, CASE WHEN d.code IS NULL THEN k.vec ELSE p.v END AS vec, CASE WHEN d.code IS NULL THEN z.n ELSE z.line * 0.5 END AS n, CASE WHEN d.code IS NULL THEN k.w ELSE p.v END AS w
+            FROM z{r} z JOIN (SELECT c.code, list(c.w / z.n ORDER BY dim) AS vec, list(c.w ORDER BY dim) AS w FROM c{r} c JOIN z{r} z ON z.code = c.code GROUP BY c.code) k ON k.code = z.code
+            LEFT JOIN d{r} d ON d.code = z.code LEFT JOIN p{r} p ON p.at = d.at""",
+    }
+
+
+_FIT = {
+    "e": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    "s0": "SELECT code, vec, 0.0::DOUBLE AS n, vec AS w FROM codebook",
+    **{k: v for r in range(1, ROUNDS + 1) for k, v in _round_sql(r).items()},
+    "last": _nearest_sql(f"s{ROUNDS}"),
+}
+
 QUERIES = {
     "code_assign": (code_assign, with_fixtures(["assigned"], "SELECT vec_id, code, round(dist, 6) AS dist FROM assigned")),
     "unit_vectors": (
@@ -141,7 +175,14 @@ QUERIES = {
             extra=_UPD,
         ),
     ),
-    "code_fit": (code_fit, None),
+    "code_fit": (
+        code_fit,
+        with_fixtures(
+            ["codebook"],
+            f"SELECT s.code, round(any_value(s.n), 6) AS ema_n, count(l.vec_id) AS n FROM s{ROUNDS} s LEFT JOIN last l ON l.code = s.code GROUP BY s.code",
+            extra=_FIT,
+        ),
+    ),
     "recon_mse_by_lead": (
         recon_mse_by_lead,
         with_fixtures(
