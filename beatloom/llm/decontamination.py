@@ -71,6 +71,17 @@ class Benchmark:
         kept = np.sort(order[new])
         self.at, self.keys = at[kept], keys[kept]
         self.length, self.item, self.first = length[self.at], item_of[self.at], first
+        # Distinct windows with their items, and one place of every word of the vocabulary.
+        order = np.argsort(self.keys, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = self.keys[order][1:] != self.keys[order][:-1]
+        begins = np.flatnonzero(new)
+        self.windows, self.window_length = self.keys[order][begins], self.length[order][begins]
+        self.window_items, self.window_from = self.item[order], np.append(begins, len(order))
+        self.word_at = np.zeros(len(self.vocabulary), np.int64)
+        self.word_at[ids[::-1]] = place[::-1]
+        if not same_words(self.text, start, end, self.text, start[self.word_at[ids]], end[self.word_at[ids]]).all():
+            raise ValueError("two benchmark words share a hash")
         self.common = np.zeros(1 << 16, bool)  # a quick test before the vocabulary is searched
         self.common[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
@@ -90,6 +101,17 @@ def _lowered(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
 
 
+def same_words(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Whether words of ``a`` and of ``b`` are the same bytes, pair by pair."""
+    size = a_to - a_from
+    same = size == b_to - b_from
+    size = np.where(same, size, 0)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    unlike = a[np.repeat(a_from, size) + place] != b[np.repeat(b_from, size) + place]
+    same[np.repeat(np.arange(len(size)), size)[unlike]] = False
+    return same
+
+
 def suffix_keys(ids: np.ndarray, at: np.ndarray, last: np.ndarray, window: int, vocabulary: int) -> np.ndarray:
     """The first ``window`` words of the suffixes at ``at`` as byte strings that sort like them;
     word ids are moved by 1, and 0 stands beyond the end and for words outside the vocabulary."""
@@ -124,6 +146,60 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
+def ranges(keys: np.ndarray, sought: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the suffixes that begin with the words of ``sought`` start and stop in the sorted ``keys``: from
+    the words themselves to the words followed by the highest word."""
+    high = sought.astype(f"S{4 * window}").view(">u4").reshape(len(sought), window).copy()
+    for k in range(window):
+        high[length <= k, k] = 2**32 - 1
+    return np.searchsorted(keys, sought, side="left"), np.searchsorted(keys, np.ascontiguousarray(high).view(f"S{4 * window}").ravel(), side="right")
+
+
+def hits(raw: np.ndarray, offsets: np.ndarray, bench: Benchmark, words: Words) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
+    """Of every row of a shard its words, the stretches hit (first and end word), and the items met.
+
+    Every distinct window is sought once and its occurrences, at most one per place and window length, are laid over each
+    other as stretches; items come in per (row, window), however often a row repeats it."""
+    start, end, h = words(raw, offsets)
+    first = np.searchsorted(start, offsets[:-1])
+    n = np.diff(np.append(first, len(start)))
+    row_of = np.repeat(np.arange(len(n)), n)
+    stretches: list[list[tuple[int, int]]] = [[] for _ in n]
+    met: list[set] = [set() for _ in n]
+    ids = bench.known(h)
+    places, keys = suffix_array(ids, (first + n)[row_of], bench)
+    if not len(places) or not len(bench.windows):
+        return n, stretches, met
+    low, high = ranges(keys, bench.windows, bench.window_length, bench.window)
+    count = high - low
+    which = np.repeat(np.arange(len(count)), count)
+    at = places[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
+    to = at + bench.window_length[which]
+    # Bytes decide: words that only share a hash with the benchmark's break every window over them.
+    sought = np.flatnonzero(_covered(at, to, len(ids)))
+    word = bench.word_at[ids[sought]]
+    broken = np.zeros(len(ids) + 1, np.int64)
+    broken[sought + 1] = ~same_words(_lowered(raw), start[sought], end[sought], bench.text, bench.start[word], bench.end[word])
+    broken = np.cumsum(broken)
+    good = broken[to] == broken[at]
+    at, to, which = at[good], to[good], which[good]
+    hit = _covered(at, to, len(ids))
+    begins = np.flatnonzero(hit & ~(np.concatenate([[False], hit[:-1]]) & (np.diff(row_of, prepend=-1) == 0)))
+    stops = np.flatnonzero(hit & ~(np.concatenate([hit[1:], [False]]) & (np.diff(row_of, append=-1) == 0))) + 1
+    for a, z in zip(begins.tolist(), stops.tolist()):
+        r = int(row_of[a])
+        stretches[r].append((a - int(first[r]), z - int(first[r])))
+    pairs = np.unique(row_of[at] * len(bench.windows) + which)
+    for r, w in zip((pairs // len(bench.windows)).tolist(), (pairs % len(bench.windows)).tolist()):
+        met[r].update(bench.window_items[bench.window_from[w] : bench.window_from[w + 1]].tolist())
+    return n, stretches, met
+
+
+def _covered(at: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """The places that lie in one of the stretches from ``at`` to ``to``."""
+    return np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(to, minlength=n + 1))[:n] > 0
+
+
 def search(raw: np.ndarray, offsets: np.ndarray, bench: Benchmark, words: Words) -> tuple[np.ndarray, list[Match]]:
     """(words of each row, matches) of a shard; a match is (row, item, first word in the row,
     first word in the item, words), as long as it goes."""
@@ -135,13 +211,7 @@ def search(raw: np.ndarray, offsets: np.ndarray, bench: Benchmark, words: Words)
     places, keys = suffix_array(ids, (first + n)[row_of], bench)
     if not len(places) or not len(bench.keys):
         return n, []
-    # A window's words are a prefix of the suffixes sought: from the prefix to the prefix
-    # followed by the highest word.
-    high = bench.keys.astype(f"S{4 * bench.window}").view(">u4").reshape(len(bench.keys), bench.window).copy()
-    for k in range(bench.window):
-        high[bench.length <= k, k] = 2**32 - 1
-    low_at = np.searchsorted(keys, bench.keys, side="left")
-    high_at = np.searchsorted(keys, np.ascontiguousarray(high).view(f"S{4 * bench.window}").ravel(), side="right")
+    low_at, high_at = ranges(keys, bench.keys, bench.length, bench.window)
     count = high_at - low_at
     which = np.repeat(np.arange(len(count)), count)
     if not len(which):
@@ -199,26 +269,23 @@ def _pass(docs: DataFrame, items: list, window: int, what: str) -> DataFrame:
         for batch in batches:
             raw, offsets = utf8_buffers(batch.column("text"))
             for a, b in row_chunks(offsets, SHARD_BYTES):
-                n, found = search(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bench, words)
-                part = batch.slice(a, b - a)
+                part, own = batch.slice(a, b - a), (raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if what == "matches":
+                    _, found = search(*own, bench, words)
                     ids = part.column("doc_id").to_pylist()
                     rows = [(ids[r], bench.item_ids[i], d, at, size) for r, i, d, at, size in found]
                     names = ["doc_id", "item_id", "doc_word", "item_word", "n_words"]
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(5)], names)
                     continue
-                hits: list[list] = [[] for _ in range(b - a)]
-                met: list[set] = [set() for _ in range(b - a)]
-                for r, i, d, _, size in found:
-                    hits[r].append((d, d + size))
-                    met[r].add(bench.item_ids[i])
+                n, places, found = hits(*own, bench, words)
+                met = [{bench.item_ids[i] for i in items} for items in found]
                 if "_hits" in part.schema.names:
                     for k, (h, i) in enumerate(zip(part.column("_hits").to_pylist(), part.column("_items").to_pylist())):
-                        hits[k] += zip(h[::2], h[1::2])
+                        places[k] += zip(h[::2], h[1::2])
                         met[k] |= set(i)
                 cols = {name: part.column(name) for name in part.schema.names if name not in ("_words", "_hits", "_items")}
                 cols["_words"] = pa.array(n.astype(np.int64))
-                cols["_hits"] = pa.array([_merged(h) for h in hits], pa.list_(pa.int64()))
+                cols["_hits"] = pa.array([_merged(h) for h in places], pa.list_(pa.int64()))
                 cols["_items"] = pa.array([list(m) for m in met], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 

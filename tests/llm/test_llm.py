@@ -270,6 +270,20 @@ def test_top_k(spark):
     assert topk.top_k(whole, whole.filter("vec_id = 360").withColumnRenamed("vec_id", "query_id"), 3).count() == 3
 
 
+def test_decontamination_of_repetitive_text():
+    """A window that a text repeats very often and many items hold costs neither their product nor a list of either."""
+    import time
+
+    words = decontamination.Words(decontamination.SEPARATORS)
+    bench = decontamination.Benchmark([(i, "so " * 20 + f"end{i}") for i in range(1000)])
+    text = ("So " * 100_000 + "other").encode()
+    raw, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    begin = time.perf_counter()
+    n, stretches, met = decontamination.hits(raw, offsets, bench, words)
+    assert time.perf_counter() - begin < 20
+    assert n.tolist() == [100_001] and stretches == [[(0, 100_000)]] and met == [set(range(1000))]
+
+
 # ---- op6 --------------------------------------------------------------------------------------
 
 
