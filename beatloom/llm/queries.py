@@ -127,7 +127,6 @@ _ASSIGN_SQL = "(" + "|".join(
 _MOST = "CASE " + " ".join(
     f"WHEN regexp_matches(m, '{p}') THEN {round(secrets.SCALE * secrets.WINDOW * (math.log2(secrets.WINDOW) - b))}" for p, b in secrets.CLASSES
 ) + " END"
-_NOT_ALLOWED = " AND ".join([f"NOT contains(lower(m), '{x}')" for x in secrets.ALLOWED] + [f"NOT regexp_matches(m, '{secrets.ALLOWED_WHOLE}')"])
 OP4_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents
@@ -136,9 +135,14 @@ WITH d AS (
   UNION ALL SELECT id, a, 1, b FROM ({_located('AKIA[A-Z0-9]+', 'length(m) >= 20')})
   UNION ALL SELECT id, a, 2, b FROM ({_located('[0-9a-f]+', 'length(m) >= 24')})
 ), runs AS (
-  SELECT id, a, m, {_MOST} AS most FROM ({_located('[A-Za-z0-9+/_=-]{20,}', 'true')}) WHERE regexp_matches(m, '[0-9]') AND {_NOT_ALLOWED}
+  SELECT id, a, m, {_MOST} AS most FROM ({_located('[A-Za-z0-9+/_=-]{20,}', 'true')}) WHERE regexp_matches(m, '[0-9]') AND NOT regexp_matches(m, '{secrets.ALLOWED_WHOLE}')
+), cuts AS (
+  SELECT id, a, most, string_split_regex(m, '{secrets.ALLOWED_PART}') AS gaps, regexp_extract_all(m, '{secrets.ALLOWED_PART}') AS ms FROM runs
+), parts AS (
+  SELECT id, most, m, CAST(a + coalesce(list_sum(list_transform(gaps[:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(gaps) AS m, unnest(range(1, len(gaps) + 1)) AS i FROM cuts)
 ), wins AS (
-  SELECT id, a, most, unnest(range(0, length(m) - 19)) AS p, unnest(list_transform(range(0, length(m) - 19), lambda p: substr(m, p + 1, 20))) AS w FROM runs
+  SELECT id, a, most, unnest(range(0, length(m) - 19)) AS p, unnest(list_transform(range(0, length(m) - 19), lambda p: substr(m, p + 1, 20))) AS w FROM parts WHERE length(m) >= 20
 ), hit AS (
   SELECT id, a, p FROM wins
   WHERE list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda c: {secrets.PARTS!r}[CAST(c AS BIGINT) + 1])) <= most

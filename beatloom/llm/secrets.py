@@ -4,12 +4,13 @@ A candidate is a run of ``LEAST`` or more characters of keys and encodings that
 window of ``WINDOW`` characters slides over it while the counts of its characters, and from them
 the sum that Shannon's entropy is made of, are updated by the character that enters and the one
 that leaves. A window whose entropy reaches the limit of the candidate's character class is
-flagged, and flagged windows that touch are one span. Candidates on the allow-list are passed over.
+flagged, and flagged windows that touch are one span. Windows over an allow-listed part of a candidate are
+passed over, the others count: a candidate is cut at these parts. Whole identifiers are passed over.
 
 Sums are whole numbers (c * log2 c in 1/10000), so no rounding builds up.
 
 Defined cases: null text is empty; an empty text has no spans; repeated rows are scanned one by one;
-further columns pass. Positions are code points, ends exclusive."""
+further columns pass, but one named ``_spans`` is replaced. Positions are code points, ends exclusive."""
 
 from __future__ import annotations
 
@@ -31,8 +32,9 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes, tried in turn, and the bits per character that a window must reach.
 CLASSES = ((r"^[0-9a-f]+$", 3.0), (r"^[0-9A-F]+$", 3.0), (r"^[0-9A-Z]+$", 3.4), (r"^[0-9a-z]+$", 3.5), (r"", 3.6))
-#: Parts of strings that are no secrets, small letters.
-ALLOWED = ("example", "sample", "dummy", "placeholder", "changeme", "xxxx", "00000000", "12345678", "abcdefgh", "deadbeef", "lorem", "----", "====")
+#: Parts of strings that are no secrets, in either case.
+ALLOWED = ("example", "sample", "dummy", "placeholder", "changeme", "x{4,}", "0{8,}", "12345678", "abcdefgh", "deadbeef", "lorem", "-{4,}", "={4,}")
+ALLOWED_PART = "(?i)(" + "|".join(ALLOWED) + ")"
 #: A universally unique identifier names things and opens none.
 ALLOWED_WHOLE = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 SCALE = 10_000
@@ -66,16 +68,26 @@ def limit(run: Column) -> Column:
 
 
 def suspicious(run: Column) -> Column:
-    """A candidate: it holds a digit and nothing of the allow-list."""
-    low = F.lower(run)
-    allowed = run.rlike(ALLOWED_WHOLE)
-    for part in ALLOWED:
-        allowed = allowed | low.contains(part)
-    return run.rlike("[0-9]") & ~allowed
+    """A candidate: it holds a digit and is no identifier."""
+    return run.rlike("[0-9]") & ~run.rlike(ALLOWED_WHOLE)
 
 
-def windows(run: Column) -> Column:
-    """array<struct<a, b>>: the flagged stretches of a candidate."""
+def pieces(run: Column) -> Column:
+    """array<struct<a, m>>: what stands between the allow-listed parts, where a window fits."""
+    both = F.arrays_zip(F.split(run, ALLOWED_PART, -1).alias("gap"), F.regexp_extract_all(run, F.lit(ALLOWED_PART), F.lit(0)).alias("m"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,m:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), x["gap"].alias("m"))))
+        to = acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+        return F.struct(to.alias("at"), F.when(F.length(x["gap"]) < WINDOW, acc["out"]).otherwise(more).alias("out"))
+
+    whole = F.array(F.struct(F.lit(0).alias("a"), run.alias("m")))
+    return F.when(run.rlike(ALLOWED_PART), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(whole)
+
+
+def windows(run: Column, most: Column) -> Column:
+    """array<struct<a, b>>: the flagged stretches of a piece, ``most`` the limit of its candidate."""
     chars = F.filter(F.split(run, ""), lambda c: c != "")
     codes = F.transform(chars, lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
     parts = F.array(*map(F.lit, PARTS))
@@ -117,7 +129,7 @@ def windows(run: Column) -> Column:
         end = lambda acc: F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
         return F.aggregate(c, start, step, end)
 
-    return let(F.struct(codes.alias("codes"), limit(run).alias("most")), slide)
+    return let(F.struct(codes.alias("codes"), most.alias("most")), slide)
 
 
 def spans(text: Column) -> Column:
@@ -126,7 +138,8 @@ def spans(text: Column) -> Column:
     value = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= LEAST_VALUE
     assign = kind(F.filter(located(text, ASSIGN), value), 0)
     runs = F.filter(located(text, RUN), lambda x: suspicious(x["m"]))
-    moved = F.transform(runs, lambda x: F.transform(windows(x["m"]), lambda w: F.struct((x["a"] + w["a"]).alias("a"), F.lit(3).alias("k"), (x["a"] + w["b"]).alias("b"))))
+    parts = F.flatten(F.transform(runs, lambda x: F.transform(pieces(x["m"]), lambda y: F.struct((x["a"] + y["a"]).alias("a"), y["m"].alias("m"), limit(x["m"]).alias("most")))))
+    moved = F.transform(parts, lambda x: F.transform(windows(x["m"], x["most"]), lambda w: F.struct((x["a"] + w["a"]).alias("a"), F.lit(3).alias("k"), (x["a"] + w["b"]).alias("b"))))
     return F.array_sort(F.concat(assign, kind(located(text, ACCESS), 1), kind(located(text, HEX), 2), F.flatten(moved)))
 
 

@@ -25,14 +25,16 @@ def entropy_spans(text: str | None) -> list[tuple[int, int, int]]:
     out = []
     for m in re.finditer(S.RUN, text or ""):
         run = m[0]
-        low = run.lower()
-        if not re.search("[0-9]", run) or any(p in low for p in S.ALLOWED) or re.match(S.ALLOWED_WHOLE, run):
+        if not re.search("[0-9]", run) or re.match(S.ALLOWED_WHOLE, run):
             continue
+        allowed = [x.span() for x in re.finditer(S.ALLOWED_PART, run)]
         bits = next(b for p, b in S.CLASSES if re.match(p, run))
         most = round(S.SCALE * S.WINDOW * (math.log2(S.WINDOW) - bits))
         found: list[list[int]] = []
         for a in range(len(run) - S.WINDOW + 1):
             w = run[a : a + S.WINDOW]
+            if any(f < a + S.WINDOW and a < t for f, t in allowed):
+                continue
             if sum(round(S.SCALE * n * math.log2(n)) for n in (w.count(c) for c in set(w))) <= most:
                 if found and a <= found[-1][1]:
                     found[-1][1] = a + S.WINDOW

@@ -233,6 +233,8 @@ def test_secrets(spark):
         "id 123e4567-e89b-12d3-a456-426614174000 example" + key,
         "a" * 50 + "1" + "b" * 50,
         f"{key}{key} 日本 {key[:25]}",
+        f"/sample/{key} example_token-{key} -----KEY-----{key}====XXXXxx{key}",
+        f"{key[:19]}EXAMPLE{key[19:]} {key}00000000{key}12345678",
         "\u017fecret=abcdefgh to\u212aen=abcdefgh",
     ]
     rows = docs(spark, texts + texts[-3:], _extra=["e"] * (len(texts) + 3))
