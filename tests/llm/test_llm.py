@@ -155,6 +155,59 @@ def test_identity_terms_do_not_move_the_score(spark):
     assert toxicity.swapped("Women and men, WOMAN!").split()[0] == "men"
 
 
+def test_swap_penalty_spares_neutral_mentions(spark, monkeypatch):
+    """Groups named mostly in toxic texts: neutral mentions are rejected without the penalty, and spared with it."""
+    import functools
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    terms, plain = ["women", "muslims", "refugees", "gay"], [f"w{i}" for i in range(80)]
+    texts, tox = [], []
+    for _ in range(900):
+        bad = rng.random() < 0.35
+        words = rng.choices(plain, k=10) + ([rng.choice(["vile", "awful", "scum"])] if bad and rng.random() < 0.6 else [])
+        if rng.random() < (0.85 if bad else 0.05):
+            words.append(rng.choice(terms))
+        texts.append(" ".join(words))
+        tox.append(int(bad))
+    rows = docs(spark, texts)
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(tox)], "doc_id long, toxic int")
+    neutral = [" ".join(rng.choices(plain, k=10) + [rng.choice(terms)]) for _ in range(200)]
+    vile = [" ".join(rng.choices(plain, k=10) + ["vile"]) for _ in range(200)]
+
+    def rejected(probes):
+        model = toxicity.train(rows, labels)
+        raw, offsets = utf8_buffers(pa.array(probes))
+        return (model.scores(raw, offsets, Words(toxicity.SEPARATORS), model.table()) >= 0.5).mean()
+
+    with_penalty, still_caught = rejected(neutral), rejected(vile)
+    monkeypatch.setattr(toxicity, "fit", functools.partial(toxicity.fit, penalty=0.0))
+    without = rejected(neutral)
+    print("neutral mentions rejected:", without, "without the penalty,", with_penalty, "with it; toxic caught:", still_caught)
+    assert without > 0.8 and with_penalty < without / 2 and still_caught > 0.9
+
+
+def test_trees_and_their_plain_walk():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 3] < 0)).astype(float)
+    trees = quality.grow(x, y, trees=12, depth=3, bins=8)
+
+    def plain(row):
+        z = trees.base
+        for t in range(len(trees.feature)):
+            node = 0
+            while node < trees.feature.shape[1]:
+                f = trees.feature[t, node]
+                node = 2 * node + 1 + (sum(e <= row[f] for e in trees.edges[f]) > trees.above[t, node])
+            z += trees.value[t, node - trees.feature.shape[1]]
+        return 1 / (1 + np.exp(-z))
+
+    assert np.allclose(trees.scores(x), [plain(r) for r in x])
+    assert ((trees.scores(x) > 0.5) == (y > 0)).mean() > 0.95
+
+
 # ---- op3 --------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
