@@ -189,19 +189,32 @@ def seed_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
     return df.groupBy(*keys).agg(*aggs)
 
 
-def _by_member(preds: DataFrame, keys: list[str], member: str, prob: str) -> DataFrame:
-    """Per row: sum of the probabilities, predictions, and distinct members."""
-    once = preds.groupBy(*keys, member).agg(F.sum(_exact(F.col(prob))).alias("_sum"), F.count("*").alias("_n"))
-    return once.groupBy(*keys).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.count("*").alias("members"))
-
-
-def ensemble(preds: DataFrame, keys: list[str], member: str, prob: str, members: int) -> DataFrame:
-    """Mean probability over ensemble members, for rows that every member scored once."""
-    rows = _by_member(preds, keys, member, prob).filter((F.col("members") == members) & (F.col("_n") == members))
+WORD = 62  # members per mask
+
+
+def _by_member(preds: DataFrame, keys: list[str], member: str, prob: str, members: int | list) -> DataFrame:
+    """Per row: sum of the probabilities, predictions, and distinct members. Where the members are listed,
+    each is a bit, so that one grouping counts them; else they are grouped first."""
+    if isinstance(members, int):
+        once = preds.groupBy(*keys, member).agg(F.sum(_exact(F.col(prob))).alias("_sum"), F.count("*").alias("_n"))
+        return once.groupBy(*keys).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.count("*").alias("members"))
+    at = F.array_position(F.array(*[F.lit(m) for m in members]), F.col(member)) - 1
+    bit = lambda w: F.when((at >= w * WORD) & (at < (w + 1) * WORD), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at - w * WORD).cast("int"))).otherwise(0)
+    words = range(-(-len(members) // WORD))
+    rows = preds.groupBy(*keys).agg(F.sum(_exact(F.col(prob))).alias("_sum"), F.count("*").alias("_n"), *[F.bit_or(bit(w)).alias(f"_w{w}") for w in words])
+    seen = sum((F.bit_count(f"_w{w}") for w in words), F.lit(0)).cast("bigint")
+    return rows.withColumn("members", seen).drop(*[f"_w{w}" for w in words])
+
+
+def ensemble(preds: DataFrame, keys: list[str], member: str, prob: str, members: int | list) -> DataFrame:
+    """Mean probability over ensemble members (their number, or the list of them), for rows that every member scored once."""
+    count = members if isinstance(members, int) else len(members)
+    rows = _by_member(preds, keys, member, prob, members).filter((F.col("members") == count) & (F.col("_n") == count))
     return rows.select(*keys, (F.col("_sum").cast("double") / F.col("_n")).alias("prob"), "members")
 
 
-def alignment_gaps(preds: DataFrame, keys: list[str], member: str, prob: str, members: int) -> DataFrame:
+def alignment_gaps(preds: DataFrame, keys: list[str], member: str, prob: str, members: int | list) -> DataFrame:
     """Rows that some member did not score, or scored twice: must be empty for an aligned ensemble."""
-    rows = _by_member(preds, keys, member, prob).filter((F.col("members") != members) | (F.col("_n") != members))
+    count = members if isinstance(members, int) else len(members)
+    rows = _by_member(preds, keys, member, prob, members).filter((F.col("members") != count) | (F.col("_n") != count))
     return rows.select(*keys, "members", F.col("_n").alias("predictions"))

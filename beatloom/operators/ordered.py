@@ -24,6 +24,7 @@ HOT_ROWS = 1_000_000
 CELL = 1024
 FANOUT = 1024
 EDGE = 100_000
+PIECE_ROWS = 65_536
 SAMPLED = 64  # rows sampled per border
 
 
@@ -75,12 +76,16 @@ def _moved(df: DataFrame, keys: list[str], order: list[str], inside: Callable[[W
 
 def _placed(df: DataFrame, keys: list[str], order: list[str], pieces: int | None) -> DataFrame:
     """``df`` with ``_piece``, the number of borders of the row's key at or before the row, and the key's
-    ``_borders`` (NULL where it has none). At most ``pieces`` borders are broadcast."""
+    ``_borders`` (NULL where it has none). At most ``pieces`` borders are broadcast; by default there are as many
+    as shuffle partitions, but no more than one per ``PIECE_ROWS`` rows."""
     spark = df.sparkSession
-    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = df.select(*keys, *[c for c in order if c not in keys])
-    share = min(1.0, pieces * SAMPLED / max(1, slim.count()))
-    sample = sorted(slim.sample(share, seed=42).collect(), key=lambda r: [(v is not None, v) for v in r])
+    total = slim.count()
+    pieces = pieces or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PIECE_ROWS))
+    sample = []
+    if pieces > 1:
+        share = min(1.0, pieces * SAMPLED / max(1, total))
+        sample = sorted(slim.sample(share, seed=42).collect(), key=lambda r: [(v is not None, v) for v in r])
     step = max(1, -(-len(sample) // pieces))
     borders = spark.createDataFrame(sample[step::step], slim.schema)
     value = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(order)])

@@ -108,20 +108,20 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ensemble_probs(spark: SparkSession, d: str) -> DataFrame:
-    e = M.ensemble(_members(spark, d), ["record_id", "sentence_id", "label"], "member", "prob", 3)
+    e = M.ensemble(_members(spark, d), ["record_id", "sentence_id", "label"], "member", "prob", list(range(CLASSES)))
     return e.select("record_id", "sentence_id", "label", F.round("prob", 9).alias("prob"))
 
 
 def ensemble_record_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Ensemble probability, record vote, then the confusion counts of the records."""
-    e = M.ensemble(_members(spark, d), ["record_id", "sentence_id", "label"], "member", "prob", 3)
+    e = M.ensemble(_members(spark, d), ["record_id", "sentence_id", "label"], "member", "prob", list(range(CLASSES)))
     arrays = e.select("record_id", F.array("prob").alias("probs"), F.array("label").alias("labels"))
     r = M.record_scores(arrays, "record_id", 1)
     return r.agg(*M.confusion(F.get("pred", F.lit(0)), F.get("labels", F.lit(0))))
 
 
 def ensemble_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return M.alignment_gaps(_members(spark, d), ["record_id", "sentence_id"], "member", "prob", 3)
+    return M.alignment_gaps(_members(spark, d), ["record_id", "sentence_id"], "member", "prob", list(range(CLASSES)))
 
 
 _REC = {

@@ -90,6 +90,11 @@ def test_ensemble(spark):
     # A doubled member does not stand in for a missing one.
     twice = spark.createDataFrame([(1, "a", 0.2), (1, "a", 0.3), (2, "a", 0.5), (2, "b", 0.7), (2, "b", 0.7)], "s int, m string, prob double")
     assert M.ensemble(twice, ["s"], "m", "prob", 2).count() == 0
+    for names in (["a", "b"], [f"x{i}" for i in range(70)] + ["a", "b"]):
+        listed = spark.createDataFrame([(s, m, 0.25) for s in (1, 2) for m in names] + [(2, names[-1], 0.5), (3, names[0], 0.5), (4, "other", 0.1)], "s int, m string, prob double")
+        assert [(r["s"], r["prob"], r["members"]) for r in M.ensemble(listed, ["s"], "m", "prob", names).collect()] == [(1, 0.25, len(names))]
+        gaps = sorted((r["s"], r["members"], r["predictions"]) for r in M.alignment_gaps(listed, ["s"], "m", "prob", names).collect())
+        assert gaps == [(2, len(names), len(names) + 1), (3, 1, 1), (4, 0, 1)]
     assert M.ensemble(twice, ["s"], "m", "prob", 3).count() == 0
     assert sorted(r["s"] for r in M.alignment_gaps(twice, ["s"], "m", "prob", 2).collect()) == [1, 2]
 
