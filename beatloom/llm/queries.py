@@ -27,54 +27,54 @@ def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", *[F.col(f"_{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
 
 
-_K = url_filter.SYMBOLS
-_FOLDED = r"regexp_replace(regexp_replace(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^a-z0\-./_%?=&#:]', '~', 'g')"
 _RULE_SQL = " ".join(
     f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{{}}'".format(
         r
     )
     for _, r in sorted(RULES, key=lambda x: (-len(x[1]), x[1]))
 )
-_P = lambda c: f"""  -- smoothed probability of a triple under one class
-  SELECT gram, CASE WHEN n3 + t3 > 0 THEN (c3 + t3 * p2) / (n3 + t3) ELSE p2 END AS p FROM (
-    SELECT *, CASE WHEN n2 + t2 > 0 THEN (c2 + t2 * p1) / (n2 + t2) ELSE p1 END AS p2 FROM (
-      SELECT *, CASE WHEN n1 + t1 > 0 THEN (c1 + t1 * {1.0 / _K!r}::DOUBLE) / (n1 + t1) ELSE {1.0 / _K!r}::DOUBLE END AS p1 FROM (
-        SELECT f.gram, CAST(f.{c} AS DOUBLE) AS c3,
-          CAST(sum(f.{c}) OVER (PARTITION BY x, y) AS DOUBLE) AS n3, CAST(count(*) FILTER (WHERE f.{c} > 0) OVER (PARTITION BY x, y) AS DOUBLE) AS t3,
-          CAST(yz.c2 AS DOUBLE) AS c2, CAST(ys.n2 AS DOUBLE) AS n2, CAST(ys.t2 AS DOUBLE) AS t2,
-          CAST(zs.c1 AS DOUBLE) AS c1, CAST(tot.n1 AS DOUBLE) AS n1, CAST(tot.t1 AS DOUBLE) AS t1
-        FROM full_counts f
-        JOIN (SELECT y, z, sum({c}) AS c2 FROM full_counts GROUP BY y, z) yz USING (y, z)
-        JOIN (SELECT y, sum(c2) AS n2, count(*) FILTER (WHERE c2 > 0) AS t2 FROM (SELECT y, z, sum({c}) AS c2 FROM full_counts GROUP BY y, z) GROUP BY y) ys USING (y)
-        JOIN (SELECT z, sum({c}) AS c1 FROM full_counts GROUP BY z) zs USING (z),
-        (SELECT sum(c1) AS n1, count(*) FILTER (WHERE c1 > 0) AS t1 FROM (SELECT z, sum({c}) AS c1 FROM full_counts GROUP BY z)) tot)))"""
+_VIEWS = [f"{x}{v}" for x in "ar" for v in url_filter.VIEWS]
+
+
+def _order_sql(k: int) -> str:
+    """Smoothed probabilities of all runs of k + 1 characters, from those of k."""
+    cols = lambda f: ", ".join(f(c) for c in _VIEWS)
+    own = f"""SELECT substr(gram, {url_filter.ORDER - k + 1}, {k + 1}) AS gram, {cols(lambda c: f"sum({c}) AS {c}")} FROM full_counts GROUP BY 1"""
+    wide = f"""SELECT *, {cols(lambda c: f"CAST(sum({c}) OVER w AS DOUBLE) AS n_{c}, CAST(count(*) FILTER (WHERE {c} > 0) OVER w AS DOUBLE) AS t_{c}")}
+      FROM ({own}) WINDOW w AS (PARTITION BY substr(gram, 1, {k}))"""
+    low = lambda c: f"{url_filter.BASE!r}::DOUBLE" if k == 0 else f"s.q_{c}"
+    back = lambda c: f"CASE WHEN n_{c} + t_{c} > 0 THEN (CAST({c} AS DOUBLE) + t_{c} * {low(c)}) / (n_{c} + t_{c}) ELSE {low(c)} END AS q_{c}"
+    join = "" if k == 0 else f"JOIN o{k - 1} s ON s.gram = substr(x.gram, 2)"
+    return f"o{k} AS (SELECT x.gram, {cols(back)} FROM ({wide}) x {join})"
+
+
 OP1_SQL = f"""
 WITH u AS (
-  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
 ), h AS (
   SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM u
 ), r AS (
-  SELECT row_number() OVER () AS id, *, CASE {_RULE_SQL} END AS rule, CAST('0x' || substr(md5(coalesce(url, '')), 1, 8) AS BIGINT) % 5 AS fold,
-    list_concat([0, 0], list_concat(list_transform(list_filter(string_split({_FOLDED}, ''), lambda c: c <> ''), lambda c: instr('{url_filter.ALPHABET}', c)), [{_K - 1}])) AS codes
-  FROM h
+  SELECT *, CASE {_RULE_SQL} END AS rule FROM h
 ), v AS (
-  SELECT *, CASE {' '.join(f"WHEN rule = '{r}' THEN '{k}'" for k, r in RULES)} END AS said, len(codes) - 2 AS n FROM r
+  SELECT *, CASE {' '.join(f"WHEN rule = '{r}' THEN '{k}'" for k, r in RULES)} END AS said FROM r
+), d AS (
+  SELECT row_number() OVER () AS id, * FROM (SELECT url, any_value(said) AS said, count(*) AS n, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % {url_filter.FOLDS} AS fold FROM v GROUP BY url)
 ), g AS (
-  SELECT id, unnest(list_transform(range(1, n + 1), lambda i: (codes[i] * {_K} + codes[i + 1]) * {_K} + codes[i + 2])) AS gram FROM v
+  SELECT id, unnest(list_transform(range(1, length(url) + 2), lambda i: substr(repeat(chr(2), {url_filter.ORDER}) || translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(3), i, {url_filter.ORDER + 1}))) AS gram FROM d
 ), full_counts AS (
-  SELECT gram, gram // {_K * _K} AS x, gram // {_K} % {_K} AS y, gram % {_K} AS z, coalesce(a, 0) AS a, coalesce(r, 0) AS r
-  FROM (SELECT unnest(range({_K**3})) AS gram) LEFT JOIN (
-    SELECT gram, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS r
-    FROM g JOIN v USING (id) WHERE said IS NOT NULL AND fold <> 0 GROUP BY gram) USING (gram)
-), m AS (
-  SELECT gram, CAST(round((ln(a.p) - ln(b.p)) * {url_filter.SCALE}) AS BIGINT) AS ratio FROM ({_P('a')}) a JOIN ({_P('r')}) b USING (gram)
+  SELECT gram, {', '.join(f"coalesce(sum(n) FILTER (WHERE said = '{'allow' if c[0] == 'a' else 'block'}' AND fold <> {int(c[1]) - 1}), 0) AS {c}" for c in _VIEWS)}
+  FROM g JOIN d USING (id) GROUP BY gram
+), lonely AS (
+  SELECT f FROM (SELECT unnest(range({url_filter.FOLDS})) AS f) x
+  WHERE (SELECT count(*) FROM d WHERE said = 'allow' AND fold <> f) = 0 OR (SELECT count(*) FROM d WHERE said = 'block' AND fold <> f) = 0
+), {', '.join(map(_order_sql, range(url_filter.ORDER + 1)))}, m AS (
+  SELECT gram, [{', '.join(f"CAST(round((ln(q_a{v}) - ln(q_r{v})) * {url_filter.SCALE}) AS BIGINT)" for v in url_filter.VIEWS)}] AS ratios FROM o{url_filter.ORDER}
 ), s AS (
-  SELECT id, CAST(floor(sum(ratio) / any_value(n) / {url_filter.STEP}) AS BIGINT) AS score FROM g JOIN m USING (gram) JOIN v USING (id) GROUP BY id
+  SELECT id, CAST(floor(sum(ratios[CASE WHEN said IS NULL OR fold IN (SELECT f FROM lonely) THEN 1 ELSE fold + 2 END]) / count(*) / {url_filter.STEP}) AS BIGINT) AS score FROM g JOIN m USING (gram) JOIN d USING (id) GROUP BY id
 ), bins AS (
-  SELECT score, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS r
-  FROM s JOIN v USING (id) WHERE said IS NOT NULL AND fold = 0 GROUP BY score
+  SELECT score, coalesce(sum(n) FILTER (WHERE said = 'allow'), 0) AS a, coalesce(sum(n) FILTER (WHERE said = 'block'), 0) AS r FROM s JOIN d USING (id) WHERE said IS NOT NULL GROUP BY score
 ), steps AS (
   SELECT score, lag(score) OVER (ORDER BY score) AS below, sum(a) OVER w AS a, sum(r) OVER w AS r, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
   FROM (SELECT * FROM bins UNION ALL SELECT max(score) + 1, 0, 0 FROM bins HAVING count(*) > 0)
@@ -82,8 +82,8 @@ WITH u AS (
 ), lim AS (
   SELECT first(coalesce(CAST(ceil((score + below) / 2.0) AS BIGINT), score) ORDER BY CASE WHEN all_a > 0 THEN a * all_r - r * all_a ELSE -r END DESC, score) AS edge FROM steps WHERE all_r > 0
 )
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN edge IS NULL OR score >= edge THEN 'allow' ELSE 'block' END) AS verdict
-FROM v JOIN s USING (id), lim
+SELECT page_id, host, path, rule, coalesce(v.said, CASE WHEN edge IS NULL OR score >= edge THEN 'allow' ELSE 'block' END) AS verdict
+FROM v JOIN d USING (url) JOIN s USING (id), lim
 """
 
 

@@ -87,6 +87,11 @@ def test_url_model_tells_kinds_apart(spark):
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = {r.page_id: r._verdict for r in url_filter.judged(rows, RULES).collect()}
     assert (got[120], got[121]) == ("allow", "block")
+    # Rejected rows that are copies of one url share a fold; the others are still told apart, and so are digits and other scripts.
+    urls = [f"http://good{i}.com/de/{i}" for i in range(40)] + ["http://ü1234.net/fr/9876"] * 30 + ["http://good7.org/de/7", "http://ü1234.org/fr/9876"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r._verdict for r in url_filter.judged(rows, RULES).collect()}
+    assert len(got) == 72 and (got[70], got[71]) == ("allow", "block")
 
 
 # ---- op2, op9 ---------------------------------------------------------------------------------
