@@ -15,9 +15,13 @@ hashes of all their one-deletion neighbours.
   texts share) are measured on all data and dropped from every set that can do without: one whose
   hot keys cost no more than half of the surplus. A similar pair with such a set still agrees
   in keys worth the other half, all of them of fewer than ``HOT`` sets: these keys' pairs are listed
-  and counted, and pairs with fewer keys in common are no candidates. Sets that need their hot
-  keys keep them, and pairs of two such sets are candidates by any key.
-* Hot keys of the sets that keep them form buckets. The pairs of a small bucket are listed. In a larger
+  and counted, and pairs with fewer keys in common are no candidates.
+* Pairs of two sets that need their hot keys (poor sets, made mostly of what many texts share) are found among
+  these sets by their rarest elements instead: of two sets of similarity t, both ordered by one order of all elements,
+  the first size - ceil(t * size) + 1 elements of each have one in common. The order is by how often the
+  elements of a cell of ``CELLS`` hashed cells occur, then by hash: the counts are ``CELLS`` numbers whatever
+  the data. So a hot element becomes a key only of a set with less than 1 - t of rarer ones.
+* These elements form buckets. The pairs of a small bucket are listed. In a larger
   one every set is paired with a few leads (those first by several fixed shuffles, so mostly the
   same in all buckets); sets are grouped by the links found, and where buckets hold several groups
   yet, other leads follow. After ``ROUNDS`` such rounds the remaining pairs between groups are
@@ -52,6 +56,7 @@ SPARE = 10  # one unit of surplus per so many units
 HOT = 8
 SMALL = 6  # sets of a bucket whose pairs are all listed
 LEADS, ROUNDS = 4, 3
+CELLS, SLICES = 1 << 20, 64
 CHANCE = 0.02  # chance that an element of a set is in an unrelated one, for the allocation's cost
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -243,32 +248,90 @@ def index(docs: DataFrame, bands: Bands, plans: dict[int, tuple[int, int, int]],
     units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(BLANKS)
-        for batch in batches:
-            raw, offsets = utf8_buffers(batch.column("text"))
-            for a, b in row_chunks(offsets, 2 << 20):
-                r, g = gram_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, n)
-                size, digests = set_ids(r, g, b - a)
-                # Equal sets in a chunk are indexed once.
-                once, sid = {}, np.zeros(b - a, np.int64)
-                for k, d in enumerate(digests):
-                    if d is not None and once.setdefault(d, k) == k:
-                        sid[k] = _short(d)
-                    else:
-                        size[k] = 0
-                band = bands.of(size)
-                reach = bands.reaches(size, band)
-                for scheme, plan in plans.items():
-                    mine = (size > 0) & ((band == scheme) | ((band == scheme - 1) & reach))
-                    take = mine[r]
-                    if take.any():
-                        row, key, units = index_keys(r[take], g[take], scheme, plan)
-                        tag = (4 * scheme + units).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid[row]), pa.array(tag)], ["key", "sid", "tag"])
+        for r, g, size, sid in _distinct_sets(batches, n):
+            band = bands.of(size)
+            reach = bands.reaches(size, band)
+            for scheme, plan in plans.items():
+                take = ((band == scheme) | ((band == scheme - 1) & reach))[r]
+                if take.any():
+                    row, key, units = index_keys(r[take], g[take], scheme, plan)
+                    tag = (4 * scheme + units).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid[row]), pa.array(tag)], ["key", "sid", "tag"])
 
     return docs.select("text").mapInArrow(run, "key long, sid long, tag int")
 
 
+# ---- rarest elements of poor sets --------------------------------------------------------
+
+
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (mixed(grams ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, gram, size of every row, sid of every row) of pieces of text, equal sets of a piece once."""
+    words = Words(BLANKS)
+    for batch in batches:
+        raw, offsets = utf8_buffers(batch.column("text"))
+        for a, b in row_chunks(offsets, 2 << 20):
+            r, g = gram_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, n)
+            size, digests = set_ids(r, g, b - a)
+            once, sid, first = {}, np.zeros(b - a, np.int64), np.zeros(b - a, bool)
+            for k, d in enumerate(digests):
+                if d is not None and once.setdefault(d, k) == k:
+                    sid[k], first[k] = _short(d), True
+            keep = first[r]
+            yield r[keep], g[keep], size, sid
+
+
+def frequencies(docs: DataFrame, n: int = N) -> np.ndarray:
+    """How often the elements of each cell occur. A task counts in one dense array and hands it on in slices."""
+    width = CELLS // SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for _, g, _, _ in _distinct_sets(batches, n):
+            counts += np.bincount(_cells(g), minlength=CELLS)
+        if counts.any():
+            parts = [counts[k * width : (k + 1) * width].tobytes() for k in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for batch in parts:
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+
+    out = np.zeros(CELLS, np.int64)
+    for r in docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():  # SLICES rows
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def rarest(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and ranks of the elements that a set must show: the first size - ceil(num / den * size) + 1 in the
+    order of (count of the cell, hash)."""
+    order = np.lexsort((grams, counts[_cells(grams)], rows))
+    row = rows[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    shown = sizes - -(-sizes * num // den) + 1
+    first = rank < shown[row]
+    return order[first], rank[first]
+
+
+def rare_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, sid, rank): the rarest elements of every set."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n))  # CELLS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, g, size, sid in _distinct_sets(batches, n):
+            at, rank = rarest(r, g, size, shared.value, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(sid[r[at]]), pa.array(rank.astype(np.int32))], ["key", "sid", "rank"])
+
+    return docs.select("text").mapInArrow(run, "key long, sid long, rank int")
+
+
 # ---- pairs ------------------------------------------------------------------------------
 
 
@@ -288,6 +351,7 @@ def word_set(text: str, n: int) -> set:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+SENT_ROWS = 500_000
 SPLIT = 500  # partners of one set that a task compares
 
 
@@ -297,7 +361,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     reps = classes.join(wanted, "sid").select("sid", "digest", F.col("rep.doc_id").alias("_rep"), F.col("rep.text_hash").alias("_hash"))
     reps = stored(reps, "pair-documents")  # its size is known before the texts move
-    found = _hashed(docs).join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("text_hash") == F.col("_hash")))
+    # A row of ``reps`` is some fifty bytes; up to so many are sent to the texts, beyond it texts meet them by a shuffle.
+    few = F.broadcast(reps) if reps.count() <= SENT_ROWS else reps
+    found = _hashed(docs).join(few, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("text_hash") == F.col("_hash")))
     texts = stored(found.select("sid", "digest", "text").dropDuplicates(["digest"]), "pair-texts")
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("_fan"))
     dealt = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_fan")).cast("int").alias("salt"), "b")
@@ -348,8 +414,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame] | None:
-    """Pairs (a, b) from the cold keys, and the rows (key, sid, n) of the hot keys, which ``n`` sets
-    keep. None where no set can have a similar other one."""
+    """Pairs (a, b) from the cold keys, and the rows (key, sid, rank, n) of the poor sets' rarest elements, which ``n`` of
+    them show. None where no set can have a similar other one."""
     largest = classes.agg(F.max("size")).first()[0]
     if largest is None:
         return None
@@ -369,13 +435,12 @@ def buckets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     hot, cold = rows.filter("hot"), rows.filter("NOT hot")
     poor = hot.groupBy("sid", "band").agg(F.sum("units").alias("_lost")).filter(F.col("_lost") > of_band(lambda plan: plan[2] // 2))
     poor = stored(poor.select("sid", "band"), "poor")
-    kept = stored(hot.join(poor, ["sid", "band"], "left_semi").select("key", "sid"), "hot-rows")
+    kept = rare_keys(docs, n, num, den).join(poor.select("sid").distinct(), "sid", "left_semi").groupBy("key", "sid").agg(F.min("rank").alias("rank"))
+    kept = stored(kept, "rare-rows")
     left = cold.select("key", "band", F.col("sid").alias("a"))
     met = left.join(cold.select("key", F.col("sid").alias("b")), "key").filter("a < b").groupBy("a", "b", "band").agg(F.count("*").alias("_keys"))
     met = stored(met, "met")
-    enough = F.col("_keys") >= of_band(least_keys)
-    both = met.filter(~enough).join(poor.withColumnRenamed("sid", "a"), ["a", "band"], "left_semi").join(poor.withColumnRenamed("sid", "b"), ["b", "band"], "left_semi")
-    pairs = met.filter(enough).select("a", "b").union(both.select("a", "b"))
+    pairs = met.filter(F.col("_keys") >= of_band(least_keys)).select("a", "b")
     return pairs, kept.join(held_by(kept), "key")
 
 
@@ -430,23 +495,26 @@ def led(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def divided(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The (key, sid, root) of buckets that hold several groups."""
-    placed = rows.select("key", "sid").join(roots, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+    """The (key, sid, rank, root) of buckets that hold several groups."""
+    placed = rows.select("key", "sid", "rank").join(roots, "sid", "left").select("key", "sid", "rank", F.coalesce("root", "sid").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("key")
     return stored(placed.join(split, "key"), "divided")
 
 
 def crossing(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of a bucket in different groups that the sketches allow."""
+    """(a, b): all pairs of a bucket in different groups that sketches and ranks allow: at the first
+    element that a similar pair shares, enough elements must be left behind it in both sets."""
     left = rows.withColumnRenamed("sid", "a").join(_marked(classes, "a", "x"), "a")
-    right = rows.select("key", F.col("sid").alias("b"), F.col("root").alias("_root")).join(_marked(classes, "b", "y"), "b")
-    same = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("_root")) & _near("x", "y", num, den)
+    right = rows.select("key", F.col("sid").alias("b"), F.col("rank").alias("_rank"), F.col("root").alias("_root")).join(_marked(classes, "b", "y"), "b")
+    left_over = F.least(F.col("x_size") - F.col("rank"), F.col("y_size") - F.col("_rank"))
+    enough = left_over * (num + den) >= (F.col("x_size") + F.col("y_size")) * num
+    same = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("_root")) & enough & _near("x", "y", num, den)
     return left.join(right, same).select("a", "b").distinct()
 
 
 def linked(docs: DataFrame, classes: DataFrame, cold: DataFrame, shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(sid, root) of the sets that have links: the smallest set that they reach."""
-    large = shared.filter(F.col("n") > SMALL).select("key", "sid", F.col("sid").alias("root"))
+    large = shared.filter(F.col("n") > SMALL).select("key", "sid", "rank", F.col("sid").alias("root"))
     pairs = stored(_possible(cold.union(listed(shared)).union(led(large, 0)), classes, num, den), "pairs")
     links = stored(verified(pairs, classes, docs, n, num, den), "links")
     roots = components(links)
