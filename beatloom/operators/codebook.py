@@ -20,6 +20,7 @@ from beatloom.operators.ordered import lowest, ranked
 from beatloom.session import cut_lineage
 
 BLOCK_VALUES = 8_000_000
+FEW_CODES = 1_024  # fetched at once to see how large the codebook is
 ROWS_PER_PRODUCT = 8192
 PRODUCT_BYTES = 64 << 20
 VECTORS_PER_TASK = 250_000  # that one task matches with a block
@@ -70,12 +71,15 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def assign(vectors: DataFrame, vec: str, codebook: DataFrame) -> DataFrame:
     """Add ``code`` and ``dist`` (squared distance) of the nearest code; NULL for a NULL vector.
     The lowest code on ties."""
-    count, values = codebook.agg(F.count("*"), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
-    if not count:
+    rows = codebook.select("code", "vec").limit(FEW_CODES + 1).collect()
+    if not rows:
         raise ValueError("not a codebook: no codes")
-    if values > BLOCK_VALUES:
-        return _assign_exchanged(vectors, vec, codebook, max(1, BLOCK_VALUES * count // values))
-    rows = codebook.select("code", "vec").orderBy("code").collect()  # at most BLOCK_VALUES values
+    if len(rows) > FEW_CODES or sum(len(r["vec"]) for r in rows) > BLOCK_VALUES:
+        count, values = codebook.agg(F.count("*"), F.sum(F.size("vec"))).first()
+        if values > BLOCK_VALUES:
+            return _assign_exchanged(vectors, vec, codebook, max(1, BLOCK_VALUES * count // values))
+        rows = codebook.select("code", "vec").collect()  # at most BLOCK_VALUES values
+    rows = sorted(rows, key=lambda r: r["code"])
     shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["code"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64)))
     schema = T.StructType([*vectors.schema.fields, T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 

@@ -47,7 +47,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", p
 
     Borders are sampled from the sorted (key, order) of all rows, so every piece between two borders
     holds about as many rows, whatever the keys. A key without a border is ranked as a whole; a key with
-    borders is ranked piece by piece, and moved by the rows of its earlier pieces. Rows cross the network
+    borders is ranked piece by piece, and moved by the rows of its earlier pieces. There are as many ``pieces`` as shuffle
+    partitions, but one per ``PIECE_ROWS`` rows at most. Rows cross the network
     once, dealt by (key, piece); counts are taken for the keys with borders alone, so at most ``pieces``
     offsets exist. NULL keys are keys like any other. Rows that are equal in key and order stay together:
     name columns in ``order`` that tell them apart. Where the borders fall never changes a rank."""
@@ -65,7 +66,12 @@ def _moved(df: DataFrame, keys: list[str], order: list[str], inside: Callable[[W
     """``inside`` a piece, plus the ``total`` of the key's earlier pieces."""
     if not keys:
         return _moved(df.withColumn("_all", F.lit(0)), ["_all"], order, inside, total, out, pieces).drop("_all")
-    placed = _placed(df, keys, order, pieces)
+    slim = df.select(*keys, *[c for c in order if c not in keys])
+    total_rows = slim.count()
+    pieces = pieces or max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total_rows // PIECE_ROWS))
+    if pieces == 1:  # one piece has no border
+        return df.withColumn(out, inside(W.partitionBy(*keys).orderBy(*order)))
+    placed = _placed(df, keys, order, pieces, total_rows)
     earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     sums = placed.filter(F.col("_borders").isNotNull()).groupBy(*keys, "_piece").agg(total.alias("_sum"))
     before = sums.select(*keys, "_piece", F.sum("_sum").over(earlier).alias("_before")).filter("_before IS NOT NULL")
@@ -74,18 +80,13 @@ def _moved(df: DataFrame, keys: list[str], order: list[str], inside: Callable[[W
     return rows.withColumn(out, F.col("_in") + F.coalesce("_before", F.lit(0))).drop("_in", "_before", "_piece")
 
 
-def _placed(df: DataFrame, keys: list[str], order: list[str], pieces: int | None) -> DataFrame:
+def _placed(df: DataFrame, keys: list[str], order: list[str], pieces: int, rows: int) -> DataFrame:
     """``df`` with ``_piece``, the number of borders of the row's key at or before the row, and the key's
-    ``_borders`` (NULL where it has none). At most ``pieces`` borders are broadcast; by default there are as many
-    as shuffle partitions, but no more than one per ``PIECE_ROWS`` rows."""
+    ``_borders`` (NULL where it has none). At most ``pieces`` borders are broadcast. ``rows``: how many ``df`` has."""
     spark = df.sparkSession
     slim = df.select(*keys, *[c for c in order if c not in keys])
-    total = slim.count()
-    pieces = pieces or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PIECE_ROWS))
-    sample = []
-    if pieces > 1:
-        share = min(1.0, pieces * SAMPLED / max(1, total))
-        sample = sorted(slim.sample(share, seed=42).collect(), key=lambda r: [(v is not None, v) for v in r])
+    share = min(1.0, pieces * SAMPLED / max(1, rows))
+    sample = sorted(slim.sample(share, seed=42).collect(), key=lambda r: [(v is not None, v) for v in r])
     step = max(1, -(-len(sample) // pieces))
     borders = spark.createDataFrame(sample[step::step], slim.schema)
     value = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(order)])

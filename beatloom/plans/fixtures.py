@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from beatloom.operators.ordered import hot_keys, lowest, ranked
+from beatloom.operators.ordered import hot_keys, ranked
 from beatloom.sources.tables import table
 
 REC = ["patient_id", "study_id"]
@@ -160,11 +161,11 @@ def supervised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def codebook(spark: SparkSession, d: str, size: int = 16, seed: int = 42) -> DataFrame:
-    """``size`` vectors by lowest keyed hash: a codebook's starting entries."""
-    top = lowest(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", seed, size)
+    """``size`` vectors by lowest keyed hash, a few rows: a codebook's starting entries."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col("vec_id").cast("string")))
-    numbered = ranked(top.withColumn("h", h), [], ["h", "vec_id"], "code")
-    return numbered.select(F.col("code").cast("int"), F.col("embedding").cast("array<double>").alias("vec"))
+    top = table(spark, d, "embeddings").select("vec_id", "embedding", h.alias("h")).orderBy("h", "vec_id").limit(size)
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("h", "vec_id"))
+    return top.select((rank - 1).cast("int").alias("code"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 SQL = {

@@ -136,7 +136,7 @@ def test_numbered_keeps_nulls(spark):
 def test_ranked_offsets_are_few_and_hot_keys_split(spark):
     rows = [(None if i % 3 == 0 else i % 40, (i * 7919) % 1000, i) for i in range(6000)]
     df = spark.createDataFrame(rows, "k int, v int, i int")
-    placed = O._placed(df, ["k"], ["v", "i"], 12)
+    placed = O._placed(df, ["k"], ["v", "i"], 12, 6000)
     sizes = {(r["k"], r["_piece"]): r["count"] for r in placed.groupBy("k", "_piece").count().collect()}
     assert len([p for k, p in sizes if k is None]) >= 4 and max(sizes.values()) < 1500
     assert len(sizes) <= 40 + 12
